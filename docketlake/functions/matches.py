@@ -42,10 +42,12 @@ def has_any(text: Column, terms: list[str]) -> Column:
 
 def find_all(df: DataFrame, text: str, patterns: list[tuple[str, str]], keep: list[str]) -> DataFrame:
     """One row per match of each named pattern: keep..., name, priority, start, end, match, and the text."""
-    hits = [
-        F.transform(match_offsets(F.col(text), p), lambda h, i=i, n=n: F.struct(F.lit(i).alias("priority"), F.lit(n).alias("name"), h["start"].alias("start"), h["end"].alias("end"), h["match"].alias("match")))
-        for i, (n, p) in enumerate(patterns)
-    ]
+
+    def named(i: int, n: str, p: str) -> Column:
+        hit = lambda h: F.struct(F.lit(i).alias("priority"), F.lit(n).alias("name"), h["start"].alias("start"), h["end"].alias("end"), h["match"].alias("match"))
+        return F.transform(match_offsets(F.col(text), p), hit)
+
+    hits = [named(i, n, p) for i, (n, p) in enumerate(patterns)]
     rows = df.select(*keep, F.col(text).alias("_text"), F.explode(F.flatten(F.array(*hits))).alias("_hit"))
     return rows.select(*keep, "_text", "_hit.*")
 

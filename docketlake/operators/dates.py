@@ -140,11 +140,14 @@ def hybrid_candidates(texts: DataFrame, text: str, keep: list[str], years: tuple
     parts = sentences(F.col(text))
     rows = texts.select(*keep, F.length(text).alias("_chars"), parts.alias("_parts"), F.posexplode(parts).alias("_i", "_sentence"))
     rows = rows.withColumn("_before", F.when(F.col("_i") > 0, F.get("_parts", F.col("_i") - 1)))
+    rows = rows.withColumn("_after", F.get("_parts", F.col("_i") + 1))
     rows = rows.withColumn("_context", expanded_context(F.col("_parts"), F.col("_i"))).drop("_parts")
     rows = rows.where(~any_of([F.col("_context").rlike(f"(?i){p}") for p in fixed.CONTEXT_EXCLUSIONS]))
-    found = find_all(rows, "_sentence", PATTERNS, [*keep, "_i", "_context", "_before"])
+    found = find_all(rows, "_sentence", PATTERNS, [*keep, "_i", "_context", "_before", "_after"])
     found = found.withColumn("date", parsed_date(F.col("match"), F.col("name"))).where(F.year("date").between(*years))
-    found = found.where(~statute_like(F.col("_text"), F.col("start"), F.col("end"), 30))
+    ahead = F.concat(F.coalesce("_before", F.lit("")), F.lit(" "))
+    whole = F.concat(ahead, F.col("_text"), F.lit(" "), F.coalesce("_after", F.lit("")))
+    found = found.where(~statute_like(whole, F.col("start") + F.length(ahead), F.col("end") + F.length(ahead), 30))
     cues = fixed.DECISION_CUES + fixed.INITIATION_CUES
     dated = Window.partitionBy(*keep)
     lent = F.col("_before").isNotNull() & has_any(F.col("_before"), fixed.INITIATION_CUES) & ~F.array_contains(F.col("_with_date"), F.col("_i") - 1)

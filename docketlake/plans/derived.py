@@ -150,7 +150,7 @@ WITH of AS (
   SELECT 'P' || l_orderkey AS project_id, 'D' || l_orderkey || '-' || l_linenumber AS document_id, {_sql_map('l_linenumber', DOC_TYPES)} AS document_type,
     CASE l_linenumber WHEN 6 THEN 'Draft_EA_' WHEN 7 THEN 'Appendix_' ELSE 'File_' END || l_orderkey || '-' || l_linenumber || '.pdf' AS file_name,
     CASE WHEN l_linenumber <= 3 THEN 'YES' WHEN l_linenumber < 7 THEN 'NO' END AS main_document, count(*) AS total_pages,
-    CASE l_linenumber WHEN 1 THEN 'decision' WHEN 2 THEN 'decision' WHEN 3 THEN 'final' WHEN 4 THEN 'draft' WHEN 7 THEN 'appendix' ELSE 'other' END AS category
+    CASE l_linenumber WHEN 1 THEN 'decision' WHEN 2 THEN 'decision' WHEN 3 THEN 'final' WHEN 4 THEN 'draft' WHEN 6 THEN 'draft' WHEN 7 THEN 'appendix' ELSE 'other' END AS category
   FROM lineitem GROUP BY l_orderkey, l_linenumber
 ), pages_ AS (
   SELECT 'D' || l_orderkey || '-' || l_linenumber AS document_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS page_number,

@@ -577,7 +577,7 @@ def t9_t10_timeline(c):
     return t.select("project_id", *s, F.col("duration_days").cast("long").alias("duration_days"), F.col("year").cast("long").alias("year"), "n_documents", "n_main", joined(F.transform("dates", lambda x: x.cast("string"))).alias("dates"), joined("review_reasons").alias("reasons"))
 
 
-@query("SELECT document_id, page_number, day::VARCHAR AS date FROM pages_ WHERE flag <> 'R'")
+@query("SELECT document_id, page_number, day::VARCHAR AS date FROM pages_")
 def t16_hybrid(c):
     return dates.hybrid_candidates(c.pages, "page_text", ["document_id", "page_number"]).select("document_id", "page_number", F.col("date").cast("string").alias("date"))
 
