@@ -88,12 +88,12 @@ class Head:
         return out
 
 
-def fit_head(measures: np.ndarray, words: list[np.ndarray], label: np.ndarray, steps: int = 300) -> Head:
+def fit_head(measures: np.ndarray, words: list[np.ndarray], label: np.ndarray, neutral: float, steps: int = 300) -> Head:
     """Ridge logistic regression by gradient steps with per-weight rates."""
     n = len(label)
     positive = label.sum()
     if positive in (0, n):
-        return Head(bias=0.0 if not n else (4.0 if positive else -4.0))
+        return Head(bias=neutral)
     width = 1 << BUCKET_BITS
     ones, zeros = np.zeros(width), np.zeros(width)
     for w, y in zip(words, label):
@@ -164,9 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Head,
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `sample` rows
     got = rows.select("text", "quality", "toxic").mapInArrow(_features, "quality int, toxic int, measures array<double>, words array<int>").toPandas()
     if not len(got):
-        return Head(), Head(bias=-4.0)
+        return Head(bias=4.0), Head(bias=-4.0)
     measures, words = np.stack(got["measures"].to_numpy()), [np.asarray(w) for w in got["words"]]
-    return fit_head(measures, words, got["quality"].to_numpy(float)), fit_head(measures, words, got["toxic"].to_numpy(float))
+    return fit_head(measures, words, got["quality"].to_numpy(float), 4.0), fit_head(measures, words, got["toxic"].to_numpy(float), -4.0)
 
 
 def evidence(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
