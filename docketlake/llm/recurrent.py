@@ -18,8 +18,8 @@ from .common import partitions
 from .wordblocks import Block, blocks
 
 HOT_KEYS = 65_536
-HOT_BLOCK = 16 << 20
-HOT_IN_BLOCK = 6
+HOT_BLOCK = 4 << 20
+HOT_IN_BLOCK = 4
 
 
 def hot_keys(docs: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], lower: bool) -> np.ndarray:
