@@ -34,6 +34,7 @@ from .wordblocks import Block, blocks, mix, shingle_hashes
 K = 5
 PERCENT = 80
 CHUNK = 256
+PACK = 1 << 31
 
 
 def shingle_sets(block: Block, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +211,9 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     named = every.where("doc_id is not null and n > 0")
     classes = written(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    entries = reps.select(F.explode("prefix").alias("key"), "doc_id", F.col("doc_id").alias("tag"), "n")
+    # size and place of a shingle in the prefix, packed into one number
+    entries = reps.select(F.posexplode("prefix").alias("i", "key"), "doc_id", F.col("doc_id").alias("tag"), "n")
+    entries = entries.select("key", "doc_id", "tag", (F.col("n") * PACK + F.col("i")).alias("n"))
     listed = docs.sparkSession.createDataFrame([(int(x),) for x in hot.view(np.int64)], "key long")
     few = F.broadcast(listed)  # at most HOT_KEYS rows
     common = written(entries.join(few, "key"), "common")
@@ -228,7 +231,10 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
     open_ = written(placed.join(split, "key", "left_semi"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    nx, ny = F.expr(f"x.n div {PACK}"), F.expr(f"y.n div {PACK}")
+    # after their first common shingle two sets share at most the rest of either
+    rest = F.least(nx - F.col("x.n") % PACK, ny - F.col("y.n") % PACK)
+    fits = (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fits)
     cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     late = written(bounded_pairs(cross, sides, percent), "late")
