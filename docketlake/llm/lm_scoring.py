@@ -37,7 +37,7 @@ FEATURE_BITS = 14
 ROUNDS = 3
 BATCH = 16_384
 RATE = 0.3
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 4 << 20
 END = np.uint64(0x1D872B41C5A3F00D)
 START = np.uint64(0x7F4A7C159E3779B9)
 ROWS_PER_PIECE = 512
