@@ -21,11 +21,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .wordblocks import Block, blocks
+from .wordblocks import Block, blocks, text_array
 
 SAMPLE = 8000
 BUCKET_BITS = 18
@@ -33,6 +34,10 @@ WORDS_KEPT = 400
 LEAST_Z = 6.0
 BINS = 12
 MARKS = "#$%&*|!.,@=/<>"
+_KIND = np.full(256, len(MARKS) + 4)
+for _i, _mark in enumerate(MARKS):
+    _KIND[ord(_mark)] = _i
+_KIND[65:91], _KIND[48:58], _KIND[128:], _KIND[10] = len(MARKS) + np.arange(4)
 
 
 def style(block: Block, at: np.ndarray) -> np.ndarray:
@@ -42,24 +47,25 @@ def style(block: Block, at: np.ndarray) -> np.ndarray:
     words = np.maximum(block.counts(), 1).astype(float)
     data, owner = block.data, block.word_rows()
 
-    def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return (total[at[1:]] - total[at[:-1]]) / sizes
-
+    kinds = len(MARKS) + 5  # the last kind is any other byte
+    place = np.repeat(np.arange(rows) * kinds, np.diff(at)) + _KIND[data]
+    shares = np.bincount(place, minlength=rows * kinds).reshape(rows, kinds) / sizes[:, None]
     by_row = lambda x: np.bincount(owner, weights=x, minlength=rows) / words
-    cols = [share(data == ord(c)) for c in MARKS]
-    cols += [share((data >= 65) & (data <= 90)), share((data >= 48) & (data <= 57)), share(data >= 128), share(data == 10)]
+    cols = list(shares[:, :-1].T)
     lengths = block.ends - block.starts
     tail = data[block.ends - 1] if len(data) else np.zeros(0, np.uint8)
     symbol = ~(((tail >= 97) & (tail <= 122)) | ((tail >= 65) & (tail <= 90)) | (tail >= 128) | ((tail >= 48) & (tail <= 57)))
-    key = np.unique(np.stack([owner.astype(np.uint64), block.hashes]), axis=1)[0] if len(owner) else owner
-    distinct = np.bincount(key.astype(np.int64), minlength=rows) / words
+    low = np.uint64(64 - max(rows - 1, 1).bit_length())
+    key = np.sort((owner.astype(np.uint64) << low) | (block.hashes & ((np.uint64(1) << low) - np.uint64(1))))
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    distinct = np.bincount((key[first] >> low).astype(np.int64), minlength=rows) / words
     cols += [by_row(lengths), by_row(symbol), by_row(lengths == 1), distinct, np.log1p(words)]
     return np.stack(cols, axis=1)
 
 
 def _row_bytes(block: Block, column: pa.Array) -> np.ndarray:
-    lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in column.slice(block.first_row, block.rows)], np.int64)
+    lengths = pyarrow.compute.binary_length(text_array(column.slice(block.first_row, block.rows))).to_numpy()
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
