@@ -122,7 +122,7 @@ def fit_head(measures: np.ndarray, words: list[np.ndarray], label: np.ndarray, n
         x[i, starts[-1] + c[c >= 0]] = 1
     weights, bias, rate = np.zeros(x.shape[1], np.float32), float(np.log(positive / (n - positive))), np.full(x.shape[1], 1e-6, np.float32)
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-(x @ weights + bias))) - label
+        error = (1 / (1 + np.exp(-(x @ weights + bias))) - label).astype(np.float32)  # keeps the products in single precision
         gradient = (x.T @ error + 1.0 * weights) / n
         rate += gradient**2
         weights -= 0.2 * gradient / np.sqrt(rate)
