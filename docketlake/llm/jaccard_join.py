@@ -2,8 +2,8 @@
 
 A document's set holds its distinct 5-word shingles. Equal sets are one class, represented by its
 smallest doc_id. Two sets with similarity t share a shingle among the first ``n - ceil(t n) + 1`` of
-each in any common order; the order puts frequent shingles last. Classes that share such a prefix
-shingle are candidates. To avoid all pairs inside a group of near copies, the first pass tries every
+each in any common order; the order puts frequent shingles last, by counters over all documents and
+by an exact list of the most frequent. Classes that share such a prefix shingle are candidates. To avoid all pairs inside a group of near copies, the first pass tries every
 class only against the smallest and largest class of each of its shingles; the second pass tries the
 pairs that still lie in different components, so no link between components is lost.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, partitions, table, written
-from .recurrent import hot_keys, recurring
+from .recurrent import class_of, frequency_classes, hot_keys, recurring
 from .wordblocks import Block, blocks, mix, shingle_hashes
 
 K = 5
@@ -84,12 +84,12 @@ def overlap_bound(a: bytes, n: int, b: bytes, m: int) -> int:
     return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
-def profiles(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
+def profiles(docs: DataFrame, hot: np.ndarray, classes: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, h1, h2, bits, prefix) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot, classes))  # 0.5 MB and 4 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value  # rarest first
+        hot, classes = shared.value  # rarest first
         by_key = np.argsort(hot)
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
@@ -99,11 +99,11 @@ def profiles(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCEN
                 sums = np.zeros((2, block.rows), np.uint64)
                 for j, salt in enumerate((0, 0x5A17)):
                     np.add.at(sums[j], row, mix(key ^ np.uint64(salt)))
-                rank = np.zeros(len(key), np.int64)
+                rank = class_of(classes, key)  # at most 64
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, key, sorter=by_key), len(hot) - 1)
                     same = hot[by_key[at]] == key
-                    rank[same] = by_key[at][same] + 1
+                    rank[same] = by_key[at][same] + 65
                 order = np.lexsort((key, rank, row))
                 take = n - -(-percent * n // 100) + 1
                 take[n == 0] = 0
@@ -206,8 +206,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = K, percent: int = PERCE
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    hot = hot_keys(docs, lambda block: shingle_sets(block, k), lower=True)
-    every = written(profiles(docs, hot, k, percent), "profiles")
+    keys = lambda block: shingle_sets(block, k)
+    hot, frequent = hot_keys(docs, keys, lower=True), frequency_classes(docs, keys, lower=True)
+    every = written(profiles(docs, hot, frequent, k, percent), "profiles")
     named = every.where("doc_id is not null and n > 0")
     classes = written(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -7,6 +7,7 @@ dealt by key, sorted, and read off group by group.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from .wordblocks import Block, blocks
 HOT_KEYS = 65_536
 HOT_BLOCK = 4 << 20
 HOT_IN_BLOCK = 4
+COUNTER_BITS = 22
+SLICE = 4096
 
 
 def hot_keys(docs: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], lower: bool) -> np.ndarray:
@@ -42,6 +45,50 @@ def hot_keys(docs: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarr
     return keys_[np.lexsort((keys_, n))]
 
 
+def frequency_classes(docs: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], lower: bool) -> np.ndarray:
+    """For each of 2**COUNTER_BITS counters, the bit length of the number of (row, key) pairs it holds.
+
+    A key's counter is given by its upper bits (see ``class_of``). Counted over all documents; a
+    counter may hold several keys, so a class is an upper bound. Each task sends its counters in
+    slices; a slice is summed as its rows stream by, so memory does not grow with the tasks.
+    """
+    cells = 1 << COUNTER_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for block in blocks(batch.column("text"), lower, HOT_BLOCK):
+                total += np.bincount(_counter(keys(block)[1]), minlength=cells)
+        table = total.reshape(-1, SLICE)
+        at = np.flatnonzero(table.any(axis=1))
+        packed = [zlib.compress(table[i].tobytes(), 1) for i in at.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed, pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, body in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                now = np.frombuffer(zlib.decompress(body), np.int64)
+                sums[i] = sums[i] + now if i in sums else now
+        lengths = [np.frexp(x.astype(np.float64))[1].astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(lengths, pa.binary())], ["slice", "counts"])
+
+    parts = docs.select("text").mapInArrow(count, "slice long, counts binary")
+    summed = parts.repartition(partitions(docs.sparkSession), "slice").mapInArrow(add, "slice long, counts binary").toArrow()
+    out = np.zeros((cells // SLICE, SLICE), np.uint8)
+    for i, body in zip(summed.column("slice").to_pylist(), summed.column("counts").to_pylist()):
+        out[i] = np.frombuffer(body, np.uint8)
+    return out.reshape(-1)
+
+
+def _counter(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def class_of(classes: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return classes[_counter(key)].astype(np.int64)
+
+
 def recurring(entries: DataFrame) -> DataFrame:
     """Rows of ``entries`` (key, doc_id, tag, n) whose key occurs with two tags or more.
 
