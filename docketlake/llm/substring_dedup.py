@@ -126,13 +126,16 @@ def anchor_entries(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> DataFrame:
-    """(shard_key, body, doc_id, start) of rows (doc_id, text, keys): stretches around recurring anchors."""
+    """(shard_key, body, doc_id, start) of rows (doc_id, text, keys): stretches around recurring anchors.
+
+    A body holds the words as text, one space between them, which packs far better than hashes.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for batch in batches:
-            for block in blocks(batch.column("text"), lower=False):
+            for block in blocks(batch.column("text"), lower=False, tidy=True):
                 row, start, at, key = _block_anchors(block, window, anchor)
                 part = slice(block.first_row, block.first_row + block.rows)
                 listed = [np.asarray(x, np.int64).view(np.uint64) for x in batch.column("keys")[part].to_numpy(zero_copy_only=False)]
@@ -151,7 +154,8 @@ def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> Dat
                 doc = batch.column("doc_id").slice(block.first_row, block.rows).to_numpy()
                 words = block.hashes
                 lo, hi = start[head], start[last] + window if len(at) else start[head]
-                body = [words[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist())]
+                data = block.data.tobytes()
+                body = [data[a:b] for a, b in zip(block.starts[lo].tolist(), block.ends[hi - 1].tolist())]
                 route = key[head].copy()
                 single = is_hot[head]
                 if single.any():
@@ -164,18 +168,22 @@ def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> Dat
 
 
 def shard_owners(distinct: DataFrame, shards: int, window: int) -> DataFrame:
-    """(shard_key, fragment, owners): per window of a fragment the smallest doc_id that has it."""
+    """(shard_key, fragment, owners): per window of a fragment the smallest doc_id that has it.
+
+    A fragment is known by the hash of its anchor and the hash of its bytes.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bodies = [np.frombuffer(b, np.uint64) for b in pdf["body"]]
+        texts = pa.array(list(pdf["body"]), pa.large_binary()).view(pa.large_string())
+        bodies = [w for block in blocks(texts, lower=False) for w in np.split(block.hashes, block.row_words[1:-1])]
         index = FMIndex(bodies, pdf["owner"].to_numpy(), window)
         _, owner = index.matching(bodies)
         cut = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
         owners = [owner[a : b - window + 1] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return pd.DataFrame({"fragment": pdf["fragment"], "owners": owners})
+        return pd.DataFrame({"shard_key": pdf["shard_key"], "fragment": pdf["fragment"], "owners": owners})
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, "fragment string, owners array<long>")
+    return dealt.groupBy("shard").applyInPandas(run, "shard_key long, fragment long, owners array<long>")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -194,13 +202,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     # a document without recurring anchors of its own may still have hot ones
     wanted = singles.where(~F.col("copy")).join(lists, "doc_id", "left").select("doc_id", F.coalesce("keys", F.array().cast("array<long>")).alias("keys"))
     rows = known.join(wanted, "doc_id")
-    made = fragments(rows, hot, window, anchor).withColumn("fragment", F.sha1("body"))
+    made = fragments(rows, hot, window, anchor).withColumn("fragment", F.xxhash64("body"))
     made = written(made, "fragments")
-    distinct = made.groupBy("shard_key", "fragment").agg(F.min("doc_id").alias("owner"), F.first("body").alias("body"), F.max("doc_id").alias("top"))
+    distinct = made.groupBy("shard_key", "fragment").agg(F.min("doc_id").alias("owner"), F.first("body").alias("body"))
     distinct = written(distinct, "distinct")
     shards = max(64, -(-distinct.count() // SHARD_FRAGMENTS))
     owners = written(shard_owners(distinct, shards, window), "owners")
-    hits = made.select("fragment", "doc_id", "start").join(owners, "fragment")
+    hits = made.select("shard_key", "fragment", "doc_id", "start").join(owners, ["shard_key", "fragment"])
     starts = F.expr("transform(filter(sequence(0, size(owners) - 1), i -> owners[i] < doc_id), i -> start + i)")
     cuts = hits.select("doc_id", F.explode(starts).alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
     cuts = written(cuts, "cuts")

@@ -80,9 +80,14 @@ def text_array(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string())
 
 
-def blocks(column: pa.Array, lower: bool, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of a text column, in row order; every row is in exactly one block."""
+def blocks(column: pa.Array, lower: bool, limit: int = BLOCK_BYTES, tidy: bool = False) -> Iterator[Block]:
+    """Blocks of a text column, in row order; every row is in exactly one block.
+
+    With ``tidy`` the block's bytes have one space for each run of blanks.
+    """
     for at, data, offsets in slices(column, limit):
+        if tidy:
+            data, offsets = one_space(data, offsets)
         yield hash_block(data, offsets, at, lower)
 
 
