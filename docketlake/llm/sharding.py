@@ -1,9 +1,13 @@
 """Sharding of indivisible groups by Karmarkar-Karp differencing.
 
 Groups (equal texts) start as partial partitions with one filled shard. Differencing repeatedly
-takes the two partial partitions with the largest spread and adds them in opposite order. The
-same rule runs at every level: inside a task over a chunk of groups, then over the chunks' partial
-partitions, ``fan_in`` at a time, until one partition is left; no level sees more than its chunk.
+takes the two partial partitions with the largest spread and adds them in opposite order. Up to
+``CHUNK`` groups are differenced in one task. More are split: groups above 1/``HEAVY`` of a chunk's
+mean shard load are differenced first, among themselves (by the same rule if they are too many for
+a task). Their loads, which no small group has evened out yet, enter every chunk of the other groups
+as one more partial partition, each chunk taking the share of its bytes, so the small groups of all
+chunks fill up the shards beside large ones. The last chunk is differenced against the exact loads
+of everything else and evens out what the others left. No task sees more than a chunk.
 
 Defined cases: a null text has no bytes (size 8) and falls into the group of empty texts; a null
 doc_id is placed like any other; an empty table gives an empty result; repeated rows get slots of
@@ -24,7 +28,7 @@ from .common import spread_rank, table, text_or_empty, written
 
 SHARDS = 24
 CHUNK = 20_000
-FAN_IN = 256
+HEAVY = 16
 
 
 def difference(loads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,45 +67,55 @@ def difference(loads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, final
 
 
-def _combine(shards: int):
+def _fill(leaf: np.ndarray, small: int | None, key: str, shards: int):
+    """Differences a chunk's groups together with ``leaf``, or with the chunk's share of it by bytes.
+
+    The leaf's shards keep their numbers; which of equal ones is first differs from chunk to chunk.
+    """
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        place, final = difference(np.stack(pdf["loads"].to_numpy()).astype(np.int64))
-        up = pdf["chunk"].iloc[0]
-        kept = pd.DataFrame({"part": pdf["part"], "up": up, "place": list(place.astype(np.int32)), "loads": None})
-        return pd.concat([kept, pd.DataFrame({"part": [None], "up": [up], "place": [None], "loads": [final]})])
+        pdf = pdf.sort_values(["size", key], ascending=False)
+        share = 1.0 if small is None else float(pdf["size"].sum()) / small
+        names = np.random.default_rng(int(pdf["chunk"].iloc[0])).permutation(shards)
+        loads = np.zeros((len(pdf) + 1, shards), np.int64)
+        loads[0] = leaf[names] if small is None else np.floor(leaf[names] * share)
+        loads[1:, 0] = pdf["size"]
+        place, _ = difference(loads)
+        back = np.empty(shards, np.int64)
+        back[place[0]] = names
+        return pd.DataFrame({key: pdf[key], "size": pdf["size"], "shard": back[place[1:, 0]].astype(np.int32)})
 
     return run
 
 
-def assign_groups(sizes: DataFrame, key: str, shards: int = SHARDS, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
-    """(key, shard) for a table of distinct keys with ``size``."""
-    n = sizes.count()
-    chunks = max(1, -(-n // chunk))
-    leaves = sizes.select(key, "size", F.pmod(F.xxhash64(key), F.lit(chunks)).alias("chunk"))
+def _loads(placed: DataFrame, shards: int) -> np.ndarray:
+    out = np.zeros(shards, np.int64)
+    for row in placed.groupBy("shard").agg(F.sum("size").alias("size")).collect():  # one row per shard
+        out[row.shard] = row["size"]
+    return out
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", key], ascending=False)
-        loads = np.zeros((len(pdf), shards), np.int64)
-        loads[:, 0] = pdf["size"]
-        place, final = difference(loads)
-        kept = pd.DataFrame({key: pdf[key], "part": pdf["chunk"], "local": place[:, 0].astype(np.int32), "loads": None})
-        return pd.concat([kept, pd.DataFrame({key: [None], "part": pdf["chunk"].iloc[:1], "local": [None], "loads": [final]})])
-
-    kind = dict(sizes.dtypes)[key]
-    made = leaves.groupBy("chunk").applyInPandas(one, f"{key} {kind}, part long, local int, loads array<long>")
-    made = written(made, "chunks")
-    placed = made.where("loads is null").select(key, "part", F.col("local").alias("shard"))
-    level = made.where("loads is not null").select("part", "loads")
-    while chunks > 1:
-        chunks = -(-chunks // fan_in)
-        ups = level.withColumn("chunk", F.pmod("part", F.lit(chunks)))
-        merged = ups.groupBy("chunk").applyInPandas(_combine(shards), "part long, up long, place array<int>, loads array<long>")
-        merged = written(merged, "level")
-        maps = merged.where("loads is null").select("part", "up", "place")
-        placed = placed.join(maps, "part").select(key, F.col("up").alias("part"), F.expr("place[shard]").alias("shard"))
-        level = merged.where("loads is not null").select(F.col("up").alias("part"), "loads")
-    return placed.select(key, F.col("shard").cast("int").alias("shard"))
+
+def assign_groups(sizes: DataFrame, key: str, shards: int = SHARDS, chunk: int = CHUNK) -> DataFrame:
+    """(key, shard) for a table of distinct keys with ``size``."""
+    return _assign(sizes.select(key, F.col("size").cast("long").alias("size")), key, shards, chunk).select(key, "shard")
+
+
+def _assign(sizes: DataFrame, key: str, shards: int, chunk: int) -> DataFrame:
+    all_ = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+    chunks = -(-all_.n // max(chunk, 2 * shards * HEAVY))  # so that heavy groups are fewer than half
+    made = f"{key} {dict(sizes.dtypes)[key]}, size long, shard int"
+    dealt = sizes.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(max(1, chunks))))
+    if chunks <= 1:
+        return dealt.groupBy("chunk").applyInPandas(_fill(np.zeros(shards, np.int64), None, key, shards), made)
+    limit = all_.bytes // (chunks * shards * HEAVY)
+    heavy = written(_assign(written(sizes.where(F.col("size") > limit), "heavy"), key, shards, chunk), "heavy_placed")
+    loads = _loads(heavy, shards)
+    dealt = dealt.where(F.col("size") <= limit)
+    fill = _fill(loads, all_.bytes - int(loads.sum()), key, shards)
+    most = written(dealt.where("chunk > 0").groupBy("chunk").applyInPandas(fill, made), "chunks")
+    loads = loads + _loads(most, shards)
+    last = dealt.where("chunk = 0").groupBy("chunk").applyInPandas(_fill(loads, None, key, shards), made)
+    return heavy.unionAll(most).unionAll(last)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -90,6 +90,18 @@ def test_differencing_is_balanced():
     assert np.bincount(place[:, 0], weights=loads[:, 0], minlength=7).tolist() == final.tolist() and final.max() - final.min() <= 2
 
 
+@pytest.mark.parametrize("large", [[0.03], [0.03, 0.02, 0.02, 0.011], [0.3]])
+def test_sharding_fills_up_beside_large_groups(spark, large):
+    sizes = np.random.default_rng(7).integers(100, 5000, 5000).tolist()
+    rest = sum(sizes)
+    sizes += [int(x * rest / (1 - sum(large))) for x in large]
+    rows = spark.createDataFrame([(f"k{i}", n) for i, n in enumerate(sizes)], "key string, size long")
+    got = {r.key: r.shard for r in sharding.assign_groups(rows, "key", 24, chunk=1000).collect()}
+    assert sorted(got) == sorted(f"k{i}" for i in range(len(sizes)))
+    loads = np.bincount([got[f"k{i}"] for i in range(len(sizes))], weights=sizes, minlength=24)
+    assert loads.max() <= 1.002 * max(loads.mean(), max(sizes))
+
+
 def test_language_model(docs, texts, none):
     got = {r.doc_id: r for r in lm_scoring.score_documents(docs, 2).collect()}
     assert got[0].n_tokens == 1 and got[5].n_tokens == 6 and all(r.score <= 0 and r.n_known <= r.n_tokens for r in got.values())
