@@ -4,7 +4,8 @@ Benchmark items are cut into overlapping segments. A segment with at most ``e``
 least ``length - q + 1 - q * e`` character q-grams with its copy, all on diagonals within ``e`` of
 each other; q-gram hits are therefore counted per document, segment and overlapping diagonal band,
 and the bands that reach the bound are verified by banded alignment. A document is contaminated by
-an item when verified segments cover at least ``coverage`` of the item.
+an item when verified segments cover at least ``coverage`` of the item, or ``RUN`` normalised
+characters of it in a row (two full segments), whatever their share of the item.
 
 Both sides are compared lower-cased, with every run of ASCII characters other than letters
 and digits as one space. The benchmark is read to the driver in blocks of at most
@@ -33,6 +34,7 @@ Q = 10
 SEGMENT = 80
 ERROR = 0.08
 COVERAGE = 0.5
+RUN = SEGMENT + SEGMENT // 2
 BLOCK_BYTES = 8 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -139,6 +141,12 @@ def align(pieces: np.ndarray, sizes: np.ndarray, regions: np.ndarray) -> np.ndar
     return out
 
 
+def _longest(mask: np.ndarray) -> int:
+    """Length of the longest run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+    return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
 def find(data: np.ndarray, offsets: np.ndarray, index: Index, q: int = Q, coverage: float = COVERAGE) -> dict[int, list[tuple[int, float]]]:
     """Per row number: (item number, covered share) of the items that contaminate it."""
     if not len(index.grams):
@@ -182,7 +190,7 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index, q: int = Q, covera
             mask = cover.setdefault((a, item), np.zeros(index.lengths[item], bool))
             mask[index.seg_from[b] : index.seg_from[b] + index.seg_size[b]] = True
     for (a, item), mask in cover.items():
-        if mask.mean() >= coverage:
+        if mask.mean() >= coverage or _longest(mask) >= RUN:
             found.setdefault(a, []).append((item, float(mask.mean())))
     return found
 

@@ -125,6 +125,15 @@ def test_decontamination(spark, docs, none):
     assert decontamination.drop_contaminated(docs, bench).columns == docs.columns and decontamination.contamination(none, bench).count() == 0
 
 
+def test_a_long_quotation_contaminates_whatever_its_share(spark):
+    r = random.Random(11)
+    item = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(450))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = [(1, "before " + item[300:1300] + " after"), (2, "one " + item[805:985] + " two"), (3, "one " + item[805:895] + " two"), (4, "x" * 500)]
+    got = {r.doc_id: r.item_ids for r in decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [7], 2: [7], 3: [], 4: []}
+
+
 def test_jaccard_join(docs, texts, none):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
