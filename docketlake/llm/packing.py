@@ -1,8 +1,8 @@
 """Packing into optimal length buckets.
 
-The exact histogram of document lengths (whole corpus) is folded into at most ``BINS`` bins, exact
-up to a length of ``EXACT`` and of 1/256 relative width above; a dynamic program over it chooses
-the bucket boundaries with the least padding. Inside a bucket, documents fill batches of at most
+A dynamic program over the exact histogram of document lengths (whole corpus) chooses the bucket
+boundaries with the least padding; the histogram has at most sqrt(2 x words of the corpus) rows, as
+different lengths add up to no more than all words. Inside a bucket, documents fill batches of at most
 ``budget`` tokens, each padded to the bucket's length.
 
 Defined cases: a null or empty text has length 0 and takes a place of length 0 in the first bucket
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spread_rank, table, written
@@ -24,7 +24,6 @@ from .wordblocks import word_counts
 
 BUCKETS = 16
 BUDGET = 16_384
-EXACT = 512
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -38,31 +37,42 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long")
 
 
-def length_bin(n: Column) -> Column:
-    """Smallest bin top not below n: n itself up to EXACT, else rounded up to 8 significant bits."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 8)
-    return F.when(n <= EXACT, F.greatest(n, F.lit(1))).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Bucket tops with the least total padding, by dynamic programming over the histogram."""
+    """Bucket tops with the least total padding, by dynamic programming over the histogram.
+
+    A bucket of lengths i+1..j costs a line in its top: slope -total[i], which falls with i. Tops
+    grow with j, so each round walks once along the lower hull of the lines.
+    """
     order = np.argsort(tops)
-    tops, counts = tops[order].astype(float), counts[order].astype(float)
+    tops, counts = tops[order].tolist(), counts[order].tolist()
     m = len(tops)
     if not m:
         return []
-    total = np.concatenate([[0], np.cumsum(counts)])
-    weight = np.concatenate([[0], np.cumsum(counts * tops)])
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
+    total, weight = [0], [0]
+    for top, n in zip(tops, counts):
+        total.append(total[-1] + n)
+        weight.append(weight[-1] + n * top)
+    best: list[int | None] = [0, *[None] * m]
     cuts = []
     for _ in range(min(buckets, m)):
-        new, cut = best.copy(), np.arange(m + 1)
+        new, cut = list(best), list(range(m + 1))
+        hull: list[tuple[int, int, int]] = []  # slope, value at 0, i
+        at = 0
         for j in range(1, m + 1):
-            cost = best[:j] + tops[j - 1] * (total[j] - total[:j]) - (weight[j] - weight[:j])
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], cut[j] = cost[i], i
+            if best[j - 1] is not None:
+                slope, base = -total[j - 1], best[j - 1] + weight[j - 1]
+                while len(hull) - at >= 2:
+                    (s1, b1, _), (s2, b2, _) = hull[-2:]
+                    if (base - b1) * (s1 - s2) > (b2 - b1) * (s1 - slope):
+                        break
+                    hull.pop()
+                hull.append((slope, base, j - 1))
+            top = tops[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * top + hull[at + 1][1] < hull[at][0] * top + hull[at][1]:
+                at += 1
+            cost = hull[at][0] * top + hull[at][1] + top * total[j] - weight[j]
+            if new[j] is None or cost < new[j]:
+                new[j], cut[j] = cost, hull[at][2]
         best = new
         cuts.append(cut)
     ends, j = [], m
@@ -78,8 +88,8 @@ def boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
 def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_tokens, bucket, padded_tokens, batch, place) of every row."""
     rows = written(lengths(docs), "lengths")
-    # one row per bin: below 512 + 256 a doubling, whatever the corpus
-    histogram = rows.groupBy(length_bin(F.col("n_tokens")).alias("top")).agg(F.count(F.lit(1)).alias("n")).collect()
+    # one row per length: at most sqrt(2 x words of the corpus)
+    histogram = rows.groupBy(F.greatest("n_tokens", F.lit(1)).alias("top")).agg(F.count(F.lit(1)).alias("n")).collect()
     ends = boundaries(np.array([r.top for r in histogram]), np.array([r.n for r in histogram]), buckets)
     tops = F.array(*[F.lit(e).cast("long") for e in ends])
     rows = rows.withColumn("bucket", F.size(F.filter(tops, lambda top: top < F.col("n_tokens"))))

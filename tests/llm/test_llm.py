@@ -207,6 +207,30 @@ def test_boundaries_are_optimal():
     assert cost(got) == min(cost(c) for c in itertools.combinations(tops, 3) if 33 in c)
 
 
+def test_packing_pads_long_documents_to_real_lengths(spark):
+    import itertools
+
+    lengths = [5460, 5459, 5457, 600, 601, 603, 1999, 2001, 2003, 7]
+    rows = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    got = packing.pack(rows, buckets=4).collect()
+    best = min(sum(min(e for e in c if e >= n) for n in lengths) for c in itertools.combinations(sorted(lengths), 4) if 5460 in c)
+    assert {r.padded_tokens for r in got} <= set(lengths) and sum(r.padded_tokens for r in got) == best
+    assert len({r.batch for r in got if r.n_tokens > 5000}) == 1
+
+
+def test_boundaries_agree_with_the_quadratic_program():
+    r = np.random.default_rng(8)
+    for _ in range(40):
+        m, k = int(r.integers(1, 60)), int(r.integers(1, 9))
+        tops, counts = np.sort(r.choice(np.arange(1, 3000), m, replace=False)), r.integers(1, 50, m)
+        least = np.full(m + 1, np.inf)
+        least[0] = 0
+        for _ in range(k):
+            least = np.array([0, *[min(least[j], min(least[i] + (tops[j - 1] - tops[i:j]) @ counts[i:j] for i in range(j))) for j in range(1, m + 1)]])
+        ends = np.array(packing.boundaries(tops, counts, k))
+        assert len(ends) <= k and (ends[np.searchsorted(ends, tops)] - tops) @ counts == least[m]
+
+
 def test_surrogates(spark, docs, none):
     for n in (2, 3, 10, 97):
         moved = [surrogates._shift(x, n, b"key", b"t") for x in range(n)]
