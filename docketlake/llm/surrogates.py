@@ -5,22 +5,31 @@ read as one mixed-radix number; a keyed shift inside a keyed Feistel permutation
 range gives another value of the same form. The map is one-to-one for each form and never the
 identity where a form has two values or more, so distinct entities stay distinct and the same
 entity has the same surrogate everywhere. A name keeps its script, its capitals, its shape of
-vowels and consonants and its last letter, which carries gender in many names; a card number keeps
-its check-digit state; separators, country codes and top-level domains stay.
+vowels and consonants and its last letter, which carries gender in many names (in the alphabets
+listed; letters of other scripts, the last one too, become letters of the same script nearby); a
+card number keeps its check-digit state; separators, country codes and top-level domains stay.
+
+A name is found after a title. Every other mention of it in the same document, whole or by one of
+its words, is replaced too, and each word has one surrogate. Names without any title in their
+document are not found.
 
 The distinct entities of the corpus are checked for collisions before any text is rewritten; a
 collision changes the tweak and is checked again.
 
 Defined cases: null text stays null, empty stays empty, both have no entities; repeated rows get
-equal results; overlapping candidates go to the earlier kind in ``KINDS``; extra columns are ignored.
+equal results; overlapping candidates go to the earlier kind in ``KINDS``; an entity without a symbol
+that can change is left and not counted; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +53,8 @@ KINDS = {
     "name": rf"\b{_TITLES}\.? (?P<who>[^\W\d_a-zà-ÿа-я][^\W\d_]+(?:[ -][^\W\d_a-zà-ÿа-я][^\W\d_]+)?)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
-_TITLE_BYTES = re.compile(rf"\b{_TITLES}\.? ".encode())
+#: without a word boundary: rows stand side by side in a block, and bytes have none before Cyrillic
+_TITLE_BYTES = re.compile(rf"{_TITLES}\.? ".encode())
 REACH = 80
 
 # alphabets of the free symbols, in natural order
@@ -61,6 +71,19 @@ _ALPHABET = {c: a for a in _CLASSES for c in a} | {c.upper(): a.upper() for a in
 _DIGITS, _HEX, _HEX_UP = "0123456789", "0123456789abcdef", "0123456789ABCDEF"
 
 
+@lru_cache(maxsize=65_536)
+def _alphabet(c: str) -> str | None:
+    """The letters that ``c`` may become: its class, or else its script's letters in the same 64 codes."""
+    if c in _ALPHABET or not c.isalpha():
+        return _ALPHABET.get(c)
+
+    def kind(x: str) -> tuple[str, str]:
+        return unicodedata.category(x), unicodedata.name(x, "").split(" ")[0].split("-")[0]
+
+    first = ord(c) & ~63
+    return "".join(x for x in map(chr, range(first, first + 64)) if kind(x) == kind(c) and x not in _ALPHABET)
+
+
 def _round(key: bytes, tweak: bytes, i: int, value: int, modulus: int) -> int:
     size = (modulus.bit_length() + 7) // 8 + 8
     seed = tweak + bytes([i]) + value.to_bytes((value.bit_length() + 7) // 8 or 1, "big")
@@ -145,7 +168,7 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
         return "@".join(_word(x, key, tweak + p, False) for x, p in ((local, b"l"), (site, b"d"))) + dot + top
     if kind == "iban":
         keep = 4
-        marks = [None] * keep + [_DIGITS if c.isdigit() else _ALPHABET.get(c) for c in value[keep:]]
+        marks = [None] * keep + [_DIGITS if c.isdigit() else _alphabet(c) for c in value[keep:]]
         return _recode(value, marks, key, tweak)
     return " ".join(_word(part, key, tweak, True) for part in value.split(" "))
 
@@ -153,8 +176,8 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
 def _word(text: str, key: bytes, tweak: bytes, keep_last: bool) -> str:
     """Letters by class and digits; case is put back, so spellings that differ in case agree."""
     low = text.lower() if len(text.lower()) == len(text) else text
-    marks: list[str | None] = [_DIGITS if c in _DIGITS else _ALPHABET.get(c) for c in low]
-    if keep_last and len(marks) > 2:
+    marks: list[str | None] = [_DIGITS if c in _DIGITS else _alphabet(c) for c in low]
+    if keep_last and len(marks) > 2 and low[-1] in _ALPHABET:
         marks[-1] = None
     new = _recode(low, marks, key, tweak)
     return "".join(n.upper() if o != lo and len(n.upper()) == 1 else n for o, lo, n in zip(text, low, new))
@@ -168,6 +191,20 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
         yield m.start(group), m.end(group), kind, m.group(group)
 
 
+def mentions(text: str, people: set[str], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, value) in bytes of the names given, or words of them, outside the stretches ``taken``."""
+    spellings = {x for name in people for x in (name, *name.split(" "))}
+    spellings |= {x.upper() for x in spellings if len(x.upper()) == len(x)}
+    finder = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(spellings, key=lambda x: (-len(x), x)))) + r")(?!\w)")
+    starts, ends = [a for a, _ in taken], [b for _, b in taken]
+    seen = at = 0
+    for m in finder.finditer(text):
+        left = at + len(text[seen : m.start()].encode())
+        seen, at = m.end(), left + len(m[0].encode())
+        if bisect.bisect_right(ends, left) == bisect.bisect_left(starts, at):
+            yield left, at, m[0]
+
+
 def canonical(kind: str, value: str) -> str:
     """Spellings of one entity."""
     if kind in ("card", "ssn", "phone"):
@@ -214,7 +251,8 @@ def found_entities(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = sorted({(k, canonical(k, v)) for *_, t in _stretches(batch.column("text")) for _, _, k, v in entities(t)})
+            got = {(k, canonical(k, v)) for *_, t in _stretches(batch.column("text")) for _, _, k, v in entities(t)}
+            got = sorted(got | {(k, word) for k, v in got if k == "name" for word in v.split(" ")})
             yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.string()) for j in range(2)], ["kind", "value"])
 
     return docs.select("text").mapInArrow(run, "kind string, value string").distinct()
@@ -247,20 +285,28 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, attempts: int = 4) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: dict[int, list[tuple[int, int, bytes]]] = {}
-            names: dict[int, list[str]] = {}
+            parts: dict[int, list[tuple[int, int, str, str]]] = {}
+            people: dict[int, set[str]] = {}
             for row, start, _, text in _stretches(batch.column("text")):
                 for a, b, kind, value in entities(text):
                     left, right = start + len(text[:a].encode()), start + len(text[:b].encode())
-                    parts.setdefault(row, []).append((left, right, surrogate(kind, value, key, attempt).encode()))
-                    names.setdefault(row, []).append(kind)
+                    parts.setdefault(row, []).append((left, right, kind, value))
+                    if kind == "name":
+                        people.setdefault(row, set()).add(value)
             changed: dict[int, tuple[str, list[str]]] = {}
             for row, cuts in parts.items():
                 body, at, out = batch.column("text")[row].as_buffer().to_pybytes(), 0, []
-                for a, b, new in cuts:
-                    out += [body[at:a], new]
+                if row in people:
+                    taken = [(a, b) for a, b, *_ in cuts]
+                    cuts = sorted([*cuts, *((a, b, "name", v) for a, b, v in mentions(body.decode(), people[row], taken))])
+                kinds = []
+                for a, b, kind, value in cuts:
+                    new = surrogate(kind, value, key, attempt)
+                    if new != value:
+                        kinds.append(kind)
+                    out += [body[at:a], new.encode()]
                     at = b
-                changed[row] = (b"".join([*out, body[at:]]).decode("utf-8", "replace"), names[row])
+                changed[row] = (b"".join([*out, body[at:]]).decode("utf-8", "replace"), kinds)
             n = range(batch.num_rows)
             mask = pa.array([i in changed for i in n], pa.bool_())
             new = pa.array([changed[i][0] for i in sorted(changed)], pa.string())

@@ -246,6 +246,29 @@ def test_surrogates(spark, docs, none):
     assert surrogates.replace_entities(none).count() == 0
 
 
+def test_surrogates_of_all_mentions_of_a_name(spark):
+    text = "Schmidt wrote: é Dr. Maria Schmidt of Schmidtburg came. Then Maria Schmidt said so, SCHMIDT agreed, and Maria left; Schmidt@corp.example.com"
+    rows = spark.createDataFrame([(1, text), (2, "Schmidt is not titled here")], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace_entities(rows).collect()}
+    first, last = surrogates.surrogate("name", "Maria Schmidt").split(" ")
+    mail = surrogates.surrogate("email", "Schmidt@corp.example.com")
+    assert got[1].text == f"{last} wrote: é Dr. {first} {last} of Schmidtburg came. Then {first} {last} said so, {last.upper()} agreed, and {first} left; {mail}"
+    assert got[1].n_entities == 6 and got[1].kinds == ["email", "name"] and (got[2].text, got[2].n_entities) == ("Schmidt is not titled here", 0)
+
+
+def test_surrogates_in_other_scripts(spark):
+    names = ["王小明", "محمد", "משה", "Łukasz", "ქართველი"]
+    rows = spark.createDataFrame([(i, f"Dr. {n} came") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace_entities(rows).collect()}
+    for i, name in enumerate(names):
+        new = re.fullmatch(r"Dr\. (\w+) came", got[i].text)[1]
+        assert got[i].n_entities == 1 and new != name and len(new) == len(name)
+    rows = spark.createDataFrame([(1, "they came"), (2, "Dr. Maria Schmidt"), (3, "и Г-н Иванов")], "doc_id long, text string").coalesce(1)
+    assert [r.n_entities for r in surrogates.replace_entities(rows).orderBy("doc_id").collect()] == [0, 1, 1]
+    chars = [chr(c) for c in range(0x4E00, 0x4E80)]
+    assert len({surrogates.surrogate("name", a + b) for a in chars[:40] for b in chars[60:100]}) == 1600
+
+
 def test_warc(spark):
     raw = warc.response("http://a.example/x", "<html><title>T &amp; t</title><script>var a</script><p>One<br>two</p><a href='/y'>link</a></html>")
     source, _ = warc.parse(raw)
