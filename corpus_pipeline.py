@@ -41,7 +41,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the classifier nor the alignment; tests/llm compares with plain Python.
+#: SQL can express neither the classifier nor the alignment; tests/llm compares operators, not ``run``, with plain Python.
 ORACLE_SQL = None
 
 
