@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -103,11 +105,55 @@ def test_sharding_fills_up_beside_large_groups(spark, large):
 
 
 def test_language_model(docs, texts, none):
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id")]
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = [[*split((t or "").translate(low)), "END"] for _, t in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    counts = collections.Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    total, scale = sum(counts.values()), math.log10(sum(counts.values()) + len(counts) + 1)
     got = {r.doc_id: r for r in lm_scoring.score_documents(docs, 2).collect()}
-    assert got[0].n_tokens == 1 and got[5].n_tokens == 6 and all(r.score <= 0 and r.n_known <= r.n_tokens for r in got.values())
+    assert len(got) == len(rows)
+    for (i, _), ws, h in zip(rows, words, held):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(ws), sum(w in counts for w in ws), total)
+        assert abs(r.base_score - sum(math.log10(counts[w] + 1) - scale for w in ws)) < 1e-6 and r.score < 0
+    seen = [got[i] for (i, _), h in zip(rows, held) if not h]
+    assert sum(r.score for r in seen) > sum(r.base_score for r in seen)  # it has learned
     assert lm_scoring.score_documents(none, 2).count() == 0
 
 
+def test_language_model_without_training_documents_and_with_clashing_columns(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, "a b c " * (i + 1), 1, "x", b"y", 2) for i in ids]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row int, block string, keys binary, shard int")
+    got = lm_scoring.score_documents(frame, 2).collect()
+    assert [(r.n_known, r.train_tokens) for r in got] == [(0, 0)] * 4 and all(r.held_out for r in got)
+    named = frame.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert {r.doc_id for r in lm_scoring.score_documents(named, 1).collect()} == {f"d{i}" for i in ids}
+
+
+def test_word_probabilities_sum_to_one():
+    r = np.random.default_rng(6)
+    words = np.sort(r.integers(1, 1 << 62, 400).astype(np.uint64))
+    counts, singles = r.integers(1, 50, 400), words[:3]
+    kinds = lm_scoring.word_class(words, singles)
+    k = lm_scoring.CLASSES
+    total, distinct = np.bincount(kinds, weights=counts, minlength=k), np.bincount(kinds, minlength=k).astype(float)
+    model = lm_scoring.Model(1, 1, words, counts, singles, total, distinct, np.zeros(k), np.zeros((1, k)))
+    kind = int(kinds[10])
+    inside = np.flatnonzero(kinds == kind)
+    number = np.concatenate([[0], inside + 1])
+    key = (np.uint64(77) << np.uint64(26)) | ((np.full(len(number), kind) << 20) | number).astype(np.uint64)
+    n = np.where(r.random(len(key)) < 0.4, r.integers(1, 90, len(key)), 0)
+    found = lm_scoring.pair_weights(model, key, n)
+    share = model.word_share(inside, np.full(len(inside), kind))
+    assert abs((share * np.exp(found[1:])).sum() + (1 - share.sum()) * np.exp(found[0]) - 1) < 1e-9
+    # the likelihood of the counts is better than by frequency alone, and close to its penalised optimum
+    assert (n * found).sum() > 0 and np.allclose(found, lm_scoring.pair_weights(model, key, n, steps=60), atol=0.05)
+    unpacked = [lm_scoring.unpack_keys(lm_scoring.pack_keys(x), len(x)) for x in (key, np.sort(r.integers(0, 1 << 63, 50).astype(np.uint64)), key[:1])]
+    assert (unpacked[0] == key).all() and (np.diff(unpacked[1].astype(float)) >= 0).all() and (unpacked[2] == key[:1]).all()
+
+
 def test_class_probabilities_sum_to_one():
     weights = np.random.default_rng(1).normal(size=(1 << lm_scoring.FEATURE_BITS, lm_scoring.CLASSES)).astype(np.float32)
     empty = np.zeros(0, np.uint64)
