@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is configured."""
+    """The folder that all executors share. A folder of our own only where none is set and all runs on one machine."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docketlake-")
         context.setCheckpointDir(found)
     return found
@@ -62,11 +64,13 @@ def spread_rank(df: DataFrame, groups: list[str], order: list[str], name: str, s
     )
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60, settle: bool = True) -> DataFrame:
     """Connected components of an undirected edge table by alternating large-star and small-star.
 
     Returns (node, component) with the smallest reachable node; nodes without an edge do not occur.
-    Every round is written to the shared folder, so a lost executor costs one round at most.
+    Every round is written to the shared folder, so a lost executor costs one round at most. With
+    ``settle`` false it stops after ``limit`` rounds: equal components are surely connected, others
+    may be.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -78,17 +82,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(joined.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        mark = Observation()
+        small = small.where("u <> v").distinct().observe(mark, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        now = written(small, "edges")
+        if mark.get == seen:
             break
-        seen = mark
+        seen = mark.get
     else:
-        raise RuntimeError("components did not settle")
+        if settle:
+            raise RuntimeError("components did not settle")
     nodes = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionAll(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def text_tag() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def dropped(docs: DataFrame, gone: DataFrame, tag: Column | None = None, once: bool = False) -> DataFrame:
+    """``docs`` without the rows listed in ``gone`` (doc_id, tag), with all their columns; null ids are compared as equal.
+
+    With ``once`` only one row of equal doc_id and tag stays.
+    """
+    name = f"tag_{uuid.uuid4().hex}"
+    rows, out = docs.withColumn(name, text_tag() if tag is None else tag), gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    left = rows.join(out, rows.doc_id.eqNullSafe(out._id) & (rows[name] == out._tag), "left_anti")
+    if once:
+        left = left.dropDuplicates(["doc_id", name])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -6,9 +6,10 @@ themselves; their digests are screened by the bucket's filter, and only positive
 join, where the digest and then the bytes of the two representatives are compared.
 
 Defined cases: a null text counts as empty; a null doc_id never becomes keep_id while its group has
-another id, and such a row is kept only if its whole group has null ids; rows repeated with the
-same doc_id are all kept if that id is the smallest; an empty table gives an empty result; columns
-other than doc_id and text are ignored.
+another id; rows repeated with the smallest doc_id of their group are all marked as kept, and
+``keep_first`` leaves one of them; one doc_id may have several texts, which are rows of their own; an
+empty table gives an empty result; columns other than doc_id and text are ignored (or carried by
+``keep_first``), whatever their names; texts of any length are digested whole.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binaryfuse
-from .common import BLANKS, table, text_or_empty, written
+from .common import BLANKS, dropped, table, text_or_empty, written
 from .wordblocks import one_space, slices
 
-BUCKETS = 256
+BUCKET_TEXTS = 500_000
+LEAST_BUCKETS = 16
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +72,13 @@ class Snapshot:
     buckets: int
 
 
-def build_snapshot(rows: DataFrame, buckets: int = BUCKETS) -> Snapshot:
-    """From digests of immutable rows. The number of buckets is a parameter; take it so that a bucket holds under a million digests."""
-    exact = written(_keyed(groups(rows), buckets), "snapshot")
+def build_snapshot(rows: DataFrame, buckets: int | None = None) -> Snapshot:
+    """From digests of immutable rows; a bucket holds about ``BUCKET_TEXTS`` digests unless their number is given."""
+    exact = groups(rows)
+    if buckets is None:
+        exact = written(exact, "groups")
+        buckets = max(LEAST_BUCKETS, -(-exact.count() // BUCKET_TEXTS))
+    exact = written(_keyed(exact, buckets), "snapshot")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
@@ -90,71 +96,57 @@ def screen(incoming: DataFrame, snapshot: Snapshot) -> DataFrame:
         found = binaryfuse.contains(right["filter"].iloc[0], keys) if len(right) else np.zeros(len(left), bool)
         return left.assign(maybe=found)
 
-    schema = "text_sha256 string, first_id long, n long, key long, bucket int, maybe boolean"
+    schema = ", ".join(f"{c} {t}" for c, t in incoming.dtypes) + ", maybe boolean"
     return incoming.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInPandas(probe, schema)
 
 
+def _bodies(docs: DataFrame, wanted: DataFrame, side: str) -> DataFrame:
+    """(text_sha256, side_id, side_body) of the rows that have a wanted doc_id, each text once."""
+    ids = wanted.select(F.col(f"{side}_id").alias("id")).where("id is not null").distinct()
+    body = normalised()
+    rows = docs.select("doc_id", body.alias("body"), F.sha2(F.encode(body, "UTF-8"), 256).alias("text_sha256"))
+    rows = rows.join(ids, rows.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    return rows.select("text_sha256", F.col("doc_id").alias(f"{side}_id"), F.col("body").alias(f"{side}_body"))
+
+
 def dedup_batch(batch: DataFrame, batch_docs: DataFrame, snapshot: Snapshot, old_docs: DataFrame) -> DataFrame:
-    """Groups over snapshot and batch (digests of incoming rows, and the rows themselves): (text_sha256, keep_id, group_size, in_old, in_batch).
+    """Groups over snapshot and batch (digests of incoming rows, and the rows themselves): (text_sha256, arrives, keep_id, group_size).
 
-    The bytes of a positive's representatives are read only for positives; should two texts share a
-    digest and differ, both stay as groups of their own.
+    One row per text and side (``arrives``: of the batch). Only digests that pass the filter are
+    joined with the snapshot, and only their bytes are read; should two texts share a digest and
+    differ, each side keeps its own group.
     """
     fresh = written(screen(_keyed(groups(batch), snapshot.buckets), snapshot), "screened")
     old = snapshot.exact.select("text_sha256", F.col("first_id").alias("old_id"), F.col("n").alias("old_n"))
-    hits = fresh.where("maybe").join(old, "text_sha256").select("text_sha256", "first_id", "n", "old_id", "old_n")
-    hits = written(hits, "hits")
-    ours = batch_docs.join(hits.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
-    theirs = old_docs.join(hits.select(F.col("old_id").alias("doc_id")), "doc_id", "left_semi")
-    bodies = [df.select("doc_id", normalised().alias("body")).dropDuplicates(["doc_id"]) for df in (ours, theirs)]
-    pairs = (
-        hits.join(bodies[0].select(F.col("doc_id").alias("first_id"), F.col("body").alias("new_body")), "first_id", "left")
-        .join(bodies[1].select(F.col("doc_id").alias("old_id"), F.col("body").alias("old_body")), "old_id", "left")
-        .select("text_sha256", (F.col("new_body").eqNullSafe(F.col("old_body")) | F.col("old_id").isNull() | F.col("first_id").isNull()).alias("same"))
-    )
-    same = pairs.where("same").select("text_sha256", F.lit(True).alias("same"))
-    joined = (
-        fresh.select("text_sha256", F.col("first_id").alias("new_id"), F.col("n").alias("new_n"))
-        .join(old, "text_sha256", "full")
-        .join(same, "text_sha256", "left")
+    maybe = fresh.where("maybe").select("text_sha256", F.col("first_id").alias("new_id"), F.col("n").alias("new_n"))
+    hits = written(maybe.join(old, "text_sha256"), "hits")
+    checked = hits.join(_bodies(batch_docs, hits, "new"), ["text_sha256", "new_id"], "left").join(_bodies(old_docs, hits, "old"), ["text_sha256", "old_id"], "left")
+    # a text without any id cannot be fetched by id; its digest stands for it
+    same = F.col("new_body").eqNullSafe(F.col("old_body")) | F.col("old_id").isNull() | F.col("new_id").isNull()
+    both = checked.where(same).select("text_sha256", F.least("new_id", "old_id").alias("both_id"), (F.col("new_n") + F.col("old_n")).alias("both_n"))
+    both = written(both, "both")
+    sides = fresh.select("text_sha256", F.lit(True).alias("arrives"), "first_id", "n").unionAll(snapshot.exact.select("text_sha256", F.lit(False), "first_id", "n"))
+    return sides.join(both, "text_sha256", "left").select(
+        "text_sha256", "arrives", F.when(F.col("both_n").isNull(), F.col("first_id")).otherwise(F.col("both_id")).alias("keep_id"), F.coalesce("both_n", "n").alias("group_size")
     )
-    clash = F.col("new_n").isNotNull() & F.col("old_n").isNotNull() & F.col("same").isNull()
-    merged = joined.where(~clash).select(
-        "text_sha256",
-        F.least("new_id", "old_id").alias("keep_id"),
-        (F.coalesce("new_n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).cast("long").alias("group_size"),
-        F.col("old_n").isNotNull().alias("in_old"),
-        F.col("new_n").isNotNull().alias("in_batch"),
-    )
-    apart = joined.where(clash)
-    split = [
-        apart.select("text_sha256", F.col(f"{s}_id").alias("keep_id"), F.col(f"{s}_n").alias("group_size"), F.lit(s == "old").alias("in_old"), F.lit(s == "new").alias("in_batch"))
-        for s in ("old", "new")
-    ]
-    return merged.unionAll(split[0]).unionAll(split[1])
 
 
-def mark_duplicates(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def mark_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Every row with its group: half of the rows (by a hash of the id) form the snapshot, the others arrive."""
     docs = docs.select("doc_id", "text")
     arrives = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    rows = written(digests(docs), "digests")
-    old, batch = rows.where(~arrives), rows.where(arrives)
-    found = dedup_batch(batch, docs.where(arrives), build_snapshot(old, buckets), docs.where(~arrives))
-    rows = rows.withColumn("arrives", arrives)
-    # one text per digest and side, so the side decides which group a row belongs to
-    match = rows.text_sha256 == found.text_sha256
-    match &= F.when(rows.arrives, found.in_batch).otherwise(found.in_old)
-    return rows.join(found, match).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), rows.text_sha256
-    )
+    rows = written(digests(docs).withColumn("arrives", arrives), "digests")
+    found = dedup_batch(rows.where("arrives"), docs.where(arrives), build_snapshot(rows.where("not arrives"), buckets), docs.where(~arrives))
+    marked = rows.join(found, ["text_sha256", "arrives"])
+    return marked.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """One row of each group, with all its columns: a row that has the smallest doc_id."""
     marks = mark_duplicates(docs)
-    gone = marks.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    sha = F.sha2(F.encode(normalised(), "UTF-8"), 256)
+    gone = marks.where("not kept").select("doc_id", F.col("text_sha256").alias("tag")).distinct()
+    return dropped(docs, gone, sha, once=True)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Built and searched in numpy, many patterns at a time. The bit vectors are packed, with a running
 count per 64-bit word, so rank is one lookup and one population count. Suffixes are ordered by
-their first words up to the threshold, which is all that matching statistics capped there need.
+their first words up to the threshold, which is all that matching statistics capped there need. The
+bounds of suffixes that agree on d words are one more bit vector for each d (two bits a position with
+its counts), read by rank and select; no list of positions is kept.
 """
 
 from __future__ import annotations
@@ -10,31 +12,51 @@ from __future__ import annotations
 import numpy as np
 
 
+class Bits:
+    """A packed bit vector with rank and select."""
+
+    def __init__(self, bit: np.ndarray):
+        self.words = np.packbits(np.pad(bit.astype(np.uint8), (0, -len(bit) % 64 + 64)), bitorder="little").view(np.uint64)
+        self.counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before position i."""
+        word = i >> 6
+        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[word] + np.bitwise_count(self.words[word] & mask)
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th one, counted from 0; it must exist."""
+        word = np.searchsorted(self.counts, k, "right") - 1
+        left = (k - self.counts[word]).astype(np.uint64)
+        rest, at = self.words[word], np.zeros(len(k), np.uint64)
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(rest & np.uint64((1 << half) - 1)).astype(np.uint64)
+            above = left >= low
+            left = np.where(above, left - low, left)
+            rest = np.where(above, rest >> np.uint64(half), rest)
+            at += np.where(above, np.uint64(half), np.uint64(0))
+        return word * 64 + at.astype(np.int64)
+
+
 class WaveletMatrix:
     """Rank queries over a sequence of symbols below ``sigma``."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
         self.n = len(symbols)
-        self.bits, self.counts, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         now = symbols
         for level in range(self.levels - 1, -1, -1):
             bit = (now >> level) & 1
-            words = np.packbits(np.pad(bit.astype(np.uint8), (0, -len(bit) % 64 + 64)), bitorder="little").view(np.uint64)
-            self.bits.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]))
+            self.bits.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             now = np.concatenate([now[bit == 0], now[bit == 1]])
         self.base = self._walk(np.arange(sigma), np.zeros(sigma, np.int64))
 
-    def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
-        word, off = i >> 6, (i & 63).astype(np.uint64)
-        mask = (np.uint64(1) << off) - np.uint64(1)
-        return self.counts[level][word] + np.bitwise_count(self.bits[level][word] & mask)
-
     def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level in range(self.levels):
-            one = self._ones(level, i)
+            one = self.bits[level].rank(i)
             bit = (symbol >> (self.levels - 1 - level)) & 1
             i = np.where(bit == 1, self.zeros[level] + one, i - one)
         return i
@@ -79,16 +101,10 @@ class FMIndex:
             alive &= same
             common += alive
         self.n = n
-        self.starts, self.ends = [], []
-        for d in range(depth):  # bounds of the suffixes that agree on d words
-            head = np.flatnonzero(common < d) if d else np.zeros(min(n, 1), np.int64)
-            group = np.zeros(n, np.int32)
-            group[head[1:]] = 1
-            group = np.cumsum(group)
-            self.starts.append(head[group].astype(np.int32) if n else group)
-            self.ends.append(np.append(head[1:], n)[group].astype(np.int32) if n else group)
+        self.heads = [Bits(np.append(common < d, True)) for d in range(1, depth)]  # a one where suffixes stop agreeing on d words
         head = np.flatnonzero(common < depth)
-        self.least = np.repeat(np.minimum.reduceat(owner[order], head), np.diff(np.append(head, n))) if n else owner
+        self.full = Bits(np.append(common < depth, True))
+        self.least = np.minimum.reduceat(owner[order], head) if n else owner  # of each group that agrees on depth words
 
     def matching(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of concatenated sequences, capped at depth, and the least owner of each full match.
@@ -126,7 +142,7 @@ class FMIndex:
                 self._cut(todo, low, high, length, length[todo] - 1)
             statistic[spot] = length[lanes]
             full = length[lanes] == self.depth
-            owner[spot[full]] = self.least[low[lanes[full]]]
+            owner[spot[full]] = self.least[self.full.rank(low[lanes[full]] + 1) - 1]
         return statistic, owner
 
     def _cut(self, lanes: np.ndarray, low: np.ndarray, high: np.ndarray, length: np.ndarray, to: np.ndarray) -> None:
@@ -134,6 +150,9 @@ class FMIndex:
         lanes, to = lanes[shorter], to[shorter]
         for d in np.unique(to):
             pick = lanes[to == d]
-            row = low[pick]
-            low[pick], high[pick] = self.starts[d][row], self.ends[d][row]
+            if d == 0:
+                low[pick], high[pick] = 0, self.n
+                continue
+            group = self.heads[d - 1].rank(low[pick] + 1)
+            low[pick], high[pick] = self.heads[d - 1].select(group - 1), self.heads[d - 1].select(group)
         length[lanes] = to

@@ -13,13 +13,15 @@ ones merged by counting, the long ones probed by binary search for the candidate
 reach the overlap (DivideSkip), and the exact overlap decides.
 
 Defined cases: null and empty texts have an empty set, link with nothing and are their own
-component; fewer words than five form one shingle; repeated rows with one doc_id are one node; rows
-with a null doc_id get a null component_id and link with nothing; an empty table gives an empty
-result; extra columns are ignored.
+component; fewer words than five form one shingle; rows repeated with one doc_id are rows of their
+own, also with different texts; rows with a null doc_id get a null component_id and link with
+nothing; an empty table gives an empty result; extra columns are ignored (or carried by
+``keep_one_each``), whatever their names; texts are read whole, however long.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, table, written
+from .common import components, dropped, partitions, table, text_tag, written
 from .recurrent import class_of, frequency_classes, hot_keys, recurring
 from .wordblocks import Block, blocks, mix, shingle_hashes
 
 K = 5
 PERCENT = 80
 CHUNK = 256
+JOIN_CHUNK = 2048
+FIRST_ROUNDS = 3
 PACK = 1 << 31
 
 
@@ -85,7 +89,7 @@ def overlap_bound(a: bytes, n: int, b: bytes, m: int) -> int:
 
 
 def profiles(docs: DataFrame, hot: np.ndarray, classes: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, h1, h2, bits, prefix) of every row."""
+    """(doc_id, tag, n, h1, h2, bits, prefix) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, classes))  # 0.5 MB and 4 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +115,14 @@ def profiles(docs: DataFrame, hot: np.ndarray, classes: np.ndarray, k: int = K,
                 ordered = key[order][place < take[row]].view(np.int64)
                 cuts = np.concatenate([[0], np.cumsum(take)])
                 prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ordered))
-                part = batch.column("doc_id").slice(block.first_row, block.rows)
+                part, tag = (batch.column(c).slice(block.first_row, block.rows) for c in ("doc_id", "tag"))
                 yield pa.RecordBatch.from_arrays(
-                    [part, pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(_bitmaps(row, key, n), pa.binary()), prefix],
-                    ["doc_id", "n", "h1", "h2", "bits", "prefix"],
+                    [part, tag, pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(_bitmaps(row, key, n), pa.binary()), prefix],
+                    ["doc_id", "tag", "n", "h1", "h2", "bits", "prefix"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bits binary, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), text_tag().alias("tag"), "text")
+    return rows.mapInArrow(run, "doc_id long, tag long, n long, h1 long, h2 long, bits binary, prefix array<long>")
 
 
 def bounded_pairs(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -134,7 +138,7 @@ def bounded_pairs(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) ->
                 good[i] = overlap_bound(x[i].as_buffer(), int(n[i]), y[i].as_buffer(), int(m[i])) >= need[i]
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"x{s}"))
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"x{s}"))
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
     return joined.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -169,21 +173,24 @@ def divide_skip(query: np.ndarray, sizes: np.ndarray, owner: np.ndarray, key: np
     return alive[count[alive] >= need[alive]]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link. A query's candidates are dealt in chunks of about CHUNK."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes that link. A query's candidates are dealt in chunks of about CHUNK.
+
+    ``nodes`` (node, doc_id, tag) tells which row has a node's text.
+    """
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("b", F.lit(5)), F.ceil(F.col("size") / CHUNK)).cast("int")
     dealt = written(pairs.join(sizes, "a").select("a", chunk.alias("chunk"), "b"), "pairs")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    asked = dealt.select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct()
-    rows = asked.unionAll(dealt.select("a", "chunk", F.lit(1), "b")).join(texts, "doc_id")
-    rows = rows.repartition(partitions(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role", "doc_id")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_tag().alias("tag"), "text")
+    asked = dealt.select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
+    rows = asked.unionAll(dealt.select("a", "chunk", F.lit(1), "b")).join(nodes, "node").join(texts, ["doc_id", "tag"])
+    rows = rows.repartition(partitions(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, name = np.zeros(0, np.uint64), (None, None)
         for batch in batches:
             a, c = batch.column("a").to_numpy(), batch.column("chunk").to_numpy()
-            role, doc = batch.column("role").to_numpy(), batch.column("doc_id").to_numpy()
+            role, doc = batch.column("role").to_numpy(), batch.column("node").to_numpy()
             for block in blocks(batch.column("text"), lower=True):
                 row, key = shingle_sets(block, k)
                 start = np.searchsorted(row, np.arange(block.rows + 1))
@@ -201,57 +208,80 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = K, percent: int = PERCE
                     won = divide_skip(query, np.diff(start[at : hi + 1]), row[span] - at, key[span], percent)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(won), ba[lo])), pa.array(bd[at:hi][won])], ["a", "b"])
 
-    return rows.select("a", "chunk", "role", "doc_id", "text").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.select("a", "chunk", "role", "node", "text").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def _cross(placed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, n, c) with one key, different components and sizes and places that allow the similarity.
+
+    Rows meet by key and band of sizes only, and a long list is dealt in chunks of about JOIN_CHUNK.
+    """
+    size = F.expr(f"n div {PACK}")
+    band = F.floor(F.log(size.cast("double")) / math.log(100 / percent)).cast("int")
+    rows = placed.select("key", "node", "c", size.alias("size"), (F.col("n") % PACK).alias("at"), band.alias("band"))
+    counts = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / JOIN_CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    x = rows.join(counts, ["key", "band"]).select("key", "band", chunk.alias("chunk"), *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "size", "at")])
+    # one band more on either side against rounding
+    near = rows.withColumn("band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2))).join(counts, ["key", "band"])
+    y = near.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *[F.col(c).alias(f"y_{c}") for c in ("node", "c", "size", "at")])
+    # after their first common shingle two sets share at most the rest of either
+    rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    fits = (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent) & (rest * (100 + percent) >= (F.col("x_size") + F.col("y_size")) * percent)
+    pairs = x.join(y, ["key", "band", "chunk"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_c") != F.col("y_c")) & fits)
+    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+
+def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, tag, n, label, component_id) of every row; equal labels are one component."""
     keys = lambda block: shingle_sets(block, k)
-    hot, frequent = hot_keys(docs, keys, lower=True), frequency_classes(docs, keys, lower=True)
-    every = written(profiles(docs, hot, frequent, k, percent), "profiles")
+    few, hot = hot_keys(docs, keys, lower=True)
+    frequent = frequency_classes(docs, keys, lower=True)
+    every = written(profiles(docs, hot, frequent, k, percent).withColumn("node", F.xxhash64("h1", "h2", "n")), "profiles")
     named = every.where("doc_id is not null and n > 0")
-    classes = written(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nodes = named.groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("r"))
+    nodes = written(nodes.select("node", "r.doc_id", "r.tag"), "nodes")
+    reps = named.join(nodes, ["node", "doc_id", "tag"], "left_semi").dropDuplicates(["node"])
+    sides = written(reps.select("node", "n", "bits", "prefix"), "sides")
     # size and place of a shingle in the prefix, packed into one number
-    entries = reps.select(F.posexplode("prefix").alias("i", "key"), "doc_id", F.col("doc_id").alias("tag"), "n")
-    entries = entries.select("key", "doc_id", "tag", (F.col("n") * PACK + F.col("i")).alias("n"))
-    listed = docs.sparkSession.createDataFrame([(int(x),) for x in hot.view(np.int64)], "key long")
-    few = F.broadcast(listed)  # at most HOT_KEYS rows
-    common = written(entries.join(few, "key"), "common")
+    entries = sides.select(F.posexplode("prefix").alias("i", "key"), "node", "n")
+    entries = entries.select("key", F.col("node").alias("doc_id"), F.col("node").alias("tag"), (F.col("n") * PACK + F.col("i")).alias("n"))
+    common = written(entries.join(F.broadcast(few), "key"), "common")  # at most HOT_KEYS keys
     ends = common.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    shared = recurring(entries.join(few, "key", "left_anti")).unionByName(common.join(F.broadcast(ends), "key"))
-    shared = written(shared, "shared")
-    stars = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    shared = recurring(entries.join(F.broadcast(few), "key", "left_anti")).unionByName(common.join(F.broadcast(ends), "key"))
+    shared = written(shared.withColumnRenamed("doc_id", "node"), "shared")
+    stars = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sides = reps.select("doc_id", "n", "bits")
     tried = written(bounded_pairs(stars, sides, percent), "tried")
-    links = written(verified(tried, docs, k, percent), "links")
-    first = components(links)
-    placed = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    links = written(verified(tried, nodes, docs, k, percent), "links")
+    first = components(links, limit=FIRST_ROUNDS, settle=False)
+    placed = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = written(placed, "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    open_ = written(placed.join(split, "key", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    nx, ny = F.expr(f"x.n div {PACK}"), F.expr(f"y.n div {PACK}")
-    # after their first common shingle two sets share at most the rest of either
-    rest = F.least(nx - F.col("x.n") % PACK, ny - F.col("y.n") % PACK)
-    fits = (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fits)
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    cross = _cross(placed.join(split, "key", "left_semi"), percent).join(tried, ["a", "b"], "left_anti")
     late = written(bounded_pairs(cross, sides, percent), "late")
-    links = links.unionAll(verified(late, docs, k, percent))
-    final = components(links)
-    member = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("found"))
-    return (
-        every.join(member, ["h1", "h2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
-    )
+    final = components(links.unionAll(verified(late, nodes, docs, k, percent)))
+    member = written(nodes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label")), "member")
+    least = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    member = member.join(least, "label").select("node", "label", "component_id")
+    apart = F.col("doc_id").isNull() | (F.col("n") == 0)
+    found = every.join(member.withColumnRenamed("label", "found"), "node", "left")
+    return found.select("doc_id", "tag", "n", F.when(~apart, F.col("found")).alias("label"), F.when(apart, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    return linked_rows(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every component."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, with all its columns: a row with the smallest doc_id. Rows that link with nothing stay."""
+    rows = written(linked_rows(docs).where("label is not null"), "linked")
+    heads = rows.where("doc_id = component_id")
+    first = heads.groupBy("label").agg(F.min("tag").alias("first"))
+    others = heads.join(first, "label").where("tag <> first").select("doc_id", "tag")
+    gone = rows.where("doc_id <> component_id").select("doc_id", "tag").unionAll(others).distinct()
+    return dropped(docs, gone, once=True)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

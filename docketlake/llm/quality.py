@@ -8,9 +8,11 @@ strengths estimated by the method of moments. A document's log odds are correcte
 
 Defined cases: a null or empty text is scored by its style measures like any other; null hosts and
 languages form a group of their own; without labels, or with labels of one class only, that head is
-neutral and rejects nothing; labels of unknown documents and rows with null labels are ignored; an
-empty table gives an empty result; repeated rows get equal scores; a row with null doc_id is scored
-and never dropped by ``keep_good``; extra columns are carried there.
+neutral and rejects nothing; labels of unknown documents and rows with null labels are ignored, of
+several labels of one document the largest counts; an empty table gives an empty result; equal rows
+get equal scores, and rows that share a doc_id but not the text are judged apart; a null doc_id is
+scored and dropped like any other; extra columns are ignored (or carried by ``keep_good``), whatever
+their names; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .wordblocks import Block, blocks, text_array
+from .common import dropped, table, text_tag, written
+from .decontamination import _fold
+from .wordblocks import Block, blocks, hash_block, text_array
 
 SAMPLE = 8000
 BUCKET_BITS = 18
@@ -94,22 +97,26 @@ class Head:
         return out
 
 
-def fit_head(measures: np.ndarray, words: list[np.ndarray], label: np.ndarray, neutral: float, steps: int = 300) -> Head:
-    """Ridge logistic regression by gradient steps with per-weight rates."""
+def choose_words(counts: DataFrame, n: int, side: str) -> np.ndarray:
+    """Word buckets that tell the documents of a label apart, from their counts (word, n, quality, toxic)."""
+    positive = f"{side}_all"
+    row = counts.select(positive).first()
+    if row is None or row[0] in (0, n):
+        return np.zeros(0, np.int64)
+    yes, no = F.lit(float(row[0])), F.lit(float(n - row[0]))
+    p, q, both = F.col(side) / yes, (F.col("n") - F.col(side)) / no, F.col("n") / F.lit(float(n))
+    z = F.abs(p - q) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / yes + 1 / no))
+    top = counts.where("n >= 8").select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "word").limit(WORDS_KEPT)
+    return np.array([r.word for r in top.collect()], np.int64)  # at most WORDS_KEPT rows
+
+
+def fit_head(measures: np.ndarray, words: list[np.ndarray], label: np.ndarray, chosen: np.ndarray, neutral: float, steps: int = 300) -> Head:
+    """Ridge logistic regression over binned measures and the chosen words, by gradient steps with per-weight rates."""
     n = len(label)
     positive = label.sum()
     if positive in (0, n):
         return Head(bias=neutral)
-    width = 1 << BUCKET_BITS
-    ones, zeros = np.zeros(width), np.zeros(width)
-    for w, y in zip(words, label):
-        (ones if y else zeros)[w] += 1
-    p, q = ones / positive, zeros / (n - positive)
-    both = (ones + zeros) / n
-    z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / positive + 1 / (n - positive)))
-    chosen = np.argsort(-np.abs(z))[:WORDS_KEPT]
-    chosen = chosen[(np.abs(z[chosen]) >= LEAST_Z) & (ones + zeros >= 8)[chosen]]
-    column = np.full(width, -1)
+    column = np.full(1 << BUCKET_BITS, -1)
     column[chosen] = np.arange(len(chosen))
     edges = [np.unique(np.quantile(measures[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(measures.shape[1])]
     sizes = [len(e) + 1 for e in edges]
@@ -127,7 +134,7 @@ def fit_head(measures: np.ndarray, words: list[np.ndarray], label: np.ndarray, n
         rate += gradient**2
         weights -= 0.2 * gradient / np.sqrt(rate)
         bias -= 0.5 * float(error.mean())
-    table_ = np.zeros(width)
+    table_ = np.zeros(1 << BUCKET_BITS)
     table_[chosen] = weights[starts[-1] :]
     return Head(bias, edges, [weights[starts[j] : starts[j + 1]].astype(float) for j in range(len(edges))], table_)
 
@@ -155,28 +162,37 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lower(text: pa.Array, block: Block) -> Iterator[Block]:
     """The same rows, hashed without regard to case and to signs around a word."""
     at = _row_bytes(block, text)
-    from .decontamination import _fold
-    from .wordblocks import hash_block
-
     data, offsets = _fold(block.data, at)
     yield hash_block(data, offsets, block.first_row, lower=False)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Head, Head]:
-    """Heads (good writing, toxic) from at most ``sample`` labelled documents, taken by hash order."""
+    """Heads (good writing, toxic) from at most ``sample`` labelled documents, taken by hash order.
+
+    Words are counted and chosen in Spark; the driver gets the measures of the sample and which of
+    the chosen words each document has.
+    """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `sample` rows
-    got = rows.select("text", "quality", "toxic").mapInArrow(_features, "quality int, toxic int, measures array<double>, words array<int>").toPandas()
-    if not len(got):
+    made = written(rows.select("text", "quality", "toxic").mapInArrow(_features, "quality int, toxic int, measures array<double>, words array<int>"), "features")
+    sums = made.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).first()
+    if not sums.n:
         return Head(bias=4.0), Head(bias=-4.0)
-    measures, words = np.stack(got["measures"].to_numpy()), [np.asarray(w) for w in got["words"]]
-    return fit_head(measures, words, got["quality"].to_numpy(float), 4.0), fit_head(measures, words, got["toxic"].to_numpy(float), -4.0)
+    counts = made.select(F.explode("words").alias("word"), "quality", "toxic").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic"))
+    counts = written(counts.withColumns({f"{c}_all": F.lit(sums[c]) for c in ("quality", "toxic")}), "words")
+    lists = [choose_words(counts, sums.n, side) for side in ("quality", "toxic")]
+    wanted = F.array(*[F.lit(int(w)) for w in np.unique(np.concatenate(lists))]).cast("array<int>")
+    got = made.select("quality", "toxic", "measures", F.array_intersect("words", wanted).alias("words")).toArrow()  # at most `sample` x 2 WORDS_KEPT words
+    measures = np.array(got.column("measures").to_pylist(), float)
+    words = [np.asarray(w, np.int64) for w in got.column("words").to_pylist()]
+    good, toxic = (got.column(c).to_numpy().astype(float) for c in ("quality", "toxic"))
+    return fit_head(measures, words, good, lists[0], 4.0), fit_head(measures, words, toxic, lists[1], -4.0)
 
 
 def evidence(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
-    """(doc_id, host, path, p_document): probability of good and harmless text by the text alone."""
+    """(doc_id, tag, host, path, p_document): probability of good and harmless text by the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +205,13 @@ def evidence(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
                 g = good.logit(measures, block.rows, owner, buckets)
                 t = toxic.logit(measures, block.rows, owner, buckets)
                 out[block.first_row : block.first_row + block.rows] = 1 / (1 + np.exp(-np.clip(g, -30, 30))) / (1 + np.exp(np.clip(t, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), pa.array(out)], ["doc_id", "host", "path", "p_document"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tag", "host", "path")), pa.array(out)], ["doc_id", "tag", "host", "path", "p_document"])
 
     names = {c.lower() for c in docs.columns}
     host = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in names else F.lit("")
     path = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in names else F.lit("")
-    rows = docs.select("doc_id", "text", host.alias("host"), path.alias("path"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, host string, path string, p_document double")
+    rows = docs.select("doc_id", text_tag().alias("tag"), "text", host.alias("host"), path.alias("path"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tag long, host string, path string, p_document double")
 
 
 def _strength(groups: DataFrame, of: Column, mean: Column, n: Column) -> float:
@@ -222,19 +238,28 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return both.select("host", "path", "p_host", ((F.col("s") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_path")), overall
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """(doc_id, p_document, p_host, p_path, p_good, kept) of every row."""
+def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """(doc_id, tag, p_document, p_host, p_path, p_good, kept) of every row."""
     scored = written(evidence(docs, fit(docs, labels, sample)), "evidence")
     sites, overall = posteriors(scored)
     logit = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
     odds = logit(F.col("p_document")) + logit(F.col("p_path")) - logit(F.lit(overall))
     out = scored.join(sites, ["host", "path"]).withColumn("p_good", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", "p_document", "p_host", "p_path", "p_good", (F.col("p_good") >= least).alias("kept"))
+    return out.select("doc_id", "tag", "p_document", "p_host", "p_path", "p_good", (F.col("p_good") >= least).alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """(doc_id, p_document, p_host, p_path, p_good, kept) of every row."""
+    return judged(docs, labels, sample, least).drop("tag")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    gone = classify(docs, labels).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that are not rejected, with all their columns.
+
+    Rows with equal id and text on different paths may be judged apart; then all of them stay.
+    """
+    marks = judged(docs, labels).groupBy("doc_id", "tag").agg(F.max("kept").alias("kept"))
+    return dropped(docs, marks.where("not kept").select("doc_id", "tag"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, written
 from .wordblocks import Block, blocks
 
 HOT_KEYS = 65_536
@@ -25,8 +25,8 @@ COUNTER_BITS = 22
 SLICE = 4096
 
 
-def hot_keys(docs: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], lower: bool) -> np.ndarray:
-    """At most HOT_KEYS keys that several rows of one block share, rarest first.
+def hot_keys(docs: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], lower: bool) -> tuple[DataFrame, np.ndarray]:
+    """At most HOT_KEYS keys that several rows of one block share: as a table (key), and rarest first.
 
     A choice of what is treated apart; results do not depend on it. ``keys`` gives (row, key) once
     per row and key.
@@ -40,9 +40,10 @@ def hot_keys(docs: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
 
     seen = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = seen.orderBy(F.col("n").desc(), "key").limit(HOT_KEYS).toArrow()
+    table = written(seen.orderBy(F.col("n").desc(), "key").limit(HOT_KEYS), "hot")
+    top = table.toArrow()
     keys_, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    return keys_[np.lexsort((keys_, n))]
+    return table.select("key"), keys_[np.lexsort((keys_, n))]
 
 
 def frequency_classes(docs: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], lower: bool) -> np.ndarray:

@@ -9,12 +9,14 @@ matches 13 words or more the smallest doc_id that has this window. A word goes i
 covers it is owned by a smaller doc_id than its own.
 
 Windows of an anchor from the hot list are dealt one by one, by the whole window, so that a passage
-of a large share of the corpus meets in no single shard. A document whose whole word sequence
-occurs in an earlier one loses all words without a search (if it has a window at all).
+of a large share of the corpus meets in no single shard. Documents with one word sequence are one
+query: all windows of the first of them are searched, and what the index reports for it holds for the
+others, which lose the words of every window that it says begins in the first one or before.
 
 Defined cases: null and empty texts have no words and the digest of an empty text; fewer than 13
-words: nothing goes; repeated rows with one doc_id are judged alike, against other ids only; a null
-doc_id owns no window and loses none; an empty table gives an empty result; extra columns are
+words: nothing goes; repeated rows with one doc_id, of one text or several, are judged against other
+ids only, each by its own words; a null doc_id owns no window and loses none; very long texts are
+fragments like others; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import table, text_or_empty, text_tag, written
 from .fmindex import FMIndex
 from .recurrent import hot_keys, recurring
 from .wordblocks import Block, blocks, mix, shingle_hashes
@@ -78,19 +80,18 @@ def _row_keys(window: int, anchor: int):
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, tag, tag2, whole_sha256) of every row; the tags stand for the word sequence."""
+    """(doc_id, row, n_words, tag, tag2, whole_sha256) of every row; the tags stand for the word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), lower=False):
                 tags = _sequence_tags(block)
                 shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in _row_word_bytes(block)]
-                part = batch.column("doc_id").slice(block.first_row, block.rows)
-                arrays = [part, pa.array(block.counts()), pa.array(tags[0]), pa.array(tags[1]), pa.array(shas, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "tag", "tag2", "whole_sha256"])
+                part = [batch.column(c).slice(block.first_row, block.rows) for c in ("doc_id", "row")]
+                arrays = [*part, pa.array(block.counts()), pa.array(tags[0]), pa.array(tags[1]), pa.array(shas, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_words", "tag", "tag2", "whole_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_words long, tag long, tag2 long, whole_sha256 string")
+    return docs.mapInArrow(run, "doc_id long, row long, n_words long, tag long, tag2 long, whole_sha256 string")
 
 
 def _sequence_tags(block: Block) -> np.ndarray:
@@ -110,23 +111,23 @@ def _row_word_bytes(block: Block) -> Iterator[list[bytes]]:
 
 
 def anchor_entries(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, doc_id, tag, n): the anchors of each document, each once."""
+    """(key, doc_id, tag, n): the anchors of each document, each once; n tells the rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _row_keys(window, anchor)
         for batch in batches:
             for block in blocks(batch.column("text"), lower=False):
                 row, key = keys(block)
-                doc = batch.column("doc_id").slice(block.first_row, block.rows).to_numpy()
+                doc, number = (batch.column(c).slice(block.first_row, block.rows).to_numpy() for c in ("doc_id", "row"))
                 tag = _sequence_tags(block)[0]
-                arrays = [pa.array(key.view(np.int64)), pa.array(doc[row]), pa.array(tag[row]), pa.array(np.zeros(len(row), np.int64))]
+                arrays = [pa.array(key.view(np.int64)), pa.array(doc[row]), pa.array(tag[row]), pa.array(number[row])]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "tag", "n"])
 
     return docs.mapInArrow(run, "key long, doc_id long, tag long, n long")
 
 
 def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> DataFrame:
-    """(shard_key, body, doc_id, start) of rows (doc_id, text, keys): stretches around recurring anchors.
+    """(shard_key, body, doc_id, row, start) of rows (doc_id, row, text, keys, whole): stretches around the listed anchors, or around all.
 
     A body holds the words as text, one space between them, which packs far better than hashes.
     """
@@ -145,13 +146,13 @@ def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> Dat
                 code = lambda r, k: mix(k ^ mix(r.astype(np.uint64) + np.uint64(1)))
                 pick = np.isin(code(row, key), code(known_row, known))
                 is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
-                pick |= is_hot
+                pick |= is_hot | batch.column("whole")[part].to_numpy(zero_copy_only=False)[row]
                 row, start, at, key, is_hot = row[pick], start[pick], at[pick], key[pick], is_hot[pick]
                 new = np.ones(len(at), bool)
                 new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1) | is_hot[1:]
                 head = np.flatnonzero(new)
                 last = np.append(head[1:], len(at)) - 1
-                doc = batch.column("doc_id").slice(block.first_row, block.rows).to_numpy()
+                doc, number = (batch.column(c).slice(block.first_row, block.rows).to_numpy() for c in ("doc_id", "row"))
                 words = block.hashes
                 lo, hi = start[head], start[last] + window if len(at) else start[head]
                 data = block.data.tobytes()
@@ -161,10 +162,10 @@ def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> Dat
                 if single.any():
                     route[single] = shingle_hashes(words, window)[lo[single]]
                 offset = lo - block.row_words[row[head]]
-                arrays = [pa.array(route.view(np.int64)), pa.array(body, pa.binary()), pa.array(doc[row[head]]), pa.array(offset.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["shard_key", "body", "doc_id", "start"])
+                arrays = [pa.array(route.view(np.int64)), pa.array(body, pa.binary()), pa.array(doc[row[head]]), pa.array(number[row[head]]), pa.array(offset.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, ["shard_key", "body", "doc_id", "row", "start"])
 
-    return rows.select("doc_id", "text", "keys").mapInArrow(run, "shard_key long, body binary, doc_id long, start int")
+    return rows.select("doc_id", "row", "text", "keys", "whole").mapInArrow(run, "shard_key long, body binary, doc_id long, row long, start int")
 
 
 def shard_owners(distinct: DataFrame, shards: int, window: int) -> DataFrame:
@@ -188,63 +189,63 @@ def shard_owners(distinct: DataFrame, shards: int, window: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
-    spark = docs.sparkSession
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag().alias("row"), text_or_empty().alias("text"))
+    known = docs.where("doc_id is not null")
     every = written(summaries(docs), "summaries")
-    first = every.where("doc_id is not null").groupBy("tag", "tag2", "n_words").agg(F.min("doc_id").alias("first_id"))
+    first = every.where("doc_id is not null").groupBy("tag", "tag2", "n_words").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.max("doc_id").alias("last_id"))
+    first = first.select("tag", "tag2", "n_words", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), (F.col("last_id") > F.col("first.doc_id")).alias("whole"))
     every = written(every.join(first, ["tag", "tag2", "n_words"], "left"), "firsts")
-    copies = F.col("doc_id") > F.col("first_id")
-    hot = hot_keys(docs, _row_keys(window, anchor), lower=False)
-    few = F.broadcast(spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "key long"))  # at most HOT_KEYS rows
-    shared = recurring(anchor_entries(known, window, anchor).join(few, "key", "left_anti"))
-    lists = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    singles = every.where("doc_id is not null").select("doc_id", copies.alias("copy")).groupBy("doc_id").agg(F.min("copy").alias("copy"))
+    few, hot = hot_keys(docs, _row_keys(window, anchor), lower=False)
+    shared = recurring(anchor_entries(known, window, anchor).join(F.broadcast(few), "key", "left_anti"))  # at most HOT_KEYS rows
+    lists = shared.groupBy("doc_id", F.col("n").alias("row")).agg(F.collect_set("key").alias("keys"))
+    asked = every.where("doc_id = first_id and row = first_row").where(F.col("n_words") >= window).select("doc_id", "row", "whole").distinct()
     # a document without recurring anchors of its own may still have hot ones
-    wanted = singles.where(~F.col("copy")).join(lists, "doc_id", "left").select("doc_id", F.coalesce("keys", F.array().cast("array<long>")).alias("keys"))
-    rows = known.join(wanted, "doc_id")
-    made = fragments(rows, hot, window, anchor).withColumn("fragment", F.xxhash64("body"))
+    asked = asked.join(lists, ["doc_id", "row"], "left").select("doc_id", "row", "whole", F.coalesce("keys", F.array().cast("array<long>")).alias("keys"))
+    made = fragments(known.join(asked, ["doc_id", "row"]), hot, window, anchor).withColumn("fragment", F.xxhash64("body"))
     made = written(made, "fragments")
     distinct = made.groupBy("shard_key", "fragment").agg(F.min("doc_id").alias("owner"), F.first("body").alias("body"))
     distinct = written(distinct, "distinct")
     shards = max(64, -(-distinct.count() // SHARD_FRAGMENTS))
     owners = written(shard_owners(distinct, shards, window), "owners")
-    hits = made.select("shard_key", "fragment", "doc_id", "start").join(owners, ["shard_key", "fragment"])
+    hits = made.select("shard_key", "fragment", "doc_id", "row", "start").join(owners, ["shard_key", "fragment"])
     starts = F.expr("transform(filter(sequence(0, size(owners) - 1), i -> owners[i] < doc_id), i -> start + i)")
-    cuts = hits.select("doc_id", F.explode(starts).alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
-    cuts = written(cuts, "cuts")
-    touched = cut_rows(known.join(cuts, "doc_id"), window)
-    touched = touched.groupBy("doc_id", "tag", "tag2").agg(F.max("n_removed").alias("n_removed"), F.max("kept_sha256").alias("kept_sha256"))
-    out = every.join(touched, ["doc_id", "tag", "tag2"], "left")
-    gone = copies & (F.col("n_words") >= window)
+    found = F.size(F.filter("owners", lambda o: o >= 0))
+    cuts = hits.select("doc_id", "row", found.alias("found"), starts.alias("s")).groupBy("doc_id", "row")
+    cuts = written(cuts.agg(F.sum("found").alias("found"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")), "cuts")
+    touched = cut_rows(known.join(cuts.where("size(starts) > 0").select("doc_id", "row", "starts"), ["doc_id", "row"]), window).dropDuplicates(["doc_id", "row"])
+    of_first = cuts.select(F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"), "found")
+    touched = touched.select(F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"), "n_removed", "kept_sha256")
+    out = every.join(of_first, ["first_id", "first_row"], "left").join(touched, ["first_id", "first_row"], "left")
+    # every window of the first document was found, so each begins in it or before
+    gone = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window) & (F.col("found") >= F.col("n_words") - (window - 1))
+    same = F.col("doc_id") == F.col("first_id")
     return out.select(
         "doc_id", "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
+        F.when(gone, F.col("n_words")).otherwise(F.coalesce(F.when(same, F.col("n_removed")), F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone, F.lit(EMPTY)).otherwise(F.coalesce(F.when(same, F.col("kept_sha256")), "whole_sha256")).alias("kept_sha256"),
     )
 
 
 def cut_rows(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tag, tag2, n_removed, kept_sha256) of rows (doc_id, text, starts) without the words of the windows."""
+    """(doc_id, row, n_removed, kept_sha256) of rows (doc_id, row, text, starts) without the words of the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("starts")
             for block in blocks(batch.column("text"), lower=False):
-                tags, gone, shas = _sequence_tags(block), [], []
+                gone, shas = [], []
                 for i, words in enumerate(_row_word_bytes(block)):
                     at = lists[block.first_row + i].values.to_numpy().astype(np.int64)
-                    at = at[at + window <= len(words)]
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
                     drop = np.cumsum(edge)[:-1] > 0
                     gone.append(int(drop.sum()))
                     shas.append(hashlib.sha256(b" ".join(w for w, d in zip(words, drop.tolist()) if not d)).hexdigest())
-                part = batch.column("doc_id").slice(block.first_row, block.rows)
-                arrays = [part, pa.array(tags[0]), pa.array(tags[1]), pa.array(gone, pa.int64()), pa.array(shas, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", "tag2", "n_removed", "kept_sha256"])
+                part = [batch.column(c).slice(block.first_row, block.rows) for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(gone, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "row", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, tag long, tag2 long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "row", "text", "starts").mapInArrow(run, "doc_id long, row long, n_removed long, kept_sha256 string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,17 @@ def test_exact_dedup(docs, texts, none):
     assert got[None].kept and exact_dedup.mark_duplicates(none, 8).count() == 0
 
 
+def test_exact_dedup_of_one_id_with_two_texts(spark):
+    rows = [(1, "copy text"), (5, "copy  text"), (5, "only here"), (9, "only here"), (None, "nobody"), (None, "nobody"), (None, "copy text"), (7, None), (7, ""), (8, " "), (8, "\t")]
+    extra = spark.createDataFrame([(*r, i, "x", True) for i, r in enumerate(rows)], "doc_id long, text string, tag int, keep_id string, arrives boolean")
+    got = [(r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.mark_duplicates(extra, 3).collect()]
+    want = sorted([(1, 1, 3, True), (5, 1, 3, False), (0, 1, 3, False), (5, 5, 2, True), (9, 5, 2, False), (0, None, 2, True), (0, None, 2, True), (7, 7, 2, True), (7, 7, 2, True), (8, 8, 2, True), (8, 8, 2, True)], key=str)
+    assert sorted(got, key=str) == want
+    kept = exact_dedup.keep_first(extra)
+    assert kept.columns == extra.columns
+    assert sorted((r.doc_id or 0, BLANK.sub(" ", r.text or "")) for r in kept.collect()) == [(0, "nobody"), (1, "copy text"), (5, "only here"), (7, ""), (8, " ")]
+
+
 def test_sharding(docs, texts, none):
     rows = sharding.shard_documents(docs, 5).collect()
     slots = collections.defaultdict(list)
@@ -201,6 +212,19 @@ def test_jaccard_join(docs, texts, none):
     assert got[None].component_id is None and jaccard_join.near_duplicates(none).count() == 0
 
 
+def test_jaccard_join_of_one_id_with_two_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = [*base[:-1], "z"]
+    rows = [(4, " ".join(base)), (4, " ".join(other)), (6, " ".join(near)), (6, "\t".join(near)), (8, " ".join(other)), (3, "x"), (3, "x"), (9, None), (9, ""), (None, " ".join(base)), (5, "q " * 300_000)]
+    frame = spark.createDataFrame([(*r, 1, 2, "p") for r in rows], "doc_id long, text string, key int, tag long, node string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_join.near_duplicates(frame).collect())
+    assert got == sorted([(4, 56, 4), (4, 56, 4), (6, 56, 4), (6, 56, 4), (8, 56, 4), (3, 1, 3), (3, 1, 3), (9, 0, 9), (9, 0, 9), (0, 56, 0), (5, 1, 5)])
+    kept = jaccard_join.keep_one_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in kept.collect()) == sorted([(4, "w0 "), (4, "v0 "), (3, "x"), (9, ""), (9, ""), (0, "w0 "), (5, "q q")])
+
+
 def test_divide_skip_is_exact():
     r = np.random.default_rng(2)
     query = np.unique(r.integers(0, 400, 200).astype(np.uint64))
@@ -362,6 +386,23 @@ def test_substring_dedup(docs, texts, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_one_id_with_two_texts(spark):
+    r = random.Random(9)
+    a, b, c = ([f"{p}{r.randrange(10**6)}" for _ in range(30)] for p in "abc")
+    long = [f"l{i % 977}" for i in range(120_000)]
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, [*b[:15], *c]), (3, [*c, *b[:20]]), (4, a[:12]), (5, long), (6, long[50_000:]), (7, a)]
+    frame = spark.createDataFrame([*((i, (" " if i % 2 else "\t").join(w), 1, "x", 5) for i, w in rows), (None, " ".join(a), 1, "x", 5)], "doc_id long, text string, row int, tag string, found int")
+    first = {}
+    for i, w in rows:
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    want = [(0, 30, 0, hashlib.sha256(" ".join(a).encode()).hexdigest())]
+    for i, w in rows:
+        drop = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        want.append((i, len(w), len(drop), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in drop).encode()).hexdigest()))
+    assert sorted((x.doc_id or 0, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(frame).collect()) == sorted(want)
+
+
 def test_pipeline_stages(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "jaccard_join", "decontamination", "packing"]
     out = exact_dedup.keep_first(docs)
