@@ -198,6 +198,32 @@ SENTENCE_WORDS = ["project", "proposed", "facility", "plant", "farm", "array", "
 NUMBER_UNIT = r"\d[\d,\.]*\s*(?:MW|GW|kW|MWh|GWh|kWh|megawatt|gigawatt|kilowatt|MWe|MWt)"
 TYPE_PRIORITY = {"FEIS": 1, "DEIS": 2, "EA": 3, "DEA": 4, "FONSI": 5, "ROD": 6, "CE": 7, "OTHER": 8, "": 5}
 
+# places: coordinates, counties, abbreviations of states
+LAT_LON = r"Lat/Lon:\s*([-]?\d+\.?\d*),\s*([-]?\d+\.?\d*)"
+COUNTY = r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\s+County"
+STATE_CODE = r"(?:,\s*|\s)([A-Z]{2})(?:\s|$|[;,\)])"
+
+# ends of sentences before a language model
+SENTENCE_SPLIT = r"(?<=[.!?])\s+|\n\n+"
+
+# forms of a date in a model's answer
+REPLY_DATES = [
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{4}\.\d{2}\.\d{2}$", "yyyy.M.d"),
+]
+
+# tags of the notebook's clean flag, as written
+NOTEBOOK_CLEAN = [
+    "Carbon Capture and Sequestration", "Conventional Energy Production - Nuclear", "Renewable Energy Production - Biomass",
+    "Renewable Energy Production - Energy Storage", "Renewable Energy Production - Geothermal",
+    "Renewable Energy Production - Hydrokinetic", "Renewable Energy Production - Hydropower", "Renewable Energy Production - Solar",
+    "Renewable Energy Production - Wind, Offshore", "Renewable Energy Production - Wind, Onshore", "Renewable Energy Production - Other",
+    "Nuclear Technology", "Electricity Transmission", "Utilities (electricity, gas, telecommunications)",
+]
+
 # keyword bank of the snippet extractor, by category
 SNIPPET_PATTERNS = {
     "decision_signatures": [

@@ -11,8 +11,11 @@ from pyspark.sql.window import Window
 
 def match_offsets(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of all matches; 0-based, end exclusive. No empty matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    return _placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+
+
+def _placed(found: Column, between: Column) -> Column:
+    """Matches with their places, from the matches and the texts between them."""
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get(between, i))
@@ -25,6 +28,34 @@ def match_offsets(text: Column, pattern: str) -> Column:
     return F.aggregate(numbers, empty, step)["hits"]
 
 
+def all_hits(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """array<struct<priority,name,start,end,match>> of all matches of the named patterns, by pattern, then place.
+
+    One expression places the matches of every pattern, so its size does not grow with the bank.
+    """
+    parts = [
+        F.struct(F.lit(i).alias("priority"), F.lit(n).alias("name"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"), F.split(text, p, -1).alias("between"))
+        for i, (n, p) in enumerate(patterns)
+    ]
+
+    def named(part: Column) -> Column:
+        hit = lambda h: F.struct(part["priority"].alias("priority"), part["name"].alias("name"), h["start"].alias("start"), h["end"].alias("end"), h["match"].alias("match"))
+        return F.transform(_placed(part["found"], part["between"]), hit)
+
+    return F.flatten(F.transform(F.filter(F.array(*parts), lambda x: F.size(x["found"]) > 0), named))
+
+
+def first_of(hits: Column, field: str) -> Column:
+    """Of the elements of an array of structs with equal ``field`` the first."""
+    values = F.transform(hits, lambda h: h[field])
+    return F.filter(hits, lambda h, i: F.array_position(values, h[field]) == i + 1)
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def around(text: Column, start: Column, end: Column, window: int) -> Column:
     """The text from ``window`` characters before start to as many after end."""
     first = F.greatest(start - window, F.lit(0))
@@ -42,13 +73,7 @@ def has_any(text: Column, terms: list[str]) -> Column:
 
 def find_all(df: DataFrame, text: str, patterns: list[tuple[str, str]], keep: list[str]) -> DataFrame:
     """One row per match of each named pattern: keep..., name, priority, start, end, match, and the text."""
-
-    def named(i: int, n: str, p: str) -> Column:
-        hit = lambda h: F.struct(F.lit(i).alias("priority"), F.lit(n).alias("name"), h["start"].alias("start"), h["end"].alias("end"), h["match"].alias("match"))
-        return F.transform(match_offsets(F.col(text), p), hit)
-
-    hits = [named(i, n, p) for i, (n, p) in enumerate(patterns)]
-    rows = df.select(*keep, F.col(text).alias("_text"), F.explode(F.flatten(F.array(*hits))).alias("_hit"))
+    rows = df.select(*keep, F.col(text).alias("_text"), F.explode(all_hits(F.col(text), patterns)).alias("_hit"))
     return rows.select(*keep, "_text", "_hit.*")
 
 

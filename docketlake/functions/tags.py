@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
+from .matches import strip
 
 
 def words(values: list[str]) -> Column:
@@ -25,7 +26,7 @@ def contains_any(text: Column, terms: list[str]) -> Column:
 
 def tag_set(tags: Column) -> Column:
     """Distinct trimmed lower-case tags; null gives the empty set."""
-    clean = F.transform(F.filter(tags, lambda x: x.isNotNull()), lambda x: F.lower(F.trim(x)))
+    clean = F.transform(F.filter(tags, lambda x: x.isNotNull()), lambda x: F.lower(strip(x)))
     return F.coalesce(F.array_distinct(clean), F.array().cast("array<string>"))
 
 
@@ -88,6 +89,43 @@ def nuclear_waste(tags: Column, sponsor: Column, agency: Column, title: Column,
     return about & (named | contains_any(agency, fixed.WASTE_AGENCIES))
 
 
+def excluded(df: DataFrame, military: DataFrame | None = None) -> DataFrame:
+    """Clean projects that only serve other ends become 'Other' in both energy columns.
+
+    They are listed by ``military`` (project_id), flagged as utilities to exclude or as nuclear waste
+    (``project_nuclear_waste_to_exclude``). Adds ``project_military_to_exclude``.
+    """
+    ids = df.sparkSession.createDataFrame([], "project_id string") if military is None else military
+    marked = df.join(ids.select("project_id").distinct().withColumn("_military", F.lit(True)), "project_id", "left")
+    marked = marked.withColumn("project_military_to_exclude", F.coalesce("_military", F.lit(False))).drop("_military")
+    flags = [F.coalesce(c, F.lit(False)) for c in ("project_military_to_exclude", "project_utilities_to_exclude", "project_nuclear_waste_to_exclude")]
+    drop = (F.col("project_energy_type") == "Clean") & any_of(flags)
+    kinds = {c: F.when(drop, "Other").otherwise(F.col(c)) for c in ("project_energy_type", "project_energy_type_strict")}
+    return marked.withColumns(kinds)
+
+
+def notebook_clean(tags: Column) -> Column:
+    """Any tag of a short list, as written."""
+    return F.coalesce(F.arrays_overlap(tags, words(fixed.NOTEBOOK_CLEAN)), F.lit(False))
+
+
+def tag_label(value: Column, sep: str = ", ") -> Column:
+    """JSON array text as one label."""
+    return F.array_join(json_list(value), sep)
+
+
+def split_tags(value: Column) -> Column:
+    """Parts of a plain or JSON text of several values, also divided at bars; null for none."""
+    bars = F.split(F.array_join(json_list(value), "|"), r"\|")
+    return F.when(F.size(json_list(value)) > 0, bars)
+
+
+def first_value(value: Column) -> Column:
+    """First element of JSON array text, or the whole text."""
+    quoted = F.nullif(F.regexp_extract(value, r'(?<=\[")[^"]+', 0), F.lit(""))
+    return F.coalesce(quoted, value)
+
+
 def department(agency: Column) -> Column:
     out = F.lit(fixed.DEPARTMENT_OTHER)
     for name in reversed(fixed.DEPARTMENT_NAMES):
@@ -100,7 +138,7 @@ def department(agency: Column) -> Column:
 def json_list(value: Column) -> Column:
     """JSON array text, or a plain scalar, as an array; blank and null as the empty one."""
     parsed = F.when(value.startswith("["), F.from_json(value, "array<string>"))
-    plain = F.when(F.trim(value) != "", F.array(value))
+    plain = F.when(strip(value) != "", F.array(value))
     return F.coalesce(parsed, plain, F.array().cast("array<string>"))
 
 
@@ -110,7 +148,7 @@ def multiple(values: Column) -> Column:
 
 def document_category(kind: Column, file_name: Column | None = None) -> Column:
     """Category by type; by file name only where the type is in no list."""
-    upper = F.upper(F.trim(kind))
+    upper = F.upper(strip(kind))
     names = F.lit("other")
     if file_name is not None:
         for category in ("appendix", "draft", "final", "decision"):

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..functions.matches import around, find_all, has_any
+from ..functions.matches import all_hits, around, first_of, has_any, match_offsets, strip
 from ..functions.tags import any_of
 
 PATTERNS = [(name, f"(?i){p}") for name, p, _ in fixed.DATE_PATTERNS]
+SENTENCE = r"[^.!?\n]*(?:[.!?]+|\n+)|[^.!?\n]+"
+REACH = 40  # sentences on either side that can be needed to fill a context of 80 characters
 
 
 def parsed_date(match: Column, name: Column) -> Column:
@@ -39,14 +41,27 @@ def context_type(text: Column, start: Column, end: Column, window: int = 100) ->
     return out
 
 
+def dated_hits(text: Column, years: tuple[int, int], window: int) -> Column:
+    """Matches of all date patterns with their ``date``, without impossible days, other years, statutes and citations."""
+
+    def dated(h: Column) -> Column:
+        fields = [h[f].alias(f) for f in ("priority", "name", "start", "end", "match")]
+        return F.struct(*fields, parsed_date(h["match"], h["name"]).alias("date"))
+
+    good = lambda h: F.year(h["date"]).between(*years) & ~statute_like(text, h["start"], h["end"], window)
+    return F.filter(F.transform(all_hits(text, PATTERNS), dated), good)
+
+
 def extract_dates(pages: DataFrame, text: str, keep: list[str], years: tuple[int, int] = (1990, 2030)) -> DataFrame:
-    """One row per page and date: keep..., date, match, start, context. The first match by pattern, then place, wins."""
-    found = find_all(pages, text, PATTERNS, keep)
-    found = found.withColumn("date", parsed_date(F.col("match"), F.col("name"))).where(F.year("date").between(*years))
-    found = found.where(~statute_like(F.col("_text"), F.col("start"), F.col("end")))
-    first = Window.partitionBy(*keep, "date").orderBy("priority", "start")
-    found = found.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return found.select(*keep, "date", "match", "start", context_type(F.col("_text"), F.col("start"), F.col("end")).alias("context"))
+    """One row per page and date: keep..., date, match, start, context. The first match by pattern, then place, wins.
+
+    All of it happens inside a page's row; nothing is shuffled. Rows are told apart by place, not by ``keep``.
+    """
+    hits = first_of(dated_hits(F.col("_text"), years, 50), "date")
+    rows = pages.select(*keep, F.col(text).alias("_text")).where(F.col("_text").rlike(r"\d\d"))
+    rows = rows.select(*keep, "_text", F.explode(hits).alias("_hit"))
+    kind = context_type(F.col("_text"), F.col("_hit.start"), F.col("_hit.end"))
+    return rows.select(*keep, "_hit.date", "_hit.match", "_hit.start", kind.alias("context"))
 
 
 def priority_documents(documents: DataFrame, category: str = "category") -> DataFrame:
@@ -59,6 +74,16 @@ def priority_documents(documents: DataFrame, category: str = "category") -> Data
     return documents.withColumn("_rank", rank).withColumn("_best", best).where("_rank = _best").drop("_rank", "_best")
 
 
+def first_pages(documents: DataFrame, pages: DataFrame, n: int, main: bool = True) -> DataFrame:
+    """Per project the first ``n`` pages, of its main documents where it has any (``main``)."""
+    if main:
+        has = F.max(F.col("main_document").eqNullSafe("YES")).over(Window.partitionBy("project_id"))
+        documents = documents.withColumn("_has", has).where(~F.col("_has") | F.col("main_document").eqNullSafe("YES")).drop("_has")
+    rows = pages.join(documents.select("project_id", "document_id"), "document_id")
+    order = Window.partitionBy("project_id").orderBy("document_id", "page_number")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
 def merge_dates(dates: DataFrame) -> DataFrame:
     """One row per project and date: the first known context by document and page, else the first."""
     order = Window.partitionBy("project_id", "date").orderBy(F.col("context") == "unknown", "document_id", "page_number", "start")
@@ -97,70 +122,83 @@ def timelines(projects: DataFrame, documents: DataFrame, merged: DataFrame) -> D
 
 
 def normalize_date(value: Column, years: tuple[int, int] = (1950, 2030)) -> Column:
-    """Free date text of a model's answer as a date; null where no form fits."""
-    forms = [
-        (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-        (r"^[A-Za-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    ]
-    value = F.trim(value)
-    out = F.coalesce(*[F.when(value.rlike(p), F.to_date(F.try_to_timestamp(value, F.lit(f)))) for p, f in forms])
+    """Numeric date text of a model's answer as a date; null where no form fits. Two-digit years from 69 are of 19xx."""
+    value = strip(value)
+    out = F.lit(None).cast("date")
+    for pattern, form in fixed.REPLY_DATES:
+        read = F.to_date(F.try_to_timestamp(value, F.lit(form)))
+        if form.endswith("/yy"):
+            read = F.when(F.year(read) >= 2069, F.add_months(read, -1200)).otherwise(read)
+        out = F.coalesce(out, F.when(value.rlike(pattern), read))
     return F.when(F.year(out).between(*years), out)
 
 
-def sentences(text: Column) -> Column:
-    """array<string> of sentences with their terminators; blank ones dropped."""
-    parts = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+(?:[.!?]+|\n|$)"), F.lit(0))
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+def spans(text: Column) -> Column:
+    """array<struct<start,end,sentence>>: stretches up to a full stop or line break; blank ones dropped."""
+    parts = F.transform(match_offsets(text, SENTENCE), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), strip(h["match"]).alias("sentence")))
+    return F.filter(parts, lambda s: s["sentence"] != "")
 
 
 def expanded_context(parts: Column, at: Column, least: int = 80) -> Column:
-    """Sentence ``at`` (0-based), widened by the previous then the next sentence in turn until long enough."""
-
-    def wide(c: Column) -> Column:
-        return F.array_join(F.slice(parts, c["lo"] + 1, c["hi"] - c["lo"] + 1), " ")
+    """Sentence ``at`` (0-based) of an array, widened by the previous then the next sentence in turn until long enough."""
 
     def step(c: Column, i: Column) -> Column:
-        enough = F.length(wide(c)) >= least
-        back = ((i % 2 == 0) & (c["lo"] > 0)) | (c["hi"] >= F.size(parts) - 1)
-        lo = F.when(enough, c["lo"]).when(back, F.greatest(c["lo"] - 1, F.lit(0))).otherwise(c["lo"])
-        hi = F.when(enough | back, c["hi"]).otherwise(F.least(c["hi"] + 1, F.size(parts) - 1))
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
+        short = c["size"] < least
+        back, ahead = short & (i % 2 == 0) & (c["lo"] > 0), short & (i % 2 == 1) & (c["hi"] < F.size(parts) - 1)
+        lo, hi = F.when(back, c["lo"] - 1).otherwise(c["lo"]), F.when(ahead, c["hi"] + 1).otherwise(c["hi"])
+        more = F.when(back, F.length(F.get(parts, lo)) + 1).when(ahead, F.length(F.get(parts, hi)) + 1).otherwise(0)
+        return F.struct(lo.alias("lo"), hi.alias("hi"), (c["size"] + more).alias("size"))
+
+    begin = F.struct(at.cast("int").alias("lo"), at.cast("int").alias("hi"), F.length(F.get(parts, at)).alias("size"))
+    span = F.aggregate(F.sequence(F.lit(0), F.lit(2 * REACH - 1)), begin, step)
+    wide = F.array_join(F.slice(parts, span["lo"] + 1, span["hi"] - span["lo"] + 1), " ")
+    return strip(F.regexp_replace(wide, r"\s+", " "))
+
 
-    start = F.struct(at.cast("int").alias("lo"), at.cast("int").alias("hi"))
-    span = F.aggregate(F.sequence(F.lit(0), F.size(parts) * 2), start, step)
-    return F.regexp_replace(wide(span), r"\s+", " ")
+def _excluded(context: Column) -> Column:
+    return any_of([context.rlike(f"(?i){p}") for p in fixed.CONTEXT_EXCLUSIONS])
 
 
 def hybrid_candidates(texts: DataFrame, text: str, keep: list[str], years: tuple[int, int] = (1950, 2030)) -> DataFrame:
-    """Dates with their sentence as context, kept only with a decision or initiation cue.
+    """Dates with their sentences as context, kept only with a decision or initiation cue: keep..., date, match, context, position, position_pct.
 
-    One row per date and per context (collapsed, lower-cased), the first by pattern and place. A sentence
-    with an initiation cue and no date lends its cue to the dates of the next sentence.
+    Dates are found in the whole text, then placed in a sentence. In the order of patterns and places
+    a date is taken if neither it nor its context was taken before. Then a sentence with an
+    initiation cue and no date lends its cue to the dates of the next sentence.
     """
-    parts = sentences(F.col(text))
-    rows = texts.select(*keep, F.length(text).alias("_chars"), parts.alias("_parts"), F.posexplode(parts).alias("_i", "_sentence"))
-    rows = rows.withColumn("_before", F.when(F.col("_i") > 0, F.get("_parts", F.col("_i") - 1)))
-    rows = rows.withColumn("_after", F.get("_parts", F.col("_i") + 1))
-    rows = rows.withColumn("_context", expanded_context(F.col("_parts"), F.col("_i"))).drop("_parts")
-    rows = rows.where(~any_of([F.col("_context").rlike(f"(?i){p}") for p in fixed.CONTEXT_EXCLUSIONS]))
-    found = find_all(rows, "_sentence", PATTERNS, [*keep, "_i", "_context", "_before", "_after"])
-    found = found.withColumn("date", parsed_date(F.col("match"), F.col("name"))).where(F.year("date").between(*years))
-    ahead = F.concat(F.coalesce("_before", F.lit("")), F.lit(" "))
-    whole = F.concat(ahead, F.col("_text"), F.lit(" "), F.coalesce("_after", F.lit("")))
-    found = found.where(~statute_like(whole, F.col("start") + F.length(ahead), F.col("end") + F.length(ahead), 30))
+    body = F.col("_text")
+    rows = texts.select(*keep, F.col(text).alias("_text")).where(body.rlike(r"\d\d"))
+    rows = rows.withColumn("_spans", spans(body)).withColumn("_hits", dated_hits(body, years, 30)).where(F.size("_hits") > 0)
+    sentences = F.col("_spans")
+
+    def placed(h: Column) -> Column:
+        at = F.size(F.filter(sentences, lambda s: s["start"] <= h["start"])) - 1
+        return F.struct(h["start"].alias("start"), h["match"].alias("match"), h["date"].alias("date"), at.alias("at"))
+
+    def told(h: Column) -> Column:
+        first = F.greatest(h["at"] - REACH, F.lit(0))
+        near = F.transform(F.slice(sentences, first + 1, F.lit(2 * REACH + 1)), lambda s: s["sentence"])
+        before = F.when(h["at"] > 0, F.get(near, h["at"] - first - 1))
+        both = strip(F.regexp_replace(F.concat_ws(" ", before, F.get(near, h["at"] - first)), r"\s+", " "))
+        return F.struct(*[h[f].alias(f) for f in ("start", "match", "date", "at")], expanded_context(near, h["at"] - first).alias("context"), before.alias("before"), both.alias("both"))
+
+    rows = rows.withColumn("_hits", F.transform("_hits", placed)).withColumn("_hits", F.filter(F.transform("_hits", told), lambda h: ~_excluded(h["context"])))
+    hits = F.col("_hits")
     cues = fixed.DECISION_CUES + fixed.INITIATION_CUES
-    dated = Window.partitionBy(*keep)
-    lent = F.col("_before").isNotNull() & has_any(F.col("_before"), fixed.INITIATION_CUES) & ~F.array_contains(F.col("_with_date"), F.col("_i") - 1)
-    found = found.withColumn("_with_date", F.collect_set("_i").over(dated))
-    own = has_any(F.col("_context"), cues)
-    found = found.where(own | lent).withColumn("_own", own)
-    context = F.when(F.col("_own"), F.col("_context")).otherwise(F.concat_ws(" ", "_before", "_text"))
-    found = found.withColumn("context", F.regexp_replace(context, r"\s+", " "))
-    order = [F.col("_own").desc(), "priority", "_i", "start"]
-    one = Window.partitionBy(*keep, F.lower("context")).orderBy(*order)
-    found = found.withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    one = Window.partitionBy(*keep, "date").orderBy(*order)
-    return found.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*keep, "date", "match", "context", F.col("_i").cast("long").alias("sentence"))
+    item = lambda h, context: F.struct(h["date"].alias("date"), h["match"].alias("match"), context.alias("context"), h["start"].alias("position"))
+    own = F.transform(F.filter(hits, lambda h: has_any(h["context"], cues)), lambda h: item(h, h["context"]))
+    dated = F.transform(hits, lambda h: h["at"])
+    lends = lambda h: h["before"].isNotNull() & has_any(h["before"], fixed.INITIATION_CUES) & ~F.array_contains(dated, h["at"] - 1) & ~_excluded(h["both"])
+    late = F.transform(F.filter(hits, lends), lambda h, i: F.struct(h["at"].alias("at"), i.alias("i"), item(h, h["both"]).alias("item")))
+    late = F.transform(F.array_sort(late), lambda x: x["item"])
+
+    def take(kept: Column, h: Column) -> Column:
+        known = F.exists(kept, lambda k: (k["date"] == h["date"]) | (F.lower(k["context"]) == F.lower(h["context"])))
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(h)))
+
+    none = F.array().cast("array<struct<date:date,match:string,context:string,position:int>>")
+    rows = rows.select(*keep, F.length("_text").alias("_n"), F.explode(F.aggregate(F.concat(own, late), none, take)).alias("_c"))
+    return rows.select(*keep, "_c.date", "_c.match", "_c.context", "_c.position", (F.col("_c.position") / F.col("_n") * 100).alias("position_pct"))
 
 
 def duration_bucket(days: Column) -> Column:

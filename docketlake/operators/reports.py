@@ -63,14 +63,19 @@ def tag_rows(df: DataFrame, tags: str, key: str = "project_id") -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(tags)).alias("tag"))
 
 
+def tag_pairs(df: DataFrame, tags: str, listed: list[str] | None = None, key: str = "project_id") -> DataFrame:
+    """(key, tag, other) for each listed tag of a row and every other tag of it, from the row's own array: no join, no shuffle."""
+    every = F.array_distinct(tags)
+    rows = df.select(key, every.alias("_all"), F.explode(every).alias("tag"))
+    if listed is not None:
+        rows = rows.where(F.col("tag").isin(listed))
+    return rows.select(key, "tag", F.explode("_all").alias("other")).where("tag <> other")
+
+
 def cooccurrence(df: DataFrame, tags: str, listed: list[str], least: float = 5.0) -> DataFrame:
     """For each listed tag the other tags of its projects: count and percent of the tag's projects above ``least``."""
-    rows = tag_rows(df, tags)
-    mine = rows.where(F.col("tag").isin(listed))
-    total = mine.groupBy("tag").agg(F.count(F.lit(1)).alias("total"))
-    a, b = mine.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.tag") != F.col("b.tag")))
-    n = pairs.groupBy(F.col("a.tag").alias("tag"), F.col("b.tag").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    total = tag_rows(df, tags).where(F.col("tag").isin(listed)).groupBy("tag").agg(F.count(F.lit(1)).alias("total"))
+    n = tag_pairs(df, tags, listed).groupBy("tag", "other").agg(F.count(F.lit(1)).alias("n"))
     out = n.join(total, "tag").withColumn("pct", F.round(F.col("n") * 100.0 / F.col("total"), 1))
     return out.where(F.col("pct") > least)
 
@@ -112,7 +117,96 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42, strata: list[str] |
 
 
 def top_with_ties(df: DataFrame, column: str, n: int) -> DataFrame:
-    return df.withColumn("_r", F.rank().over(Window.orderBy(F.col(column).desc()))).where(F.col("_r") <= n).drop("_r")
+    """The rows whose value is not below the n-th largest; only n values meet in one task."""
+    least = df.select(column).orderBy(F.col(column).desc_nulls_last()).limit(n).agg(F.min(column).alias("_least"))
+    return df.join(F.broadcast(least), F.col(column) >= F.col("_least")).drop("_least")  # one row
+
+
+def sorted_crosstab(df: DataFrame, key: str, column: str = "process_type", values: list[str] = PROCESSES) -> DataFrame:
+    """A crosstab with the largest totals first, ties by key, and a row of sums at the end."""
+    return with_totals(crosstab(df, key, column, values), key).orderBy("is_total", F.col("Total").desc(), key)
+
+
+def tag_frequencies(df: DataFrame, column: str) -> DataFrame:
+    """Words of list texts such as '["a", "b"]', split at every comma, the most frequent first."""
+    bare = F.regexp_replace(column, r'[\[\]"]', "")
+    rows = df.select(F.explode(F.split(bare, ",")).alias("tag")).select(F.trim("tag").alias("tag")).where("tag <> ''")
+    return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "tag")
+
+
+def strict_against_broad(df: DataFrame, broad: str = "project_energy_type", strict: str = "project_energy_type_strict") -> DataFrame:
+    """One row: clean projects by both rules, how many the strict one leaves out, and the percent."""
+    row = df.agg(F.count_if(F.col(broad) == "Clean").alias("broad"), F.count_if(F.col(strict) == "Clean").alias("strict"))
+    return row.select("broad", "strict", (F.col("broad") - F.col("strict")).alias("excluded"), F.round(F.try_divide((F.col("broad") - F.col("strict")) * 100, "broad"), 4).alias("pct"))
+
+
+def timeline_quality(df: DataFrame) -> DataFrame:
+    """One row of counts and percents over timelines: dates, year, duration, long ones, flagged."""
+    days = F.col("duration_days")
+    parts = {
+        "with_dates": F.col("earliest").isNotNull(), "with_year": F.col("year").isNotNull(), "with_duration": days > 0, "over_5_years": days > 5 * 365,
+        "over_10_years": days > 10 * 365, "flagged": F.col("needs_review"),
+    }
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in parts.items()])
+    return row.select("n", *parts, *[F.round(F.try_divide(F.col(k) * 100, "n"), 4).alias(f"pct_{k}") for k in parts])
+
+
+def sample_documents(projects: DataFrame, documents: DataFrame, pages: DataFrame, preview: int = 500) -> DataFrame:
+    """Documents of the given projects with their number of pages and the beginning of the first one."""
+    own = documents.join(projects.select("project_id").distinct(), "project_id", "left_semi")
+    rows = pages.join(own.select("document_id").distinct(), "document_id", "left_semi")
+    n = rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_pages"), F.min(F.struct("page_number", F.substring("page_text", 1, preview).alias("t"))).alias("f"))
+    return own.join(n, "document_id", "left").select("project_id", "document_id", "document_type", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.col("f.t").alias("preview"))
+
+
+def tag_candidates(df: DataFrame, tags: str, both: tuple[str, str], but: Column | None = None, order: str = "project_department") -> DataFrame:
+    """Projects whose tags contain both words (in any case) and that a flag does not leave out, by department."""
+    text = F.lower(F.array_join(tags, "; "))
+    rows = df.where(F.contains(text, F.lit(both[0].lower())) & F.contains(text, F.lit(both[1].lower())))
+    return (rows if but is None else rows.where(~F.coalesce(but, F.lit(False)))).orderBy(order, "project_id")
+
+
+def eligible_group(df: DataFrame, key: str, least: int, n: int = 1, seed: int = 42) -> DataFrame:
+    """``n`` keys of those with at least ``least`` rows, in a seeded order."""
+    return sample(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), key, n, seed)
+
+
+def per_project_strata(documents: DataFrame) -> DataFrame:
+    """Projects by number of documents in strata 1, 2, 3-5, 6+: count and percent."""
+    n = documents.groupBy("project_id").agg(F.count(F.lit(1)).alias("d"))
+    stratum = F.when(F.col("d") == 1, "1").when(F.col("d") == 2, "2").when(F.col("d") <= 5, "3-5").otherwise("6+")
+    out = n.select(stratum.alias("stratum")).groupBy("stratum").agg(F.count(F.lit(1)).alias("projects"))
+    return out.withColumn("pct", F.round(share(F.col("projects")), 4))
+
+
+def match_rates(compared: DataFrame, columns: list[str]) -> DataFrame:
+    """Of ``compare``: per column how many keys have both values, how many agree, and the percent."""
+    parts = [F.struct(F.lit(c).alias("column"), F.col(f"match_{c}").alias("m")) for c in columns]
+    rows = compared.select(F.explode(F.array(*parts)).alias("x")).select("x.column", "x.m")
+    n = rows.groupBy("column").agg(F.count("m").alias("both"), F.count_if("m").alias("agree"))
+    return n.withColumn("pct", F.round(F.try_divide(F.col("agree") * 100, "both"), 4))
+
+
+def multi_value_table(df: DataFrame, column: str, sep: str = ", ") -> DataFrame:
+    """Crosstab of rows with several values by the list of them, largest first, without the first row; labelled by the values."""
+    rows = df.where(F.size(column) > 1).withColumn("_list", F.to_json(column))
+    table = crosstab(rows, "_list").join(rows.select("_list", F.array_join(column, sep).alias("label")).distinct(), "_list")
+    ranked = table.withColumn("_r", F.row_number().over(Window.orderBy(F.col("Total").desc(), "_list")))  # one row for each list
+    return ranked.where("_r > 1").select("label", *PROCESSES, "Total")
+
+
+def places_by_latitude(lists: DataFrame, places: DataFrame, key: str = "list_id", values: str = "states", weight: str = "n") -> DataFrame:
+    """Per list its places from south to north and its weight, which is the same in all of its rows."""
+    rows = lists.select(key, weight, F.explode(values).alias("name")).join(F.broadcast(places), "name")  # a table of places
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("lat", "name"))), lambda x: x["name"])
+    return rows.groupBy(key).agg(ordered.alias("ordered"), F.max(weight).alias(weight))
+
+
+def top_connections(df: DataFrame, column: str, kinds: str, n: int = 10, sep: str = " - ") -> DataFrame:
+    """The ``n`` most frequent lists of several values: label, process counts, and their kinds in falling frequency."""
+    rows = df.where(F.size(column) > 1).withColumn("label", F.array_join(column, sep))
+    top = crosstab(rows, "label").orderBy(F.col("Total").desc(), "label").limit(n)
+    return top.join(frequent_first(rows, "label", kinds).withColumnRenamed("values", "kinds"), "label", "left")
 
 
 def compare(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.matches import find_all, merge_windows
+from ..functions.matches import find_all, merge_windows, strip
 
 SEPARATOR = "\n\n[...]\n\n"
 
@@ -27,7 +27,7 @@ def snippets(df: DataFrame, text: str, keep: list[str], bank: list[tuple[str, st
         F.min("_lo").alias("start"), F.max("_hi").alias("end"), F.first("_text").alias("_text"),
         F.array_sort(F.collect_set("name")).alias("categories"), F.array_sort(F.collect_set("match")).alias("keywords"),
     )
-    body = F.trim(F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")))
+    body = strip(F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")))
     body = F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), " {3,}", "  ")
     return merged.select(*keep, "start", "end", body.alias("snippet"), "categories", "keywords")
 
@@ -61,6 +61,41 @@ def term_counts(df: DataFrame, text: str, category: str, least: int = 5) -> Data
     return n.join(total, "term")
 
 
+def keyword_table(spark: SparkSession) -> DataFrame:
+    """The keyword bank: category, pattern, and the number of patterns of the category."""
+    rows = [(c, p, len(ps)) for c, ps in fixed.SNIPPET_PATTERNS.items() for p in ps]
+    return spark.createDataFrame(rows, "category string, pattern string, n_patterns int")
+
+
+def keyword_matches(df: DataFrame, text: str, keep: list[str], bank: list[tuple[str, str]] | None = None) -> DataFrame:
+    """All matches of a bank by category: keep..., category, matches."""
+    found = find_all(df, text, bank or keyword_bank(), keep)
+    listed = F.array_sort(F.collect_list(F.struct("priority", "start", "match")))
+    return found.groupBy(*keep, F.col("name").alias("category")).agg(F.transform(listed, lambda x: x["match"]).alias("matches"))
+
+
+def document_pages(documents: DataFrame, pages: DataFrame, document_id: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """The pages of one document in order, with its title and type; the filter reaches both scans."""
+    own = pages.where(F.col("document_id") == document_id).where(F.col("page_number") >= first)
+    if last is not None:
+        own = own.where(F.col("page_number") <= last)
+    about = documents.where(F.col("document_id") == document_id).select("document_id", "document_type", "file_name")
+    return own.join(about, "document_id").select("document_id", "document_type", "file_name", "page_number", "page_text").orderBy("page_number")
+
+
+def project_pages(documents: DataFrame, pages: DataFrame, project_id: str) -> DataFrame:
+    """The pages of all documents of a project, main documents first."""
+    own = documents.where(F.col("project_id") == project_id).select("project_id", "document_id", "main_document")
+    rows = own.join(pages, "document_id").withColumn("is_main", F.col("main_document").eqNullSafe("YES"))
+    return rows.select("project_id", "document_id", "is_main", "page_number", "page_text").orderBy(F.col("is_main").desc(), "document_id", "page_number")
+
+
+def document_prompt(text: Column) -> Column:
+    """Prompt over a whole (reduced) document for all of its dates."""
+    ask = "List every date of the document below with its type (decision, application, specialist_review, historical, expiration, other), source and confidence."
+    return F.concat(F.lit(f'{ask} Answer with JSON: {{"dates": [{{"date": "YYYY-MM-DD", "type": "", "source": "", "confidence": ""}}]}}\n\n'), text)
+
+
 def capacity_prompt(sentences: Column) -> Column:
     listed = F.transform(F.slice(sentences, 1, 5), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
     return F.concat(F.lit("Give the generation capacity as JSON with value, unit, confidence and source_quote.\n"), F.array_join(listed, "\n"))
@@ -72,28 +107,6 @@ def date_prompt(candidates: Column) -> Column:
     return F.concat(F.lit("Classify each date as decision, application, review, historical, expiration or other. Answer in JSON.\n"), F.array_join(listed, "\n"))
 
 
-def outer_json(text: Column) -> Column:
-    """From the first opening to the last closing brace."""
-    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-
-
-def parse_capacity(text: Column) -> Column:
-    """struct<capacity_value,capacity_unit,confidence,source_quote,parse_error> of a model's answer."""
-    flat = F.nullif(F.regexp_extract(text, r"\{[^{}]*\}", 0), F.lit(""))
-    got = F.from_json(flat, "capacity_value double, capacity_unit string, confidence string, source_quote string", {"mode": "PERMISSIVE"})
-    return F.struct(
-        got["capacity_value"].alias("capacity_value"), got["capacity_unit"].alias("capacity_unit"),
-        F.coalesce(got["confidence"], F.lit("low")).alias("confidence"), F.coalesce(got["source_quote"], F.lit("")).alias("source_quote"),
-        (flat.isNull() | got.isNull()).alias("parse_error"),
-    )
-
-
-def parse_dates(text: Column) -> Column:
-    """array<struct<date,type,confidence>> of a model's answer; empty where it cannot be read."""
-    got = F.from_json(outer_json(text), "dates array<struct<date:string,type:string,confidence:string>>")["dates"]
-    return F.coalesce(got, F.array().cast("array<struct<date:string,type:string,confidence:string>>"))
-
-
 def ask_model(df: DataFrame, key: str, prompt: str, client: Callable[[str], str], threads: int = 4) -> DataFrame:
     """(key, reply) by a pluggable client, ``threads`` requests at a time in a task; failures become text."""
     kind = dict(df.dtypes)[key]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed, places, tags
+from ..sources import ingest
 
 # tag of each part type
 TYPE_TAGS = {
@@ -107,8 +108,27 @@ class Corpus:
         agency = F.array_join("lead_agency", " ")
         df = df.withColumn("project_nuclear_waste_to_exclude", tags.nuclear_waste(F.col("project_type"), F.col("project_sponsor"), agency, F.col("project_title")))
         df = df.withColumn("project_department", tags.department(F.get("lead_agency", F.lit(0)))).withColumns(places.location_columns(F.col("project_location")))
-        drop = (F.col("project_energy_type") == "Clean") & (F.col("project_utilities_to_exclude") | F.col("project_nuclear_waste_to_exclude"))
-        return df.withColumn("energy", F.when(drop, "Other").otherwise(F.col("project_energy_type")))
+        ruled = tags.excluded(df.withColumn("_kind", F.col("project_energy_type")).withColumn("_strict", F.col("project_energy_type_strict")))
+        names = {"energy": F.col("project_energy_type"), "energy_strict": F.col("project_energy_type_strict"), "project_energy_type": F.col("_kind"), "project_energy_type_strict": F.col("_strict")}
+        return ruled.withColumns(names).drop("_kind", "_strict")
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """The corpus as nested records, through JSON text and the declared schema."""
+        v = lambda c: F.struct(c.cast("string").alias("value"))
+        pages = self.pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page_number").alias("page number"), F.col("page_text").alias("page text")))).alias("pages"))
+        docs = self.documents.join(pages, "document_id", "left")
+        about = F.struct(v(F.col("document_id")).alias("document_ID"), v(F.col("document_type")).alias("document_type"))
+        file = F.struct(v(F.col("file_name")).alias("file_name"), v(F.col("total_pages")).alias("total_pages"), v(F.col("main_document")).alias("main_document"))
+        one = F.struct(F.struct(about.alias("document_metadata"), file.alias("file_metadata")).alias("metadata"), F.coalesce("pages", F.array().cast("array<struct<`page number`:bigint,`page text`:string>>")).alias("pages"))
+        docs = docs.groupBy("project_id").agg(F.collect_list(one).alias("documents"))
+        project = F.struct(
+            v(F.col("project_id")).alias("project_ID"), v(F.col("project_title")).alias("project_title"), v(F.col("project_sponsor")).alias("project_sponsor"),
+            F.struct(F.col("project_type").alias("value")).alias("project_type"), F.struct(F.array("project_location").alias("value")).alias("location"),
+        )
+        process = F.struct(v(F.col("process_type")).alias("process_type"), F.struct(F.col("lead_agency").alias("value")).alias("lead_agency"))
+        rows = self.projects.join(docs, "project_id", "left").select(F.to_json(F.struct(project.alias("project"), process.alias("process"), "documents")).alias("line"))
+        return rows.select(F.from_json("line", ingest.RECORD).alias("r")).select("r.*")
 
     @cached_property
     def page_dates(self) -> DataFrame:
@@ -171,6 +191,7 @@ WITH of AS (
   SELECT *, project_is_utilities_broadband_only OR (list_has_any(s, {_sql_list(fixed.FOSSIL)}) AND list_has_any(s, {_sql_list(fixed.CLEAN)})) AS project_energy_type_questions,
     CASE WHEN project_is_utilities_broadband_only OR project_is_nuclear_tech_only THEN 'Other' ELSE project_energy_type END AS project_energy_type_strict,
     CASE WHEN project_energy_type = 'Clean' AND (project_utilities_to_exclude OR project_nuclear_waste_to_exclude) THEN 'Other' ELSE project_energy_type END AS energy,
+    CASE WHEN project_is_utilities_broadband_only OR project_is_nuclear_tech_only OR (project_energy_type = 'Clean' AND (project_utilities_to_exclude OR project_nuclear_waste_to_exclude)) THEN 'Other' ELSE project_energy_type END AS energy_strict,
     len(s) AS project_type_count, len(list_intersect(s, {_sql_list(fixed.CLEAN)})) AS project_type_count_clean, len(list_intersect(s, {_sql_list(fixed.FOSSIL)})) AS project_type_count_fossil,
     CASE lead_agency[1] WHEN 'Department of Energy - Office of Electricity' THEN 'Department of Energy' WHEN 'Department of the Interior - BLM' THEN 'Department of the Interior'
       WHEN 'Unlisted Office' THEN 'Other / Unclassified' ELSE lead_agency[1] END AS project_department

@@ -10,11 +10,16 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed, places, tags
 from ..functions.matches import match_offsets, merge_windows
-from ..operators import capacity, dates, reports, snippets
+from ..operators import capacity, dates, reports, runs, snippets
+from ..sources import ingest
+from .cases import CASES
 from .derived import SQL_BASE, STATE_NAMES, TYPE_TAGS, Corpus, _sql_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _name, (_made, _text) in CASES.items():
+    QUERIES[_name] = lambda spark, sf_dir, made=_made: made(Corpus(spark, sf_dir))
+    ORACLES[_name] = _text
 
 
 def query(sql: str | None, base: bool = True):
@@ -37,24 +42,31 @@ _FLAGS = ["project_energy_type_questions", "project_is_utilities_broadband_only"
 # scans, projections, filters
 
 
-@query("SELECT project_id, dataset_source, project_title, array_to_string(project_type, ';') AS project_type, project_sponsor, project_location FROM projects")
-def s1_projects(c):
-    return c.projects.select("project_id", "dataset_source", "project_title", joined("project_type").alias("project_type"), "project_sponsor", "project_location")
+@query("SELECT project_id, project_title, array_to_string(project_type, ';') AS project_type, project_sponsor, project_location, '' AS project_description FROM projects")
+def s1_p1_projects(c):
+    p = ingest.projects(c.records)
+    return p.select("project_id", "project_title", joined("project_type").alias("project_type"), "project_sponsor", joined("project_location").alias("project_location"), "project_description")
 
 
-@query("SELECT document_id, page_number, page_text FROM pages_ WHERE document_id = 'D100-1'")
+@query("SELECT project_id, process_type, array_to_string(lead_agency, ';') AS lead_agency, '' AS process_family FROM projects")
+def s1_processes(c):
+    return ingest.processes(c.records).select("project_id", "process_type", joined("lead_agency").alias("lead_agency"), "process_family")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 100 AND l_linenumber = 1", base=False)
 def s3_pushed_filter(c):
-    return c.pages.where("document_id = 'D100-1'")
+    # a stored column against a literal: both tests reach the Parquet scan
+    return c.table("lineitem").where("l_orderkey = 100 and l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT project_id, document_id, document_type, file_name, main_document, total_pages FROM documents_")
+@query("SELECT project_id, document_id, coalesce(document_type, '') AS document_type, file_name, coalesce(main_document, '') AS main_document, total_pages::VARCHAR AS total_pages FROM documents_ JOIN projects USING (project_id)")
 def p2_documents(c):
-    return c.documents.select("project_id", "document_id", "document_type", "file_name", "main_document", "total_pages")
+    return ingest.documents(c.records).select("project_id", "document_id", "document_type", "file_name", "main_document", "total_pages")
 
 
-@query("SELECT document_id, page_number, page_text FROM pages_")
+@query("SELECT document_id, page_number, page_text FROM pages_ JOIN projects USING (project_id)")
 def p3_pages(c):
-    return c.pages
+    return ingest.pages(c.records)
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.value'), props) AS raw_id FROM events", base=False)
@@ -161,11 +173,22 @@ def c10_waste(c):
     return c.tagged.select("project_id", "project_nuclear_waste_to_exclude")
 
 
-@query("SELECT project_id, k % 7 = 0 AS military, CASE WHEN energy = 'Clean' AND k % 7 = 0 THEN 'Other' ELSE energy END AS energy FROM tagged")
+@query("""SELECT project_id, k % 7 = 0 AS military, CASE WHEN energy = 'Clean' AND k % 7 = 0 THEN 'Other' ELSE energy END AS energy,
+  CASE WHEN project_energy_type = 'Clean' AND k % 7 = 0 THEN 'Other' ELSE energy_strict END AS strict FROM tagged""")
 def c9_c11_filters(c):
-    ids = c.projects.where("k % 7 = 0").select("project_id", F.lit(True).alias("m"))
-    df = c.tagged.join(ids, "project_id", "left").withColumn("military", F.coalesce("m", F.lit(False)))
-    return df.select("project_id", "military", F.when((F.col("energy") == "Clean") & F.col("military"), "Other").otherwise(F.col("energy")).alias("energy"))
+    ids = c.projects.where("k % 7 = 0").select("project_id")
+    df = tags.excluded(c.tagged.drop("project_military_to_exclude"), ids)
+    return df.select("project_id", F.col("project_military_to_exclude").alias("military"), F.col("project_energy_type").alias("energy"), F.col("project_energy_type_strict").alias("strict"))
+
+
+@query(f"SELECT project_id, coalesce(list_has_any(project_type, {_sql_list(fixed.NOTEBOOK_CLEAN)}), false) AS clean FROM projects")
+def c17_notebook_clean(c):
+    return c.projects.select("project_id", tags.notebook_clean(F.col("project_type")).alias("clean"))
+
+
+@query("SELECT document_id, CASE document_type WHEN 'ROD' THEN 'decision' WHEN 'FONSI' THEN 'decision' WHEN 'FEIS' THEN 'final' WHEN 'DEIS' THEN 'draft' ELSE 'other' END AS category FROM documents_")
+def c16_category_by_type(c):
+    return c.documents.select("document_id", tags.document_category(F.col("document_type")).alias("category"))
 
 
 @query("SELECT project_id, project_department FROM tagged")
@@ -184,12 +207,6 @@ def c15_doctype(c):
     return c.documents.select("document_id", "category")
 
 
-@query("SELECT p_partkey, lower(p_name) LIKE '%pipeline%' AS no_power, 27::BIGINT + CASE WHEN p_type = 'PROMO' THEN 6 ELSE 0 END AS n_terms FROM part", base=False)
-def c18_c19_terms(c):
-    tag = F.when(F.col("p_type") == "PROMO", TYPE_TAGS["PROMO"]).otherwise(F.lit("Broadband"))
-    return c.table("part").select("p_partkey", tags.non_power(F.col("p_name")).alias("no_power"), F.size(tags.capacity_terms(tag)).cast("long").alias("n_terms"))
-
-
 # joins
 
 
@@ -354,9 +371,7 @@ def a22_cooccur_top3(c):
 
 @query(_PAIRS + "SELECT a.tag, a.project_id, b.tag AS other FROM t a JOIN t b ON a.project_id = b.project_id AND a.tag <> b.tag WHERE a.tag = 'Broadband'")
 def a23_cooccur_detail(c):
-    rows = reports.tag_rows(c.projects, "project_type")
-    mine = rows.where("tag = 'Broadband'")
-    return mine.join(rows.withColumnRenamed("tag", "other"), "project_id").where("tag <> other").select("tag", "project_id", "other")
+    return reports.tag_pairs(c.projects, "project_type", ["Broadband"]).select("tag", "project_id", "other")
 
 
 @query("SELECT CASE WHEN project_type_count >= 5 THEN '5+' ELSE project_type_count::VARCHAR END AS tags, CASE WHEN project_type_count - project_type_count_clean >= 2 THEN '2+' ELSE (project_type_count - project_type_count_clean)::VARCHAR END AS other, count(*) AS n FROM tagged GROUP BY 1, 2")
@@ -377,10 +392,15 @@ def a26_state_county(c):
     return reports.nested_places(c.tagged.withColumn("first_state", F.get("project_state", F.lit(0))), "first_state", "project_county")
 
 
-@query(f"SELECT year(order_date)::BIGINT AS y, {_CROSS} FROM projects WHERE year(order_date) BETWEEN 1995 AND 2000 GROUP BY 1")
+@query(f"SELECT coalesce(y, 'Total') AS y, {_CROSS}, grouping(y)::INT AS is_total FROM (SELECT year(order_date)::VARCHAR AS y, process_type FROM projects WHERE year(order_date) BETWEEN 1995 AND 2000) GROUP BY ROLLUP (y)")
 def a28_year_process(c):
-    df = c.projects.withColumn("y", F.year("order_date").cast("long")).where("y between 1995 and 2000")
-    return reports.crosstab(df, "y")
+    df = c.projects.withColumn("y", F.year("order_date")).where("y between 1995 and 2000").withColumn("y", F.col("y").cast("string"))
+    return reports.with_totals(reports.crosstab(df, "y"), "y").orderBy("is_total", F.col("y").desc())
+
+
+@query(f"SELECT coalesce(project_department, 'Total') AS project_department, {_CROSS}, grouping(project_department)::INT AS is_total FROM tagged GROUP BY ROLLUP (project_department)")
+def o1_sorted_crosstab(c):
+    return reports.sorted_crosstab(c.tagged, "project_department")
 
 
 @query("""SELECT CASE WHEN y <= 1 THEN '<=1' WHEN y <= 2 THEN '1-2' WHEN y <= 5 THEN '2-5' WHEN y <= 10 THEN '5-10' ELSE '>10' END AS bucket, count(*) AS n
@@ -404,13 +424,39 @@ cap AS (
 """
 
 
+_MODEL_SQL = """, d AS (SELECT project_id, document_id, row_number() OVER (PARTITION BY project_id ORDER BY CASE document_type WHEN 'FEIS' THEN 1 WHEN 'DEIS' THEN 2 WHEN 'FONSI' THEN 5 WHEN '' THEN 5 WHEN 'ROD' THEN 6 WHEN 'OTHER' THEN 8 ELSE 10 END,
+  CASE main_document WHEN 'YES' THEN 0 WHEN 'NO' THEN 1 ELSE 3 END, document_id) AS i FROM documents_), n AS (SELECT d.project_id, least(count(*), 15) AS n FROM d JOIN (SELECT document_id FROM pages_) USING (document_id) WHERE i <= 3 GROUP BY 1)
+SELECT p.project_id, CASE WHEN n > 0 THEN 7.0 END AS capacity_value, CASE WHEN n > 0 THEN 'MW' END AS capacity_unit, CASE WHEN n > 0 THEN 'llm' ELSE 'no_documents' END AS extraction_method, coalesce(n, 0) AS n_candidates, coalesce(n, 0) AS pages_scanned FROM projects p LEFT JOIN n USING (project_id)"""
+
+
 def _capacity(c):
     return capacity.project_capacity(c.projects.select("project_id", "project_title"), c.documents, c.pages)
 
 
-@query(_CAPACITY + "SELECT * EXCLUDE (dataset_source) FROM cap")
+@query(_CAPACITY + """, texts AS (
+  SELECT project_id, 'power' AS kind, document_id, page_number, 0 AS o, CASE flag WHEN 'A' THEN qty::INT || ' MW' WHEN 'N' THEN size || ' kW' ELSE size || ' MW' END AS match FROM pages_
+  UNION ALL SELECT project_id, 'power', document_id, page_number, 1, CASE flag WHEN 'A' THEN 'generate ' || qty::INT || ' MW' ELSE 'rated ' || size || ' kW' END FROM pages_ WHERE flag <> 'R'
+  UNION ALL SELECT project_id, 'energy', document_id, page_number, 2, size || ' MWh battery' FROM pages_ WHERE flag = 'R'
+), used AS (SELECT * FROM texts WHERE document_id IN (SELECT document_id FROM documents_ WHERE main_document = 'YES') UNION ALL SELECT * FROM texts WHERE project_id NOT IN (SELECT project_id FROM has_main)),
+firsts AS (SELECT project_id, kind, string_agg(match, ';' ORDER BY document_id, page_number, o) AS m FROM (SELECT *, row_number() OVER (PARTITION BY project_id, kind ORDER BY document_id, page_number, o) AS i FROM used) WHERE i <= 5 GROUP BY 1, 2)
+SELECT c.project_id, value, unit, energy_value, energy_unit, CASE WHEN source = 'title' THEN (k % 900 + 1) || '-MW solar;A ' || (k % 900 + 1) || '-MW solar' ELSE coalesce(p.m, '') END AS matches,
+  CASE WHEN source = 'title' THEN '' ELSE coalesce(e.m, '') END AS energy_matches, source, confidence, CASE WHEN source = 'title' THEN project_title END AS title_context
+FROM cap c JOIN projects USING (project_id) LEFT JOIN firsts p ON p.project_id = c.project_id AND p.kind = 'power' LEFT JOIN firsts e ON e.project_id = c.project_id AND e.kind = 'energy'""")
 def n9_project_capacity(c):
-    return _capacity(c)
+    title = F.when(F.col("source") == "title", F.col("context")).alias("title_context")
+    return _capacity(c).withColumns({"matches": joined("matches"), "energy_matches": joined("energy_matches")}).select("project_id", "value", "unit", "energy_value", "energy_unit", "matches", "energy_matches", "source", "confidence", title)
+
+
+@query(_CAPACITY + ", chosen AS (SELECT project_id FROM tagged WHERE project_energy_type = 'Clean' AND dataset_source = 'EA') SELECT project_id, value, unit, source FROM cap JOIN chosen USING (project_id)")
+def n10_capacity_run(c):
+    run = capacity.run_capacity(c.tagged, c.documents, c.pages, source="ea")
+    return run.select("project_id", F.col("project_gencap_value").alias("value"), F.col("project_gencap_unit").alias("unit"), F.col("project_gencap_source").alias("source"))
+
+
+@query("""SELECT project_id, count(*) AS n_pages, true AS has_capacity FROM (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY page_number) AS i FROM pages_
+  JOIN (SELECT project_id, min(document_id) AS document_id FROM documents_ WHERE main_document = 'YES' GROUP BY 1) USING (project_id, document_id)) WHERE i <= 20 GROUP BY 1""")
+def n15_first_pages(c):
+    return capacity.first_page_coverage(c.documents, c.pages)
 
 
 @query(_CAPACITY + """SELECT CASE WHEN mw < 10 THEN 'Small' WHEN mw < 100 THEN 'Medium' WHEN mw < 500 THEN 'Large' WHEN mw IS NOT NULL THEN 'Utility-scale' END AS bucket, count(*) AS n
@@ -433,6 +479,12 @@ def a32_docs_hist(c):
     return n.withColumn("pct", F.round(reports.share(F.col("projects")), 4))
 
 
+@query("""SELECT CASE WHEN d = 1 THEN '1' WHEN d = 2 THEN '2' WHEN d <= 5 THEN '3-5' ELSE '6+' END AS stratum, count(*) AS projects, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct
+  FROM (SELECT count(*) AS d FROM documents_ GROUP BY project_id) GROUP BY 1""")
+def a32_strata(c):
+    return reports.per_project_strata(c.documents)
+
+
 @query("SELECT main_document, count(*) AS n, round(avg(total_pages), 6) AS mean, median(total_pages) AS median, max(total_pages) AS most FROM documents_ GROUP BY 1")
 def a33_page_stats(c):
     p = F.col("total_pages")
@@ -444,6 +496,60 @@ def a37_listing(c):
     return c.tagged.where("project_is_utilities_broadband_only or project_is_nuclear_tech_only").select("project_id", "project_title", "process_type")
 
 
+@query("SELECT process_type, count(*) FILTER (project_is_utilities_broadband_only) AS utilities, count(*) FILTER (project_is_nuclear_tech_only) AS nuclear, count(*) AS n FROM tagged GROUP BY 1")
+def a37_counts(c):
+    return reports.conditional_counts(c.tagged, ["process_type"], utilities=F.col("project_is_utilities_broadband_only"), nuclear=F.col("project_is_nuclear_tech_only"))
+
+
+@query("""SELECT broad, strict, broad - strict AS excluded, round((broad - strict) * 100.0 / broad, 4) AS pct FROM (SELECT count(*) FILTER (project_energy_type = 'Clean') AS broad, count(*) FILTER (project_energy_type_strict = 'Clean') AS strict FROM tagged)""")
+def a36_strict_against_broad(c):
+    return reports.strict_against_broad(c.tagged)
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT trim(unnest(string_split(regexp_replace(to_json(project_type)::VARCHAR, '[\\[\\]\"]', '', 'g'), ','))) AS tag FROM projects WHERE project_type IS NOT NULL) WHERE tag <> '' GROUP BY 1")
+def a35_tag_words(c):
+    return reports.tag_frequencies(c.projects.select(F.to_json("project_type").alias("t")), "t")
+
+
+@query("SELECT process_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct FROM projects WHERE len(project_state) > 1 GROUP BY 1")
+def a34_multi_share(c):
+    return reports.counts_with_share(c.tagged.where(F.size("project_state") > 1), ["process_type"], [])
+
+
+@query("SELECT project_id, project_department FROM tagged WHERE list_contains(s, 'waste management') AND list_contains(s, 'nuclear technology') AND NOT project_nuclear_waste_to_exclude")
+def a39_candidates(c):
+    return reports.tag_candidates(c.tagged, "project_type", ("Waste Management", "Nuclear"), F.col("project_nuclear_waste_to_exclude")).select("project_id", "project_department")
+
+
+_SAMPLED = ", picked AS (SELECT project_id FROM projects ORDER BY md5('42:' || project_id), project_id LIMIT 20)"
+
+
+@query(_SAMPLED + """ SELECT project_id, d.document_id, document_type, coalesce(n, 0) AS n_pages, preview FROM documents_ d LEFT JOIN
+  (SELECT document_id, count(*) AS n, left(arg_min(page_text, page_number), 500) AS preview FROM pages_ GROUP BY 1) USING (document_id) WHERE project_id IN (SELECT project_id FROM picked)""")
+def a38_sample_inspection(c):
+    return reports.sample_documents(reports.sample(c.projects.select("project_id"), "project_id", 20), c.documents, c.pages)
+
+
+@query("SELECT project_id, n FROM (SELECT project_id, count(*) AS n FROM documents_ GROUP BY 1 HAVING count(*) >= 4) ORDER BY md5('7:' || project_id), project_id LIMIT 3")
+def l5_eligible(c):
+    return reports.eligible_group(c.documents, "project_id", 4, 3, seed=7)
+
+
+_LISTS = ", lists AS (SELECT array_to_string(project_state, ' - ') AS label, count(*) AS n, any_value(project_state) AS states FROM projects WHERE len(project_state) > 1 GROUP BY 1)"
+
+
+@query(_LISTS + f""" SELECT label, "CE", "EA", "EIS", "Total" FROM (SELECT *, row_number() OVER (ORDER BY "Total" DESC, list) AS r FROM (SELECT array_to_string(project_state, ', ') AS label, to_json(project_state)::VARCHAR AS list, {_CROSS} FROM projects WHERE len(project_state) > 1 GROUP BY 1, 2)) WHERE r > 1""")
+def g7_multi_state(c):
+    return reports.multi_value_table(c.tagged, "project_state")
+
+
+@query(f"""{_LISTS}, top AS (SELECT array_to_string(project_state, ' - ') AS label, {_CROSS} FROM projects WHERE len(project_state) > 1 GROUP BY 1 ORDER BY "Total" DESC, label LIMIT 10),
+  listed AS (SELECT label, string_agg(tag, ', ' ORDER BY n DESC, tag) AS kinds FROM (SELECT array_to_string(project_state, ' - ') AS label, unnest(project_type) AS tag, count(*) AS n FROM projects WHERE len(project_state) > 1 GROUP BY 1, 2) GROUP BY 1)
+  SELECT top.*, listed.kinds FROM top LEFT JOIN listed USING (label)""")
+def g11_connections(c):
+    return reports.top_connections(c.tagged, "project_state", "project_type")
+
+
 # windows, samples, sets
 
 
@@ -512,11 +618,6 @@ def g4_counties(c):
     return c.projects.select("project_id", joined(places.counties(F.col("project_location"))).alias("counties"))
 
 
-@query("SELECT project_id, false AS needs FROM projects")
-def g5_location(c):
-    return c.tagged.select("project_id", F.col("project_location_needs_geocoding").alias("needs"))
-
-
 _PLACES = [(n, 25.0 + (i * 7) % 23, -120.0 + (i * 11) % 50) for i, n in enumerate(STATE_NAMES)]
 _PLACES_SQL = ", ".join(f"('{n}', {a}, {b})" for n, a, b in _PLACES)
 
@@ -582,25 +683,80 @@ def t16_hybrid(c):
     return dates.hybrid_candidates(c.pages, "page_text", ["document_id", "page_number"]).select("document_id", "page_number", F.col("date").cast("string").alias("date"))
 
 
+_RUN = """, chosen AS (SELECT project_id FROM tagged WHERE energy = 'Clean' AND dataset_source = 'CE'), own AS (SELECT * FROM documents_ WHERE project_id IN (SELECT project_id FROM chosen))"""
+
+
+@query(_RUN + """, ranked AS (SELECT *, CASE category WHEN 'decision' THEN 1 WHEN 'final' THEN 2 WHEN 'draft' THEN 3 WHEN 'other' THEN 4 ELSE 5 END AS r FROM own),
+  dd AS (SELECT * FROM page_dates WHERE document_id IN (SELECT document_id FROM (SELECT * FROM ranked QUALIFY r = min(r) OVER (PARTITION BY project_id)) WHERE main_document = 'YES'))
+  SELECT project_id, min(date)::VARCHAR AS earliest, max(date)::VARCHAR AS latest, count(DISTINCT date) AS n_dates, any_value(n) AS n_documents FROM chosen LEFT JOIN dd USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS n FROM own GROUP BY 1) USING (project_id) GROUP BY 1""")
+def t12_timeline_run(c):
+    options = runs.Options(clean_only=True, ce_only=True, main_docs_only=True)
+    made = runs.run_timelines(_analysis(c), c.documents, c.pages, options)
+    n = F.when(F.col("project_timeline_n_documents") > 0, F.col("project_timeline_n_documents"))
+    size = F.coalesce(F.size("project_timeline_dates"), F.lit(0))
+    s = lambda x: F.col(f"project_timeline_{x}").cast("string").alias(x)
+    return made.select("project_id", s("earliest"), s("latest"), F.greatest(size, F.lit(0)).cast("long").alias("n_dates"), n.alias("n_documents"))
+
+
+def _analysis(c):
+    return c.tagged.drop("project_energy_type").withColumnRenamed("energy", "project_energy_type")
+
+
+@query(_RUN + """, pg AS (SELECT project_id, document_id, page_number, page_text, day FROM pages_ WHERE document_id IN (SELECT document_id FROM own WHERE main_document = 'YES'))
+  SELECT project_id, min(day)::VARCHAR AS first_date, max(length(page_text)) > 0 AS some FROM pg GROUP BY 1""")
+def t17_candidates(c):
+    found = runs.date_candidates(_analysis(c), c.documents, c.pages)
+    return found.groupBy("project_id").agg(F.min("date").cast("string").alias("first_date"), (F.max(F.length("context")) > 0).alias("some"))
+
+
+@query(_RUN + """, pg AS (SELECT project_id, sum(length(page_text)) + 2 * (count(*) - 1) AS total_chars FROM pages_ WHERE document_id IN (SELECT document_id FROM own WHERE main_document = 'YES') GROUP BY 1)
+  SELECT project_id, coalesce(n, 0) AS documents, total_chars::BIGINT AS total_chars, CASE WHEN n IS NULL THEN 'no_documents' WHEN total_chars IS NULL THEN 'no_pages' END AS error, CASE WHEN total_chars IS NOT NULL THEN '2001-02-03' END AS decision
+  FROM chosen LEFT JOIN (SELECT project_id, count(*) AS n FROM own GROUP BY 1) USING (project_id) LEFT JOIN pg USING (project_id)""")
+def x18_model_run(c):
+    reply = '{"dates": [{"date": "2001-02-03", "type": "decision", "source": "s"}]}'
+    made = runs.model_timelines(_analysis(c), c.documents, c.pages, lambda prompt: reply)
+    return made.select("project_id", F.col("document_count").alias("documents"), F.col("total_chars").cast("long").alias("total_chars"), F.col("llm_error").alias("error"), F.col("llm_decision_date").alias("decision"))
+
+
+@query(_MODEL_SQL)
+def x18_model_capacity(c):
+    made = runs.model_capacities(c.projects, c.documents, c.pages, lambda prompt: '{"capacity_value": "7", "capacity_unit": "MW", "confidence": "high"}')
+    return made.select("project_id", "capacity_value", "capacity_unit", "extraction_method", "n_candidates", "pages_scanned")
+
+
+@query(_PRIORITY + """, sums AS (SELECT project_id, min(date) AS a, max(date) AS b, max(date) FILTER (context = 'decision') AS d FROM merged GROUP BY 1), t AS (SELECT project_id, a, b, d, date_diff('day', a, b) AS days FROM projects LEFT JOIN sums USING (project_id))
+  SELECT n, with_dates, with_year, with_duration, over_5_years, over_10_years, flagged, round(with_dates * 100.0 / n, 4) AS pct_with_dates, round(with_year * 100.0 / n, 4) AS pct_with_year, round(with_duration * 100.0 / n, 4) AS pct_with_duration,
+  round(over_5_years * 100.0 / n, 4) AS pct_over_5_years, round(over_10_years * 100.0 / n, 4) AS pct_over_10_years, round(flagged * 100.0 / n, 4) AS pct_flagged FROM (
+  SELECT count(*) AS n, count(a) AS with_dates, count(b) AS with_year, count(*) FILTER (days > 0) AS with_duration, count(*) FILTER (days > 1825) AS over_5_years, count(*) FILTER (days > 3650) AS over_10_years,
+  count(*) FILTER (a IS NOT NULL AND (days > 3650 OR d IS NULL)) AS flagged FROM t)""")
+def a18_t20_quality(c):
+    return reports.timeline_quality(dates.timelines(c.projects, c.documents, _merged(c)))
+
+
+@query("""SELECT 'day' AS "column", count(x = y) AS "both", count(*) FILTER (x = y) AS agree, round(count(*) FILTER (x = y) * 100.0 / count(x = y), 4) AS pct FROM (SELECT project_id, max(date) FILTER (context = 'decision') AS x, max(date) AS y FROM page_dates GROUP BY 1)""")
+def t21_match_rates(c):
+    rows = c.page_dates.join(c.documents.select("document_id", "project_id"), "document_id")
+    a = rows.groupBy("project_id").agg(F.max(F.when(F.col("context") == "decision", F.col("date"))).alias("day"))
+    return reports.match_rates(reports.compare(a, rows.groupBy("project_id").agg(F.max("date").alias("day")), "project_id", ["day"]), ["day"])
+
+
 @query("SELECT project_id, string_agg(page_text, '\n\n' ORDER BY document_id, page_number) AS text FROM pages_ GROUP BY 1")
 def t18_concatenation(c):
     rows = c.pages.join(c.documents.select("document_id", "project_id"), "document_id").groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("document_id", "page_number", "page_text"))).alias("p"))
     return rows.select("project_id", F.array_join(F.transform("p", lambda x: x["page_text"]), "\n\n").alias("text"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE o_orderdate::DATE::VARCHAR END AS date FROM orders", base=False)
-def t19_normalize(c):
-    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "M/d/yyyy")).when(k == 2, F.date_format(d, "MMMM d, yyyy")).otherwise(F.lit("soon"))
-    return c.table("orders").select("o_orderkey", dates.normalize_date(text).cast("string").alias("date"))
+@query("""SELECT document_id, page_number FROM (SELECT d.project_id, document_id, page_number, row_number() OVER (PARTITION BY d.project_id ORDER BY document_id, page_number) AS i FROM (
+  SELECT *, bool_or(coalesce(main_document = 'YES', false)) OVER (PARTITION BY project_id) AS m FROM documents_) d JOIN (SELECT document_id, page_number FROM pages_) USING (document_id) WHERE NOT m OR main_document = 'YES') WHERE i <= 10""")
+def t22_first_pages(c):
+    return dates.first_pages(c.documents, c.pages, 10).select("document_id", "page_number")
 
 
-@query("""SELECT document_id, page_number FROM (SELECT d.project_id, document_id, page_number, row_number() OVER (PARTITION BY d.project_id ORDER BY document_id, page_number) AS i
-  FROM documents_ d JOIN pages_ USING (document_id) WHERE main_document = 'YES') WHERE i <= 10""")
-def t22_first_pages(c):
-    rows = c.pages.join(c.documents.where("main_document = 'YES'").select("project_id", "document_id"), "document_id")
-    w = Window.partitionBy("project_id").orderBy("document_id", "page_number")
-    return rows.withColumn("i", F.row_number().over(w)).where("i <= 10").select("document_id", "page_number")
+@query("""SELECT document_id, page_number FROM (SELECT d.project_id, document_id, page_number, row_number() OVER (PARTITION BY d.project_id ORDER BY document_id, page_number) AS i FROM (
+  SELECT * FROM documents_ QUALIFY CASE category WHEN 'decision' THEN 1 WHEN 'final' THEN 2 WHEN 'draft' THEN 3 WHEN 'other' THEN 4 ELSE 5 END = min(CASE category WHEN 'decision' THEN 1 WHEN 'final' THEN 2 WHEN 'draft' THEN 3 WHEN 'other' THEN 4 ELSE 5 END) OVER (PARTITION BY project_id)) d
+  JOIN (SELECT document_id, page_number FROM pages_) USING (document_id)) WHERE i <= 15""")
+def t22_first_category(c):
+    return dates.first_pages(dates.priority_documents(c.documents), c.pages, 15, main=False).select("document_id", "page_number")
 
 
 # capacity
@@ -628,11 +784,12 @@ def n12_sentences(c):
     return capacity.sentence_candidates(c.pages, "page_text", ["document_id", "page_number"])
 
 
-@query("""SELECT project_id, document_id, page_number, page_rank FROM (SELECT project_id, document_id, page_number, row_number() OVER (PARTITION BY project_id ORDER BY d, page_number) AS page_rank FROM (
-  SELECT project_id, document_id, row_number() OVER (PARTITION BY project_id ORDER BY CASE coalesce(document_type, '') WHEN 'FEIS' THEN 1 WHEN 'DEIS' THEN 2 WHEN 'FONSI' THEN 5 WHEN 'ROD' THEN 6 WHEN 'OTHER' THEN 8 ELSE 5 END,
-  CASE WHEN main_document = 'YES' THEN 0 ELSE 1 END, total_pages DESC, document_id) AS d FROM documents_) JOIN (SELECT document_id, page_number FROM pages_) USING (document_id) WHERE d <= 3) WHERE page_rank <= 25""")
+@query("""SELECT project_id, document_id, page_number, page_rank, 1::BIGINT AS n_sentences FROM (SELECT project_id, document_id, page_number, row_number() OVER (PARTITION BY project_id ORDER BY d, page_number) AS page_rank FROM (
+  SELECT project_id, document_id, row_number() OVER (PARTITION BY project_id ORDER BY CASE document_type WHEN 'FEIS' THEN 1 WHEN 'DEIS' THEN 2 WHEN 'FONSI' THEN 5 WHEN '' THEN 5 WHEN 'ROD' THEN 6 WHEN 'OTHER' THEN 8 ELSE 10 END,
+  CASE main_document WHEN 'YES' THEN 0 WHEN 'NO' THEN 1 ELSE 3 END, document_id) AS d FROM documents_) JOIN (SELECT document_id, page_number FROM pages_) USING (document_id) WHERE d <= 3) WHERE page_rank <= 15""")
 def n13_budget(c):
-    return capacity.page_budget(c.documents, c.pages).drop("page_text")
+    rows = capacity.page_budget(c.documents, c.pages)
+    return rows.select("project_id", "document_id", "page_number", "page_rank", F.size("sentences").cast("long").alias("n_sentences"))
 
 
 # text windows and model stages
@@ -655,15 +812,44 @@ def x3_snippets(c):
     return s.select("document_id", "page_number", F.concat(F.lit("kw:"), F.array_join("categories", ",")).alias("label"), "snippet")
 
 
-@query(None)
+@query("SELECT doc_id, len(regexp_extract_all(text, 'Licensed under|Apache License'))::BIGINT AS n_matches FROM documents WHERE regexp_matches(text, 'Licensed under|Apache License')", base=False)
 def x3_x4_document_snippets(c):
-    s = snippets.snippets(c.table("documents").select("doc_id", "text"), "text", ["doc_id"], BANK)
-    return s.select("doc_id", "start", "end", "snippet", joined("categories").alias("categories"))
+    # each match lies in exactly one of the merged windows
+    pattern = "Licensed under|Apache License"
+    s = snippets.snippets(c.table("documents").select("doc_id", "text"), "text", ["doc_id"], [("license", pattern)])
+    return s.groupBy("doc_id").agg(F.sum(F.regexp_count("snippet", F.lit(pattern))).alias("n_matches"))
+
+
+@query("SELECT page_number, document_id, coalesce(document_type, '') AS document_type, page_text FROM pages_ JOIN documents_ USING (document_id) WHERE document_id = 'D1-1' AND page_number BETWEEN 1 AND 3")
+def x8_document_pages(c):
+    return snippets.document_pages(c.documents, c.pages, "D1-1", 1, 3).select("document_id", F.coalesce("document_type", F.lit("")).alias("document_type"), "page_number", "page_text")
+
+
+@query("SELECT project_id, document_id, coalesce(main_document = 'YES', false) AS is_main, page_number, page_text FROM pages_ JOIN documents_ USING (project_id, document_id) WHERE project_id = 'P3'")
+def x8_project_pages(c):
+    return snippets.project_pages(c.documents, c.pages, "P3")
+
+
+@query("SELECT category, count(*) AS n, max(n_patterns)::BIGINT AS listed FROM (VALUES " + ", ".join(f"('{k}', {len(v)})" for k, v in fixed.SNIPPET_PATTERNS.items() for _ in v) + ") v(category, n_patterns) GROUP BY 1", base=False)
+def x7_keyword_table(c):
+    return snippets.keyword_table(c.spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("n_patterns").cast("long").alias("listed"))
+
 
+@query("SELECT event_id, 'JSON' AS kind, true AS whole FROM events", base=False)
+def x11_x12_x13_prompts(c):
+    text = F.concat(F.lit("Approved in "), F.col("event_id").cast("string"))
+    asked = F.array(F.struct(F.lit("2020-01-01").alias("date"), text.alias("context")))
+    made = [snippets.document_prompt(text), snippets.date_prompt(asked), snippets.capacity_prompt(F.array(text, text))]
+    whole = [F.contains(p, text) & F.contains(p, F.lit("JSON")) for p in made]
+    return c.table("events").select("event_id", F.regexp_extract(made[0], "JSON", 0).alias("kind"), (whole[0] & whole[1] & whole[2]).alias("whole"))
 
-@query(None)
+
+@query("SELECT doc_id, regexp_matches(text, 'Licensed under|Apache License') AS found, length(text)::BIGINT AS n_chars FROM documents", base=False)
 def x5_preprocess(c):
-    return snippets.reduce_texts(c.table("documents").select("doc_id", "text"), "text", ["doc_id"], BANK)
+    made = snippets.reduce_texts(c.table("documents").select("doc_id", "text"), "text", ["doc_id"], [("license", "Licensed under|Apache License")])
+    # a text without a match is kept up to the cap
+    whole = c.table("documents").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    return made.join(whole, "doc_id").select("doc_id", (F.col("n_snippets") > 0).alias("found"), "n_chars")
 
 
 @query("""SELECT doc_id, CASE WHEN p > 201 THEN '...' ELSE '' END || substr(text, greatest(p - 200, 1), least(p - 1 + 14 + 200, length(text)) - greatest(p - 201, 0)) || CASE WHEN p - 1 + 14 + 200 < length(text) THEN '...' ELSE '' END AS context
@@ -678,29 +864,6 @@ def x10_terms(c):
     return snippets.term_counts(c.table("documents"), "text", "lang")
 
 
-def _reply(event, value):
-    body = F.concat(F.lit('Here: {"dates": [{"date": "2024-01-0'), (event % 9 + 1).cast("string"), F.lit('", "type": "decision", "confidence": "high"}]} end'))
-    return F.when(event % 3 == 0, F.lit("no json")).otherwise(body)
-
-
-@query("SELECT event_id, '2024-01-0' || (event_id % 9 + 1) AS date, 'decision' AS type FROM events WHERE event_id % 3 <> 0", base=False)
-def x15_x16_parse_dates(c):
-    rows = c.table("events").select("event_id", F.explode(snippets.parse_dates(_reply(F.col("event_id"), F.col("value")))).alias("d"))
-    return rows.select("event_id", dates.normalize_date(F.col("d.date")).cast("string").alias("date"), F.col("d.type").alias("type"))
-
-
-@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS capacity_value, CASE WHEN event_id % 3 <> 0 THEN 'MW' END AS capacity_unit, 'low' AS confidence, '' AS source_quote, event_id % 3 = 0 AS parse_error FROM events", base=False)
-def x17_parse_capacity(c):
-    body = F.concat(F.lit('So: {"capacity_value": '), F.col("value").cast("string"), F.lit(', "capacity_unit": "MW"} ok'))
-    reply = F.when(F.col("event_id") % 3 == 0, F.lit("nothing")).otherwise(body)
-    return c.table("events").select("event_id", snippets.parse_capacity(reply).alias("r")).select("event_id", "r.*")
-
-
-@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events", base=False)
-def x19_llm_explode(c):
-    return c.table("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @query("SELECT item_id, 'echo ' || left(text, 20) AS reply FROM benchmark", base=False)
 def x14_model_stage(c):
     rows = c.table("benchmark").select("item_id", F.substring("text", 1, 20).alias("prompt"))

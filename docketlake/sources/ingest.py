@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import places, tags
+from ..functions.matches import strip
+
 _V = "struct<value:string>"
 _L = "struct<value:array<string>>"
 RECORD = (
@@ -20,6 +23,29 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).json(path)
 
 
+def read_corpus(spark: SparkSession, root: str, sources: list[str] | None = None) -> DataFrame:
+    """All records under ``root``/SOURCE/*/*.jsonl with their ``dataset_source`` (CE, EA and EIS, those that exist)."""
+    found = None
+    for source in sources or ["EA", "EIS", "CE"]:
+        if not exists(spark, f"{root}/{source}"):
+            continue
+        rows = read_records(spark, f"{root}/{source}/*/*.jsonl").withColumn("dataset_source", F.lit(source))
+        found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], f"{RECORD}, dataset_source string") if found is None else found
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A report table; a missing file gives an empty one of the schema."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema or "key string")
+    return spark.read.schema(schema).csv(path, header=True) if schema else spark.read.csv(path, header=True, inferSchema=True)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files as rows (path, text)."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def _text(path: str):
     return F.coalesce(F.col(path), F.lit(""))
 
@@ -57,14 +83,66 @@ def pages(records: DataFrame) -> DataFrame:
 
 
 def write_tables(records: DataFrame, path: str, source: str) -> None:
-    """The four tables of one source, partitioned by it so that a source filter prunes files."""
+    """The four tables of one source, partitioned by it so that a source filter prunes files; a rerun replaces the source's part."""
     for name, make in (("projects", projects), ("processes", processes), ("documents", documents), ("pages", pages)):
-        make(records).withColumn("dataset_source", F.lit(source.upper())).write.mode("append").partitionBy("dataset_source").parquet(f"{path}/{name}")
+        rows = make(records).withColumn("dataset_source", F.lit(source.upper()))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_source").parquet(f"{path}/{name}")
+
+
+def combined(spark: SparkSession, path: str, military: DataFrame | None = None, waste_terms: list[str] | None = None) -> dict[str, DataFrame]:
+    """The analysis tables of all sources written by ``write_tables``: projects, processes, documents.
+
+    Projects carry process, energy, place, department and document-category columns; rules that
+    exclude projects are applied in their order.
+    """
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    docs = read("documents").withColumn("document_type_category", tags.document_category(F.col("document_type"), F.col("file_name")))
+    kinds = ["decision", "final", "draft", "appendix"]
+    flags = docs.groupBy("project_id").agg(
+        *[F.bool_or(F.col("document_type_category") == k).alias(f"project_has_{k}") for k in kinds], F.count("document_id").alias("project_document_count")
+    )
+    steps = read("processes")
+    rows = read("projects").join(steps.select("project_id", F.col("process_type").alias("_process"), "lead_agency"), "project_id", "left")
+    rows = rows.withColumn("process_type", tags.process_type(F.col("_process"), F.col("dataset_source"))).drop("_process")
+    rows = rows.withColumns(tags.energy_columns(F.col("project_type")))
+    agency = F.array_join("lead_agency", " ")
+    rows = rows.withColumn("project_nuclear_waste_to_exclude", tags.nuclear_waste(F.col("project_type"), F.col("project_sponsor"), agency, F.col("project_title"), waste_terms))
+    rows = tags.excluded(rows, military)
+    rows = rows.withColumns(places.location_columns(places.joined_list(F.col("project_location"))))
+    rows = rows.withColumn("project_department", tags.department(F.get("lead_agency", F.lit(0))))
+    several = {"multi_state": "project_state", "multi_county": "project_county", "multi_department": "lead_agency"}
+    rows = rows.withColumns({f"project_{k}": tags.multiple(F.col(c)) for k, c in several.items()}).join(flags, "project_id", "left")
+    none = {f"project_has_{k}": F.coalesce(f"project_has_{k}", F.lit(False)) for k in kinds}
+    rows = rows.withColumns(none | {"project_document_count": F.coalesce("project_document_count", F.lit(0))})
+    return {"projects_combined": rows, "processes_combined": steps, "documents_combined": docs}
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """An analysis table; a rerun replaces it."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def summary(df: DataFrame, flags: list[str], counts: list[str]) -> DataFrame:
+    """(measure, value, n, pct): rows, how many have each flag or column, and the values of each counted column."""
+    every = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("measure"), F.lit(None).cast("string").alias("value"), "n")
+    kinds = dict(df.dtypes)
+    for f in flags:
+        has = F.col(f) if kinds[f] == "boolean" else F.col(f).isNotNull()
+        every = every.unionAll(df.agg(F.count_if(has).alias("n")).select(F.lit(f), F.lit(None).cast("string"), "n"))
+    for c in counts:
+        every = every.unionAll(df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c), "value", "n"))
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
+    return every.join(F.broadcast(total)).select("measure", "value", "n", F.round(F.try_divide(F.col("n") * 100, "_all"), 4).alias("pct"))  # one row
+
+
+def present(df: DataFrame, names: list[str]) -> DataFrame:
+    """Those of the named columns that the table has, in the given order."""
+    return df.select(*[c for c in names if c in df.columns])
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """Lower-case terms of a text file; blank lines and comments are skipped."""
-    line = F.lower(F.trim("value"))
+    line = F.lower(strip(F.col("value")))
     return spark.read.text(path).select(line.alias("term")).where("term <> '' and not startswith(term, '#')")
 
 
@@ -93,6 +171,7 @@ def export_json(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(c).alias(c) if deep(t) else F.col(c) for c, t in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A report table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A report table as one CSV file with a header, in the given order; what makes its rows stays parallel."""
+    one = df.repartition(1)
+    (one.sortWithinPartitions(*order) if order else one).write.mode("overwrite").csv(path, header=True)
