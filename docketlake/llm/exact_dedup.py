@@ -15,6 +15,7 @@ empty table gives an empty result; columns other than doc_id and text are ignore
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import binaryfuse
 from .common import BLANKS, dropped, table, text_or_empty, written
@@ -32,20 +34,34 @@ BUCKET_TEXTS = 500_000
 LEAST_BUCKETS = 16
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for _, data, offsets in slices(batch.column("text")):
-            body, cuts = one_space(data, offsets)
-            view = memoryview(body.tobytes())
-            out += [hashlib.sha256(view[i:j]).hexdigest() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text_sha256"])
+def _digests(column: pa.Array) -> pa.Array:
+    """Digests of the normalised texts."""
+    out = []
+    for _, data, offsets in slices(column):
+        body, cuts = one_space(data, offsets)
+        view = memoryview(body.tobytes())
+        out += [hashlib.sha256(view[i:j]).hexdigest() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return pa.array(out, pa.string())
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256) of the normalised texts."""
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_digest_batches, f"doc_id {kind}, text_sha256 string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _digests(batch.column("text"))], ["doc_id", "text_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_sha256 string")
+
+
+def with_digest(docs: DataFrame, name: str) -> DataFrame:
+    """All columns and the digest of the normalised text as one more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _digests(batch.column("text"))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
 def normalised(column: str = "text") -> Column:
@@ -144,9 +160,9 @@ def mark_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns: a row that has the smallest doc_id."""
     marks = mark_duplicates(docs)
-    sha = F.sha2(F.encode(normalised(), "UTF-8"), 256)
     gone = marks.where("not kept").select("doc_id", F.col("text_sha256").alias("tag")).distinct()
-    return dropped(docs, gone, sha, once=True)
+    name = f"digest_{uuid.uuid4().hex}"
+    return dropped(with_digest(docs, name), gone, F.col(name), once=True).drop(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
