@@ -11,9 +11,15 @@ Both sides are compared lower-cased, with every run of ASCII characters other th
 and digits as one space. The benchmark is read to the driver in blocks of at most
 ``BLOCK_BYTES`` (larger benchmarks take one pass per block), the documents never are.
 
+A gram that many segments share is expanded last: a band must reach its bound with the other grams
+of its segment, of which at most ``q e`` can be missing, so of the grams of a segment only its rarest
+``length - bound + 1`` decide where to look, and all of them are counted there.
+
 Defined cases: a null or empty text is clean; an item of fewer than q normalised characters cannot
-be located and matches nothing; an empty benchmark leaves all clean; null item ids are allowed;
-repeated rows get equal answers; extra columns are ignored (or carried by ``drop_contaminated``).
+be located and matches nothing; an empty benchmark leaves all clean; item ids may be of any type
+that sorts, come back as they are in order, nulls last, and several items may share one; repeated
+rows get equal answers; very long texts are searched whole; extra columns are ignored (or carried by
+``drop_contaminated``), whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ ERROR = 0.08
 COVERAGE = 0.5
 RUN = SEGMENT + SEGMENT // 2
 BLOCK_BYTES = 8 << 20
+ENTRIES = 4 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -74,8 +81,22 @@ class Index:
     gram_from: np.ndarray
     gram_seg: np.ndarray
     gram_pos: np.ndarray
+    rare: np.ndarray  # numbers of the entries that are among the rarest of their segment
+    rare_from: np.ndarray
     present: np.ndarray
 
+    def entries(self, place: np.ndarray, rare: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number in ``place``, table entry) of the segments that have the grams at ``place``, some millions at a time."""
+        start = self.rare_from if rare else self.gram_from
+        many = start[place + 1] - start[place]
+        total = np.cumsum(many)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, ENTRIES), "right"))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)]):
+            n = many[lo:hi]
+            hit = np.repeat(np.arange(lo, hi), n)
+            which = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[place[lo:hi]], n)
+            yield hit, self.rare[which] if rare else which
+
 
 def build_index(items: list[tuple[object, str]], q: int = Q, segment: int = SEGMENT, error: float = ERROR) -> Index:
     folded = []
@@ -107,10 +128,17 @@ def build_index(items: list[tuple[object, str]], q: int = Q, segment: int = SEGM
     present = np.zeros(1 << 22, bool)
     present[(distinct >> np.uint64(42)).astype(np.int64)] = True
     cat = lambda xs: np.concatenate(xs)[order] if xs else np.zeros(0, np.int64)
+    needed, gram_seg = shape[:, 2] - q + 1 - q * edits, cat(owner)
+    # a copy lacks at most q * edits grams of its segment, so it has one of the q * edits + 1 rarest
+    often = np.repeat(np.diff(np.append(start, len(g))), np.diff(np.append(start, len(g))))
+    by_rarity = np.lexsort((often, gram_seg))
+    head = np.searchsorted(gram_seg[by_rarity], np.arange(len(seg)))
+    rare = np.zeros(len(g), bool)
+    rare[by_rarity] = np.arange(len(g)) - head[gram_seg[by_rarity]] <= q * edits[gram_seg[by_rarity]] if len(g) else False
     return Index(
         [k for k, _ in items], np.array([len(b) for b in folded]), shape[:, 0], shape[:, 1], shape[:, 2], edits,
-        shape[:, 2] - q + 1 - q * edits, np.array(bodies, np.uint8).reshape(len(seg), segment if size else 0),
-        distinct, np.append(start, len(g)), cat(owner), cat(pos), present,
+        needed, np.array(bodies, np.uint8).reshape(len(seg), segment if size else 0),
+        distinct, np.append(start, len(g)), gram_seg, cat(pos), np.flatnonzero(rare), np.searchsorted(np.flatnonzero(rare), np.append(start, len(g))), present,
     )
 
 
@@ -161,18 +189,31 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index, q: int = Q, covera
     row = np.searchsorted(offsets, at, "right") - 1
     ok = at + q <= offsets[row + 1]  # a gram lies inside one row
     at, place, row = at[ok], place[ok], row[ok]
-    many = index.gram_from[place + 1] - index.gram_from[place]
-    hit = np.repeat(np.arange(len(at)), many)
-    which = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.gram_from[place], many)
-    seg, row = index.gram_seg[which], row[hit]
-    diagonal = at[hit] - offsets[row] - index.gram_pos[which] + SEGMENT
-    width = int(index.edits.max()) + 1
-    band = diagonal // width
-    span = int(band.max()) + 2 if len(band) else 1
-    base = (row * len(index.seg_item) + seg) * span
-    keys, counts = np.unique(np.concatenate([base + band, base + np.maximum(band - 1, 0)]), return_counts=True)
+    row_n, width = len(index.seg_item), int(index.edits.max()) + 1
+    span = (len(data) + 4 * SEGMENT) // width + 3
+
+    def bands(hit: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Keys of (row, segment, band): each hit counts in the two bands over its diagonal."""
+        seg, r = index.gram_seg[which], row[hit]
+        band = (at[hit] - offsets[r] - index.gram_pos[which] + SEGMENT) // width
+        base = (r * row_n + seg) * span
+        return np.concatenate([base + band, base + np.maximum(band - 1, 0)])
+
+    keys = [np.unique(bands(hit, which)) for hit, which in index.entries(place, rare=True)]
+    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    if not len(keys):
+        return {}
+    # all grams are counted, but only in rows and bands that a rare one asks for
+    inside = np.isin(row, np.unique(keys // span // row_n))
+    at, place, row = at[inside], place[inside], row[inside]
+    counts = np.zeros(len(keys), np.int64)
+    for hit, which in index.entries(place, rare=False):
+        found_keys, n = np.unique(bands(hit, which), return_counts=True)
+        spot = np.minimum(np.searchsorted(keys, found_keys), len(keys) - 1)
+        same = keys[spot] == found_keys
+        counts[spot[same]] += n[same]
     group, band = keys // span, keys % span
-    row, seg = group // len(index.seg_item), group % len(index.seg_item)
+    row, seg = group // row_n, group % row_n
     good = counts >= index.needed[seg]
     row, seg, band = row[good], seg[good], band[good]
     found: dict[int, list[tuple[int, float]]] = {}
@@ -211,21 +252,25 @@ def _batch_hits(batch: pa.RecordBatch, index: Index) -> list[list[int]]:
     return out
 
 
+def _in_order(ids: set) -> list:
+    return [*sorted(x for x in ids if x is not None), *([None] if None in ids else [])]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, item_ids) of every row."""
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.array().cast("array<long>").alias("item_ids"))
+    item = dict(benchmark.dtypes)["item_id"]
+    rows = docs.select("doc_id", "text", F.array().cast(f"array<{item}>").alias("item_ids"))
     for index in _indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                before = batch.column("item_ids").to_pylist()
-                ids = [sorted({*a, *b}) for a, b in zip(before, _batch_hits(batch, shared.value))]
-                arrays = [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.list_(pa.int64()))]
+                before = batch.column("item_ids")
+                ids = [_in_order({*a, *b}) for a, b in zip(before.to_pylist(), _batch_hits(batch, shared.value))]
+                arrays = [batch.column("doc_id"), batch.column("text"), pa.array(ids, before.type)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "item_ids"])
 
-        rows = rows.mapInArrow(mark, f"doc_id {kind}, text string, item_ids array<long>")
+        rows = rows.mapInArrow(mark, rows.schema)
     return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 

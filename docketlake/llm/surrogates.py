@@ -14,11 +14,14 @@ its words, is replaced too, and each word has one surrogate. Names without any t
 document are not found.
 
 The distinct entities of the corpus are checked for collisions before any text is rewritten; a
-collision changes the tweak and is checked again.
+collision changes the tweak and is checked again. Whoever has the key can undo the map, so it is a
+required parameter and belongs in a secret store; ``op8_surrogates`` uses a test key unless
+``docketlake.surrogates.key`` is set in the session.
 
 Defined cases: null text stays null, empty stays empty, both have no entities; repeated rows get
 equal results; overlapping candidates go to the earlier kind in ``KINDS``; an entity without a symbol
-that can change is left and not counted; extra columns are ignored.
+that can change is left and not counted; very long texts are read whole, in time that grows with
+their length; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,13 +40,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import partitions, table, written
 from .wordblocks import slices
 
-KEY = b"docketlake surrogate key"
+QUERY_KEY = b"a test key, known to everyone"
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Don|Doña|Г-н|Г-жа)"
 KINDS = {
-    "email": r"[^\W_][\w.+%-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}",
+    "email": r"(?<![^\W_])[^\W_][\w.+%-]{0,63}@(?:[^\W_][\w-]{0,62}\.)+[^\W\d_]{2,63}",
     "secret": r"(?<![0-9A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Fa-f])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -138,7 +141,7 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
+def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of an entity; the same for the same kind, value, key and attempt."""
     tweak = f"{kind}/{attempt}/".encode()
     if kind in ("secret",):
@@ -255,10 +258,11 @@ def found_entities(docs: DataFrame) -> DataFrame:
             got = sorted(got | {(k, word) for k, v in got if k == "name" for word in v.split(" ")})
             yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.string()) for j in range(2)], ["kind", "value"])
 
-    return docs.select("text").mapInArrow(run, "kind string, value string").distinct()
+    made = docs.select("text").mapInArrow(run, "kind string, value string")
+    return made.repartition(partitions(docs.sparkSession), "kind", "value").distinct()
 
 
-def collisions(found: DataFrame, key: bytes = KEY, attempt: int = 0) -> DataFrame:
+def collisions(found: DataFrame, key: bytes, attempt: int = 0) -> DataFrame:
     """Surrogates that stand for two entities or more: (kind, surrogate, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +274,11 @@ def collisions(found: DataFrame, key: bytes = KEY, attempt: int = 0) -> DataFram
                 new.append(canonical(k, head + " " * bool(head) + surrogate(k, digits, key, attempt)) if k in ("card", "ssn", "phone") else canonical(k, surrogate(k, v, key, attempt)))
             yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(new, pa.string())], ["kind", "surrogate"])
 
-    made = found.mapInArrow(run, "kind string, surrogate string")
+    made = found.repartition(partitions(found.sparkSession)).mapInArrow(run, "kind string, surrogate string")
     return made.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def replace_entities(docs: DataFrame, key: bytes = KEY, attempts: int = 4) -> DataFrame:
+def replace_entities(docs: DataFrame, key: bytes, attempts: int = 4) -> DataFrame:
     """(doc_id, text, n_entities, kinds) with every entity replaced."""
     found = written(found_entities(docs), "entities")
     for attempt in range(attempts):
@@ -322,4 +326,5 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, attempts: int = 4) -> Da
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("docketlake.surrogates.key", None)
+    return replace_entities(table(spark, sf_dir, "documents"), key.encode() if key else QUERY_KEY)

@@ -6,8 +6,10 @@ WARC-Refers-To, keep its target URI and date, and carry digests of their own blo
 keeps the source headers and both source digests.
 
 Defined cases: a null URL or body counts as empty and still yields both records; a broken record
-raises in ``parse`` and is not derived; malformed HTML is read as far as it goes; repeated pages
-give repeated records with equal identifiers; extra columns are ignored.
+raises in ``parse`` and is not derived; headers that occur several times are all kept, in order, and
+a header may lack the blank after its colon or go on in the next line; malformed HTML is read as far
+as it goes, in time that grows with its length; repeated pages give records with identifiers of
+their own; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 DATE = "1970-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|main|title|head|body|blockquote|pre|hr|dl|dt|dd|form)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>?")
-_TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
+_BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|main|title|head|body|blockquote|pre|hr|dl|dt|dd|form)\b[^<>]*>", re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>?")
+_TITLE = re.compile(r"<title[^<>]*>(.*?)(?:</title|\Z)", re.S | re.I)
 _LINK = re.compile(r"""<(a|img|link|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -43,17 +46,47 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+Headers = list[tuple[str, str]]
+
+
+def fields(lines: list[str]) -> Headers:
+    """Names and values of header lines; a line that begins with a blank goes on with the one before."""
+    out: Headers = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def first(headers: Headers, name: str) -> str | None:
+    """The first value of a header, in any case."""
+    return next((v for n, v in headers if n.lower() == name.lower()), None)
+
+
+def grouped(headers: Headers) -> dict[str, str | list[str]]:
+    """By name; the values of a header that occurs several times as a list."""
+    out: dict[str, list[str]] = {}
+    for n, v in headers:
+        out.setdefault(n, []).append(v)
+    return {n: v if len(v) > 1 else v[0] for n, v in out.items()}
+
+
+def parse(raw: bytes) -> tuple[Headers, bytes]:
     """Headers and block of one record."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not mark or not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-    size = int(headers["Content-Length"])
-    if len(rest) < size:
+    headers = fields(lines[1:])
+    size = first(headers, "Content-Length")
+    if size is None or not size.isdigit():
+        raise ValueError("a WARC record without a length")
+    if len(rest) < int(size):
         raise ValueError("truncated WARC record")
-    return headers, rest[:size]
+    return headers, rest[: int(size)]
 
 
 def _identifier(*parts: str) -> str:
@@ -64,13 +97,13 @@ def _clean(url: str) -> str:
     return re.sub(r"[\r\n]+", " ", url)
 
 
-def response(url: str, body: str, date: str = DATE) -> bytes:
-    """A response record around an HTML body."""
+def response(url: str, body: str, date: str = DATE, number: str = "") -> bytes:
+    """A response record around an HTML body; ``number`` tells repeated captures apart."""
     payload = body.encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     paid = digest(payload)
     headers = {
-        "WARC-Record-ID": _identifier("response", url, paid), "WARC-Date": date, "WARC-Target-URI": _clean(url),
+        "WARC-Record-ID": _identifier("response", url, paid, number), "WARC-Date": date, "WARC-Target-URI": _clean(url),
         "WARC-Payload-Digest": paid, "WARC-Block-Digest": digest(http), "Content-Type": "application/http; msgtype=response",
     }
     return record("response", headers, http)
@@ -87,26 +120,26 @@ def derive(raw: bytes) -> tuple[bytes, bytes]:
     """The metadata and the conversion record of a response record."""
     source, block = parse(raw)
     head, _, payload = block.partition(b"\r\n\r\n")
-    status, *fields = head.decode("latin-1").split("\r\n")
+    status, *lines = head.decode("latin-1").split("\r\n")
     page = payload.decode("utf-8", "replace")
     bare = _HIDDEN.sub(" ", page)
     title = _TITLE.search(bare)
     links = [{"tag": m[1].lower(), "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(bare)]
     envelope = {
-        "WARC-Header-Metadata": source,
+        "WARC-Header-Metadata": grouped(source),
         "HTTP-Response-Metadata": {
-            "Status": status, "Headers": dict(f.split(": ", 1) for f in fields if ": " in f), "Entity-Length": len(payload),
+            "Status": status, "Headers": grouped(fields(lines)), "Entity-Length": len(payload),
             "HTML-Metadata": {"Title": " ".join(html.unescape(title[1]).split()) if title else "", "Links": links},
         },
     }
-    out = []
+    own, out = first(source, "WARC-Record-ID") or "", []
     for kind, mime, body in (
         ("metadata", "application/json", json.dumps({"Envelope": envelope}, ensure_ascii=False).encode()),
         ("conversion", "text/plain; charset=utf-8", plain_text(page).encode()),
     ):
         headers = {
-            "WARC-Record-ID": _identifier(kind, source["WARC-Record-ID"]), "WARC-Refers-To": source["WARC-Record-ID"], "WARC-Date": source["WARC-Date"],
-            "WARC-Target-URI": source["WARC-Target-URI"], "WARC-Block-Digest": digest(body), "Content-Type": mime,
+            "WARC-Record-ID": _identifier(kind, own), "WARC-Refers-To": own, "WARC-Date": first(source, "WARC-Date") or "",
+            "WARC-Target-URI": first(source, "WARC-Target-URI") or "", "WARC-Block-Digest": digest(body), "Content-Type": mime,
         }
         out.append(record(kind, headers, body))
     return out[0], out[1]
@@ -123,20 +156,21 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, urls, bodies = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
+            ids, urls, bodies, numbers = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "number"))
             for lo in range(0, len(ids), 500):
                 rows = []
-                for i, url, body in zip(ids[lo : lo + 500], urls[lo : lo + 500], bodies[lo : lo + 500]):
-                    raw = response(url or "", body or "", date)
+                for i, url, body, number in zip(*(x[lo : lo + 500] for x in (ids, urls, bodies, numbers))):
+                    raw = response(url or "", body or "", date, f"{i} {number}")
                     source, _ = parse(raw)
                     for made in derive(raw):
                         h, _ = parse(made)
-                        rows.append((i, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], source["WARC-Payload-Digest"], h["WARC-Block-Digest"], int(h["Content-Length"]), made))
+                        mine = [first(h, f"WARC-{c}") for c in ("Type", "Record-ID", "Refers-To", "Target-URI")]
+                        rows.append((i, *mine, first(source, "WARC-Payload-Digest"), first(h, "WARC-Block-Digest"), int(first(h, "Content-Length")), made))
                 names = [x.split()[0] for x in SCHEMA.split(", ")]
                 kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.monotonically_increasing_id().alias("number")).mapInArrow(run, SCHEMA)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

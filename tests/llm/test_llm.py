@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,6 +17,7 @@ from docketlake.llm import binaryfuse, decontamination, exact_dedup, jaccard_joi
 from docketlake.llm.common import components
 from docketlake.llm.fmindex import FMIndex
 
+KEY = b"key of the tests"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, row int"
 
@@ -191,6 +194,61 @@ def test_a_long_quotation_contaminates_whatever_its_share(spark):
     assert got == {1: [7], 2: [7], 3: [], 4: []}
 
 
+def test_decontamination_with_any_item_ids(spark):
+    item = "a passage of the benchmark that is long enough to be found in any document that quotes it with a few edits here and there"
+    for kind, ids in (("string", ["b", "a", None]), ("int", [5, 2, None])):
+        bench = spark.createDataFrame([(i, item, "x") for i in ids], f"item_id {kind}, text string, seg string")
+        rows = spark.createDataFrame([("d1", f"so {item}", 1), ("d2", "clean " * 50_000, 2), (None, None, 3)], "doc_id string, text string, item_ids int")
+        got = {r.doc_id: r.item_ids for r in decontamination.contamination(rows, bench).collect()}
+        assert got == {"d1": [ids[1], ids[0], None], "d2": [], None: []}
+        assert [r.doc_id for r in decontamination.drop_contaminated(rows, bench).orderBy("doc_id").collect()] == [None, "d2"]
+    assert not any(r.contaminated for r in decontamination.contamination(rows, bench.limit(0)).collect())
+
+
+def test_decontamination_agrees_with_full_alignment():
+    def folded(text):
+        return re.sub(r"[^a-z0-9]+", " ", text.lower())
+
+    def least_edits(piece, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(piece):
+            now = [i + 1]
+            for j, d in enumerate(text):
+                now.append(min(row[j] + (c != d), row[j + 1] + 1, now[-1] + 1))
+            row = now
+        return min(row)
+
+    def brute(text, item):
+        body, mask = folded(item).strip(), set()
+        last = max(0, len(body) - 80)
+        for at in sorted({*range(0, last, 40), last}):
+            piece = body[at : at + 80]
+            edits = min(int(len(piece) * 0.08), max(0, (len(piece) - 10) // 10))
+            if len(piece) >= 10 and least_edits(piece, folded(text)) <= edits:
+                mask |= set(range(at, at + len(piece)))
+        runs = "".join("x" if i in mask else " " for i in range(len(body))).split()
+        return len(mask) >= 0.5 * len(body) or max(map(len, runs), default=0) >= 120
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 5)))
+    common = " ".join(word() for _ in range(12))
+    items = [" ".join([*(word() for _ in range(r.randint(2, 40))), common, *(word() for _ in range(r.randint(0, 40)))]) for _ in range(12)]
+    texts = []
+    for k in range(60):
+        body = list(r.choice(items))
+        for _ in range(r.choice([0, 1, 3, 6, 9, 14, 25])):
+            i = r.randrange(len(body))
+            body[i : i + r.randint(0, 1)] = r.choice(["", "z", "q"])
+        body = body[: r.choice([len(body), len(body) // 2, 70])]
+        texts.append(" ".join(word() for _ in range(r.randint(0, 15))) + " " + "".join(body) + " " + common.upper() + "!")
+    index = decontamination.build_index(list(enumerate(items)))
+    raw = [t.lower().encode() for t in texts]
+    found = decontamination.find(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), index)
+    want = {k: sorted(i for i, item in enumerate(items) if brute(t, item)) for k, t in enumerate(texts)}
+    assert {k: sorted(i for i, _ in v) for k, v in found.items()} == {k: v for k, v in want.items() if v}
+    assert 5 < sum(map(bool, want.values())) < 60
+
+
 def test_jaccard_join(docs, texts, none):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
@@ -253,6 +311,49 @@ def test_quality(spark, docs, none):
     assert all(r.kept for r in quality.classify(docs, empty).collect()) and quality.classify(none, labels).count() == 0
 
 
+def test_quality_posteriors_in_plain_python(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["oak", "elm", "WIN!!", "$$$", "the", "calm"]) for _ in range(r.randint(1, 40))), r.choice(["en", "de", None]), r.choice(["h1", "h1", "h1", "h2", "h3", None]), 0, "", 0) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (None, "no id", "en", "h1", 0, "", 0)], SCHEMA)
+    labels = spark.createDataFrame([(i, int("WIN!!" not in rows[i][1]), 0) for i in range(0, 300, 3)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    site = {i: (h or "", p or "") for i, _, p, h, *_ in rows} | {None: ("h1", "en")}
+    sums = collections.defaultdict(lambda: [0.0, 0])
+    for x in got:
+        for key in ((), site[x.doc_id][:1], site[x.doc_id]):
+            sums[key][0] += x.p_document
+            sums[key][1] += 1
+    overall = min(max(sums[()][0] / sums[()][1], 1e-4), 1 - 1e-4)
+
+    def strength(keys, prior):
+        n = sum(sums[k][1] for k in keys)
+        between = sum(sums[k][1] * (sums[k][0] / sums[k][1] - prior(k)) ** 2 for k in keys)
+        within = sum(sums[k][1] * prior(k) * (1 - prior(k)) for k in keys)
+        return min(1e4, max(2.0, within / n / max(between / n - within / n * len(keys) / n, 1e-6)))
+
+    hosts, paths = [k for k in sums if len(k) == 1], [k for k in sums if len(k) == 2]
+    kh = strength(hosts, lambda k: overall)
+    p_host = {k: (sums[k][0] + kh * overall) / (sums[k][1] + kh) for k in hosts}
+    kp = strength(paths, lambda k: p_host[k[:1]])
+    p_path = {k: (sums[k][0] + kp * p_host[k[:1]]) / (sums[k][1] + kp) for k in paths}
+    logit = lambda p: math.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    for x in got:
+        odds = logit(x.p_document) + logit(p_path[site[x.doc_id]]) - logit(overall)
+        assert abs(x.p_host - p_host[site[x.doc_id][:1]]) < 1e-9 and abs(x.p_path - p_path[site[x.doc_id]]) < 1e-9
+        assert abs(x.p_good - 1 / (1 + math.exp(-odds))) < 1e-9 and x.kept == (x.p_good >= 0.5)
+
+
+def test_quality_rejects_rows_not_ids(spark):
+    good, bad = "a calm and plain sentence about the river and the hills ", "WIN!! $$$ ### " * 12
+    rows = [(i, good * 2 + str(i), "en", "h", 0, "", 0) for i in range(120)] + [(500 + i, bad + str(i), "en", "h", 0, "", 0) for i in range(60)]
+    rows += [(900, bad, "en", "h", 0, "", 0), (900, good * 2, "en", "h", 0, "", 0), (None, bad, "en", "h", 0, "", 0), (901, "", "en", "h", 0, "", 0)]
+    labels = spark.createDataFrame([(i, int(i < 500), 0) for i, *_ in rows if i is not None and i < 900], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = quality.keep_good(docs, labels)
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and (900, good * 2) in left and (900, bad) not in left and (None, bad) not in left and len({i for i, _ in left if i is not None and i < 500}) == 120
+
+
 def test_packing(docs, texts, none):
     rows = packing.pack(docs, 300, 4).collect()
     batches = collections.defaultdict(list)
@@ -307,21 +408,21 @@ def test_surrogates(spark, docs, none):
         assert sorted(moved) == list(range(n)) and all(a != b for a, b in enumerate(moved))
     text = "Dr. Maria Schmidt, a.b@c.example.com, +1 (017) 555-7713, again A.B@c.example.com and 10.2.3.4"
     rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "call +1 (017) 555-7713 now")], "doc_id long, text string")
-    got = {r.doc_id: r for r in surrogates.replace_entities(rows).collect()}
+    got = {r.doc_id: r for r in surrogates.replace_entities(rows, KEY).collect()}
     assert got[1].n_entities == 5 and not any(x in got[1].text for x in ("Maria", "a.b@", "555-7713", "10.2.3.4"))
     phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1].text)[0]
     assert phone in got[4].text and got[2].text is None and got[3].text == ""
     mails = re.findall(r"\S+@[\w.]+\.com", got[1].text)
     assert len(mails) == 2 and mails[0].lower() == mails[1].lower()
-    assert surrogates.replace_entities(none).count() == 0
+    assert surrogates.replace_entities(none, KEY).count() == 0
 
 
 def test_surrogates_of_all_mentions_of_a_name(spark):
     text = "Schmidt wrote: é Dr. Maria Schmidt of Schmidtburg came. Then Maria Schmidt said so, SCHMIDT agreed, and Maria left; Schmidt@corp.example.com"
     rows = spark.createDataFrame([(1, text), (2, "Schmidt is not titled here")], "doc_id long, text string")
-    got = {r.doc_id: r for r in surrogates.replace_entities(rows).collect()}
-    first, last = surrogates.surrogate("name", "Maria Schmidt").split(" ")
-    mail = surrogates.surrogate("email", "Schmidt@corp.example.com")
+    got = {r.doc_id: r for r in surrogates.replace_entities(rows, KEY).collect()}
+    first, last = surrogates.surrogate("name", "Maria Schmidt", KEY).split(" ")
+    mail = surrogates.surrogate("email", "Schmidt@corp.example.com", KEY)
     assert got[1].text == f"{last} wrote: é Dr. {first} {last} of Schmidtburg came. Then {first} {last} said so, {last.upper()} agreed, and {first} left; {mail}"
     assert got[1].n_entities == 6 and got[1].kinds == ["email", "name"] and (got[2].text, got[2].n_entities) == ("Schmidt is not titled here", 0)
 
@@ -329,14 +430,22 @@ def test_surrogates_of_all_mentions_of_a_name(spark):
 def test_surrogates_in_other_scripts(spark):
     names = ["王小明", "محمد", "משה", "Łukasz", "ქართველი"]
     rows = spark.createDataFrame([(i, f"Dr. {n} came") for i, n in enumerate(names)], "doc_id long, text string")
-    got = {r.doc_id: r for r in surrogates.replace_entities(rows).collect()}
+    got = {r.doc_id: r for r in surrogates.replace_entities(rows, KEY).collect()}
     for i, name in enumerate(names):
         new = re.fullmatch(r"Dr\. (\w+) came", got[i].text)[1]
         assert got[i].n_entities == 1 and new != name and len(new) == len(name)
     rows = spark.createDataFrame([(1, "they came"), (2, "Dr. Maria Schmidt"), (3, "и Г-н Иванов")], "doc_id long, text string").coalesce(1)
-    assert [r.n_entities for r in surrogates.replace_entities(rows).orderBy("doc_id").collect()] == [0, 1, 1]
+    assert [r.n_entities for r in surrogates.replace_entities(rows, KEY).orderBy("doc_id").collect()] == [0, 1, 1]
     chars = [chr(c) for c in range(0x4E00, 0x4E80)]
-    assert len({surrogates.surrogate("name", a + b) for a in chars[:40] for b in chars[60:100]}) == 1600
+    assert len({surrogates.surrogate("name", a + b, KEY) for a in chars[:40] for b in chars[60:100]}) == 1600
+
+
+def test_surrogates_of_long_texts_take_linear_time(spark):
+    rows = [(1, "x1" * 500_000), (2, "a1." * 300_000), (3, "@" * 300_000), (4, "7, " * 300_000 + "mail j.doe@corp.example.com")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, kinds string, n_entities int")
+    began = time.time()
+    got = {r.doc_id: r for r in surrogates.replace_entities(frame, KEY).collect()}
+    assert time.time() - began < 60 and got[4].n_entities == 1 and [len(got[i].text) for i in (1, 2, 3, 4)] == [len(t) for _, t in rows]
 
 
 def test_warc(spark):
@@ -344,10 +453,59 @@ def test_warc(spark):
     source, _ = warc.parse(raw)
     for made in warc.derive(raw):
         h, block = warc.parse(made)
-        assert h["WARC-Refers-To"] == source["WARC-Record-ID"] and h["WARC-Block-Digest"] == warc.digest(block) and int(h["Content-Length"]) == len(block)
+        assert warc.first(h, "WARC-Refers-To") == warc.first(source, "warc-record-id") and warc.first(h, "WARC-Block-Digest") == warc.digest(block) and int(warc.first(h, "Content-Length")) == len(block)
     assert warc.parse(warc.derive(raw)[1])[1].decode() == "T & t\nOne\ntwo\nlink"
-    pages = spark.createDataFrame([(1, None, None), (2, "http://b.example", "<p>x")], "page_id long, url string, html string")
-    assert warc.derivatives(pages).count() == 4
+    pages = spark.createDataFrame([(1, None, None, 1, "x"), (2, "http://b.example", "<p>x", 2, "y"), (2, "http://b.example", "<p>x", 2, "y")], "page_id long, url string, html string, number int, record string")
+    got = warc.derivatives(pages).collect()
+    assert len(got) == 6 and len({r.record_id for r in got}) == 6 and warc.derivatives(pages.where("page_id > 9")).count() == 0
+    named = {r.record_id: r for r in got}
+    for r in named.values():
+        h, block = warc.parse(bytes(r.record))
+        assert (warc.first(h, "WARC-Record-ID"), warc.first(h, "WARC-Refers-To"), len(block)) == (r.record_id, r.refers_to, r.content_length)
+
+
+def test_warc_keeps_all_headers():
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie:b=2\r\nX-Long: one\r\n two\r\n\r\n<p>x"
+    raw = warc.record("response", {"WARC-Record-ID": "<urn:x>", "WARC-Date": "d", "WARC-Target-URI": "u"}, http)
+    meta = json.loads(warc.parse(warc.derive(raw)[0])[1])["Envelope"]["HTTP-Response-Metadata"]
+    assert meta["Headers"] == {"Set-Cookie": ["a=1", "b=2"], "X-Long": "one two"}
+    for broken in (b"", b"WARC/1.0\r\n\r\n", raw[:-30], b"HTTP/1.1 200 OK\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.parse(broken)
+
+
+def test_warc_text_of_made_pages():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(1, 6)))
+    for _ in range(200):
+        page, lines, links = [], [], []
+        for _ in range(r.randint(0, 8)):
+            words = [word() for _ in range(r.randint(1, 5))]
+            kind = r.randrange(5)
+            if kind == 0:
+                page.append(f"<script src='/{words[0]}.js'>{' '.join(words)} < 3</script>")
+                continue
+            if kind == 1:
+                page.append(f"<!-- {' '.join(words)} <p> -->")
+                continue
+            if kind == 2:
+                links.append(f"/{words[0]}?a=1&b=2")
+                page.append(f'<div class="x"> <a href="/{words[0]}?a=1&amp;b=2">{" ".join(words)}</a>\t</div>')
+            else:
+                tag = r.choice(["p", "li", "h2", "td"])
+                page.append(f"<{tag} id={words[0]}>\n{'  '.join(words)} &lt;&eacute; </{tag}>")
+                words.append("<é")
+            lines.append(" ".join(words))
+        assert warc.plain_text("".join(page)).split("\n") == (lines or [""])
+        meta = json.loads(warc.parse(warc.derive(warc.response("u", "".join(page)))[0])[1])
+        assert [x["url"] for x in meta["Envelope"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Links"] if x["tag"] == "a"] == links
+
+
+def test_warc_takes_linear_time():
+    began = time.time()
+    for page in ("<p " * 200_000, "<a href=" * 200_000, "<title " * 200_000, "<!--" * 200_000, "<script>" * 200_000, "<" * 500_000):
+        warc.derive(warc.response("u", page))
+    assert time.time() - began < 20
 
 
 def test_fm_index():
@@ -403,6 +561,52 @@ def test_substring_dedup_of_one_id_with_two_texts(spark):
     assert sorted((x.doc_id or 0, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(frame).collect()) == sorted(want)
 
 
+def test_pipeline_in_plain_python(spark, tmp_path):
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    item = words(30)
+    texts = [words(r.randint(1, 60)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(100 + i, t.replace(" ", "\n")) for i, t in enumerate(texts[:8])] + [(3, texts[5]), (3, texts[3]), (3, texts[3]), (None, texts[9]), (None, "nobody knows"), (None, "nobody knows")]
+    rows += [(200 + i, t + " more") for i, t in enumerate(texts) if len(t.split()) > 30] + [(300, f"{words(5)} {item} {words(5)}"), (1, f"{item.upper()} {words(9)}"), (301, None), (302, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))  # rejects nothing
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.n_tokens) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[BLANK.sub(" ", t or "")].append(i)
+    kept = [(min((i for i in ids if i is not None), default=None), body) for body, ids in groups.items()]
+    sets = []
+    for _, t in kept:
+        w = split(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(kept)))
+
+    def top(a):
+        return a if root[a] == a else top(root[a])
+
+    for a, (i, _) in enumerate(kept):
+        for b, (j, _) in enumerate(kept[:a]):
+            if i is not None and j is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[top(a)] = top(b)
+    heads = {}
+    for a, (i, t) in enumerate(kept):
+        if i is None or not sets[a]:
+            heads[a, None] = (i, t)
+        elif (top(a), 0) not in heads or i < heads[top(a), 0][0]:
+            heads[top(a), 0] = (i, t)
+    want = sorted((i is None, i or 0, len(split(t))) for i, t in heads.values() if item not in t.lower())
+    assert got == want and 20 < len(want) < len(kept)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "jaccard_join", "decontamination", "packing"]
     out = exact_dedup.keep_first(docs)
