@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.ingest import RECORD, projects
+from ..sources import ingest as tables
 
 
-def ingest_projects(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Read the record files that are new since the last call, append their projects, and stop."""
-    records = spark.readStream.schema(RECORD).json(source)
-    writer = projects(records).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(availableNow=True).start()
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, name: str) -> None:
+    """Read the record files of a source that are new since the last call, write the four tables, and stop.
+
+    Every micro-batch has a partition of its own, which it replaces when it is run again after a
+    failure, so no record is stored twice.
+    """
+
+    def write(records: DataFrame, batch: int) -> None:
+        for table, make in (("projects", tables.projects), ("processes", tables.processes), ("documents", tables.documents), ("pages", tables.pages)):
+            rows = make(records).withColumns({"dataset_source": F.lit(name.upper()), "batch": F.lit(batch)})
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_source", "batch").parquet(f"{target}/{table}")
+
+    records = spark.readStream.schema(tables.RECORD).json(source)
+    query = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

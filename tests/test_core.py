@@ -1,13 +1,16 @@
 """Golden cases of the column functions and the text operators."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from docketlake.functions import matches, places, tags
-from docketlake.operators import capacity, dates, replies, snippets
+from docketlake import __main__ as command
+from docketlake.operators import capacity, dates, replies, reports, runs, snippets
 from docketlake.sources import ingest
+from docketlake.streaming import incremental
 
 U = "Utilities (electricity, gas, telecommunications)"
 B, S, W, AG = "Broadband", "Renewable Energy Production - Solar", "Waste Management", "Agriculture"
@@ -146,3 +149,105 @@ def test_records(spark, tmp_path):
     ingest.write_tables(records, str(tmp_path / "out"), "ce")
     assert spark.read.parquet(str(tmp_path / "out/pages")).first().dataset_source == "CE"
     assert ingest.read_ids(spark, str(tmp_path / "missing.csv")).count() == 0
+
+
+def record(key, kind, title, pages, agency=("Department of Energy",), file="File.pdf"):
+    v = lambda x: {"value": x}
+    meta = {"document_metadata": {"document_ID": v(f"d{key}"), "document_type": v("ROD")}, "file_metadata": {"main_document": v("YES"), "total_pages": v(str(len(pages))), "file_name": v(file)}}
+    project = {"project_ID": v(key), "project_title": v(title), "project_type": v(kind), "location": v(["Kern County, CA"])}
+    docs = [{"metadata": meta, "pages": [{"page number": i + 1, "page text": p} for i, p in enumerate(pages)]}]
+    return json.dumps({"project": project, "process": {"process_type": v("Categorical Exclusion"), "lead_agency": v(list(agency))}, "documents": docs})
+
+
+@pytest.fixture
+def corpus(tmp_path):
+    lines = [
+        record("p1", [S], "A 30-MW wind facility", ["Decision signed May 2, 2014.", "No date."]), record("p2", [U, B], "Wires", ["Received 1/2/2013. Rated 5 kW."]),
+        record("p3", [S], "Plain", ["Approved March 1, 2010. The plant will generate 12 MW."]), record("p4", [NT, W], "Hanford works", ["none"], ("Department of Energy", "Office of Environmental Management")),
+    ]
+    folder = tmp_path / "in" / "CE" / "a"
+    folder.mkdir(parents=True)
+    (folder / "x.jsonl").write_text("\n".join(lines))
+    return tmp_path
+
+
+def test_command_line_runs(spark, corpus):
+    root = str(corpus / "out")
+    run = lambda *a: command.main([*a, "--root", root], spark)
+    for _ in range(2):  # a rerun replaces what is there
+        run("extract", "--records", str(corpus / "in"))
+    assert spark.read.parquet(f"{root}/pages").count() == 5 and spark.read.parquet(f"{root}/projects").first().dataset_source == "CE"
+    ids = corpus / "ids.csv"
+    ids.write_text("project_id\np3\n")
+    run("analysis", "--military-ids", str(ids))
+    got = {r.project_id: r for r in spark.read.parquet(f"{root}/analysis/projects_combined").collect()}
+    assert {k: r.project_energy_type for k, r in got.items()} == {"p1": "Clean", "p2": "Other", "p3": "Other", "p4": "Other"}
+    assert {k: r.project_energy_type_strict for k, r in got.items()} == {"p1": "Clean", "p2": "Other", "p3": "Other", "p4": "Other"}
+    assert got["p3"].project_military_to_exclude and got["p4"].project_nuclear_waste_to_exclude and got["p2"].project_utilities_to_exclude
+    assert (got["p1"].process_type, got["p1"].project_state, got["p1"].project_county, got["p1"].project_has_decision, got["p1"].project_document_count) == ("CE", ["California"], ["Kern"], True, 1)
+    run("timeline", "--ce-only")
+    made = spark.read.parquet(f"{root}/analysis/projects_timeline").collect()
+    assert [(r.project_id, str(r.project_timeline_decision), r.project_timeline_year) for r in made] == [("p1", "2014-05-02", 2014)]
+    run("candidates", "--all", "--all-docs")
+    assert {(r.project_id, str(r.date)) for r in spark.read.parquet(f"{root}/analysis/date_candidates").collect()} == {("p1", "2014-05-02"), ("p2", "2013-01-02"), ("p3", "2010-03-01")}
+    run("capacity", "--all")
+    made = {r.project_id: r for r in spark.read.parquet(f"{root}/analysis/projects_gencap").collect()}
+    assert (made["p1"].project_gencap_value, made["p1"].project_gencap_source, made["p3"].project_gencap_value, made["p4"].project_gencap_source) == (30.0, "title", 12.0, "none")
+    assert made["p3"].project_gencap_matches == ["12 MW", "generate 12 MW"] and made["p3"].project_gencap_context.startswith("Approved March")
+
+
+def test_model_runs(spark, corpus):
+    root = str(corpus / "out")
+    command.main(["extract", "--records", str(corpus / "in"), "--root", root], spark)
+    tables = ingest.combined(spark, root)
+    projects, docs = tables["projects_combined"], tables["documents_combined"].withColumnRenamed("document_type_category", "category")
+    pages = spark.read.parquet(f"{root}/pages")
+    asked = []
+
+    def client(prompt):
+        if "5 kW" in prompt:
+            raise TimeoutError("late")
+        return '{"classifications": [{"date": "2014-05-02", "type": "decision", "reason": "r"}]}' if "Classify" in prompt else '{"dates": [{"date": "2014-05-02", "type": "decision", "source": "r"}]}'
+
+    every = runs.Options(decision_docs_only=False)
+    full = {r.project_id: r for r in runs.model_timelines(projects, docs, pages, client, every).collect()}
+    assert full["p1"].llm_decision_date == "2014-05-02" and full["p2"].llm_error == "Error: late" and full["p1"].document_count == 1
+    hybrid = {r.project_id: r for r in runs.model_timelines(projects, docs, pages, client, every, hybrid=True).collect()}
+    assert hybrid["p1"].llm_n_dates_found == 1 and hybrid["p3"].llm_n_dates_found == 2 and hybrid["p4"].llm_error == "no_dates"
+    caps = {r.project_id: r for r in runs.model_capacities(projects, docs, pages, lambda p: '{"capacity_value": "1,200", "capacity_unit": "MW"}').collect()}
+    assert (caps["p3"].capacity_value, caps["p3"].extraction_method, caps["p4"].extraction_method) == (1200.0, "llm", "no_candidates")
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "terms.txt").write_text("# note\n\n  Hanford\t\nNNSA\n")
+    assert sorted(r.term for r in ingest.read_terms(spark, str(tmp_path / "terms.txt")).collect()) == ["hanford", "nnsa"]
+    (tmp_path / "ids.csv").write_text("project_id,x\np1,1\n,2\np1,3\n")
+    assert [r.project_id for r in ingest.read_ids(spark, str(tmp_path / "ids.csv")).collect()] == ["p1"]
+    df = spark.createDataFrame([("a", 2, ["x", "y"]), ("b", 1, None)], "k string, n int, l array<string>")
+    assert [r.l for r in ingest.export_json(df).orderBy("k").collect()] == ['["x","y"]', None]
+    ingest.write_csv(ingest.export_json(df), str(tmp_path / "out"), ["n"])
+    assert [r.k for r in ingest.read_csv(spark, str(tmp_path / "out")).collect()] == ["b", "a"]
+    assert ingest.read_csv(spark, str(tmp_path / "none"), "a int").columns == ["a"]
+    assert ingest.read_text(spark, str(tmp_path / "terms.txt")).first().text.startswith("# note")
+    assert ingest.read_corpus(spark, str(tmp_path / "nothing")).count() == 0
+    assert ingest.present(df, ["n", "absent", "k"]).columns == ["n", "k"]
+    got = {(r.measure, r.value): (r.n, r.pct) for r in ingest.summary(df, ["l"], ["k"]).collect()}
+    assert got == {("rows", None): (2, 100.0), ("l", None): (1, 50.0), ("k", "a"): (1, 50.0), ("k", "b"): (1, 50.0)}
+
+
+def test_incremental_ingest(spark, corpus):
+    out, state = str(corpus / "live"), str(corpus / "state")
+    incremental.ingest(spark, str(corpus / "in" / "CE" / "a"), out, state, "ce")
+    (corpus / "in" / "CE" / "a" / "y.jsonl").write_text(record("p9", [S], "New", ["x"]))
+    incremental.ingest(spark, str(corpus / "in" / "CE" / "a"), out, state, "ce")
+    assert spark.read.parquet(f"{out}/projects").count() == 5 and spark.read.parquet(f"{out}/pages").count() == 6
+
+
+def test_units_and_links(spark):
+    for text, want in (("megawatt  thermal", "MW"), ("Megawatt\nHour", "MWh"), (" kWe ", "kW"), ("volts", None)):
+        assert one(spark, text, "string", capacity.unit_of) == want
+    lists = spark.createDataFrame([(1, ["N", "S"], 4), (2, ["S", "M", "N"], 2)], "list_id int, states array<string>, n int")
+    where = spark.createDataFrame([("S", 30.0, -100.0), ("M", 35.0, -101.0), ("N", 45.0, -99.0)], "name string, lat double, lon double")
+    assert sorted(tuple(r) for r in reports.places_by_latitude(lists, where).collect()) == [(1, ["S", "N"], 4), (2, ["S", "M", "N"], 2)]
+    df = spark.createDataFrame([(v,) for v in (5, 3, 3, 2, None)], "v int")
+    assert sorted(r.v for r in reports.top_with_ties(df, "v", 2).collect()) == [3, 3, 5]
