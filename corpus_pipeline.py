@@ -1,8 +1,9 @@
 """The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
-the next stage's documents. All but the last return the columns of ``documents``; a row with null
-doc_id passes the first four stages unless it holds a benchmark passage.
+the next stage's documents. All but the last return the columns of ``documents``. Decisions are about
+rows: rows that share a doc_id but not the text are judged apart, rows equal in both count once from
+the second stage on, and a row with null doc_id passes the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -14,22 +15,27 @@ from docketlake.llm.common import table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier rejects."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
     return exact_dedup.keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates."""
     return jaccard_join.keep_one_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that quote the benchmark."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every document that is left, in a batch of its length bucket."""
     return packing.pack(docs)
 
 
@@ -41,7 +47,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the classifier nor the alignment; tests/llm compares operators, not ``run``, with plain Python.
+#: SQL can express neither the classifier nor the alignment; tests/llm compares ``run`` with plain Python.
 ORACLE_SQL = None
 
 
