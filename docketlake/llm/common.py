@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
+SUBGROUP = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,25 +30,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+_scratch: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
+    """Cut the lineage: write to the shared folder and read back. The table stays until ``drop_scratch``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this process wrote on the way; call it when all results are stored."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_rank(df: DataFrame, groups: list[str], order: list[str], name: str, spread: int = 64) -> DataFrame:
+def spread_rank(df: DataFrame, groups: list[str], order: list[str], name: str, rows: int) -> DataFrame:
     """Gapless 0-based rank inside each group without sending a group to one task.
 
-    Rows are dealt over ``spread`` sub-groups by a hash of ``order``; a prefix sum over the sub-group
-    counts (at most groups x spread rows) gives each sub-group its offset. ``groups`` must have few
+    Rows are dealt over sub-groups of about ``SUBGROUP`` rows (64 at least, for ``rows`` in all) by a
+    hash of ``order``; a prefix sum over the sub-group counts gives each sub-group its offset. ``groups`` must have few
     values. Repeated rows get different ranks.
     """
+    spread = max(64, -(-rows // SUBGROUP))
     df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
     counts = df.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +71,7 @@ def spread_rank(df: DataFrame, groups: list[str], order: list[str], name: str, s
         same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
     inside = Window.partitionBy(*groups, "_part").orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(inside) - 1)
-    joined = ranked.join(F.broadcast(offsets), same)  # groups x spread rows: a fixed bound
+    joined = ranked.join(F.broadcast(offsets), same)  # groups x max(64, rows / SUBGROUP) rows
     return joined.withColumn(name, (F.col("_rank") + F.col("_offset")).cast("long")).drop(
         "_rank", "_offset", "_part", "_p", *[f"_{g}" for g in groups]
     )

@@ -7,7 +7,8 @@ different lengths add up to no more than all words. Inside a bucket, documents f
 
 Defined cases: a null or empty text has length 0 and takes a place of length 0 in the first bucket
 (its boundary is at least 1); a document longer than the budget forms a batch alone; an empty table
-gives an empty result; repeated rows take places of their own; a null doc_id is packed like others.
+gives an empty result; repeated rows take places of their own; a null doc_id is packed like others;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataF
     ends = boundaries(np.array([r.top for r in histogram]), np.array([r.n for r in histogram]), buckets)
     tops = F.array(*[F.lit(e).cast("long") for e in ends])
     rows = rows.withColumn("bucket", F.size(F.filter(tops, lambda top: top < F.col("n_tokens"))))
-    ranked = spread_rank(rows, ["bucket"], ["doc_id", "n_tokens"], "rank")
+    ranked = spread_rank(rows, ["bucket"], ["doc_id", "n_tokens"], "rank", sum(r.n for r in histogram))
     ranked = ranked.withColumn("padded_tokens", F.get(tops, F.col("bucket")))
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded_tokens"))).cast("long")
     return ranked.select(

@@ -126,9 +126,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"),
     )
+    rows = written(rows, "sizes")  # the texts are read and hashed once
     groups = written(rows.groupBy("digest").agg(F.sum("size").alias("size")), "groups")
     placed = rows.join(assign_groups(groups, "digest", shards), "digest")
-    ranked = spread_rank(placed, ["shard"], ["doc_id", "text_crc32"], "slot")
+    ranked = spread_rank(placed, ["shard"], ["doc_id", "text_crc32"], "slot", rows.count())
     return ranked.select(
         "doc_id", "size", F.col("text_crc32").cast("long").alias("text_crc32"), F.lit("bytes").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import time
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docketlake.llm import binaryfuse, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, quality, sharding, substring_dedup, surrogates, warc
+from docketlake.llm import binaryfuse, common, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, quality, sharding, substring_dedup, surrogates, warc
 from docketlake.llm.common import components
 from docketlake.llm.fmindex import FMIndex
 
@@ -99,6 +100,25 @@ def test_sharding(docs, texts, none):
     assert sharding.shard_documents(none, 5).count() == 0
 
 
+def test_sharding_and_packing_with_clashing_columns(spark):
+    rows = [(i % 7 if i % 5 else None, ["same text", None, "", "word " * 200_000][i % 4]) for i in range(40)]
+    frame = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in rows], "doc_id long, text string, size int, digest int, shard string, n_tokens int")
+    got = sharding.shard_documents(frame, 3).collect()
+    assert sorted(r["size"] for r in got) == sorted(len(t or "") + 8 for _, t in rows) and all(r.text_crc32 >= 0 and r.grown_shard is None for r in got)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(3) for k in range(sum(r.shard == s for r in got))]
+    packed = packing.pack(frame, 1000, 3).collect()
+    assert sorted(r.n_tokens for r in packed) == sorted(len((t or "").split()) for _, t in rows)
+    long = [(r.bucket, r.batch) for r in packed if r.n_tokens > 1000]
+    assert len(set(long)) == len(long) == 10
+
+
+def test_scratch_tables_are_removed(spark, tmp_path):
+    made = common.written(spark.range(3), "kept")
+    folder = common._scratch[-1]
+    common.drop_scratch(spark)
+    assert not common._scratch and not os.path.exists(folder) and made is not None
+
+
 def test_differencing_is_balanced():
     loads = np.zeros((400, 7), np.int64)
     loads[:, 0] = np.random.default_rng(3).integers(1, 5000, 400)
