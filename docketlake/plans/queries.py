@@ -868,3 +868,18 @@ def x10_terms(c):
 def x14_model_stage(c):
     rows = c.table("benchmark").select("item_id", F.substring("text", 1, 20).alias("prompt"))
     return snippets.ask_model(rows, "item_id", "prompt", lambda p: f"echo {p}")
+
+
+@query(f""", pl(name, lat, lon) AS (VALUES {_PLACES_SQL}), lists AS (SELECT array_to_string(project_state, ';') AS list_id, any_value(project_state) AS states, count(*) AS n FROM projects WHERE len(project_state) > 1 GROUP BY 1)
+  SELECT list_id, string_agg(name, ';' ORDER BY lat, name) AS ordered, max(n) AS n FROM (SELECT list_id, n, unnest(states) AS name FROM lists) JOIN pl USING (name) GROUP BY 1""")
+def a14_a15_places_in_order(c):
+    lists = c.tagged.where(F.size("project_state") > 1).groupBy(joined("project_state").alias("list_id")).agg(F.first("project_state").alias("states"), F.count(F.lit(1)).alias("n"))
+    rows = reports.places_by_latitude(lists, c.spark.createDataFrame(_PLACES, "name string, lat double, lon double"))
+    return rows.select("list_id", joined("ordered").alias("ordered"), "n")
+
+
+@query("""SELECT 'rows' AS measure, NULL::VARCHAR AS value, count(*) AS n, 100.0::DOUBLE AS pct FROM tagged UNION ALL SELECT 'project_type', NULL, count(project_type), round(count(project_type) * 100.0 / count(*), 4) FROM tagged
+  UNION ALL SELECT 'project_utilities_to_exclude', NULL, count(*) FILTER (project_utilities_to_exclude), round(count(*) FILTER (project_utilities_to_exclude) * 100.0 / count(*), 4) FROM tagged
+  UNION ALL SELECT 'energy', energy, count(*), round(count(*) * 100.0 / (SELECT count(*) FROM tagged), 4) FROM tagged GROUP BY 2""")
+def k7_summary(c):
+    return ingest.summary(c.tagged, ["project_type", "project_utilities_to_exclude"], ["energy"])

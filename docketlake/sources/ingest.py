@@ -153,6 +153,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True).select(F.col("project_id").cast("string")).dropna().distinct()
 
 
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """A lookup of places (name, lat, lon) from a CSV with a header; each name once, those without coordinates left out."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "name string, lat double, lon double")
+    rows = spark.read.schema("name string, lat double, lon double").csv(path, header=True).dropna()
+    return rows.groupBy("name").agg(F.min(F.struct("lat", "lon")).alias("p")).select("name", "p.lat", "p.lon")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,14 +1,16 @@
 """Golden cases of the column functions and the text operators."""
 
 import datetime
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from docketlake.functions import matches, places, tags
 from docketlake import __main__ as command
-from docketlake.operators import capacity, dates, replies, reports, runs, snippets
+from docketlake.operators import capacity, client, dates, replies, reports, runs, snippets
 from docketlake.sources import ingest
 from docketlake.streaming import incremental
 
@@ -251,3 +253,36 @@ def test_units_and_links(spark):
     assert sorted(tuple(r) for r in reports.places_by_latitude(lists, where).collect()) == [(1, ["S", "N"], 4), (2, ["S", "M", "N"], 2)]
     df = spark.createDataFrame([(v,) for v in (5, 3, 3, 2, None)], "v int")
     assert sorted(r.v for r in reports.top_with_ties(df, "v", 2).collect()) == [3, 3, 5]
+
+
+def test_model_client(spark):
+    class Server(http.server.BaseHTTPRequestHandler):
+        def answer(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self.answer({"models": [{"name": "m1"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.answer({"response": f"{asked['model']}: {asked['prompt'].upper()}"})
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = client.ModelClient(f"http://127.0.0.1:{server.server_port}", "m1")
+    df = spark.createDataFrame([(1, "ok")], "id int, p string")
+    assert model.models() == ["m1"] and snippets.ask_model(df, "id", "p", model).first().reply == "m1: OK"
+    server.shutdown()
+    server.server_close()
+    assert model.models() is None and snippets.ask_model(df, "id", "p", model).first().reply.startswith("Error:")
+
+
+def test_places_source(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("name,lat,lon\nOhio,40.5,-82.5\nOhio,40.5,-82.5\nNowhere,,\n")
+    assert [tuple(r) for r in ingest.read_places(spark, str(tmp_path / "p.csv")).collect()] == [("Ohio", 40.5, -82.5)]
+    assert ingest.read_places(spark, str(tmp_path / "none.csv")).count() == 0
