@@ -114,13 +114,15 @@ def text_tag() -> Column:
 def dropped(docs: DataFrame, gone: DataFrame, tag: Column | None = None, once: bool = False) -> DataFrame:
     """``docs`` without the rows listed in ``gone`` (doc_id, tag), with all their columns; null ids are compared as equal.
 
-    With ``once`` only one row of equal doc_id and tag stays.
+    With ``once`` only one row of equal doc_id and tag stays. Rows meet by two hashes of both, so the
+    texts are shuffled once.
     """
-    name = f"tag_{uuid.uuid4().hex}"
-    rows, out = docs.withColumn(name, text_tag() if tag is None else tag), gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    left = rows.join(out, rows.doc_id.eqNullSafe(out._id) & (rows[name] == out._tag), "left_anti")
+    names = [f"row_{i}_{uuid.uuid4().hex}" for i in (1, 2)]
+    keys = lambda t: dict(zip(names, (F.xxhash64("doc_id", t), F.xxhash64(F.lit(53), t, F.col("doc_id").isNull(), "doc_id"))))
+    out = gone.withColumns(keys(F.col("tag"))).select(*names)
+    left = docs.withColumns(keys(text_tag() if tag is None else tag)).join(out, names, "left_anti")
     if once:
-        left = left.dropDuplicates(["doc_id", name])
+        left = left.dropDuplicates(names)
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, dropped, partitions, table, text_tag, written
 from .recurrent import class_of, frequency_classes, hot_keys, recurring
@@ -236,12 +237,15 @@ def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     keys = lambda block: shingle_sets(block, k)
     few, hot = hot_keys(docs, keys, lower=True)
     frequent = frequency_classes(docs, keys, lower=True)
-    every = written(profiles(docs, hot, frequent, k, percent).withColumn("node", F.xxhash64("h1", "h2", "n")), "profiles")
+    every = written(profiles(docs, hot, frequent, k, percent).withColumn("set", F.xxhash64("h1", "h2", "n")), "profiles")
     named = every.where("doc_id is not null and n > 0")
-    nodes = named.groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("r"))
-    nodes = written(nodes.select("node", "r.doc_id", "r.tag"), "nodes")
-    reps = named.join(nodes, ["node", "doc_id", "tag"], "left_semi").dropDuplicates(["node"])
-    sides = written(reps.select("node", "n", "bits", "prefix"), "sides")
+    nodes = named.groupBy("set").agg(F.min(F.struct("doc_id", "tag")).alias("r")).select("set", "r.doc_id", "r.tag")
+    # a class is known by its smallest doc_id; if that has several texts, the others get numbers above 2**61
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("tag"))
+    number = F.when(nth == 1, F.col("doc_id")).otherwise(F.col("set").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61)))
+    nodes = written(nodes.withColumn("node", number), "nodes")
+    sides = named.join(nodes, ["set", "doc_id", "tag"]).dropDuplicates(["node"])
+    sides = written(sides.select("node", "n", "bits", "prefix"), "sides")
     # size and place of a shingle in the prefix, packed into one number
     entries = sides.select(F.posexplode("prefix").alias("i", "key"), "node", "n")
     entries = entries.select("key", F.col("node").alias("doc_id"), F.col("node").alias("tag"), (F.col("n") * PACK + F.col("i")).alias("n"))
@@ -252,19 +256,20 @@ def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     stars = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = written(bounded_pairs(stars, sides, percent), "tried")
-    links = written(verified(tried, nodes, docs, k, percent), "links")
+    places = nodes.select("node", "doc_id", "tag")
+    links = written(verified(tried, places, docs, k, percent), "links")
     first = components(links)
     placed = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     placed = written(placed, "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
     cross = _cross(placed.join(split, "key", "left_semi"), percent).join(tried, ["a", "b"], "left_anti")
     late = written(bounded_pairs(cross, sides, percent), "late")
-    final = components(links.unionAll(verified(late, nodes, docs, k, percent)))
-    member = written(nodes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label")), "member")
+    final = components(links.unionAll(verified(late, places, docs, k, percent)))
+    member = written(nodes.join(final, "node", "left").select("set", "doc_id", F.coalesce("component", "node").alias("label")), "member")
     least = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    member = member.join(least, "label").select("node", "label", "component_id")
+    member = member.join(least, "label").select("set", "label", "component_id")
     apart = F.col("doc_id").isNull() | (F.col("n") == 0)
-    found = every.join(member.withColumnRenamed("label", "found"), "node", "left")
+    found = every.join(member.withColumnRenamed("label", "found"), "set", "left")
     return found.select("doc_id", "tag", "n", F.when(~apart, F.col("found")).alias("label"), F.when(apart, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
