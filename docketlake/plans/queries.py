@@ -883,3 +883,36 @@ def a14_a15_places_in_order(c):
   UNION ALL SELECT 'energy', energy, count(*), round(count(*) * 100.0 / (SELECT count(*) FROM tagged), 4) FROM tagged GROUP BY 2""")
 def k7_summary(c):
     return ingest.summary(c.tagged, ["project_type", "project_utilities_to_exclude"], ["energy"])
+
+
+_EDGES = f""", pl(name, lat, lon) AS (VALUES {_PLACES_SQL}), lists AS (SELECT array_to_string(project_state, ';') AS list_id, any_value(project_state) AS states, count(*) AS n FROM projects WHERE len(project_state) > 1 GROUP BY 1),
+  r AS (SELECT list_id, n, name, lead(name) OVER (PARTITION BY list_id ORDER BY lat, name) AS t FROM (SELECT list_id, n, unnest(states) AS name FROM lists) JOIN pl USING (name)),
+  e AS (SELECT name AS f, t, sum(n)::BIGINT AS n FROM r WHERE t IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+@query(_EDGES + """, q AS (SELECT quantile_cont(n, [0.4, 0.7, 0.9]) AS q FROM e), least AS (SELECT min(n) AS n FROM (SELECT n FROM e ORDER BY n DESC LIMIT 10))
+  SELECT f AS "from", t AS "to", e.n, CASE WHEN e.n >= q[3] THEN 'top' WHEN e.n >= q[2] THEN 'high' WHEN e.n >= q[1] THEN 'medium' ELSE 'low' END AS tier, e.n >= least.n AS labelled, ((a.lon + b.lon) / 2)::DOUBLE AS lon_mid
+  FROM e, q, least, pl a, pl b WHERE a.name = f AND b.name = t""")
+def g9_link_tiers(c):
+    lists = c.tagged.where(F.size("project_state") > 1).groupBy(joined("project_state").alias("list_id")).agg(F.first("project_state").alias("states"), F.count(F.lit(1)).alias("n"))
+    edges = reports.link_edges(lists, c.spark.createDataFrame(_PLACES, "name string, lat double, lon double"))
+    labelled = reports.top_with_ties(edges, "n", 10).select("from", "to", F.lit(True).alias("labelled"))
+    rows = reports.quantile_tiers(edges, "n").join(labelled, ["from", "to"], "left")
+    return rows.select("from", "to", "n", "tier", F.coalesce("labelled", F.lit(False)).alias("labelled"), "lon_mid")
+
+
+@query("SELECT project_id, o_totalprice FROM projects ORDER BY o_totalprice DESC, project_id LIMIT 25")
+def l1_head(c):
+    return c.projects.select("project_id", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "project_id").limit(25)
+
+
+@query("SELECT project_title AS \"Title\", process_type AS \"Process\", project_id AS \"Id\" FROM projects WHERE dataset_source = 'EIS'")
+def p8_presentation(c):
+    rows = c.projects.where("dataset_source = 'EIS'").select("project_title", "process_type", "project_id")
+    return rows.withColumnsRenamed({"project_title": "Title", "process_type": "Process", "project_id": "Id"})
+
+
+@query("SELECT project_id, dataset_source FROM projects", base=True)
+def p9_present_columns(c):
+    return ingest.present(c.projects, ["project_id", "absent", "dataset_source"])
