@@ -38,7 +38,7 @@ from .wordblocks import Block, blocks, mix, shingle_hashes
 
 WINDOW = 13
 ANCHOR = 5
-SHARD_FRAGMENTS = 20_000
+SHARD_FRAGMENTS = 40_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -111,23 +111,25 @@ def _row_word_bytes(block: Block) -> Iterator[list[bytes]]:
 
 
 def anchor_entries(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, doc_id, tag, n): the anchors of each document, each once; n tells the rows of one doc_id apart."""
+    """(key, doc_id, tag, n): the anchors of each row, each once; n is not used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _row_keys(window, anchor)
         for batch in batches:
             for block in blocks(batch.column("text"), lower=False):
                 row, key = keys(block)
-                doc, number = (batch.column(c).slice(block.first_row, block.rows).to_numpy() for c in ("doc_id", "row"))
+                doc = batch.column("doc_id").slice(block.first_row, block.rows).to_numpy()
                 tag = _sequence_tags(block)[0]
-                arrays = [pa.array(key.view(np.int64)), pa.array(doc[row]), pa.array(tag[row]), pa.array(number[row])]
+                arrays = [pa.array(key.view(np.int64)), pa.array(doc[row]), pa.array(tag[row]), pa.array(np.zeros(len(row), np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "tag", "n"])
 
     return docs.mapInArrow(run, "key long, doc_id long, tag long, n long")
 
 
 def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> DataFrame:
-    """(shard_key, body, doc_id, row, start) of rows (doc_id, row, text, keys, whole): stretches around the listed anchors, or around all.
+    """(shard_key, body, doc_id, row, start) of rows (doc_id, row, text, keys, whole): stretches around the listed anchors.
+
+    Of a row that is searched as a whole the stretches between them are fragments too.
 
     A body holds the words as text, one space between them, which packs far better than hashes.
     """
@@ -146,10 +148,12 @@ def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> Dat
                 code = lambda r, k: mix(k ^ mix(r.astype(np.uint64) + np.uint64(1)))
                 pick = np.isin(code(row, key), code(known_row, known))
                 is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
-                pick |= is_hot | batch.column("whole")[part].to_numpy(zero_copy_only=False)[row]
-                row, start, at, key, is_hot = row[pick], start[pick], at[pick], key[pick], is_hot[pick]
+                pick |= is_hot
+                alone = ~pick & batch.column("whole")[part].to_numpy(zero_copy_only=False)[row]
+                pick |= alone
+                row, start, at, key, is_hot, alone = row[pick], start[pick], at[pick], key[pick], is_hot[pick], alone[pick]
                 new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1) | is_hot[1:]
+                new[1:] = (start[1:] != start[:-1] + 1) | is_hot[1:] | (alone[1:] != alone[:-1]) | (~alone[1:] & (at[1:] != at[:-1]))
                 head = np.flatnonzero(new)
                 last = np.append(head[1:], len(at)) - 1
                 doc, number = (batch.column(c).slice(block.first_row, block.rows).to_numpy() for c in ("doc_id", "row"))
@@ -197,15 +201,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     every = written(every.join(first, ["tag", "tag2", "n_words"], "left"), "firsts")
     few, hot = hot_keys(docs, _row_keys(window, anchor), lower=False)
     shared = recurring(anchor_entries(known, window, anchor).join(F.broadcast(few), "key", "left_anti"))  # at most HOT_KEYS rows
-    lists = shared.groupBy("doc_id", F.col("n").alias("row")).agg(F.collect_set("key").alias("keys"))
+    lists = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # rows of one id share a list; what a row does not have is not found in it
     asked = every.where("doc_id = first_id and row = first_row").where(F.col("n_words") >= window).select("doc_id", "row", "whole").distinct()
     # a document without recurring anchors of its own may still have hot ones
-    asked = asked.join(lists, ["doc_id", "row"], "left").select("doc_id", "row", "whole", F.coalesce("keys", F.array().cast("array<long>")).alias("keys"))
+    asked = asked.join(lists, "doc_id", "left").select("doc_id", "row", "whole", F.coalesce("keys", F.array().cast("array<long>")).alias("keys"))
     made = fragments(known.join(asked, ["doc_id", "row"]), hot, window, anchor).withColumn("fragment", F.xxhash64("body"))
     made = written(made, "fragments")
     distinct = made.groupBy("shard_key", "fragment").agg(F.min("doc_id").alias("owner"), F.first("body").alias("body"))
-    distinct = written(distinct, "distinct")
-    shards = max(64, -(-distinct.count() // SHARD_FRAGMENTS))
+    shards = max(64, -(-made.count() // SHARD_FRAGMENTS))
     owners = written(shard_owners(distinct, shards, window), "owners")
     hits = made.select("shard_key", "fragment", "doc_id", "row", "start").join(owners, ["shard_key", "fragment"])
     starts = F.expr("transform(filter(sequence(0, size(owners) - 1), i -> owners[i] < doc_id), i -> start + i)")
