@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a plain expression inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def match_offsets(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of all matches; 0-based, end exclusive. No empty matches."""
-    return _placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return let(both, lambda b: _placed(b["found"], b["between"]))
 
 
 def _placed(found: Column, between: Column) -> Column:
@@ -28,6 +35,10 @@ def _placed(found: Column, between: Column) -> Column:
     return F.aggregate(numbers, empty, step)["hits"]
 
 
+HIT = "struct<priority:int,name:string,start:int,end:int,match:string>"
+DATED = "struct<priority:int,name:string,start:int,end:int,match:string,date:date>"
+
+
 def all_hits(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """array<struct<priority,name,start,end,match>> of all matches of the named patterns, by pattern, then place.
 
@@ -45,10 +56,10 @@ def all_hits(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return F.flatten(F.transform(F.filter(F.array(*parts), lambda x: F.size(x["found"]) > 0), named))
 
 
-def first_of(hits: Column, field: str) -> Column:
-    """Of the elements of an array of structs with equal ``field`` the first."""
-    values = F.transform(hits, lambda h: h[field])
-    return F.filter(hits, lambda h, i: F.array_position(values, h[field]) == i + 1)
+def first_of(hits: Column, kind: str, field: str) -> Column:
+    """Of the elements of an array of structs (of the type given) with equal ``field`` the first."""
+    known = lambda kept, h: F.exists(kept, lambda k: k[field] == h[field])
+    return F.aggregate(hits, F.array().cast(f"array<{kind}>"), lambda kept, h: F.when(known(kept, h), kept).otherwise(F.concat(kept, F.array(h))))
 
 
 def strip(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..functions.matches import all_hits, around, first_of, has_any, strip
+from ..functions.matches import HIT, all_hits, around, first_of, has_any, strip
 
 PATTERNS = [(str(i), f"(?i){p}") for i, p in enumerate(fixed.CAPACITY_PATTERNS)]
 
@@ -35,7 +35,7 @@ def to_megawatts(value: Column, unit: Column) -> Column:
 
 def extract_capacity(df: DataFrame, text: str, keep: list[str], title: bool = False) -> DataFrame:
     """One row per distinct match text: keep..., match, value, unit, is_energy, confidence, context, ordinal. No shuffle."""
-    hits = F.filter(first_of(all_hits(F.col("_text"), PATTERNS), "match"), lambda h: ~has_any(h["match"], fixed.INVALID_CAPACITY))
+    hits = F.filter(first_of(all_hits(F.col("_text"), PATTERNS), HIT, "match"), lambda h: ~has_any(h["match"], fixed.INVALID_CAPACITY))
     rows = df.select(*keep, F.col(text).alias("_text")).where(F.col("_text").rlike(rf"(?i)\d\s*-?\s*{fixed.UNIT}"))
     found = rows.select(*keep, "_text", F.explode(hits).alias("_h")).select(*keep, "_text", "_h.*")
     low = high = spelled = F.lit(None).cast("string")

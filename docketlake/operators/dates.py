@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..functions.matches import all_hits, around, first_of, has_any, match_offsets, strip
+from ..functions.matches import DATED, all_hits, around, first_of, has_any, let, match_offsets, strip
 from ..functions.tags import any_of
 
 PATTERNS = [(name, f"(?i){p}") for name, p, _ in fixed.DATE_PATTERNS]
@@ -57,7 +57,7 @@ def extract_dates(pages: DataFrame, text: str, keep: list[str], years: tuple[int
 
     All of it happens inside a page's row; nothing is shuffled. Rows are told apart by place, not by ``keep``.
     """
-    hits = first_of(dated_hits(F.col("_text"), years, 50), "date")
+    hits = first_of(dated_hits(F.col("_text"), years, 50), DATED, "date")
     rows = pages.select(*keep, F.col(text).alias("_text")).where(F.col("_text").rlike(r"\d\d"))
     rows = rows.select(*keep, "_text", F.explode(hits).alias("_hit"))
     kind = context_type(F.col("_text"), F.col("_hit.start"), F.col("_hit.end"))
@@ -140,7 +140,7 @@ def spans(text: Column) -> Column:
 
 
 def expanded_context(parts: Column, at: Column, least: int = 80) -> Column:
-    """Sentence ``at`` (0-based) of an array, widened by the previous then the next sentence in turn until long enough."""
+    """Sentence ``at`` (0-based) of an array (a column or a lambda's variable), widened by the previous then the next sentence in turn until long enough."""
 
     def step(c: Column, i: Column) -> Column:
         short = c["size"] < least
@@ -150,8 +150,8 @@ def expanded_context(parts: Column, at: Column, least: int = 80) -> Column:
         return F.struct(lo.alias("lo"), hi.alias("hi"), (c["size"] + more).alias("size"))
 
     begin = F.struct(at.cast("int").alias("lo"), at.cast("int").alias("hi"), F.length(F.get(parts, at)).alias("size"))
-    span = F.aggregate(F.sequence(F.lit(0), F.lit(2 * REACH - 1)), begin, step)
-    wide = F.array_join(F.slice(parts, span["lo"] + 1, span["hi"] - span["lo"] + 1), " ")
+    span = F.when(F.length(F.get(parts, at)) >= least, begin).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(2 * REACH - 1)), begin, step))
+    wide = let(span, lambda s: F.array_join(F.slice(parts, s["lo"] + 1, s["hi"] - s["lo"] + 1), " "))
     return strip(F.regexp_replace(wide, r"\s+", " "))
 
 
@@ -168,7 +168,9 @@ def hybrid_candidates(texts: DataFrame, text: str, keep: list[str], years: tuple
     """
     body = F.col("_text")
     rows = texts.select(*keep, F.col(text).alias("_text")).where(body.rlike(r"\d\d"))
-    rows = rows.withColumn("_spans", spans(body)).withColumn("_hits", dated_hits(body, years, 30)).where(F.size("_hits") > 0)
+    # generated columns are computed once; expressions would be put into the lambdas below
+    rows = rows.select("*", F.inline(F.array(F.struct(dated_hits(body, years, 30).alias("_hits"))))).where(F.size("_hits") > 0)
+    rows = rows.select("*", F.inline(F.array(F.struct(spans(body).alias("_spans")))))
     sentences = F.col("_spans")
 
     def placed(h: Column) -> Column:
@@ -178,16 +180,23 @@ def hybrid_candidates(texts: DataFrame, text: str, keep: list[str], years: tuple
     def told(h: Column) -> Column:
         first = F.greatest(h["at"] - REACH, F.lit(0))
         near = F.transform(F.slice(sentences, first + 1, F.lit(2 * REACH + 1)), lambda s: s["sentence"])
-        before = F.when(h["at"] > 0, F.get(near, h["at"] - first - 1))
-        both = strip(F.regexp_replace(F.concat_ws(" ", before, F.get(near, h["at"] - first)), r"\s+", " "))
-        return F.struct(*[h[f].alias(f) for f in ("start", "match", "date", "at")], expanded_context(near, h["at"] - first).alias("context"), before.alias("before"), both.alias("both"))
 
-    rows = rows.withColumn("_hits", F.transform("_hits", placed)).withColumn("_hits", F.filter(F.transform("_hits", told), lambda h: ~_excluded(h["context"])))
+        def made(b: Column) -> Column:
+            before = F.when(h["at"] > 0, F.get(b["near"], b["at"] - 1))
+            both = strip(F.regexp_replace(F.concat_ws(" ", before, F.get(b["near"], b["at"])), r"\s+", " "))
+            own = [h[f].alias(f) for f in ("start", "match", "date", "at")]
+            return F.struct(*own, expanded_context(b["near"], b["at"]).alias("context"), before.alias("before"), both.alias("both"))
+
+        return let(F.struct(near.alias("near"), (h["at"] - first).alias("at")), made)
+
+    found = F.filter(F.transform(F.transform("_hits", placed), told), lambda h: ~_excluded(h["context"]))
+    rows = rows.select(*keep, "_text", F.inline(F.array(F.struct(found.alias("_hits")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.transform("_hits", lambda h: h["at"]).alias("_dated")))))
     hits = F.col("_hits")
     cues = fixed.DECISION_CUES + fixed.INITIATION_CUES
     item = lambda h, context: F.struct(h["date"].alias("date"), h["match"].alias("match"), context.alias("context"), h["start"].alias("position"))
     own = F.transform(F.filter(hits, lambda h: has_any(h["context"], cues)), lambda h: item(h, h["context"]))
-    dated = F.transform(hits, lambda h: h["at"])
+    dated = F.col("_dated")
     lends = lambda h: h["before"].isNotNull() & has_any(h["before"], fixed.INITIATION_CUES) & ~F.array_contains(dated, h["at"] - 1) & ~_excluded(h["both"])
     late = F.transform(F.filter(hits, lends), lambda h, i: F.struct(h["at"].alias("at"), i.alias("i"), item(h, h["both"]).alias("item")))
     late = F.transform(F.array_sort(late), lambda x: x["item"])

@@ -1,4 +1,4 @@
-"""Queries over made cases: every order gets one text of a list by its key, and the SQL names what each text must give."""
+"""Queries over made cases: every customer gets one text of a list by its key, and the SQL names what each text must give."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ CASES: dict[str, tuple[Callable[[Corpus], DataFrame], str]] = {}
 
 def _rows(c: Corpus, texts: list) -> DataFrame:
     values = F.array(*[F.lit(t) for t in texts])
-    return c.table("orders").select("o_orderkey", F.get(values, (F.col("o_orderkey") % len(texts)).cast("int")).alias("text"))
+    return c.table("customer").select("c_custkey", F.get(values, (F.col("c_custkey") % len(texts)).cast("int")).alias("text"))
 
 
 def _literal(v) -> str:
@@ -31,11 +31,11 @@ def _literal(v) -> str:
 def _sql(n: int, names: dict[str, str], want: list[tuple]) -> str:
     values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in want)
     columns = ", ".join(f"v.{c}::{t} AS {c}" for c, t in names.items())
-    return f"SELECT o_orderkey, {columns} FROM orders JOIN (VALUES {values}) v(i, {', '.join(names)}) ON o_orderkey % {n} = v.i"
+    return f"SELECT c_custkey, {columns} FROM customer JOIN (VALUES {values}) v(i, {', '.join(names)}) ON c_custkey % {n} = v.i"
 
 
 def case(texts: list, names: dict[str, str], want: dict[int, list[tuple]]):
-    """Register a function of (o_orderkey, text) rows; ``want`` lists the rows of each text's number."""
+    """Register a function of (c_custkey, text) rows; ``want`` lists the rows of each text's number."""
 
     def add(f):
         CASES[f.__name__] = (lambda c: f(_rows(c, texts)), _sql(len(texts), names, [(i, *row) for i, rows in want.items() for row in rows]))
@@ -63,7 +63,7 @@ def _day(c: str = "date") -> Column:
     },
 )
 def t1_t6_all_patterns(rows):
-    return dates.extract_dates(rows, "text", ["o_orderkey"]).select("o_orderkey", _day(), "context")
+    return dates.extract_dates(rows, "text", ["c_custkey"]).select("c_custkey", _day(), "context")
 
 
 _LONG = "On 3/5/2019 the whole long tale about hills and rivers and meadows ran on for a while there."
@@ -84,7 +84,7 @@ _S2 = "Approved 1/1/2010 and 2/2/2012 by the keeper of another house in the town
     },
 )
 def t13_t16_sentences(rows):
-    return dates.hybrid_candidates(rows, "text", ["o_orderkey"]).select("o_orderkey", _day(), "context", F.col("position").cast("long").alias("position"))
+    return dates.hybrid_candidates(rows, "text", ["c_custkey"]).select("c_custkey", _day(), "context", F.col("position").cast("long").alias("position"))
 
 
 @case(
@@ -93,7 +93,7 @@ def t13_t16_sentences(rows):
     {i: [("2024-03-20",)] for i in (0, 1, 2, 3, 4, 11)} | {i: [(None,)] for i in (5, 6, 7, 8, 10, 12, 13)} | {9: [("1971-12-31",)]},
 )
 def t19_reply_dates(rows):
-    return rows.select("o_orderkey", dates.normalize_date(F.col("text")).cast("string").alias("date"))
+    return rows.select("c_custkey", dates.normalize_date(F.col("text")).cast("string").alias("date"))
 
 
 @case(
@@ -105,7 +105,7 @@ def t19_reply_dates(rows):
     },
 )
 def n3_n5_n7_capacity_cases(rows):
-    return capacity.extract_capacity(rows, "text", ["o_orderkey"]).select("o_orderkey", "match", "value", "unit", "confidence")
+    return capacity.extract_capacity(rows, "text", ["c_custkey"]).select("c_custkey", "match", "value", "unit", "confidence")
 
 
 @case(
@@ -117,9 +117,9 @@ def n3_n5_n7_capacity_cases(rows):
     },
 )
 def g3_g5_place_cases(rows):
-    made = rows.select("o_orderkey", *[c.alias(n) for n, c in places.location_columns(F.col("text")).items()])
+    made = rows.select("c_custkey", *[c.alias(n) for n, c in places.location_columns(F.col("text")).items()])
     listed = lambda c: F.array_join(c, ";")
-    return made.select("o_orderkey", listed("project_state").alias("states"), listed("project_county").alias("counties"), F.coalesce("project_location_needs_geocoding", F.lit(False)).alias("needs"))
+    return made.select("c_custkey", listed("project_state").alias("states"), listed("project_county").alias("counties"), F.coalesce("project_location_needs_geocoding", F.lit(False)).alias("needs"))
 
 
 _D1 = '{"dates": [{"date": "2020-01-02", "type": "decision", "source": "p1", "confidence": "high"}, {"date": "2021.05.06", "type": "decision", "source": "p2"}, {"date": "someday", "type": "decision"}]}'
@@ -139,7 +139,7 @@ _D3 = '{"dates": [{"date": "2017-07-07", "type": "application"}]}'
 )
 def x16_reply_summary(rows):
     return replies.parse_dates(rows, "text").select(
-        "o_orderkey", F.col("n_dates_found").alias("n"), F.col("decision_date").alias("decision"), F.col("decision_confidence").alias("sure"), F.col("n_specialist_reviews").alias("reviews"),
+        "c_custkey", F.col("n_dates_found").alias("n"), F.col("decision_date").alias("decision"), F.col("decision_confidence").alias("sure"), F.col("n_specialist_reviews").alias("reviews"),
         F.col("earliest_review_date").alias("first_review"), F.col("application_date").alias("application"), F.col("inferred_application_date").alias("inferred"),
         F.col("n_historical_dates").alias("n_old"), F.col("expiration_date").alias("ends"), F.col("parse_error").alias("error"),
     )
@@ -154,7 +154,7 @@ def x15_classification(rows):
     asked = F.array(*[F.struct(F.to_date(F.lit(d)).alias("date"), F.lit(x).alias("context")) for d, x in (("2020-02-02", "signed"), ("2018-08-08", "seen"))])
     read = replies.parse_classification(rows.withColumn("asked", asked), "text", "asked")
     low = F.size(F.filter("dates", lambda d: d["confidence"] == "low")).cast("long")
-    return read.select("o_orderkey", F.col("n_dates_found").alias("n"), F.col("decision_date").alias("decision"), F.col("application_date").alias("application"), low.alias("n_low"), F.col("parse_error").alias("error"))
+    return read.select("c_custkey", F.col("n_dates_found").alias("n"), F.col("decision_date").alias("decision"), F.col("application_date").alias("application"), low.alias("n_low"), F.col("parse_error").alias("error"))
 
 
 @case(
@@ -163,22 +163,22 @@ def x15_classification(rows):
     {0: [(12.5, "MW", "high", "q", False)], 1: [(50.0, "kW", "low", None, False)], 6: [(None, None, "low", None, False)]} | {i: [(None, None, "low", None, True)] for i in (2, 3, 4, 5)},
 )
 def x17_reply_capacity(rows):
-    return rows.select("o_orderkey", replies.parse_capacity(F.col("text")).alias("r")).select("o_orderkey", "r.*")
+    return rows.select("c_custkey", replies.parse_capacity(F.col("text")).alias("r")).select("c_custkey", "r.*")
 
 
 @case([_D1, _D2, "none"], {"type": "VARCHAR", "n": "BIGINT"}, {0: [("decision", 2)], 1: [("specialist_review", 2), ("historical", 1), ("expiration", 1)]})
 def x19_counts_by_type(rows):
-    return replies.counts_by_type(replies.parse_dates(rows, "text"), "o_orderkey", "dates")
+    return replies.counts_by_type(replies.parse_dates(rows, "text"), "c_custkey", "dates")
 
 
 @case([_D1, _D2, "none"], {"n": "BIGINT"}, {0: [(2,)]})
 def x19_several_decisions(rows):
-    return replies.several(replies.parse_dates(rows, "text"), "o_orderkey", "dates")
+    return replies.several(replies.parse_dates(rows, "text"), "c_custkey", "dates")
 
 
 @case(["a {b} c {d} e", "x {y", "", None], {"body": "VARCHAR"}, {0: [("{b} c {d}",)], 1: [(None,)], 2: [(None,)], 3: [(None,)]})
 def x20_outer_json(rows):
-    return rows.select("o_orderkey", replies.outer_json(F.col("text")).alias("body"))
+    return rows.select("c_custkey", replies.outer_json(F.col("text")).alias("body"))
 
 
 @case(
@@ -189,7 +189,7 @@ def x20_outer_json(rows):
 def c18_c19_type_terms(rows):
     terms = tags.capacity_terms(F.coalesce("text", F.lit("")))
     has = lambda t: F.array_contains(terms, t)
-    return rows.select("o_orderkey", tags.non_power(F.col("text")).alias("no_power"), F.size(terms).cast("long").alias("n_terms"), has("turbine").alias("has_turbine"), has("steam").alias("has_steam"))
+    return rows.select("c_custkey", tags.non_power(F.col("text")).alias("no_power"), F.size(terms).cast("long").alias("n_terms"), has("turbine").alias("has_turbine"), has("steam").alias("has_steam"))
 
 
 @case(
@@ -199,7 +199,7 @@ def c18_c19_type_terms(rows):
 )
 def a27_e1_e4_list_texts(rows):
     parts = F.coalesce(F.size(tags.split_tags(F.col("text"))), F.lit(0)).cast("long")
-    return rows.select("o_orderkey", tags.first_value(F.col("text")).alias("first"), tags.tag_label(F.col("text"), " - ").alias("label"), parts.alias("parts"))
+    return rows.select("c_custkey", tags.first_value(F.col("text")).alias("first"), tags.tag_label(F.col("text"), " - ").alias("label"), parts.alias("parts"))
 
 
 _TEXT = "x" * 300 + " Date Signed 1 " + "y" * 100 + " Easement " + "z" * 900 + " APD " + "w" * 300
@@ -211,8 +211,8 @@ _TEXT = "x" * 300 + " Date Signed 1 " + "y" * 100 + " Easement " + "z" * 900 + "
     {0: [("date_labels", "Date Signed"), ("project_types", "Easement;APD")], 2: [("project_types", "Right-of-Way;Right-of-Way")]},
 )
 def x7_keyword_matches(rows):
-    found = snippets.keyword_matches(rows, "text", ["o_orderkey"])
-    return found.select("o_orderkey", "category", F.array_join("matches", ";").alias("matches"))
+    found = snippets.keyword_matches(rows, "text", ["c_custkey"])
+    return found.select("c_custkey", "category", F.array_join("matches", ";").alias("matches"))
 
 
 @case(
@@ -224,8 +224,8 @@ def x7_keyword_matches(rows):
     },
 )
 def x3_snippet_cases(rows):
-    s = snippets.snippets(rows, "text", ["o_orderkey"])
-    return s.select("o_orderkey", F.col("start").cast("long").alias("start"), "snippet", F.array_join("categories", ",").alias("categories"))
+    s = snippets.snippets(rows, "text", ["c_custkey"])
+    return s.select("c_custkey", F.col("start").cast("long").alias("start"), "snippet", F.array_join("categories", ",").alias("categories"))
 
 
 @case(
@@ -234,5 +234,5 @@ def x3_snippet_cases(rows):
     {0: [(2, 623 + 9 + 503, _TEXT[51:61])], 1: [(0, 12, "nothing he")], 2: [(1, 258, "q" * 10)], 3: [(0, 0, "")]},
 )
 def x5_reduced_cases(rows):
-    made = snippets.reduce_texts(rows, "text", ["o_orderkey"])
-    return made.select("o_orderkey", "n_snippets", F.length("processed").cast("long").alias("n_chars"), F.substring("processed", 1, 10).alias("head"))
+    made = snippets.reduce_texts(rows, "text", ["c_custkey"])
+    return made.select("c_custkey", "n_snippets", F.length("processed").cast("long").alias("n_chars"), F.substring("processed", 1, 10).alias("head"))
