@@ -39,6 +39,7 @@ from .wordblocks import Block, blocks, mix, shingle_hashes
 WINDOW = 13
 ANCHOR = 5
 SHARD_FRAGMENTS = 40_000
+STRETCH = 64
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -129,7 +130,8 @@ def anchor_entries(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> DataFrame:
     """(shard_key, body, doc_id, row, start) of rows (doc_id, row, text, keys, whole): stretches around the listed anchors.
 
-    Of a row that is searched as a whole the stretches between them are fragments too.
+    Of a row that is searched as a whole the stretches between them are fragments too, of ``STRETCH``
+    windows at most, as a shard searches all its fragments word by word side by side.
 
     A body holds the words as text, one space between them, which packs far better than hashes.
     """
@@ -154,6 +156,8 @@ def fragments(rows: DataFrame, hot: np.ndarray, window: int, anchor: int) -> Dat
                 row, start, at, key, is_hot, alone = row[pick], start[pick], at[pick], key[pick], is_hot[pick], alone[pick]
                 new = np.ones(len(at), bool)
                 new[1:] = (start[1:] != start[:-1] + 1) | is_hot[1:] | (alone[1:] != alone[:-1]) | (~alone[1:] & (at[1:] != at[:-1]))
+                place = np.arange(len(at))
+                new |= alone & ((place - np.maximum.accumulate(np.where(new, place, 0))) % STRETCH == 0)
                 head = np.flatnonzero(new)
                 last = np.append(head[1:], len(at)) - 1
                 doc, number = (batch.column(c).slice(block.first_row, block.rows).to_numpy() for c in ("doc_id", "row"))
