@@ -128,3 +128,25 @@ def dropped(docs: DataFrame, gone: DataFrame, tag: Column | None = None, once: b
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+FEW = 4096
+
+
+def joined_hot(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with ``small`` (one row for each key), whose column ``rows`` counts the key's rows in ``big``.
+
+    A key with more than 1/FEW of all ``total`` rows is joined without a shuffle of its rows: there
+    are fewer than FEW such keys, whatever the data, so their rows of ``small`` are broadcast. The
+    other keys meet by hash, and none of them holds more than 1/FEW of the rows.
+    """
+    hot = F.col(rows) * F.lit(FEW) > F.lit(total)
+    often = F.broadcast(small.where(hot).drop(rows))
+    few = F.broadcast(small.where(hot).select(*keys))
+    return big.join(often, keys).unionByName(big.join(few, keys, "left_anti").join(small.where(~hot).drop(rows), keys))
+
+
+def in_order(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Written in the total order given: column ``part`` (ascending ranges), each part sorted. A long run of equal leading keys spans several parts."""
+    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return written(dealt.withColumn("part", F.spark_partition_id()), name)
