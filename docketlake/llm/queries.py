@@ -12,13 +12,14 @@ from .quality import op6_quality
 from .sharding import op2_sharding
 from .substring_dedup import op10_substring_dedup
 from .surrogates import op8_surrogates
+from .vector_codes import SQL_OP13, op13_vector_codes
 from .warc import op9_warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_sharding, op3_lm_scoring, op4_decontamination, op5_jaccard_join, op6_quality, op7_packing,
-        op8_surrogates, op9_warc, op10_substring_dedup, op11_prefix_trie,
+        op8_surrogates, op9_warc, op10_substring_dedup, op11_prefix_trie, op13_vector_codes,
     )
 }
 
@@ -55,4 +56,4 @@ WITH t AS (
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN a USING (doc_id)
 """
 
-ORACLES = {"op1_exact_dedup": SQL_OP1, "op5_jaccard_join": SQL_OP5, "op10_substring_dedup": SQL_OP10, "op11_prefix_trie": SQL_OP11}
+ORACLES = {"op1_exact_dedup": SQL_OP1, "op5_jaccard_join": SQL_OP5, "op10_substring_dedup": SQL_OP10, "op11_prefix_trie": SQL_OP11, "op13_vector_codes": SQL_OP13}
