@@ -12,6 +12,7 @@ from .quality import op6_quality
 from .sharding import op2_sharding
 from .substring_dedup import op10_substring_dedup
 from .surrogates import op8_surrogates
+from .toxicity import op12_toxicity
 from .vector_codes import SQL_OP13, op13_vector_codes
 from .warc import op9_warc
 
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_sharding, op3_lm_scoring, op4_decontamination, op5_jaccard_join, op6_quality, op7_packing,
-        op8_surrogates, op9_warc, op10_substring_dedup, op11_prefix_trie, op13_vector_codes,
+        op8_surrogates, op9_warc, op10_substring_dedup, op11_prefix_trie, op12_toxicity, op13_vector_codes,
     )
 }
 
