@@ -129,7 +129,8 @@ class Codebooks:
     entries: np.ndarray
 
     def trees(self) -> list[Node]:
-        return [tree(book) for book in self.entries]
+        large = self.entries.size and int(np.abs(self.entries).max()) >= SMALL
+        return [tree(book.astype(object) if large else book) for book in self.entries]
 
     def sha256(self) -> str:
         return hashlib.sha256(",".join(str(int(x)) for x in self.entries.reshape(-1)).encode()).hexdigest()
