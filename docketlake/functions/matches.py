@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,51 +16,140 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def generated(df: DataFrame, **columns: Column) -> DataFrame:
+    """With columns that are computed once for each row; a plain column would be put into each expression that names it, and into lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def running(sizes: Column, depth: int = 3) -> Column:
+    """For each element the sum of those before it. Long arrays are summed in segments, whose offsets are carried on in the same way.
+
+    A fold that appends to its result copies it at every step; here only segments of the cube root of the length do that.
+    """
+
+    def folded(a: Column) -> Column:
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(a, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    def segments(a: Column) -> Column:
+        size = F.greatest(F.ceil(F.pow(F.size(a), F.lit(1 / depth))), F.lit(SHORT)).cast("int")
+        count = F.ceil(F.size(a) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(a, i * size + 1, size))
+
+    def carried(parts: Column) -> Column:
+        totals = F.transform(parts, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x))
+        return let(running(totals, depth - 1), lambda offset: F.flatten(F.transform(parts, lambda c, i: F.transform(folded(c), lambda x: x + F.get(offset, i)))))
+
+    if depth == 1:
+        return folded(sizes)
+    return let(sizes, lambda a: F.when(F.size(a) <= SHORT, folded(a)).otherwise(let(segments(a), carried)))
+
+
+SHORT = 32  # arrays that are folded in one go
+PIECE = 4096  # characters of a piece of a text
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters, so that a place far in it is found without reading all before it."""
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+
+
+def around(parts: Column, start: Column, end: Column, window: int) -> Column:
+    """Of a text in ``pieces``, from ``window`` characters before start to as many after end."""
+    low, high = F.greatest(start - window, F.lit(0)), end + window
+    first, last = F.floor(low / PIECE).cast("int"), F.floor((high - 1) / PIECE).cast("int")
+    body = F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(F.array_join(F.slice(parts, first + 1, last - first + 1), ""))
+    return F.substring(body, low - first * PIECE + 1, high - low)
+
+
+MARK, FIELD = "\uffff", "\ufffe"  # no characters; one that stands in a text is read as the replacement character
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """A named pattern, the groups to report (0: the text "1"), and what a text must contain to be searched at all."""
+
+    name: str
+    regex: str
+    groups: tuple[int, ...] = ()
+    needs: str | None = None
+
+
+def _cut(text: Column, pattern: Pattern) -> Column:
+    """Texts between matches and matches in turn, by one pass; a match is followed by its groups."""
+    groups = "".join(FIELD + (f"${g}" if g else "1") for g in pattern.groups)
+    return F.split(F.regexp_replace(text, F.lit(pattern.regex), F.lit(f"{MARK}$0{groups}{MARK}")), MARK, -1)
+
+
+def clean(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(FIELD)), F.translate(text, MARK + FIELD, "\ufffd\ufffd")).otherwise(text)
+
+
+def _placed(cut: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make(start, fields)`` of each match of a text that was cut."""
+
+    def every(at: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2)), lambda i: let(F.split(F.get(cut, i), FIELD, -1), lambda fields: make(F.get(at, i), fields)))
+
+    sizes = F.transform(cut, lambda x, i: F.length(F.when(i % 2 == 0, x).otherwise(F.substring_index(x, FIELD, 1))))
+    return let(running(sizes), every)
+
+
+def _hit(start: Column, fields: Column) -> list[Column]:
+    match = F.get(fields, F.lit(0))
+    return [start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match")]
+
+
 def match_offsets(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of all matches; 0-based, end exclusive. No empty matches."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
-    return let(both, lambda b: _placed(b["found"], b["between"]))
+    found = lambda cut: F.when(F.size(cut) > 1, _placed(cut, lambda start, fields: F.struct(*_hit(start, fields)))).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    return let(_cut(clean(text), Pattern("", pattern)), found)
 
 
-def _placed(found: Column, between: Column) -> Column:
-    """Matches with their places, from the matches and the texts between them."""
+def all_hits(text: Column, patterns: list[Pattern], shift: Column | int = 0) -> Column:
+    """array<struct<priority,name,start,end,match,groups>> of all matches, by pattern, then place (``shift`` is added).
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(found, i))
-        hit = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+    Each pattern reads the text once, and only a text that contains what it needs. One expression places the matches
+    of every pattern, so its size does not grow with the bank.
+    """
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("hits"))
-    numbers = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(numbers, empty, step)["hits"]
+    def part(i: int, pattern: Pattern) -> Column:
+        made = F.struct(F.lit(i).alias("priority"), F.lit(pattern.name).alias("name"), _cut(text, pattern).alias("cut"))
+        return made if pattern.needs is None else F.when(text.rlike(pattern.needs) if pattern.needs.startswith("[") else F.contains(text, F.lit(pattern.needs)), made)
 
+    def named(p: Column) -> Column:
+        groups = lambda fields: F.slice(fields, 2, F.size(fields) - 1) if patterns[0].groups else F.array().cast("array<string>")
+        make = lambda start, fields: F.struct(p["priority"].alias("priority"), p["name"].alias("name"), *_hit(start + shift, fields), groups(fields).alias("groups"))
+        return _placed(p["cut"], make)
 
-HIT = "struct<priority:int,name:string,start:int,end:int,match:string>"
-DATED = "struct<priority:int,name:string,start:int,end:int,match:string,date:date>"
+    return F.flatten(F.transform(F.filter(F.array(*[part(i, p) for i, p in enumerate(patterns)]), lambda x: F.size(x["cut"]) > 1), named))
 
 
-def all_hits(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """array<struct<priority,name,start,end,match>> of all matches of the named patterns, by pattern, then place.
+def zoned_hits(text: Column, zone: str, needs: str, patterns: list[Pattern]) -> Column:
+    """As ``all_hits``, for patterns whose matches lie inside matches of ``zone`` that also match ``needs``.
 
-    One expression places the matches of every pattern, so its size does not grow with the bank.
+    The text is read for zones, and the bank reads only those. Where two zones touch (the zone's
+    repetition ended at its bound), the bank reads the whole text.
     """
-    parts = [
-        F.struct(F.lit(i).alias("priority"), F.lit(n).alias("name"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"), F.split(text, p, -1).alias("between"))
-        for i, (n, p) in enumerate(patterns)
-    ]
 
-    def named(part: Column) -> Column:
-        hit = lambda h: F.struct(part["priority"].alias("priority"), part["name"].alias("name"), h["start"].alias("start"), h["end"].alias("end"), h["match"].alias("match"))
-        return F.transform(_placed(part["found"], part["between"]), hit)
+    def inside(zones: Column) -> Column:
+        touching = F.exists(F.transform(zones, lambda z, i: (i > 0) & (z["start"] == F.get(zones, i - 1)["end"])), lambda t: t)
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), clean(text).alias("match")))
+        return F.when(touching, whole).otherwise(F.filter(zones, lambda z: z["match"].rlike(needs)))
+
+    found = F.transform(let(match_offsets(text, zone), inside), lambda z: all_hits(z["match"], patterns, z["start"]))
+    return let(found, lambda f: F.when(F.size(f) == 1, F.get(f, F.lit(0))).otherwise(F.array_sort(F.flatten(f))))
+
 
-    return F.flatten(F.transform(F.filter(F.array(*parts), lambda x: F.size(x["found"]) > 0), named))
+def first_of(hits: Column, field: str) -> Column:
+    """Of the hits (structs that begin with their order) with equal ``field`` the first, in their order."""
 
+    def fresh(rows: Column) -> Column:
+        new = F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["key"] != r["key"]))
+        return F.array_sort(F.transform(new, lambda r: r["hit"]))
 
-def first_of(hits: Column, kind: str, field: str) -> Column:
-    """Of the elements of an array of structs (of the type given) with equal ``field`` the first."""
-    known = lambda kept, h: F.exists(kept, lambda k: k[field] == h[field])
-    return F.aggregate(hits, F.array().cast(f"array<{kind}>"), lambda kept, h: F.when(known(kept, h), kept).otherwise(F.concat(kept, F.array(h))))
+    keyed = lambda hs: F.array_sort(F.transform(hs, lambda h: F.struct(h[field].alias("key"), h.alias("hit"))))
+    return let(hits, lambda hs: F.when(F.size(hs) < 2, hs).otherwise(let(keyed(hs), fresh)))
 
 
 def strip(text: Column) -> Column:
@@ -67,14 +157,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def around(text: Column, start: Column, end: Column, window: int) -> Column:
-    """The text from ``window`` characters before start to as many after end."""
-    first = F.greatest(start - window, F.lit(0))
-    return F.substring(text, first + 1, end + window - first)
-
-
 def alternation(terms: list[str]) -> str:
-    return "|".join(re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", t) for t in terms)
+    """Terms by their first letter, so that a place in a text is compared with few of them. Tells whether one occurs, not which comes first."""
+    escaped = lambda t: re.sub(r"([.^$*+?{}\[\]\\|()/-])", r"\\\1", t)
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        by.setdefault(t[0], []).append(escaped(t[1:]))
+    return f"(?=[{''.join(map(escaped, by))}])(?:" + "|".join(f"{escaped(k)}(?:{'|'.join(v)})" for k, v in by.items()) + ")"
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
@@ -82,12 +171,6 @@ def has_any(text: Column, terms: list[str]) -> Column:
     return F.lower(text).rlike(alternation(terms))
 
 
-def find_all(df: DataFrame, text: str, patterns: list[tuple[str, str]], keep: list[str]) -> DataFrame:
-    """One row per match of each named pattern: keep..., name, priority, start, end, match, and the text."""
-    rows = df.select(*keep, F.col(text).alias("_text"), F.explode(all_hits(F.col(text), patterns)).alias("_hit"))
-    return rows.select(*keep, "_text", "_hit.*")
-
-
 def merge_windows(df: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Numbered islands of overlapping or touching windows per key (column ``island``)."""
     order = Window.partitionBy(*key).orderBy(start, end)

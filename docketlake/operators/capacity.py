@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..functions.matches import HIT, all_hits, around, first_of, has_any, strip
+from ..functions.matches import Pattern, all_hits, around, clean, first_of, generated, has_any, pieces, strip
 
-PATTERNS = [(str(i), f"(?i){p}") for i, p in enumerate(fixed.CAPACITY_PATTERNS)]
+PATTERNS = [Pattern(str(i), f"(?i){p}", (1, 2, 3)) for i, p in enumerate(fixed.CAPACITY_PATTERNS)]
 
 
 def number(text: Column) -> Column:
@@ -35,16 +35,14 @@ def to_megawatts(value: Column, unit: Column) -> Column:
 
 def extract_capacity(df: DataFrame, text: str, keep: list[str], title: bool = False) -> DataFrame:
     """One row per distinct match text: keep..., match, value, unit, is_energy, confidence, context, ordinal. No shuffle."""
-    hits = F.filter(first_of(all_hits(F.col("_text"), PATTERNS), HIT, "match"), lambda h: ~has_any(h["match"], fixed.INVALID_CAPACITY))
-    rows = df.select(*keep, F.col(text).alias("_text")).where(F.col("_text").rlike(rf"(?i)\d\s*-?\s*{fixed.UNIT}"))
-    found = rows.select(*keep, "_text", F.explode(hits).alias("_h")).select(*keep, "_text", "_h.*")
-    low = high = spelled = F.lit(None).cast("string")
-    for name, pattern in PATTERNS:
-        group = lambda g, p=pattern: F.regexp_extract("match", p, g)
-        low = F.when(F.col("name") == name, group(1)).otherwise(low)
-        high = F.when(F.col("name") == name, group(2)).otherwise(high)
-        spelled = F.when(F.col("name") == name, group(3)).otherwise(spelled)
-    near = around(F.col("_text"), F.col("start"), F.col("end"), 80)
+    body, parts = F.col("_text"), F.col("_parts")
+    rows = df.select(*keep, F.col(text).alias("_text")).where(body.rlike(rf"(?i)\d\s*-?\s*{fixed.UNIT}"))
+    rows = generated(rows, _parts=pieces(body), _hits=all_hits(clean(body), PATTERNS))
+    hits = F.filter(first_of(F.col("_hits"), "match"), lambda h: ~has_any(h["match"], fixed.INVALID_CAPACITY))
+    told = lambda h: F.struct(*[h[f].alias(f) for f in ("priority", "start", "match", "groups")], around(parts, h["start"], h["end"], 80).alias("near"))
+    found = rows.select(*keep, F.explode(F.transform(hits, told)).alias("_h")).select(*keep, "_h.*")
+    low, high, spelled = (F.get("groups", F.lit(i)) for i in range(3))
+    near = F.col("near")
     found = found.select(
         *keep, "match", F.greatest(number(low), number(high)).alias("value"), unit_of(spelled).alias("unit"),
         (F.lit("high") if title else confidence(near)).alias("confidence"), F.translate(near, "\n", " ").alias("context"),
@@ -101,14 +99,19 @@ def project_capacity(projects: DataFrame, documents: DataFrame, pages: DataFrame
     )
 
 
+def sampled(projects: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` projects drawn by a hash of their ids and the seed: the same ones in each run, whatever the layout."""
+    return projects.orderBy(F.xxhash64("project_id", F.lit(seed)), "project_id").limit(n)
+
+
 def run_capacity(projects: DataFrame, documents: DataFrame, pages: DataFrame, clean_only: bool = True, sample: int | None = None, source: str | None = None) -> DataFrame:
-    """Projects (of one source, clean ones, the first ``sample`` by id) with their capacity columns (``project_gencap_...``)."""
+    """Projects (of one source, clean ones, a seeded ``sample``) with their capacity columns (``project_gencap_...``)."""
     if clean_only:
         projects = projects.where("project_energy_type = 'Clean'")
-    if sample:
-        projects = projects.orderBy("project_id").limit(sample)
     if source:
         projects = projects.where(F.col("dataset_source") == source.upper())
+    if sample:
+        projects = sampled(projects, sample)
     wanted = documents.join(projects.select("project_id").distinct(), "project_id", "left_semi")
     found = project_capacity(projects.select("project_id", "project_title"), wanted, pages)
     return projects.join(found.withColumnsRenamed({c: f"project_gencap_{c}" for c in found.columns if c != "project_id"}), "project_id", "left")
@@ -118,15 +121,22 @@ def capacity_bucket(mw: Column) -> Column:
     return F.when(mw < 10, "Small").when(mw < 100, "Medium").when(mw < 500, "Large").when(mw.isNotNull(), "Utility-scale")
 
 
-def best_sentences(text: Column, terms: list[str] | None = None, top: int = 10) -> Column:
-    """array<struct<sentence,score,sentence_no>>: a number with a unit 5, else a term 1; project words 2; at least 3, best first."""
+def best_sentences(text: Column, terms: list[str] | None = None, top: int = 10, more: Column | None = None) -> Column:
+    """array<struct<sentence,score,sentence_no>>: a number with a unit 5, else a term 1; project words 2; at least 3, best first.
+
+    ``more`` has further terms of the row, as those of its project's type.
+    """
     single = [t for t in (terms or fixed.CAPACITY_TERMS) if t.isalpha()]
     parts = F.transform(F.split(text, fixed.SENTENCE_SPLIT), lambda s, i: F.struct(strip(s).alias("sentence"), i.alias("no")))
     parts = F.filter(parts, lambda x: F.length(x["sentence"]).between(20, 600))
 
     def scored(x: Column) -> Column:
         word = lambda ws: F.lower(x["sentence"]).rlike(r"\b(?:" + "|".join(ws) + r")\b(?<![0-9_])")
-        base = F.when(x["sentence"].rlike(f"(?i){fixed.NUMBER_UNIT}"), 5).when(word(single), 1).otherwise(0)
+        base = F.when(x["sentence"].rlike(f"(?i){fixed.NUMBER_UNIT}"), 5).when(word(single), 1)
+        if more is not None:
+            words = F.regexp_extract_all(F.lower(x["sentence"]), F.lit(r"\b[a-z]+\b(?![0-9_])"), F.lit(0))
+            base = base.when(F.coalesce(F.arrays_overlap(words, more), F.lit(False)), 1)
+        base = base.otherwise(0)
         score = F.when(base > 0, base + F.when(word(fixed.SENTENCE_WORDS), 2).otherwise(0)).otherwise(0)
         return F.struct((-score).alias("less"), x["no"].alias("no"), x["sentence"].alias("sentence"))
 
@@ -145,7 +155,8 @@ def page_budget(documents: DataFrame, pages: DataFrame, max_documents: int = 3,
     """Pages a model may read: project_id, document_id, page_number, page_rank, page_text, sentences.
 
     Documents come by type, main flag and whether they have more than 50 pages; the first pages of
-    the first documents are read until ``enough`` candidate sentences were found.
+    the first documents are read until ``enough`` candidate sentences were found. A column ``terms`` of
+    the documents has the search terms of their project's type.
     """
     kinds = F.create_map(*[F.lit(x) for kv in fixed.TYPE_PRIORITY.items() for x in kv])
     rank = F.coalesce(kinds[F.coalesce("document_type", F.lit("none"))], F.lit(10))
@@ -153,12 +164,13 @@ def page_budget(documents: DataFrame, pages: DataFrame, max_documents: int = 3,
     large = F.when(F.col("total_pages").cast("string").try_cast("int") > 50, 0).otherwise(1)
     order = Window.partitionBy("project_id").orderBy(rank, main, large, "document_id")
     chosen = documents.withColumn("_d", F.row_number().over(order)).where(F.col("_d") <= max_documents)
-    rows = pages.join(chosen.select("project_id", "document_id", "_d"), "document_id")
+    terms = F.col("terms") if "terms" in documents.columns else F.lit(None).cast("array<string>")
+    rows = pages.join(chosen.select("project_id", "document_id", "_d", terms.alias("_terms")), "document_id")
     inside = Window.partitionBy("project_id", "_d").orderBy("page_number")
     rows = rows.withColumn("_p", F.row_number().over(inside)).where(F.col("_p") <= per_document)
     first = Window.partitionBy("project_id").orderBy("_d", "page_number")
     rows = rows.withColumn("page_rank", F.row_number().over(first)).where(F.col("page_rank") <= max_pages)
-    rows = rows.withColumn("sentences", best_sentences(F.coalesce("page_text", F.lit("")), top=per_page))
+    rows = rows.withColumn("sentences", best_sentences(F.coalesce("page_text", F.lit("")), top=per_page, more=F.col("_terms")))
     before = F.coalesce(F.sum(F.size("sentences")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_before", before).where(F.col("_before") < enough)
     return rows.select("project_id", "document_id", "page_number", F.col("page_rank").cast("long").alias("page_rank"), "page_text", "sentences")

@@ -7,61 +7,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..functions.matches import DATED, all_hits, around, first_of, has_any, let, match_offsets, strip
+from ..functions.matches import Pattern, around, first_of, generated, has_any, let, match_offsets, pieces, running, strip, zoned_hits
 from ..functions.tags import any_of
-
-PATTERNS = [(name, f"(?i){p}") for name, p, _ in fixed.DATE_PATTERNS]
+from ..sources import staging
+
+_SIGNS = {"numeric_slash": "/", "numeric_slash_2y": "/", "ISO": "-", "numeric_dash": "-", "digital_sig": "."}
+PATTERNS = [Pattern(name, f"(?i){p}", groups, _SIGNS.get(name, "[a-zA-Z]{3}")) for name, p, groups in fixed.DATE_PATTERNS]
+# stretches of digits, months and what can stand between them, with one letter that may follow; two names share a letter in "janov..."
+_MONTH = "(?:j[au]nov(?:ember)?|" + "|".join(sorted(fixed.MONTH_NUMBERS, key=len, reverse=True)) + ")"
+ZONE = rf"(?i)(?=[\djfmasond])(?:{_MONTH}|\d)(?:[\d\s,./-]++(?:{_MONTH})?+|{_MONTH}){{0,200}}+\w?"
+ZONE_NEEDS = r"\d\d"
 SENTENCE = r"[^.!?\n]*(?:[.!?]+|\n+)|[^.!?\n]+"
 REACH = 40  # sentences on either side that can be needed to fill a context of 80 characters
 
 
-def parsed_date(match: Column, name: Column) -> Column:
-    """The date of a match of the named pattern; null if the calendar has no such day."""
+def parsed_date(name: Column, groups: Column) -> Column:
+    """The date of a match of the named pattern by its groups (year, month, day); null if the calendar has no such day."""
     months = F.create_map(*[F.lit(x) for kv in fixed.MONTH_NUMBERS.items() for x in kv])
-    text = F.lit(None).cast("string")
-    for kind, pattern, groups in fixed.DATE_PATTERNS:
-        year, month, day = (F.regexp_extract(match, f"(?i){pattern}", g) if g else F.lit("1") for g in groups)
-        if kind == "numeric_slash_2y":
-            year = F.concat(F.when(year.cast("int") <= 30, "20").otherwise("19"), year)
-        number = months[F.lower(month)].cast("string") if kind[0] in "DM" else month.cast("string")
-        text = F.when(name == kind, F.concat_ws("-", year, number, day)).otherwise(text)
-    return F.to_date(F.try_to_timestamp(text, F.lit("yyyy-M-d")))
-
-
-def statute_like(text: Column, start: Column, end: Column, window: int = 50) -> Column:
-    near = around(text, start, end, window)
+    year, month, day = (F.get(groups, F.lit(i)) for i in range(3))
+    short = F.when(year.cast("int") <= 30, 2000).otherwise(1900)
+    year = year.cast("int") + F.when(name == "numeric_slash_2y", short).otherwise(0)
+    number = F.when(name.rlike("^[DM]"), months[F.lower(month)]).otherwise(month.try_cast("int"))
+    zero = F.lit(0)
+    return F.try_make_timestamp(year, number, day.cast("int"), zero, zero, zero).cast("date")
+
+
+def statute_like(near: Column) -> Column:
     return has_any(near, fixed.DATE_EXCLUSIONS) | any_of([near.rlike(p) for p in fixed.CITATIONS])
 
 
-def context_type(text: Column, start: Column, end: Column, window: int = 100) -> Column:
-    near = around(text, start, end, window)
+def context_type(near: Column) -> Column:
     out = F.lit("unknown")
     for kind in reversed(list(fixed.DATE_CONTEXTS)):
         out = F.when(has_any(near, fixed.DATE_CONTEXTS[kind]), kind).otherwise(out)
     return out
 
 
-def dated_hits(text: Column, years: tuple[int, int], window: int) -> Column:
-    """Matches of all date patterns with their ``date``, without impossible days, other years, statutes and citations."""
+def dated_hits(text: Column, parts: Column, years: tuple[int, int], window: int) -> Column:
+    """Matches of all date patterns with their ``date``, without impossible days, other years, statutes and citations.
+
+    ``parts`` is the text in ``pieces``.
+    """
 
     def dated(h: Column) -> Column:
         fields = [h[f].alias(f) for f in ("priority", "name", "start", "end", "match")]
-        return F.struct(*fields, parsed_date(h["match"], h["name"]).alias("date"))
+        return F.struct(*fields, parsed_date(h["name"], h["groups"]).alias("date"))
 
-    good = lambda h: F.year(h["date"]).between(*years) & ~statute_like(text, h["start"], h["end"], window)
-    return F.filter(F.transform(all_hits(text, PATTERNS), dated), good)
+    good = lambda h: F.year(h["date"]).between(*years) & let(around(parts, h["start"], h["end"], window), lambda near: ~statute_like(near))
+    return F.filter(F.transform(zoned_hits(text, ZONE, ZONE_NEEDS, PATTERNS), dated), good)
 
 
 def extract_dates(pages: DataFrame, text: str, keep: list[str], years: tuple[int, int] = (1990, 2030)) -> DataFrame:
     """One row per page and date: keep..., date, match, start, context. The first match by pattern, then place, wins.
 
-    All of it happens inside a page's row; nothing is shuffled. Rows are told apart by place, not by ``keep``.
+    All of it happens inside a page's row; nothing is shuffled, and no row holds the text beside a match. Rows
+    are told apart by place, not by ``keep``.
     """
-    hits = first_of(dated_hits(F.col("_text"), years, 50), DATED, "date")
-    rows = pages.select(*keep, F.col(text).alias("_text")).where(F.col("_text").rlike(r"\d\d"))
-    rows = rows.select(*keep, "_text", F.explode(hits).alias("_hit"))
-    kind = context_type(F.col("_text"), F.col("_hit.start"), F.col("_hit.end"))
-    return rows.select(*keep, "_hit.date", "_hit.match", "_hit.start", kind.alias("context"))
+
+    body, parts = F.col("_text"), F.col("_parts")
+    rows = pages.select(*keep, F.col(text).alias("_text")).where(body.rlike(r"\d\d"))
+    rows = generated(generated(rows, _parts=pieces(body)), _hits=dated_hits(body, parts, years, 50)).where(F.size("_hits") > 0)
+    hit = lambda h: F.struct(h["date"].alias("date"), h["match"].alias("match"), h["start"].alias("start"), around(parts, h["start"], h["end"], 100).alias("near"))
+    rows = rows.select(*keep, F.explode(F.transform(first_of(F.col("_hits"), "date"), hit)).alias("_hit"))
+    return rows.select(*keep, "_hit.date", "_hit.match", "_hit.start", context_type(F.col("_hit.near")).alias("context"))
 
 
 def priority_documents(documents: DataFrame, category: str = "category") -> DataFrame:
@@ -159,55 +167,163 @@ def _excluded(context: Column) -> Column:
     return any_of([context.rlike(f"(?i){p}") for p in fixed.CONTEXT_EXCLUSIONS])
 
 
-def hybrid_candidates(texts: DataFrame, text: str, keep: list[str], years: tuple[int, int] = (1950, 2030)) -> DataFrame:
-    """Dates with their sentences as context, kept only with a decision or initiation cue: keep..., date, match, context, position, position_pct.
+def _found(rows: DataFrame, keep: list[str], years: tuple[int, int]) -> DataFrame:
+    """Adds _hits: array<struct<priority,start,match,date,at,context,before,both>>, the dates with their sentence (``at`` counts from the row's first) as context.
 
-    Dates are found in the whole text, then placed in a sentence. In the order of patterns and places
-    a date is taken if neither it nor its context was taken before. Then a sentence with an
-    initiation cue and no date lends its cue to the dates of the next sentence.
+    Rows have _text, what stands on either side of it (_left, _right: read for dates and what is near them, not for hits) and the sentences
+    before and after (_pre, _post). Pages never share a sentence.
     """
-    body = F.col("_text")
-    rows = texts.select(*keep, F.col(text).alias("_text")).where(body.rlike(r"\d\d"))
-    # generated columns are computed once; expressions would be put into the lambdas below
-    rows = rows.select("*", F.inline(F.array(F.struct(dated_hits(body, years, 30).alias("_hits"))))).where(F.size("_hits") > 0)
-    rows = rows.select("*", F.inline(F.array(F.struct(spans(body).alias("_spans")))))
-    sentences = F.col("_spans")
-
-    def placed(h: Column) -> Column:
-        at = F.size(F.filter(sentences, lambda s: s["start"] <= h["start"])) - 1
-        return F.struct(h["start"].alias("start"), h["match"].alias("match"), h["date"].alias("date"), at.alias("at"))
-
-    def told(h: Column) -> Column:
-        first = F.greatest(h["at"] - REACH, F.lit(0))
-        near = F.transform(F.slice(sentences, first + 1, F.lit(2 * REACH + 1)), lambda s: s["sentence"])
+    shift = F.length("_left")
+    rows = generated(rows, _wide=F.concat("_left", "_text", "_right")).where(F.col("_wide").rlike(r"\d\d"))
+    rows = generated(generated(rows, _parts=pieces(F.col("_wide"))), _dated=dated_hits(F.col("_wide"), F.col("_parts"), years, 30))
+    inside = F.filter("_dated", lambda h: (h["start"] >= shift) & (h["start"] < shift + F.length("_text")))
+    rows = generated(rows.drop("_wide", "_parts"), _own=inside).drop("_dated").where(F.size("_own") > 0)
+    rows = generated(rows, _spans=spans(F.col("_text")))
+    # sentences and dates in order of place; a date's sentence is the last one before it
+    starts = F.transform("_spans", lambda s: F.struct(s["start"].alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("i")))
+    places = F.transform("_own", lambda h, i: F.struct((h["start"] - shift).alias("at"), F.lit(1).alias("kind"), i.alias("i")))
+    rows = generated(rows, _order=F.array_sort(F.concat(starts, places)))
+    rows = generated(rows, _seen=running(F.transform("_order", lambda x: 1 - x["kind"])))
+    of_hit = F.filter(F.transform("_order", lambda x, n: F.struct(x["kind"].alias("kind"), x["i"].alias("i"), (F.get("_seen", n) - 1).alias("at"))), lambda x: x["kind"] == 1)
+    rows = generated(rows, _at=F.array_sort(F.transform(of_hit, lambda x: F.struct(x["i"].alias("i"), x["at"].alias("at")))), _all=F.concat("_pre", F.transform("_spans", lambda s: s["sentence"]), "_post"))
+
+    def told(h: Column, i: Column) -> Column:
+        at = F.get("_at", i)["at"]
+        first = F.greatest(at + F.size("_pre") - REACH, F.lit(0))
+        near = F.slice("_all", first + 1, F.lit(2 * REACH + 1))
 
         def made(b: Column) -> Column:
-            before = F.when(h["at"] > 0, F.get(b["near"], b["at"] - 1))
+            before = F.when(b["at"] > 0, F.get(b["near"], b["at"] - 1))
             both = strip(F.regexp_replace(F.concat_ws(" ", before, F.get(b["near"], b["at"])), r"\s+", " "))
-            own = [h[f].alias(f) for f in ("start", "match", "date", "at")]
+            own = [h["priority"].alias("priority"), (h["start"] - shift).alias("start"), h["match"].alias("match"), h["date"].alias("date"), at.alias("at")]
             return F.struct(*own, expanded_context(b["near"], b["at"]).alias("context"), before.alias("before"), both.alias("both"))
 
-        return let(F.struct(near.alias("near"), (h["at"] - first).alias("at")), made)
+        return let(F.struct(near.alias("near"), (at + F.size("_pre") - first).alias("at")), made)
+
+    return generated(rows, _hits=F.filter(F.transform("_own", told), lambda h: ~_excluded(h["context"]))).drop("_own", "_order", "_seen", "_at", "_all")
+
 
-    found = F.filter(F.transform(F.transform("_hits", placed), told), lambda h: ~_excluded(h["context"]))
-    rows = rows.select(*keep, "_text", F.inline(F.array(F.struct(found.alias("_hits")))))
-    rows = rows.select("*", F.inline(F.array(F.struct(F.transform("_hits", lambda h: h["at"]).alias("_dated")))))
-    hits = F.col("_hits")
+def _items(rows: DataFrame) -> Column:
+    """array<struct<late,first,priority,start,date,match,context>> of the dates of _hits to be tried, in the order in which they are.
+
+    First those whose context has a cue. Then a sentence with an initiation cue and no date (_prev_dated: whether the
+    sentence before the row's first has one) lends its cue to the dates of the next sentence.
+    """
     cues = fixed.DECISION_CUES + fixed.INITIATION_CUES
-    item = lambda h, context: F.struct(h["date"].alias("date"), h["match"].alias("match"), context.alias("context"), h["start"].alias("position"))
-    own = F.transform(F.filter(hits, lambda h: has_any(h["context"], cues)), lambda h: item(h, h["context"]))
-    dated = F.col("_dated")
-    lends = lambda h: h["before"].isNotNull() & has_any(h["before"], fixed.INITIATION_CUES) & ~F.array_contains(dated, h["at"] - 1) & ~_excluded(h["both"])
-    late = F.transform(F.filter(hits, lends), lambda h, i: F.struct(h["at"].alias("at"), i.alias("i"), item(h, h["both"]).alias("item")))
-    late = F.transform(F.array_sort(late), lambda x: x["item"])
+    hits, dated = F.col("_hits"), F.col("_sentences_with")
+    item = lambda late, first, h, context: F.struct(late.alias("late"), first.alias("first"), h["priority"].alias("priority"), h["start"].alias("start"), h["date"].alias("date"), h["match"].alias("match"), context.alias("context"))
+    own = F.transform(F.filter(hits, lambda h: has_any(h["context"], cues)), lambda h: item(F.lit(0), F.lit(0), h, h["context"]))
+    known = lambda h: F.when(h["at"] == 0, F.col("_prev_dated")).otherwise(F.array_contains(dated, h["at"] - 1))
+    lends = lambda h: h["before"].isNotNull() & has_any(h["before"], fixed.INITIATION_CUES) & ~known(h) & ~_excluded(h["both"])
+    late = F.transform(F.filter(hits, lends), lambda h: item(F.lit(1), F.get("_spans", h["at"])["start"], h, h["both"]))
+    return F.array_sort(F.concat(own, late))
+
+
+def hybrid_candidates(texts: DataFrame, text: str, keep: list[str], years: tuple[int, int] = (1950, 2030)) -> DataFrame:
+    """Dates with their sentences as context, kept only with a decision or initiation cue: keep..., date, match, context, position, position_pct.
+
+    Dates are found in the whole text, then placed in a sentence. In the order of patterns and places
+    a date is taken if neither it nor its context was taken before. Each row is a text of its own (see ``paged_candidates`` for texts of many pages).
+    """
+    none = F.array().cast("array<string>")
+    rows = texts.select(*keep, F.col(text).alias("_text")).where(F.col("_text").rlike(r"\d\d"))
+    rows = rows.withColumns({"_left": F.lit(""), "_right": F.lit(""), "_pre": none, "_post": none, "_prev_dated": F.lit(False)})
+    rows = _found(rows, keep, years).where(F.size("_hits") > 0)
+    rows = generated(rows, _sentences_with=F.transform("_hits", lambda h: h["at"]))
+    rows = generated(rows, _tried=_items(rows))
 
     def take(kept: Column, h: Column) -> Column:
         known = F.exists(kept, lambda k: (k["date"] == h["date"]) | (F.lower(k["context"]) == F.lower(h["context"])))
         return F.when(known, kept).otherwise(F.concat(kept, F.array(h)))
 
-    none = F.array().cast("array<struct<date:date,match:string,context:string,position:int>>")
-    rows = rows.select(*keep, F.length("_text").alias("_n"), F.explode(F.aggregate(F.concat(own, late), none, take)).alias("_c"))
-    return rows.select(*keep, "_c.date", "_c.match", "_c.context", "_c.position", (F.col("_c.position") / F.col("_n") * 100).alias("position_pct"))
+    start = F.array().cast("array<struct<late:int,first:int,priority:int,start:int,date:date,match:string,context:string>>")
+    taken = F.when(F.size("_tried") < 2, F.col("_tried")).otherwise(F.aggregate("_tried", start, take))
+    rows = rows.select(*keep, F.length("_text").alias("_n"), F.explode(taken).alias("_c"))
+    return rows.select(*keep, "_c.date", "_c.match", "_c.context", F.col("_c.start").alias("position"), (F.col("_c.start") / F.col("_n") * 100).alias("position_pct"))
+
+
+SEPARATOR = "\n\n"  # between the pages of a project
+NEAR = 60  # characters of the neighbouring page that are read at least
+NEIGHBOURS = 3  # pages on either side that are read where they are that short
+HEAD = rf"(?i)^(?:[\d\s,./-]++|{_MONTH}){{0,200}}+\w?"
+TAIL = rf"(?i)(?=[\djfmasond])(?:{_MONTH}|\d)(?:[\d\s,./-]++(?:{_MONTH})?+|{_MONTH}){{0,200}}+$"
+
+
+def _sides(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """For each page what the others lend it: _offset, _left, _right, _pre, _post. Only ends of pages are sorted by project, not pages."""
+    body = F.col("_text")
+    size = F.length(body)
+    tail = F.greatest(F.length(F.regexp_extract(F.substring(body, -2000, 2000), TAIL, 0)), F.lit(NEAR))
+    head = F.greatest(F.length(F.regexp_extract(F.substring(body, 1, 2000), HEAD, 0)), F.lit(NEAR))
+    told = F.transform(spans(body), lambda s: s["sentence"])
+
+    def few(sentences: Column) -> Column:
+        """The first sentences, until they fill a context."""
+        step = lambda s, x: F.when((s["n"] >= 80) | (F.size(s["out"]) >= REACH), s).otherwise(F.struct((s["n"] + F.length(x)).alias("n"), F.concat(s["out"], F.array(x)).alias("out")))
+        return F.aggregate(F.slice(sentences, 1, REACH), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")), step)["out"]
+
+    edges = generated(rows.select(*key, *order, "_text"), _told=told)
+    edges = edges.select(
+        *key, *order, size.alias("n"), F.substring(body, -1 * F.least(tail, size), F.least(tail, size)).alias("tail"), (size <= tail).alias("all_tail"),
+        F.substring(body, 1, head).alias("head"), (size <= head).alias("all_head"), few(F.col("_told")).alias("firsts"), F.reverse(few(F.reverse("_told"))).alias("lasts"),
+    )
+    w = Window.partitionBy(*key).orderBy(*order)
+    left, right = F.lit(""), F.lit("")
+    for i in range(NEIGHBOURS, 0, -1):
+        back, ahead = lambda c, i=i: F.lag(c, i).over(w), lambda c, i=i: F.lead(c, i).over(w)
+        left = F.when(back("tail").isNull(), "").otherwise(F.concat(F.when(back("all_tail"), left).otherwise(""), back("tail"), F.lit(SEPARATOR)))
+        right = F.when(ahead("head").isNull(), "").otherwise(F.concat(F.lit(SEPARATOR), ahead("head"), F.when(ahead("all_head"), right).otherwise("")))
+    pre = F.flatten(F.collect_list("lasts").over(w.rowsBetween(-REACH, -1)))
+    post = F.flatten(F.collect_list("firsts").over(w.rowsBetween(1, REACH)))
+    before = F.coalesce(F.sum(F.col("n") + len(SEPARATOR)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return edges.select(
+        *key, *order, before.alias("_offset"), left.alias("_left"), right.alias("_right"), F.slice(pre, F.greatest(F.size(pre) - REACH + 1, F.lit(1)), F.lit(REACH)).alias("_pre"), F.slice(post, 1, REACH).alias("_post"), F.size("firsts").alias("_told")
+    )
+
+
+def paged_candidates(pages: DataFrame, text: str, key: list[str], order: list[str], years: tuple[int, int] = (1950, 2030)) -> DataFrame:
+    """As ``hybrid_candidates`` of the pages of each key, joined in order by blank lines; but no row is longer than a page and its neighbours' ends.
+
+    Dates that run over a page's end, and sentences before and after, come from the neighbouring pages. ``order`` tells the pages of a
+    key apart. What is near a date is read from NEIGHBOURS pages on either side at most. Dates are taken by ``first_taken``.
+    """
+    rows = pages.where(F.col(text).isNotNull()).select(*key, *order, F.col(text).alias("_text"))
+    sides = staging.staged(_sides(rows, key, order), "pages")
+    found = _found(rows.join(sides, [*key, *order]), [*key, *order], years)
+    found = generated(found, _sentences_with=F.transform("_hits", lambda h: h["at"])).drop("_left", "_right", "_pre", "_post")
+    found = staging.staged(found.where(F.size("_hits") > 0).drop("_text"), "dated")
+    last = found.select(*key, *order, F.array_contains("_sentences_with", F.size("_spans") - 1).alias("_last"))
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    flags = sides.select(*key, *order, "_told").join(last, [*key, *order], "left")
+    flags = flags.select(*key, *order, F.coalesce(F.last(F.when(F.col("_told") > 0, F.coalesce("_last", F.lit(False))), ignorenulls=True).over(w), F.lit(False)).alias("_prev_dated"))
+    tried = found.join(flags, [*key, *order])
+    tried = tried.select(*key, "_offset", F.explode(_items(tried)).alias("h"))
+    place = F.struct("h.late", F.when(F.col("h.late") == 1, F.col("h.first") + F.col("_offset")).otherwise(0).alias("first"), "h.priority", (F.col("h.start") + F.col("_offset")).alias("position"))
+    taken = first_taken(tried.select(*key, place.alias("place"), "h.date", "h.match", "h.context"), key)
+    sizes = sides.join(rows.select(*key, *order, F.length("_text").alias("n")), [*key, *order]).groupBy(*key).agg(F.max(F.col("_offset") + F.col("n")).alias("_n"))
+    return taken.join(sizes, key).select(*key, "date", "match", "context", F.col("place.position").cast("int").alias("position"), (F.col("place.position") / F.col("_n") * 100).alias("position_pct"))
+
+
+def first_taken(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows (key..., place, date, match, context), in order of place, those whose date and context (in any case) no row taken before has.
+
+    In each round the rows are taken that come first by both; rows that share a date or context with one of them are done with. Every round
+    takes at least the first row of a key that has any left; mostly one or two are enough.
+    """
+    context = F.md5(F.lower("context").cast("binary"))
+    first = rows.groupBy(*key, "date", context.alias("_c")).agg(F.min(F.struct("place", "match", "context")).alias("r"))
+    left, taken = first.select(*key, "date", "_c", "r.*"), None
+    while True:
+        by_date, by_context = Window.partitionBy(*key, "date"), Window.partitionBy(*key, "_c")
+        marked = left.withColumn("_d1", F.min("place").over(by_date)).withColumn("_c1", F.min("place").over(by_context))
+        marked = marked.withColumn("_ok", (F.col("place") == F.col("_d1")) & (F.col("place") == F.col("_c1"))).drop("_d1", "_c1")
+        marked = marked.withColumn("_by_context", F.max("_ok").over(by_context)).withColumn("_by_date", F.max("_ok").over(by_date))
+        marked = staging.staged(marked, "taken")
+        new = marked.where("_ok").select(*key, "place", "date", "match", "context")
+        taken = new if taken is None else taken.unionByName(new)
+        left = marked.where("not _ok and not _by_context and not _by_date").select(*left.columns)
+        if left.isEmpty():
+            return taken
 
 
 def duration_bucket(days: Column) -> Column:

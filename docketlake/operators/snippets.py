@@ -1,46 +1,85 @@
-"""Keyword windows, search in context, and the stages around a language model."""
+"""Keyword windows, search in context, and the prompts for a language model."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.matches import find_all, merge_windows, strip
+from ..functions.matches import Pattern, all_hits, around, clean, generated, pieces, strip
 
 SEPARATOR = "\n\n[...]\n\n"
 
 
+WINDOW = "struct<start:int,end:int,first:int,n:int>"
+
+
 def keyword_bank() -> list[tuple[str, str]]:
     return [(c, f"(?i){p}") for c, ps in fixed.SNIPPET_PATTERNS.items() for p in ps]
 
 
+def _hits(df: DataFrame, text: str, keep: list[str], bank: list[tuple[str, str]] | None) -> DataFrame:
+    """keep..., _text, _hits: all matches of the bank inside each row; a text that no pattern of the bank matches is read once, by all of them joined."""
+    bank = bank or keyword_bank()
+    any_of_bank = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for _, p in bank)
+    rows = df.select(*keep, F.col(text).alias("_text"))
+    hits = all_hits(clean(F.col("_text")), [Pattern(n, p) for n, p in bank])
+    none = F.array().cast("array<struct<priority:int,name:string,start:int,end:int,match:string,groups:array<string>>>")
+    return generated(rows, _hits=F.when(F.col("_text").rlike(any_of_bank), hits).otherwise(none))
+
+
+def windows(hits: Column, length: Column, window: int) -> Column:
+    """Hits by place, each with ``low`` and ``high`` of its window."""
+    sides = lambda h: (F.greatest(h["start"] - window, F.lit(0)).alias("low"), F.least(h["end"] + window, length).alias("high"))
+    return F.array_sort(F.transform(hits, lambda h: F.struct(*sides(h), h["name"].alias("name"), h["match"].alias("match"))))
+
+
+def swept(placed: Column) -> Column:
+    """array<WINDOW>: overlapping or touching windows of hits in order of ``low`` become one, of ``n`` hits from the ``first``."""
+
+    def step(s: Column, h: Column) -> Column:
+        joins = (s["now"]["n"] > 0) & (h["low"] <= s["now"]["end"])
+        one = lambda start, end, first, n: F.struct(start.alias("start"), end.alias("end"), first.alias("first"), n.alias("n"))
+        grown = one(s["now"]["start"], F.greatest(s["now"]["end"], h["high"]), s["now"]["first"], s["now"]["n"] + 1)
+        fresh = one(h["low"], h["high"], s["now"]["first"] + s["now"]["n"], F.lit(1))
+        done = F.when(joins | (s["now"]["n"] == 0), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
+        return F.struct(F.when(joins, grown).otherwise(fresh).alias("now"), done.alias("done"))
+
+    zero = F.lit(0)
+    none = F.struct(zero.alias("start"), zero.alias("end"), zero.alias("first"), zero.alias("n"))
+    end = lambda s: F.when(s["now"]["n"] > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
+    return F.aggregate(placed, F.struct(none.alias("now"), F.array().cast(f"array<{WINDOW}>").alias("done")), step, end)
+
+
+def _snippets(df: DataFrame, text: str, keep: list[str], bank: list[tuple[str, str]] | None, window: int) -> DataFrame:
+    """keep..., _text, _snippets: array<struct<start,end,snippet,categories,keywords>>. All inside the row; nothing is shuffled."""
+    rows = _hits(df, text, keep, bank)
+    rows = generated(rows, _placed=windows(F.col("_hits"), F.length("_text"), window), _parts=pieces(F.col("_text")))
+    placed = F.col("_placed")
+
+    def told(w: Column) -> Column:
+        body = strip(around(F.col("_parts"), w["start"], w["end"], 0))
+        body = F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), " {3,}", "  ")
+        own = F.slice(placed, w["first"] + 1, w["n"])
+        names, words = (F.array_sort(F.array_distinct(F.transform(own, of))) for of in (lambda h: h["name"], lambda h: h["match"]))
+        return F.struct(w["start"].alias("start"), w["end"].alias("end"), body.alias("snippet"), names.alias("categories"), words.alias("keywords"))
+
+    return generated(rows, _windows=swept(placed)).select(*keep, "_text", F.transform("_windows", told).alias("_snippets"))
+
+
 def snippets(df: DataFrame, text: str, keep: list[str], bank: list[tuple[str, str]] | None = None, window: int = 250) -> DataFrame:
-    """Merged keyword windows: keep..., start, end, snippet, categories (sorted), keywords (sorted)."""
-    found = find_all(df, text, bank or keyword_bank(), keep)
-    found = found.withColumn("_lo", F.greatest(F.col("start") - window, F.lit(0))).withColumn("_hi", F.least(F.col("end") + window, F.length("_text")))
-    merged = merge_windows(found, keep, "_lo", "_hi").groupBy(*keep, "island").agg(
-        F.min("_lo").alias("start"), F.max("_hi").alias("end"), F.first("_text").alias("_text"),
-        F.array_sort(F.collect_set("name")).alias("categories"), F.array_sort(F.collect_set("match")).alias("keywords"),
-    )
-    body = strip(F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")))
-    body = F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), " {3,}", "  ")
-    return merged.select(*keep, "start", "end", body.alias("snippet"), "categories", "keywords")
+    """Merged keyword windows: keep..., start, end, snippet, categories (sorted), keywords (sorted). Rows are told apart by place, not by ``keep``."""
+    return _snippets(df, text, keep, bank, window).select(*keep, F.inline("_snippets"))
 
 
 def reduce_texts(df: DataFrame, text: str, keep: list[str], bank: list[tuple[str, str]] | None = None, window: int = 250, least: int = 200, most: int = 8000) -> DataFrame:
-    """Each text cut down to its snippets: processed, n_snippets, reduction_pct."""
-    parts = snippets(df, text, keep, bank, window).groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("start", "snippet"))).alias("_s"))
-    rows = df.select(*keep, F.col(text).alias("_text")).join(parts, keep, "left")
-    joined = F.coalesce(F.array_join(F.transform("_s", lambda x: x["snippet"]), SEPARATOR), F.lit(""))
+    """Each text cut down to its snippets: processed, n_snippets, reduction_pct. A null text is reduced to null."""
+    rows = generated(_snippets(df, text, keep, bank, window), _joined=F.array_join(F.transform("_snippets", lambda x: x["snippet"]), SEPARATOR))
+    joined = F.coalesce("_joined", F.lit(""))
     cap = lambda c: F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("\n[...]"))).otherwise(c)
     rows = rows.withColumn("processed", F.when(F.length(joined) < least, cap(F.col("_text"))).otherwise(cap(joined)))
     pct = F.round((1 - F.length("processed") / F.greatest(F.length("_text"), F.lit(1))) * 100, 4)
-    return rows.select(*keep, "processed", F.coalesce(F.size("_s"), F.lit(0)).cast("long").alias("n_snippets"), pct.alias("reduction_pct"))
+    return rows.select(*keep, "processed", F.coalesce(F.size("_snippets"), F.lit(0)).cast("long").alias("n_snippets"), pct.alias("reduction_pct"))
 
 
 def in_context(df: DataFrame, text: str, keep: list[str], term: str, window: int = 200) -> DataFrame:
@@ -68,10 +107,11 @@ def keyword_table(spark: SparkSession) -> DataFrame:
 
 
 def keyword_matches(df: DataFrame, text: str, keep: list[str], bank: list[tuple[str, str]] | None = None) -> DataFrame:
-    """All matches of a bank by category: keep..., category, matches."""
-    found = find_all(df, text, bank or keyword_bank(), keep)
-    listed = F.array_sort(F.collect_list(F.struct("priority", "start", "match")))
-    return found.groupBy(*keep, F.col("name").alias("category")).agg(F.transform(listed, lambda x: x["match"]).alias("matches"))
+    """All matches of a bank by category, in the order of its patterns, then places: keep..., category, matches. Nothing is shuffled."""
+    rows = _hits(df, text, keep, bank)
+    names = F.array_distinct(F.transform("_hits", lambda h: h["name"]))
+    of = lambda n: F.struct(n.alias("category"), F.transform(F.filter("_hits", lambda h: h["name"] == n), lambda h: h["match"]).alias("matches"))
+    return rows.select(*keep, F.inline(F.transform(names, of)))
 
 
 def document_pages(documents: DataFrame, pages: DataFrame, document_id: str, first: int = 1, last: int | None = None) -> DataFrame:
@@ -90,36 +130,43 @@ def project_pages(documents: DataFrame, pages: DataFrame, project_id: str) -> Da
     return rows.select("project_id", "document_id", "is_main", "page_number", "page_text").orderBy(F.col("is_main").desc(), "document_id", "page_number")
 
 
-def document_prompt(text: Column) -> Column:
-    """Prompt over a whole (reduced) document for all of its dates."""
-    ask = "List every date of the document below with its type (decision, application, specialist_review, historical, expiration, other), source and confidence."
-    return F.concat(F.lit(f'{ask} Answer with JSON: {{"dates": [{{"date": "YYYY-MM-DD", "type": "", "source": "", "confidence": ""}}]}}\n\n'), text)
-
+DOCUMENT_SHAPE = '{"dates": [{"date": "2020-01-31", "type": "decision", "source": "words beside the date", "confidence": "high"}]}'
+CLASSES_SHAPE = '{"classifications": [{"date": "2020-01-31", "type": "decision", "reason": "why"}]}'
+CAPACITY_SHAPE = '{"capacity_value": 50, "capacity_unit": "MW", "confidence": "high", "source_quote": "words of the excerpt"}'
+DOCUMENT_HEAD = (
+    "The text below is from the review file of one project. List each date in it with its role:\n"
+    "decision (an official signs or approves), application (a request comes in or the review begins), specialist_review (an expert reviews or is consulted), "
+    "historical (something before this review), expiration (a permit or a term ends), other.\n"
+    f"Write dates as YYYY-MM-DD and confidence as high, medium or low. Answer with JSON of this shape and nothing else:\n{DOCUMENT_SHAPE}\n\n"
+)
+CLASSES_HEAD = (
+    "Each numbered line is a date from the review file of one project, with the words around it. Give each date one type: decision (the final signature or approval), "
+    "initiation (the review, a consultation or a request begins), other.\n"
+    f"Repeat the date as YYYY-MM-DD. Answer with JSON of this shape and nothing else:\n{CLASSES_SHAPE}\n"
+)
+CAPACITY_HEAD = (
+    "What can the proposed project generate? Use the numbered excerpts only. Leave out alternatives, neighbouring plants and comparisons; of several values take "
+    "the nameplate or rated one, of a range its upper end.\n"
+    "capacity_unit is MW, GW, kW, MWh, GWh or kWh; confidence is high, medium or low; capacity_value, capacity_unit and source_quote are null, and confidence is low, if no excerpt tells.\n"
+    f"Answer with JSON of this shape and nothing else:\n{CAPACITY_SHAPE}\n"
+)
 
-def capacity_prompt(sentences: Column) -> Column:
-    listed = F.transform(F.slice(sentences, 1, 5), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
-    return F.concat(F.lit("Give the generation capacity as JSON with value, unit, confidence and source_quote.\n"), F.array_join(listed, "\n"))
 
+def document_prompt(text: Column) -> Column:
+    """Prompt over a whole (reduced) document for all of its dates."""
+    return F.concat(F.lit(DOCUMENT_HEAD), text)
 
-def date_prompt(candidates: Column) -> Column:
-    """Prompt over array<struct<date,context>>."""
-    listed = F.transform(candidates, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c["date"].cast("string"), F.lit(": "), c["context"]))
-    return F.concat(F.lit("Classify each date as decision, application, review, historical, expiration or other. Answer in JSON.\n"), F.array_join(listed, "\n"))
 
+def numbered(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
 
-def ask_model(df: DataFrame, key: str, prompt: str, client: Callable[[str], str], threads: int = 4) -> DataFrame:
-    """(key, reply) by a pluggable client, ``threads`` requests at a time in a task; failures become text."""
-    kind = dict(df.dtypes)[key]
 
-    def one(text: str) -> str:
-        try:
-            return client(text)
-        except Exception as error:  # the answer of a failed call is its message
-            return f"Error: {error}"
+def capacity_prompt(sentences: Column, title: Column | None = None, kind: Column | None = None) -> Column:
+    """Prompt over the first five candidate sentences of a project."""
+    about = [F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("unknown")), F.lit("\n")) for name, value in (("Project", title), ("Type", kind)) if value is not None]
+    return F.concat(F.lit(CAPACITY_HEAD), *about, numbered(F.slice(sentences, 1, 5)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(threads) as pool:
-            for frame in frames:
-                yield pd.DataFrame({key: frame[key], "reply": list(pool.map(one, frame[prompt]))})
 
-    return df.select(key, prompt).mapInPandas(run, f"{key} {kind}, reply string")
+def date_prompt(candidates: Column) -> Column:
+    """Prompt over array<struct<date,context>>."""
+    return F.concat(F.lit(CLASSES_HEAD), numbered(F.transform(candidates, lambda c: F.concat(c["date"].cast("string"), F.lit(": "), c["context"]))))

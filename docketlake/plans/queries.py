@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed, places, tags
 from ..functions.matches import match_offsets, merge_windows
 from ..operators import capacity, dates, reports, runs, snippets
+from ..operators.asking import ask_model
 from ..sources import ingest
 from .cases import CASES
 from .derived import SQL_BASE, STATE_NAMES, TYPE_TAGS, Corpus, _sql_list
@@ -424,11 +425,6 @@ cap AS (
 """
 
 
-_MODEL_SQL = """, d AS (SELECT project_id, document_id, row_number() OVER (PARTITION BY project_id ORDER BY CASE document_type WHEN 'FEIS' THEN 1 WHEN 'DEIS' THEN 2 WHEN 'FONSI' THEN 5 WHEN '' THEN 5 WHEN 'ROD' THEN 6 WHEN 'OTHER' THEN 8 ELSE 10 END,
-  CASE main_document WHEN 'YES' THEN 0 WHEN 'NO' THEN 1 ELSE 3 END, document_id) AS i FROM documents_), n AS (SELECT d.project_id, least(count(*), 15) AS n FROM d JOIN (SELECT document_id FROM pages_) USING (document_id) WHERE i <= 3 GROUP BY 1)
-SELECT p.project_id, CASE WHEN n > 0 THEN 7.0 END AS capacity_value, CASE WHEN n > 0 THEN 'MW' END AS capacity_unit, CASE WHEN n > 0 THEN 'llm' ELSE 'no_documents' END AS extraction_method, coalesce(n, 0) AS n_candidates, coalesce(n, 0) AS pages_scanned FROM projects p LEFT JOIN n USING (project_id)"""
-
-
 def _capacity(c):
     return capacity.project_capacity(c.projects.select("project_id", "project_title"), c.documents, c.pages)
 
@@ -709,18 +705,61 @@ def t17_candidates(c):
     return found.groupBy("project_id").agg(F.min("date").cast("string").alias("first_date"), (F.max(F.length("context")) > 0).alias("some"))
 
 
-@query(_RUN + """, pg AS (SELECT project_id, sum(length(page_text)) + 2 * (count(*) - 1) AS total_chars FROM pages_ WHERE document_id IN (SELECT document_id FROM own WHERE main_document = 'YES') GROUP BY 1)
-  SELECT project_id, coalesce(n, 0) AS documents, total_chars::BIGINT AS total_chars, CASE WHEN n IS NULL THEN 'no_documents' WHEN total_chars IS NULL THEN 'no_pages' END AS error, CASE WHEN total_chars IS NOT NULL THEN '2001-02-03' END AS decision
+@query(_RUN + """, pg AS (SELECT project_id, sum(length(page_text)) + 2 * (count(*) - 1) AS total_chars, max(day) FILTER (flag = 'A') AS signed FROM pages_ WHERE document_id IN (SELECT document_id FROM own WHERE main_document = 'YES') GROUP BY 1)
+  SELECT project_id, coalesce(n, 0) AS documents, total_chars::BIGINT AS total_chars, CASE WHEN n IS NULL THEN 'no_documents' WHEN total_chars IS NULL THEN 'no_pages' END AS error, signed::VARCHAR AS decision
   FROM chosen LEFT JOIN (SELECT project_id, count(*) AS n FROM own GROUP BY 1) USING (project_id) LEFT JOIN pg USING (project_id)""")
 def x18_model_run(c):
-    reply = '{"dates": [{"date": "2001-02-03", "type": "decision", "source": "s"}]}'
-    made = runs.model_timelines(_analysis(c), c.documents, c.pages, lambda prompt: reply)
+    made = runs.model_timelines(_analysis(c), c.documents, c.pages, _signed_dates())
     return made.select("project_id", F.col("document_count").alias("documents"), F.col("total_chars").cast("long").alias("total_chars"), F.col("llm_error").alias("error"), F.col("llm_decision_date").alias("decision"))
 
 
-@query(_MODEL_SQL)
+def _signed_dates():
+    """A client that reads the prompt as a model would: all signed dates of the text, in the shape that the prompt asks for."""
+
+    def client(prompt):
+        import datetime
+        import json
+        import re
+
+        found = re.findall(r"signed (\w+ \d+, \d{4})", prompt)
+        days = [datetime.datetime.strptime(f, "%B %d, %Y").date().isoformat() for f in found]
+        return json.dumps({"dates": [{"date": d, "type": "decision", "source": "signed", "confidence": "high"} for d in days]})
+
+    return client
+
+
+@query(_RUN + """, pg AS (SELECT project_id, day, flag FROM pages_ WHERE document_id IN (SELECT document_id FROM own WHERE main_document = 'YES')), nd AS (SELECT project_id, count(*) AS n FROM own GROUP BY 1),
+  k AS (SELECT project_id, count(DISTINCT day) AS dates, max(day) AS latest FROM pg GROUP BY 1)
+  SELECT project_id, coalesce(dates, 0) AS n_dates, latest::VARCHAR AS decision, CASE WHEN n IS NULL THEN 'no_documents' WHEN dates IS NULL THEN 'no_pages' END AS error FROM chosen LEFT JOIN nd USING (project_id) LEFT JOIN k USING (project_id)""")
+def x18_hybrid_run(c):
+    # each date of the prompt is called a decision
+    def client(prompt):
+        import json
+        import re
+
+        days = re.findall(r"(?m)^\d+\. (\d{4}-\d{2}-\d{2}): ", prompt)
+        return json.dumps({"classifications": [{"date": d, "type": "decision", "reason": "listed"} for d in days]})
+
+    made = runs.model_timelines(_analysis(c), c.documents, c.pages, client, hybrid=True)
+    return made.select("project_id", F.coalesce("llm_n_dates_found", F.lit(0)).cast("long").alias("n_dates"), F.col("llm_decision_date").alias("decision"), F.col("llm_error").alias("error"))
+
+
+_MODEL_CAPACITY = """, d AS (SELECT project_id, document_id, row_number() OVER (PARTITION BY project_id ORDER BY CASE document_type WHEN 'FEIS' THEN 1 WHEN 'DEIS' THEN 2 WHEN 'FONSI' THEN 5 WHEN '' THEN 5 WHEN 'ROD' THEN 6 WHEN 'OTHER' THEN 8 ELSE 10 END,
+  CASE main_document WHEN 'YES' THEN 0 WHEN 'NO' THEN 1 ELSE 3 END, document_id) AS i FROM documents_), pg AS (SELECT d.project_id, flag, qty, size, row_number() OVER (PARTITION BY d.project_id ORDER BY i, page_number) AS k FROM d JOIN pages_ USING (document_id) WHERE i <= 3),
+  n AS (SELECT project_id, count(*) AS n, arg_min({'v': CASE flag WHEN 'A' THEN qty::INT ELSE size END, 'u': CASE flag WHEN 'A' THEN 'MW' WHEN 'N' THEN 'kW' ELSE 'MWh' END}, CASE flag WHEN 'R' THEN 1000 ELSE 0 END + k) AS best FROM pg WHERE k <= 15 GROUP BY 1)
+SELECT p.project_id, best.v::DOUBLE AS capacity_value, best.u AS capacity_unit, CASE WHEN n > 0 THEN 'llm' ELSE 'no_documents' END AS extraction_method, coalesce(n, 0) AS n_candidates, coalesce(n, 0) AS pages_scanned FROM projects p LEFT JOIN n USING (project_id)"""
+
+
+@query(_MODEL_CAPACITY)
 def x18_model_capacity(c):
-    made = runs.model_capacities(c.projects, c.documents, c.pages, lambda prompt: '{"capacity_value": "7", "capacity_unit": "MW", "confidence": "high"}')
+    def client(prompt):
+        import json
+        import re
+
+        first = re.search(r"(?m)^1\. .*?(\d+) (MWh|MW|kW)", prompt)
+        return json.dumps({"capacity_value": int(first[1]), "capacity_unit": first[2], "confidence": "high", "source_quote": first[0]})
+
+    made = runs.model_capacities(c.projects, c.documents, c.pages, client)
     return made.select("project_id", "capacity_value", "capacity_unit", "extraction_method", "n_candidates", "pages_scanned")
 
 
@@ -830,18 +869,29 @@ def x8_project_pages(c):
     return snippets.project_pages(c.documents, c.pages, "P3")
 
 
-@query("SELECT category, count(*) AS n, max(n_patterns)::BIGINT AS listed FROM (VALUES " + ", ".join(f"('{k}', {len(v)})" for k, v in fixed.SNIPPET_PATTERNS.items() for _ in v) + ") v(category, n_patterns) GROUP BY 1", base=False)
+_BANK_VALUES = ", ".join(f"('{k}', {len(v)})" for k, v in fixed.SNIPPET_PATTERNS.items())
+
+
+@query(", b(category, n_patterns) AS (VALUES " + _BANK_VALUES + """), m AS (SELECT CASE flag WHEN 'A' THEN 'section_headers' ELSE 'application_indicators' END AS category, count(*) AS n FROM pages_ WHERE flag IN ('A', 'N') GROUP BY 1)
+  SELECT category, n_patterns::BIGINT AS n_patterns, coalesce(n, 0) AS n_pages FROM b LEFT JOIN m USING (category)""")
 def x7_keyword_table(c):
-    return snippets.keyword_table(c.spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("n_patterns").cast("long").alias("listed"))
+    found = snippets.keyword_matches(c.pages, "page_text", ["document_id", "page_number"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    bank = snippets.keyword_table(c.spark).groupBy("category").agg(F.count(F.lit(1)).alias("n_patterns"))
+    return bank.join(found, "category", "left").select("category", "n_patterns", F.coalesce("n", F.lit(0)).alias("n_pages"))
+
 
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
 
-@query("SELECT event_id, 'JSON' AS kind, true AS whole FROM events", base=False)
+
+@query(f"""SELECT item_id, {_quoted(snippets.DOCUMENT_HEAD)} || text AS document, {_quoted(snippets.CLASSES_HEAD)} || '1. 2020-01-01: ' || text AS classes,
+  {_quoted(snippets.CAPACITY_HEAD)} || 'Project: Item ' || item_id || chr(10) || 'Type: unknown' || chr(10) || '1. ' || text || chr(10) || '2. End' AS capacity FROM benchmark""", base=False)
 def x11_x12_x13_prompts(c):
-    text = F.concat(F.lit("Approved in "), F.col("event_id").cast("string"))
+    text = F.col("text")
     asked = F.array(F.struct(F.lit("2020-01-01").alias("date"), text.alias("context")))
-    made = [snippets.document_prompt(text), snippets.date_prompt(asked), snippets.capacity_prompt(F.array(text, text))]
-    whole = [F.contains(p, text) & F.contains(p, F.lit("JSON")) for p in made]
-    return c.table("events").select("event_id", F.regexp_extract(made[0], "JSON", 0).alias("kind"), (whole[0] & whole[1] & whole[2]).alias("whole"))
+    title = F.concat(F.lit("Item "), F.col("item_id").cast("string"))
+    made = [snippets.document_prompt(text), snippets.date_prompt(asked), snippets.capacity_prompt(F.array(text, F.lit("End")), title, F.lit(None).cast("string"))]
+    return c.table("benchmark").select("item_id", made[0].alias("document"), made[1].alias("classes"), made[2].alias("capacity"))
 
 
 @query("SELECT doc_id, regexp_matches(text, 'Licensed under|Apache License') AS found, length(text)::BIGINT AS n_chars FROM documents", base=False)
@@ -864,10 +914,10 @@ def x10_terms(c):
     return snippets.term_counts(c.table("documents"), "text", "lang")
 
 
-@query("SELECT item_id, 'echo ' || left(text, 20) AS reply FROM benchmark", base=False)
+@query("SELECT item_id, CASE WHEN text IS NOT NULL THEN 'echo ' || text END AS reply, NULL::VARCHAR AS error FROM benchmark", base=False)
 def x14_model_stage(c):
-    rows = c.table("benchmark").select("item_id", F.substring("text", 1, 20).alias("prompt"))
-    return snippets.ask_model(rows, "item_id", "prompt", lambda p: f"echo {p}")
+    return ask_model(c.table("benchmark").select("item_id", F.col("text").alias("prompt")), "item_id", "prompt", lambda p: f"echo {p}")
+
 
 
 @query(f""", pl(name, lat, lon) AS (VALUES {_PLACES_SQL}), lists AS (SELECT array_to_string(project_state, ';') AS list_id, any_value(project_state) AS states, count(*) AS n FROM projects WHERE len(project_state) > 1 GROUP BY 1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import places, tags
 from ..functions.matches import strip
+from . import staging
 
 _V = "struct<value:string>"
 _L = "struct<value:array<string>>"
@@ -18,9 +20,12 @@ RECORD = (
 )
 
 
+BROKEN = "_broken"  # the text of a line that is no record
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Nested JSON lines, one record per project, by a declared schema (no inference pass)."""
-    return spark.read.schema(RECORD).json(path)
+    """Nested JSON lines, one record per project, by a declared schema (no inference pass); ``_broken`` has the text of lines that are no JSON of that shape."""
+    return spark.read.schema(f"{RECORD}, {BROKEN} string").option("columnNameOfCorruptRecord", BROKEN).json(path)
 
 
 def read_corpus(spark: SparkSession, root: str, sources: list[str] | None = None) -> DataFrame:
@@ -31,7 +36,7 @@ def read_corpus(spark: SparkSession, root: str, sources: list[str] | None = None
             continue
         rows = read_records(spark, f"{root}/{source}/*/*.jsonl").withColumn("dataset_source", F.lit(source))
         found = rows if found is None else found.unionByName(rows)
-    return spark.createDataFrame([], f"{RECORD}, dataset_source string") if found is None else found
+    return spark.createDataFrame([], f"{RECORD}, {BROKEN} string, dataset_source string") if found is None else found
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -73,20 +78,88 @@ def documents(records: DataFrame) -> DataFrame:
         "project_id", _text(m + "document_ID.value").alias("document_id"), _text(m + "document_type.value").alias("document_type"),
         _text(m + "document_title.value").alias("document_title"), _text(m + "prepared_by.value").alias("prepared_by"), _text(m + "ce_category.value").alias("ce_category"),
         _text(f + "file_ID.value").alias("file_id"), _text(f + "file_name.value").alias("file_name"), _text(f + "total_pages.value").alias("total_pages"),
-        _text(f + "main_document.value").alias("main_document"),
+        _text(f + "main_document.value").alias("main_document"), content_digest(F.col("d.pages")).alias("content_digest"),
     )
 
 
+def content_digest(pages: Column) -> Column:
+    """Digest of a document's pages, so that a change is seen without reading them again."""
+    told = F.transform(pages, lambda p: F.concat_ws(":", p["page number"].cast("string"), F.sha2(F.coalesce(p["page text"], F.lit("")).cast("binary"), 256)))
+    return F.sha2(F.array_join(F.coalesce(told, F.array().cast("array<string>")), ",").cast("binary"), 256)
+
+
 def pages(records: DataFrame) -> DataFrame:
     rows = records.select(F.explode("documents").alias("d")).select(_text("d.metadata.document_metadata.document_ID.value").alias("document_id"), F.explode("d.pages").alias("p"))
     return rows.select("document_id", F.col("p.`page number`").alias("page_number"), F.coalesce(F.col("p.`page text`"), F.lit("")).alias("page_text"))
 
 
+TABLES = {"projects": projects, "processes": processes, "documents": documents, "pages": pages}
+
+
 def write_tables(records: DataFrame, path: str, source: str) -> None:
-    """The four tables of one source, partitioned by it so that a source filter prunes files; a rerun replaces the source's part."""
-    for name, make in (("projects", projects), ("processes", processes), ("documents", documents), ("pages", pages)):
-        rows = make(records).withColumn("dataset_source", F.lit(source.upper()))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_source").parquet(f"{path}/{name}")
+    """The four tables of one source, partitioned by it so that a source filter prunes files, and the lines that could not be read (``broken``).
+
+    Records are parsed once, into a table that all others are made of. The tables are written beside the present ones; they take
+    their places when all are there, after a mark is set. A run that fails before the mark changes nothing; one that fails after
+    it is finished by ``recover``, which every run calls first. Pages are ordered by document in ranges, so that a file, and a row
+    group of it, holds few documents.
+    """
+    spark = records.sparkSession
+    recover(spark, path, source)
+    if BROKEN not in records.columns:
+        records = records.withColumn(BROKEN, F.lit(None).cast("string"))
+    parsed = staging.staged(records, "records")
+    good = parsed.where(F.col(BROKEN).isNull())
+    for name, make in TABLES.items():
+        rows = make(good)
+        if name == "pages":
+            rows = clustered(rows)
+        rows.write.mode("overwrite").options(**PAGE_FILES).parquet(_beside(path, source, name))
+    parsed.where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line")).write.mode("overwrite").parquet(_beside(path, source, "broken"))
+    spark.range(1).write.mode("overwrite").parquet(_beside(path, source, "READY"))
+    recover(spark, path, source)
+
+
+PAGE_FILES = {"parquet.bloom.filter.enabled#document_id": "true", "parquet.block.size": str(32 << 20)}
+
+
+def clustered(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Pages in ranges of document_id, sorted: the least and greatest id of files and row groups, and their Bloom filters, rule out nearly all others in a lookup."""
+    order = ["document_id", "page_number"]
+    dealt = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
+
+
+def _beside(path: str, source: str, name: str) -> str:
+    return f"{path}/_new/{source.upper()}/{name}"
+
+
+def recover(spark: SparkSession, path: str, source: str) -> None:
+    """Puts tables that are complete (marked) in place; what is not marked stays out of sight, to be replaced by the next run."""
+    if not exists(spark, _beside(path, source, "READY")):
+        return
+    for name in [*TABLES, "broken"]:
+        if exists(spark, _beside(path, source, name)):
+            replace_folder(spark, _beside(path, source, name), f"{path}/{name}/dataset_source={source.upper()}")
+    remove_folder(spark, f"{path}/_new/{source.upper()}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def replace_folder(spark: SparkSession, new: str, old: str) -> None:
+    files, target = _file_system(spark, old)
+    files.mkdirs(target.getParent())
+    files.delete(target, True)
+    if not files.rename(_file_system(spark, new)[1], target):
+        raise OSError(f"{new} cannot take the place of {old}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
 
 
 def combined(spark: SparkSession, path: str, military: DataFrame | None = None, waste_terms: list[str] | None = None) -> dict[str, DataFrame]:
@@ -123,16 +196,18 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def summary(df: DataFrame, flags: list[str], counts: list[str]) -> DataFrame:
-    """(measure, value, n, pct): rows, how many have each flag or column, and the values of each counted column."""
-    every = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("measure"), F.lit(None).cast("string").alias("value"), "n")
+    """(measure, value, n, pct): rows, how many have each flag or column, and the values of each counted column. One scan: every row gives its measures."""
     kinds = dict(df.dtypes)
-    for f in flags:
-        has = F.col(f) if kinds[f] == "boolean" else F.col(f).isNotNull()
-        every = every.unionAll(df.agg(F.count_if(has).alias("n")).select(F.lit(f), F.lit(None).cast("string"), "n"))
-    for c in counts:
-        every = every.unionAll(df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c), "value", "n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    return every.join(F.broadcast(total)).select("measure", "value", "n", F.round(F.try_divide(F.col("n") * 100, "_all"), 4).alias("pct"))  # one row
+    one = lambda name, value: F.struct(F.lit(name).alias("measure"), value.cast("string").alias("value"))
+    nothing = F.lit(None).cast("string")
+    has = [F.when(F.coalesce(F.col(f), F.lit(False)) if kinds[f] == "boolean" else F.col(f).isNotNull(), one(f, nothing)) for f in flags]
+    told = F.array_compact(F.array(one("rows", nothing), *has, *[one(c, F.col(c)) for c in counts]))
+    sums = df.select(F.explode(told).alias("m")).groupBy("m.measure", "m.value").agg(F.count(F.lit(1)).alias("n"))
+    # a flag that no row has is listed too
+    listed = df.sparkSession.createDataFrame([(f,) for f in ["rows", *flags]], "measure string")
+    rows = sums.join(F.broadcast(listed.select("measure", F.lit(True).alias("listed"))), "measure", "full")  # as many rows as flags
+    rows = rows.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_all", F.max(F.when(F.col("measure") == "rows", F.col("n"))).over(Window.partitionBy()))  # as many rows as values
+    return rows.select("measure", "value", "n", F.round(F.try_divide(F.col("n") * 100, "_all"), 4).alias("pct"))
 
 
 def present(df: DataFrame, names: list[str]) -> DataFrame:
