@@ -15,7 +15,7 @@ _SIGNS = {"numeric_slash": "/", "numeric_slash_2y": "/", "ISO": "-", "numeric_da
 PATTERNS = [Pattern(name, f"(?i){p}", groups, _SIGNS.get(name, "[a-zA-Z]{3}")) for name, p, groups in fixed.DATE_PATTERNS]
 # stretches of digits, months and what can stand between them, with one letter that may follow; two names share a letter in "janov..."
 _MONTH = "(?:j[au]nov(?:ember)?|" + "|".join(sorted(fixed.MONTH_NUMBERS, key=len, reverse=True)) + ")"
-ZONE = rf"(?i)(?=[\djfmasond])(?:{_MONTH}|\d)(?:[\d\s,./-]++(?:{_MONTH})?+|{_MONTH}){{0,200}}+\w?"
+ZONE = rf"(?i)(?=[\djfmasond])(?:{_MONTH}|\d)(?:[\d\s,./-]++(?:{_MONTH})?+|{_MONTH}){{0,200}}+(?:(?!\d|{_MONTH})\w)?"
 ZONE_NEEDS = r"\d\d"
 SENTENCE = r"[^.!?\n]*(?:[.!?]+|\n+)|[^.!?\n]+"
 REACH = 40  # sentences on either side that can be needed to fill a context of 80 characters
@@ -273,11 +273,11 @@ def _sides(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
         back, ahead = lambda c, i=i: F.lag(c, i).over(w), lambda c, i=i: F.lead(c, i).over(w)
         left = F.when(back("tail").isNull(), "").otherwise(F.concat(F.when(back("all_tail"), left).otherwise(""), back("tail"), F.lit(SEPARATOR)))
         right = F.when(ahead("head").isNull(), "").otherwise(F.concat(F.lit(SEPARATOR), ahead("head"), F.when(ahead("all_head"), right).otherwise("")))
-    pre = F.flatten(F.collect_list("lasts").over(w.rowsBetween(-REACH, -1)))
-    post = F.flatten(F.collect_list("firsts").over(w.rowsBetween(1, REACH)))
+    pre = F.reverse(few(F.reverse(F.flatten(F.collect_list("lasts").over(w.rowsBetween(-REACH, -1))))))
+    post = few(F.flatten(F.collect_list("firsts").over(w.rowsBetween(1, REACH))))
     before = F.coalesce(F.sum(F.col("n") + len(SEPARATOR)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return edges.select(
-        *key, *order, before.alias("_offset"), left.alias("_left"), right.alias("_right"), F.slice(pre, F.greatest(F.size(pre) - REACH + 1, F.lit(1)), F.lit(REACH)).alias("_pre"), F.slice(post, 1, REACH).alias("_post"), F.size("firsts").alias("_told")
+        *key, *order, before.alias("_offset"), left.alias("_left"), right.alias("_right"), pre.alias("_pre"), post.alias("_post"), F.size("firsts").alias("_told")
     )
 
 

@@ -2,23 +2,26 @@
 
 import datetime
 import http.server
+import itertools
 import json
+import pathlib
+import random
+import re
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake.functions import matches, places, tags
+from docketlake.functions import fixed, matches, places, tags
 from docketlake import __main__ as command
 from docketlake.operators import capacity, client, dates, replies, reports, runs, snippets
+from docketlake.operators.asking import Asking, ask_model
 from docketlake.sources import ingest
 from docketlake.streaming import incremental
 
-U = "Utilities (electricity, gas, telecommunications)"
-B, S, W, AG = "Broadband", "Renewable Energy Production - Solar", "Waste Management", "Agriculture"
-OG = "Conventional Energy Production - Land-based Oil & Gas"
-NT, NP = "Nuclear Technology", "Conventional Energy Production - Nuclear"
-LAND = "Land Development - "
+U, B, S, W = fixed.UTILITIES, fixed.BROADBAND, fixed.CLEAN[5], fixed.NON_ENERGY[1]
+NT = fixed.NUCLEAR_TECH
 
 
 def one(spark, value, kind, make):
@@ -26,86 +29,120 @@ def one(spark, value, kind, make):
     return df.select(make(F.col("v")).alias("r")).first()["r"]
 
 
-BROAD = [([U], "Clean", False), ([U, B], "Clean", True), ([S], "Clean", False), ([OG], "Fossil", False), ([U, OG], "Fossil", True), ([B], "Other", False), ([AG], "Other", False), (None, "Other", False), ([], "Other", False)]
-STRICT = [([U, B], "Other"), ([U], "Clean"), ([U, B, S], "Clean"), ([NT], "Other"), ([NT, NP], "Clean"), ([S], "Clean"), ([OG], "Fossil")]
-EXCLUDE = [([U, B], True), ([U, W], True), ([U, LAND + "Housing"], True), ([U, LAND + "Other"], True), ([U, LAND + "Urban"], True), ([U, B, S], False), ([U, W, AG], False), ([U], False), ([U, S], False), ([B], False), ([W], False), ([], False)]
-
-
-def test_tag_goldens(spark):
-    rows = [(i, t) for i, (t, *_) in enumerate(BROAD + STRICT + EXCLUDE)]
+def test_tags_follow_the_rules_for_all_small_sets(spark):
+    # one tag of each class and the named ones, in all sets of up to three, in odd spellings
+    some = [U, B, S, W, NT, fixed.NUCLEAR_POWER, fixed.FOSSIL[0], "agriculture", fixed.NON_ENERGY[4]]
+    sets = [None, *(list(x) for n in range(4) for x in itertools.combinations(some, n))]
+    odd = lambda t, i: f" {t.upper()} " if i % 2 else t.title()
+    rows = [(i, None if x is None else [odd(t, i + j) for j, t in enumerate(x)]) for i, x in enumerate(sets)]
     df = spark.createDataFrame(rows, "i int, t array<string>").select("i", *[c.alias(n) for n, c in tags.energy_columns(F.col("t")).items()])
-    got = {r.i: r for r in df.collect()}
-    for i, (_, kind, flag) in enumerate(BROAD):
-        assert (got[i].project_energy_type, got[i].project_energy_type_questions) == (kind, flag)
-    for i, (_, kind) in enumerate(STRICT, len(BROAD)):
-        assert got[i].project_energy_type_strict == kind
-    for i, (_, flag) in enumerate(EXCLUDE, len(BROAD) + len(STRICT)):
-        assert got[i].project_utilities_to_exclude == flag
-
-
-PLACES = [
-    ("[Bettles, Northern Tract, AK (Lat/Lon: 66.9100, -151.5100)]", ["Alaska"], [], 66.91, False),
-    ("[Old Ridge Well, Madera County, CA (Lat/Lon: 36.96, -119.7)]", ["California"], ["Madera"], 36.96, False),
-    ("[Mohave County, Yuma County, La Paz County, AZ]", [], ["La Paz", "Mohave", "Yuma"], None, False),
-    ("[Emery County, UT; Duchesne County, UT (Lat/Lon: 39.5, -110.25)]", ["Utah"], ["Duchesne", "Emery"], 39.5, False),
-    ("West Virginia", ["Virginia", "West Virginia"], [], None, False),
-    ("(Lat/Lon: 41.25, -101)", [], [], 41.25, True),
-    ("Reno, NV OR CA border", ["Nevada", "California"][::-1], [], None, False),
-    ("Elko,NV", ["Nevada"], [], None, False),
-    ("", [], [], None, False),
-]
-
-
-def test_places(spark):
-    df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PLACES)], "i int, t string")
+    for r in df.collect():
+        own = set(sets[r.i] or [])
+        clean, fossil = own & set(fixed.CLEAN), own & set(fixed.FOSSIL)
+        wires, technology = own == {U, B}, NT in own and fixed.NUCLEAR_POWER not in own
+        kind = "Fossil" if fossil else "Clean" if clean else "Other"
+        assert (r.project_energy_type, r.project_energy_type_questions) == (kind, wires or bool(clean and fossil)), own
+        assert r.project_energy_type_strict == ("Other" if wires or technology else kind), own
+        assert r.project_utilities_to_exclude == (U in own and bool(own & set(fixed.NON_ENERGY)) and own <= {U, *fixed.NON_ENERGY}), own
+
+
+def test_places_by_their_clauses(spark):
+    names = {v: k.title() for k, v in fixed.STATES.items()}
+    cases = []
+    for before, after in ((", ", ""), (" ", ")"), (",", ";"), (" ", ","), ("/", ""), (", ", "x"), ("", "")):  # what may stand beside a state's letters
+        fits = before in (", ", " ", ",") and after in ("", ")", ";", ",")
+        cases.append((f"Somewhere{before}OR{after}", [names["OR"]] if fits else [], [], None, False))
+    for lat in ("41.5", "-7", "7."):  # digits of a coordinate
+        cases.append((f"(Lat/Lon: {lat}, -99.25)", [], [], float(lat), True))
+    cases += [("by Lake Union County road", [], ["Lake Union"], None, False), ("lower county, Kent County", [], ["Kent"], None, False), ("new mexico and texas", ["New Mexico", "Texas"], [], None, False), (None, [], [], None, False)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
     for r in df.select("i", *[c.alias(n) for n, c in places.location_columns(F.col("t")).items()]).collect():
-        _, states, counties, lat, needs = PLACES[r.i]
-        assert (r.project_state, r.project_county, r.project_lat, r.project_location_needs_geocoding) == (states, counties, lat, needs)
-
-
-DATES = [
-    ("The permit was approved on March 9, 2021.", {("2021-03-09", "decision")}),
-    ("A notice was published by the office on 04/17/2022.", {("2022-04-17", "notice")}),
-    ("The draft went out in October 2019.", {("2019-10-01", "draft")}),
-    ("The comment period is over since Nov. 3, 2020.", {("2020-11-03", "comment")}),
-    ("Drilling commenced on 2018-07-21 in the valley.", {("2018-07-21", "start")}),
-    ("Nothing was dated.", set()),
-    ("Signed 15 January 2024", {("2024-01-15", "decision"), ("2024-01-01", "decision")}),
-    ("2/30/2024", set()),
-    ("1/15/24 and 1/15/95", {("2024-01-15", "unknown"), ("1995-01-15", "unknown")}),
-    ("signed May 1, 1989", set()),
-    ("Water Act amended in January 5, 2001", set()),
-]
-
-
-def test_dates(spark):
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(DATES)], "i int, t string")
-    got = {}
-    for r in dates.extract_dates(df, "t", ["i"]).collect():
-        got.setdefault(r.i, set()).add((str(r.date), r.context))
-    assert got == {i: want for i, (_, want) in enumerate(DATES) if want}
+        text, states, counties, lat, needs = cases[r.i]
+        assert ((r.project_state or []), (r.project_county or []), r.project_lat, bool(r.project_location_needs_geocoding)) == (states, counties, lat, needs), text
 
 
-CAPACITY = [
-    ("The project will generate 65 MW of power.", {"65 MW", "generate 65 MW"}, 65.0, "MW", "high"),
-    ("A 120-megawatt wind facility", {"120-megawatt wind", "A 120-megawatt wind"}, 120.0, "MW", "high"),
-    ("capacity of 1,250 MW", {"1,250 MW", "capacity of 1,250 MW"}, 1250.0, "MW", "high"),
-    ("The farm produces 3.5 GW in all.", {"3.5 GW", "produces 3.5 GW"}, 3.5, "GW", "high"),
-    ("Battery capacity of 450 MWh", {"450 MW", "capacity of 450 MW"}, 450.0, "MW", "high"),
-    ("existing 20 MW unit", {"20 MW"}, 20.0, "MW", "low"),
-    ("5-10 MW", {"5-10 MW"}, 10.0, "MW", "medium"),
-]
+DAY = datetime.date(2007, 9, 14)
+FORMS = {
+    "MDY_full": "September 14, 2007", "MDY_short": "Sept. 14 2007", "DMY_full": "14 SEPTEMBER 2007", "numeric_slash": "9/14/2007", "numeric_slash_2y": "09/14/07", "ISO": "2007-9-14", "numeric_dash": "9-14-2007", "digital_sig": "2007.09.14",
+}
 
 
-def test_capacity(spark):
-    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CAPACITY)], "i int, t string")
+def test_each_form_of_a_date_in_each_context(spark):
+    words = {kind: terms[-1] for kind, terms in fixed.DATE_CONTEXTS.items()} | {"unknown": "zzz"}
+    cases = [(f, k, f"{w} : {text} ;") for f, text in FORMS.items() for k, w in words.items()]
+    df = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "i int, t string")
+    got = {}
+    for r in dates.extract_dates(df, "t", ["i"]).collect():
+        got.setdefault(r.i, {})[r.date] = r.context
+    for i, (form, kind, text) in enumerate(cases):
+        first = next(k for k, terms in fixed.DATE_CONTEXTS.items() if any(t in text.lower() for t in terms)) if kind != "unknown" else kind
+        assert got[i][DAY] == first, (form, text)
+        assert set(got[i]) - {DAY} <= {DAY.replace(day=1)}, form  # a month and a year are a date too
+
+
+def test_dates_that_do_not_count(spark):
+    texts = [f"{FORMS['ISO']} {phrase} x" for phrase in fixed.DATE_EXCLUSIONS] + ["31/31/2001", "9/31/2001", "14 September 1989", "2031-01-01", "9/14/07x", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert dates.extract_dates(df, "t", ["t"]).count() == 0
+
+
+def test_zones_hold_all_matches(spark):
+    r = random.Random(8)
+    parts = ["January", "jan", "Janov", "junov", "Sept", "May", "march", "nov", " ", "  ", "\n", "2024", "24", "5", "15", ",", ".", "/", "-", "x", "abc", "(2020)", "dec", "\uffff"]
+    texts = ["".join(r.choice(parts) for _ in range(r.choice([6, 30, 300]))) for _ in range(1500)] + ["May 5, 2020 " * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = df.select("i", matches.all_hits(matches.clean(F.col("t")), [matches.Pattern(p.name, p.regex, p.groups) for p in dates.PATTERNS]).alias("h"))
+    zoned = df.select("i", matches.zoned_hits(F.col("t"), dates.ZONE, dates.ZONE_NEEDS, dates.PATTERNS).alias("h"))
+    key = lambda rows: {x.i: [tuple(h) for h in x.h] for x in rows.collect()}
+    want = key(plain)
+    assert key(zoned) == want and sum(map(len, want.values())) > 500
+
+
+def test_capacity_by_unit_range_and_word(spark):
+    cases = []
+    for unit, standard in fixed.UNITS.items():
+        if standard in ("MW", "GW", "kW") and " " not in unit and "-" not in unit:
+            cases.append((f"It has 1,500 {unit} .", 1500.0, standard))
+    cases += [(f"Some 20{dash}35.5 GW .", 35.5, "GW") for dash in ("-", " to ", " – ")]
+    cases += [(f"{word} of about 12 kW now", 12.0, "kW") for word in ("capacity", "output", "net")]
+    cases += [("7-MW-year", None, None), ("12 mw/yr", None, None), ("12 W", None, None), ("MW 12", None, None), (None, None, None)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
     found = capacity.extract_capacity(df, "t", ["i"])
-    best = {r.i: r for r in capacity.primary(found, ["i"], ["ordinal"]).collect()}
-    every = {}
-    for r in found.collect():
-        every.setdefault(r.i, set()).add(r.match)
-    for i, (_, texts, value, unit, sure) in enumerate(CAPACITY):
-        assert every[i] == texts and (best[i].value, best[i].unit, best[i].confidence) == (value, unit, sure)
+    best = {r.i: (r.value, r.unit) for r in capacity.primary(found, ["i"], ["ordinal"]).collect()}
+    for i, (text, value, unit) in enumerate(cases):
+        if i == len(cases) - 5 or i == len(cases) - 4:  # the shorter match inside counts, the longer one does not
+            continue
+        assert best.get(i, (None, None)) == (value, unit), text
+    for words, sure in ((fixed.PROJECT_WORDS[:1], "high"), (fixed.HISTORICAL_WORDS[:1], "low"), (fixed.AMBIGUOUS_WORDS[:1], "low"), ([], "medium"), (fixed.PROJECT_WORDS[:1] + fixed.HISTORICAL_WORDS[:1], "medium")):
+        assert one(spark, " ".join([*words, "12"]), "string", capacity.confidence) == sure
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1000, 20_000])
+def test_running_sums(spark, n):
+    got = spark.range(1).select(matches.running(F.expr(f"transform(sequence(1, {n}), x -> cast(x % 7 as int))") if n else F.array().cast("array<int>")).alias("r")).first().r
+    assert got == list(itertools.accumulate((x % 7 for x in range(1, n)), initial=0))[: max(n, 0)]
+
+
+def test_many_matches_take_linear_time(spark):
+    took = []
+    for n in (50_000, 100_000, 400_000):
+        text = " ".join(f"é{i % 97} {i}" for i in range(n // 2))
+        df = spark.createDataFrame([(text,)], "t string")
+        start = time.time()
+        got = df.select(matches.match_offsets(F.col("t"), "[0-9]+").alias("m")).select(F.size("m").alias("n"), F.element_at("m", -1).alias("last"), F.get("m", F.lit(12_345)).alias("some")).first()
+        took.append(time.time() - start)
+        want = [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", text)]
+        assert (got.n, tuple(got.last), tuple(got.some)) == (len(want), want[-1], want[12_345])
+    assert took[2] < 20 and took[2] < 12 * max(took[1], 0.5)
+
+
+def test_dates_far_in_a_long_text(spark):
+    text = " ".join(f"é On March {i % 28 + 1}, {1990 + i % 40} the 5{i} MW plant was approved." for i in range(3000))
+    df = spark.createDataFrame([(text,)], "t string")
+    for r in dates.extract_dates(df, "t", []).collect():
+        assert text[r.start :].startswith(r.match) and r.context == "decision"
+    found = capacity.extract_capacity(df, "t", []).where("match like '% MW'").collect()
+    assert len(found) == 3000 and all(r.match in r.context for r in found)
 
 
 @pytest.mark.parametrize("text", ["a1bb22c333", "", "none", "1", "é7ü88"])
@@ -123,15 +160,74 @@ def test_snippets_merge_and_fall_back(spark):
     assert reduced[2].processed == "nothing here" and reduced[1].n_snippets == 2 and snippets.SEPARATOR in reduced[1].processed
 
 
-def test_model_stage_reports_failures(spark):
-    df = spark.createDataFrame([(1, "ok"), (2, "bad")], "id int, p string")
+def test_snippets_without_a_shuffle(spark):
+    df = spark.range(3).select("id", F.lit("x Date Signed y").alias("t"))
+    for made in (snippets.snippets(df, "t", ["id"]), snippets.reduce_texts(df, "t", ["id"]), snippets.keyword_matches(df, "t", ["id"])):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
 
-    def client(prompt):
-        if prompt == "bad":
+
+def counted(folder):
+    """A client that leaves a line for each call; prompts with "twice" fail two times, those with "never" always."""
+
+    def call(prompt):
+        path = pathlib.Path(folder) / f"{prompt}.calls"
+        with path.open("a") as f:
+            f.write("x")
+        if "never" in prompt or ("twice" in prompt and path.stat().st_size < 3):
             raise ValueError("no")
+        if "stop" in prompt and not (pathlib.Path(folder) / "go").exists():
+            raise SystemExit("the task is lost")
         return prompt.upper()
 
-    assert {r.id: r.reply for r in snippets.ask_model(df, "id", "p", client).collect()} == {1: "OK", 2: "Error: no"}
+    return call
+
+
+def calls(folder):
+    return {p.name[:-6]: p.stat().st_size for p in pathlib.Path(folder).glob("*.calls")}
+
+
+def test_model_replies_are_stored(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    how = Asking(counted(str(tmp_path / "calls")), "m1", str(tmp_path / "store"), threads=2, pause=0.01, prompts_per_task=1)
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "twice"), (5, "never"), (6, None)], "id int, p string")
+    got = ask_model(df, "id", "p", how)
+    for _ in range(2):  # two actions
+        rows = {r.id: (r.reply, r.error) for r in got.collect()}
+        assert rows == {1: ("A", None), 2: ("B", None), 3: ("A", None), 4: ("TWICE", None), 5: (None, "ValueError: no"), 6: (None, None)}
+    assert calls(tmp_path / "calls") == {"a": 1, "b": 1, "twice": 3, "never": 3}
+    ask_model(df, "id", "p", how).collect()  # only the failure is asked again
+    assert calls(tmp_path / "calls") == {"a": 1, "b": 1, "twice": 3, "never": 6}
+    ask_model(df.where("id = 1"), "id", "p", Asking(how.client, "m2", how.store)).collect()
+    assert calls(tmp_path / "calls")["a"] == 2
+
+
+def test_a_lost_task_repeats_only_its_own_calls(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    how = Asking(counted(str(tmp_path / "calls")), "m1", str(tmp_path / "store"), threads=1, prompts_per_task=1)
+    df = spark.createDataFrame([(i, f"p{i}" if i else "stop") for i in range(12)], "id int, p string")
+    with pytest.raises(Exception):
+        ask_model(df, "id", "p", how).count()
+    before = calls(tmp_path / "calls")
+    (tmp_path / "calls" / "go").touch()
+    assert {r.reply for r in ask_model(df, "id", "p", how).collect()} == {"STOP", *(f"P{i}" for i in range(1, 12))}
+    after = calls(tmp_path / "calls")
+    assert len(after) == 12 and sum(after[k] > 1 for k in before) <= 6  # the lost one and those that ran beside it
+
+
+def test_readers_understand_what_the_prompts_ask_for(spark):
+    text = one(spark, "s", "string", lambda c: snippets.capacity_prompt(F.array(c)))
+    got = one(spark, re.search(r"\{.*\}", text)[0], "string", replies.parse_capacity)
+    assert (got.capacity_value, got.capacity_unit, got.parse_error) == (50.0, "MW", False)
+    df = spark.createDataFrame([(snippets.DOCUMENT_SHAPE, snippets.CLASSES_SHAPE)], "d string, c string").withColumn("asked", F.array(F.struct(F.lit("2020-01-31").alias("date"))))
+    full, classes = replies.parse_dates(df, "d").first(), replies.parse_classification(df, "c", "asked").first()
+    assert full.decision_date == classes.decision_date == "2020-01-31" and full.parse_error is classes.parse_error is None
+    for word in ("decision", "application", "specialist_review", "historical", "expiration"):
+        assert word in snippets.DOCUMENT_HEAD
+    found = replies.parse_dates(spark.createDataFrame([(snippets.DOCUMENT_SHAPE.replace("decision", "specialist_review"),)], "d string"), "d").first()
+    assert found.n_specialist_reviews == 1
+
+
+def test_capacity_reply(spark):
     assert one(spark, 'so {"capacity_value": 5, "capacity_unit": "MW"}', "string", replies.parse_capacity).capacity_value == 5.0
     assert one(spark, "nothing", "string", replies.parse_capacity).parse_error
 
@@ -164,8 +260,8 @@ def record(key, kind, title, pages, agency=("Department of Energy",), file="File
 @pytest.fixture
 def corpus(tmp_path):
     lines = [
-        record("p1", [S], "A 30-MW wind facility", ["Decision signed May 2, 2014.", "No date."]), record("p2", [U, B], "Wires", ["Received 1/2/2013. Rated 5 kW."]),
-        record("p3", [S], "Plain", ["Approved March 1, 2010. The plant will generate 12 MW."]), record("p4", [NT, W], "Hanford works", ["none"], ("Department of Energy", "Office of Environmental Management")),
+        record("p1", [S.title()], "A 30-MW wind facility", ["Decision signed May 2, 2014.", "No date."]), record("p2", [U.title(), B.title()], "Wires", ["Received 1/2/2013. Rated 5 kW."]),
+        record("p3", [S.title()], "Plain", ["Approved March 1, 2010. The plant will generate 12 MW."]), record("p4", [NT.title(), W.title()], "Hanford works", ["none"], ("Department of Energy", "Office of Environmental Management")),
     ]
     folder = tmp_path / "in" / "CE" / "a"
     folder.mkdir(parents=True)
@@ -204,16 +300,15 @@ def test_model_runs(spark, corpus):
     tables = ingest.combined(spark, root)
     projects, docs = tables["projects_combined"], tables["documents_combined"].withColumnRenamed("document_type_category", "category")
     pages = spark.read.parquet(f"{root}/pages")
-    asked = []
-
     def client(prompt):
         if "5 kW" in prompt:
             raise TimeoutError("late")
-        return '{"classifications": [{"date": "2014-05-02", "type": "decision", "reason": "r"}]}' if "Classify" in prompt else '{"dates": [{"date": "2014-05-02", "type": "decision", "source": "r"}]}'
+        return '{"classifications": [{"date": "2014-05-02", "type": "decision", "reason": "r"}]}' if "classifications" in prompt else '{"dates": [{"date": "2014-05-02", "type": "decision", "source": "r"}]}'
 
     every = runs.Options(decision_docs_only=False)
+    client = Asking(client, pause=0.01)
     full = {r.project_id: r for r in runs.model_timelines(projects, docs, pages, client, every).collect()}
-    assert full["p1"].llm_decision_date == "2014-05-02" and full["p2"].llm_error == "Error: late" and full["p1"].document_count == 1
+    assert full["p1"].llm_decision_date == "2014-05-02" and full["p2"].llm_error == "TimeoutError: late" and full["p1"].document_count == 1
     hybrid = {r.project_id: r for r in runs.model_timelines(projects, docs, pages, client, every, hybrid=True).collect()}
     assert hybrid["p1"].llm_n_dates_found == 1 and hybrid["p3"].llm_n_dates_found == 2 and hybrid["p4"].llm_error == "no_dates"
     caps = {r.project_id: r for r in runs.model_capacities(projects, docs, pages, lambda p: '{"capacity_value": "1,200", "capacity_unit": "MW"}').collect()}
@@ -240,7 +335,7 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_incremental_ingest(spark, corpus):
     out, state = str(corpus / "live"), str(corpus / "state")
     incremental.ingest(spark, str(corpus / "in" / "CE" / "a"), out, state, "ce")
-    (corpus / "in" / "CE" / "a" / "y.jsonl").write_text(record("p9", [S], "New", ["x"]))
+    (corpus / "in" / "CE" / "a" / "y.jsonl").write_text(record("p9", [S.title()], "New", ["x"]))
     incremental.ingest(spark, str(corpus / "in" / "CE" / "a"), out, state, "ce")
     assert spark.read.parquet(f"{out}/projects").count() == 5 and spark.read.parquet(f"{out}/pages").count() == 6
 
@@ -276,13 +371,136 @@ def test_model_client(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     model = client.ModelClient(f"http://127.0.0.1:{server.server_port}", "m1")
     df = spark.createDataFrame([(1, "ok")], "id int, p string")
-    assert model.models() == ["m1"] and snippets.ask_model(df, "id", "p", model).first().reply == "m1: OK"
+    assert model.models() == ["m1"] and ask_model(df, "id", "p", model).first().reply == "m1: OK"
     server.shutdown()
     server.server_close()
-    assert model.models() is None and snippets.ask_model(df, "id", "p", model).first().reply.startswith("Error:")
+    assert model.models() is None and ask_model(df, "id", "p", Asking(model, tries=1)).first().error.startswith("URLError")
 
 
 def test_places_source(spark, tmp_path):
     (tmp_path / "p.csv").write_text("name,lat,lon\nOhio,40.5,-82.5\nOhio,40.5,-82.5\nNowhere,,\n")
     assert [tuple(r) for r in ingest.read_places(spark, str(tmp_path / "p.csv")).collect()] == [("Ohio", 40.5, -82.5)]
     assert ingest.read_places(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_type_terms_make_candidates(spark):
+    text = "The proposed project has a turbine at the ridge."
+    docs = spark.createDataFrame([("p1", "d1", "EA", "YES", "3"), ("p2", "d2", "EA", "YES", "3")], "project_id string, document_id string, document_type string, main_document string, total_pages string")
+    pages = spark.createDataFrame([("d1", 1, text), ("d2", 1, text)], "document_id string, page_number int, page_text string")
+    projects = spark.createDataFrame([("p1", "Ridge", ["Renewable Energy Production - Wind, Onshore"]), ("p2", "Roof", ["Renewable Energy Production - Solar"])], "project_id string, project_title string, project_type array<string>")
+    got = {r.project_id: r for r in runs.model_capacities(projects, docs, pages, lambda p: json.dumps({"capacity_value": 3, "capacity_unit": "MW", "source_quote": p.partition("\nProject")[2]})).collect()}
+    assert (got["p1"].extraction_method, got["p2"].extraction_method) == ("llm", "no_candidates")
+    assert text in got["p1"].source_quote and ": Ridge" in got["p1"].source_quote
+
+
+def test_settled_projects_are_not_asked(spark):
+    rows = [("a", "high", "document"), ("b", "low", "document"), ("c", "medium", "title"), ("d", None, None)]
+    projects = spark.createDataFrame(rows, "project_id string, project_gencap_confidence string, project_gencap_source string")
+    assert sorted(r.project_id for r in runs.unsettled(projects).collect()) == ["b", "d"]
+    ids = spark.range(200).select(F.col("id").cast("string").alias("project_id"))
+    drawn = lambda seed, parts: sorted(r.project_id for r in runs.Options(sample=20, seed=seed).projects(ids.repartition(parts)).collect())
+    assert drawn(1, 2) == drawn(1, 7) != drawn(2, 2) and len(drawn(1, 2)) == 20
+
+
+def random_pages(seed, projects=25):
+    r = random.Random(seed)
+    words = ["Decision signed on", "received", "The permit", "in March", "5, 2020", "January", "2021", "1/2/2019", "2018-03-04", "15 January 2024", ".", "\n", "notice of intent", "was", "long word here and there", "approved", "x", "May", "7 June", "(2019)", " ", "scoping"]
+    rows = []
+    for p in range(projects):
+        for n in range(r.choice([1, 2, 5, 9])):
+            text = " ".join(r.choice(words) for _ in range(r.choice([0, 1, 1, 2, 3, 6, 30])))
+            rows.append((f"P{p}", f"D{n // 3}-{p}", n, text if r.random() > 0.05 else None))
+    return rows
+
+
+PAGES = "project_id string, document_id string, page_number int, page_text string"
+
+
+def test_candidates_by_page_equal_those_of_the_whole_text(spark):
+    df = spark.createDataFrame(random_pages(1), PAGES).repartition(5)
+    docs = df.select("project_id", "document_id").distinct()
+    whole = dates.hybrid_candidates(runs.project_texts(docs, df.drop("project_id")), "text", ["project_id"])
+    paged = dates.paged_candidates(df, "page_text", ["project_id"], ["document_id", "page_number"])
+    want = sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, paged.collect())) == want and len(want) > 20
+
+
+def test_a_project_of_many_pages(spark):
+    n = 20_000
+    text = F.concat(F.lit("Approved on "), F.date_format(F.date_add(F.lit(datetime.date(1960, 1, 1)), (F.col("id") % 20_000).cast("int")), "MMMM d, yyyy"), F.lit(" by the office number "), F.col("id").cast("string"), F.lit(". "), F.lit("words " * 50))
+    pages = spark.range(n).select(F.lit("P").alias("project_id"), F.lit("D").alias("document_id"), F.col("id").alias("page_number"), text.alias("page_text"))
+    start = time.time()
+    got = dates.paged_candidates(pages, "page_text", ["project_id"], ["document_id", "page_number"])
+    assert got.count() == n and time.time() - start < 90
+
+
+def test_first_taken_is_greedy(spark):
+    r = random.Random(2)
+    rows = [(r.choice("kl"), i, datetime.date(2000, 1, r.randint(1, 9)), "m", r.choice("abcdefABC")) for i in range(80)]
+    df = spark.createDataFrame(rows, "key string, place int, date date, match string, context string")
+    want, seen = [], set()
+    for key, place, day, _, context in rows:
+        if not {(key, day), (key, context.lower())} & seen:
+            seen |= {(key, day), (key, context.lower())}
+            want.append((key, place))
+    assert sorted((x.key, x.place) for x in dates.first_taken(df, ["key"]).collect()) == sorted(want)
+
+
+def test_maintained_candidates_read_only_what_changed(spark, tmp_path):
+    path = str(tmp_path / "candidates")
+
+    def tables(rows):
+        pages = spark.createDataFrame(rows, PAGES)
+        digest = F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "page_number", "page_text")))), 256)
+        docs = pages.groupBy("project_id", "document_id").agg(digest.alias("content_digest")).withColumn("main_document", F.lit("YES"))
+        projects = docs.select("project_id", F.lit("CE").alias("dataset_source"), F.lit("Clean").alias("project_energy_type")).distinct()
+        return projects, docs, pages.drop("project_id")
+
+    unread = spark.range(1).select(F.lit("D").alias("document_id"), F.lit(1).alias("page_number"), F.raise_error(F.lit("a page was read")).cast("string").alias("page_text"))
+    rows = random_pages(3, 12)
+    projects, docs, pages = tables(rows)
+    plain = lambda p, d, t: sorted(map(tuple, runs.date_candidates(p, d, t).collect()))
+    first = runs.maintained_candidates(projects, docs, pages, path)
+    want = plain(projects, docs, pages)
+    assert sorted(map(tuple, first.collect())) == want and want
+    assert sorted(map(tuple, runs.maintained_candidates(projects, docs, unread, path).collect())) == want
+    changed = [(p, d, n, (t or "") + " Approved on 2 April 2011." if p == "P3" else t) for p, d, n, t in rows if p != "P5"] + [("P77", "D77", 0, "Signed on April 4, 2012.")]
+    projects, docs, pages = tables(changed)
+    only = pages.where("document_id like '%-3' or document_id = 'D77'").unionByName(unread.select("document_id", F.col("page_number"), "page_text").where("document_id <> 'D'"))
+    assert sorted(map(tuple, runs.maintained_candidates(projects, docs, only, path).collect())) == plain(projects, docs, pages)
+
+
+def test_broken_lines_and_failures_between_tables(spark, tmp_path, monkeypatch):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    lines = [record("p1", [S], "One", ["a"]), "{broken", record("p2", [S], "Two", ["b", "c"]), '["no record"]']
+    (folder / "a.jsonl").write_text("\n".join(lines))
+    count = lambda name: spark.read.parquet(f"{out}/{name}").count() if (tmp_path / "out" / name).exists() else 0
+    ingest.write_tables(ingest.read_records(spark, str(folder)), out, "ce")
+    assert [count(n) for n in (*ingest.TABLES, "broken")] == [2, 2, 2, 3, 2]
+    assert "{broken" in {r.line for r in spark.read.parquet(f"{out}/broken").collect()}
+    (folder / "b.jsonl").write_text(record("p3", [S], "Three", ["d"]))
+    monkeypatch.setitem(ingest.TABLES, "documents", lambda records: records.select(F.raise_error(F.lit("no")).alias("x")))
+    with pytest.raises(Exception):
+        ingest.write_tables(ingest.read_records(spark, str(folder)), out, "ce")
+    monkeypatch.setitem(ingest.TABLES, "documents", ingest.documents)
+    assert [count(n) for n in ingest.TABLES] == [2, 2, 2, 3]
+    whole = ingest.replace_folder
+    monkeypatch.setattr(ingest, "replace_folder", lambda s, new, old: whole(s, new, old) if "projects" in old else (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        ingest.write_tables(ingest.read_records(spark, str(folder)), out, "ce")
+    monkeypatch.setattr(ingest, "replace_folder", whole)
+    ingest.recover(spark, out, "ce")
+    assert [count(n) for n in ingest.TABLES] == [3, 3, 3, 4]
+
+
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(4000).select(F.concat(F.lit("D"), F.lpad((F.col("id") % 400).cast("string"), 4, "0")).alias("document_id"), F.col("id").alias("page_number"), F.lit("t").alias("page_text"))
+    path = tmp_path / "pages"
+    ingest.clustered(rows, 20).write.options(**ingest.PAGE_FILES).parquet(str(path))
+    groups = [pq.ParquetFile(f).metadata.row_group(i) for f in path.glob("*.parquet") for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    at = lambda g: g.column(0).statistics
+    assert len(groups) >= 15 and sum(at(g).min <= "D0123" <= at(g).max for g in groups) <= 2
+    assert spark.read.parquet(str(path)).where("document_id = 'D0123'").count() == 10
