@@ -8,14 +8,13 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.matches import Pattern, around, first_of, generated, has_any, let, match_offsets, pieces, running, strip, zoned_hits
-from ..functions.tags import any_of
 from ..sources import staging
 
 _SIGNS = {"numeric_slash": "/", "numeric_slash_2y": "/", "ISO": "-", "numeric_dash": "-", "digital_sig": "."}
 PATTERNS = [Pattern(name, f"(?i){p}", groups, _SIGNS.get(name, "[a-zA-Z]{3}")) for name, p, groups in fixed.DATE_PATTERNS]
 # stretches of digits, months and what can stand between them, with one letter that may follow; two names share a letter in "janov..."
 _MONTH = "(?:j[au]nov(?:ember)?|" + "|".join(sorted(fixed.MONTH_NUMBERS, key=len, reverse=True)) + ")"
-ZONE = rf"(?i)(?=[\djfmasond])(?:{_MONTH}|\d)(?:[\d\s,./-]++(?:{_MONTH})?+|{_MONTH}){{0,200}}+(?:(?!\d|{_MONTH})\w)?"
+ZONE = rf"(?i)(?=[\djfmasond])(?:{_MONTH}|\d)(?:[\d\s,./-]++(?:{_MONTH})?+|{_MONTH}){{0,200}}+[\d\s,./-]*+(?:(?!{_MONTH})\w)?"
 ZONE_NEEDS = r"\d\d"
 SENTENCE = r"[^.!?\n]*(?:[.!?]+|\n+)|[^.!?\n]+"
 REACH = 40  # sentences on either side that can be needed to fill a context of 80 characters
@@ -33,7 +32,7 @@ def parsed_date(name: Column, groups: Column) -> Column:
 
 
 def statute_like(near: Column) -> Column:
-    return has_any(near, fixed.DATE_EXCLUSIONS) | any_of([near.rlike(p) for p in fixed.CITATIONS])
+    return has_any(near, fixed.DATE_EXCLUSIONS) | near.rlike("|".join(f"(?:{p})" for p in fixed.CITATIONS))
 
 
 def context_type(near: Column) -> Column:
@@ -158,13 +157,14 @@ def expanded_context(parts: Column, at: Column, least: int = 80) -> Column:
         return F.struct(lo.alias("lo"), hi.alias("hi"), (c["size"] + more).alias("size"))
 
     begin = F.struct(at.cast("int").alias("lo"), at.cast("int").alias("hi"), F.length(F.get(parts, at)).alias("size"))
-    span = F.when(F.length(F.get(parts, at)) >= least, begin).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(2 * REACH - 1)), begin, step))
+    turns = F.sequence(F.lit(0), F.least(F.lit(2 * REACH - 1), 2 * F.size(parts)))
+    span = F.when(F.length(F.get(parts, at)) >= least, begin).otherwise(F.aggregate(turns, begin, step))
     wide = let(span, lambda s: F.array_join(F.slice(parts, s["lo"] + 1, s["hi"] - s["lo"] + 1), " "))
     return strip(F.regexp_replace(wide, r"\s+", " "))
 
 
 def _excluded(context: Column) -> Column:
-    return any_of([context.rlike(f"(?i){p}") for p in fixed.CONTEXT_EXCLUSIONS])
+    return context.rlike("(?i)" + "|".join(f"(?:{p})" for p in fixed.CONTEXT_EXCLUSIONS))
 
 
 def _found(rows: DataFrame, keep: list[str], years: tuple[int, int]) -> DataFrame:
