@@ -8,8 +8,9 @@ an item when verified segments cover at least ``coverage`` of the item, or ``RUN
 characters of it in a row (two full segments), whatever their share of the item.
 
 Both sides are compared lower-cased, with every run of ASCII characters other than letters
-and digits as one space. The benchmark is read to the driver in blocks of at most
-``BLOCK_BYTES`` (larger benchmarks take one pass per block), the documents never are.
+and digits as one space. The benchmark is read to the driver in blocks of about
+``BLOCK_BYTES``, whose index is broadcast; a larger benchmark takes one pass over the documents per block, written
+before the next block is indexed. The documents never are read to the driver.
 
 A gram that many segments share is expanded last: a band must reach its bound with the other grams
 of its segment, of which at most ``q e`` can be missing, so of the grams of a segment only its rarest
@@ -30,10 +31,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .wordblocks import _BYTE, _power_table, mix, one_space, slices, text_array
 
 Q = 10
@@ -41,7 +43,7 @@ SEGMENT = 80
 ERROR = 0.08
 COVERAGE = 0.5
 RUN = SEGMENT + SEGMENT // 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20  # some 70 MB of index
 ENTRIES = 4 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -114,8 +116,8 @@ def build_index(items: list[tuple[object, str]], q: int = Q, segment: int = SEGM
             piece = body[at : at + segment]
             h = _grams(piece, q)
             grams.append(h)
-            pos.append(np.arange(len(h)))
-            owner.append(np.full(len(h), len(seg)))
+            pos.append(np.arange(len(h), dtype=np.int32))
+            owner.append(np.full(len(h), len(seg), np.int32))
             seg.append((i, at, len(piece)))
             bodies.append(np.pad(piece, (0, segment - len(piece))))
     shape = np.array(seg, np.int64).reshape(-1, 3)
@@ -138,7 +140,7 @@ def build_index(items: list[tuple[object, str]], q: int = Q, segment: int = SEGM
     return Index(
         [k for k, _ in items], np.array([len(b) for b in folded]), shape[:, 0], shape[:, 1], shape[:, 2], edits,
         needed, np.array(bodies, np.uint8).reshape(len(seg), segment if size else 0),
-        distinct, np.append(start, len(g)), gram_seg, cat(pos), np.flatnonzero(rare), np.searchsorted(np.flatnonzero(rare), np.append(start, len(g))), present,
+        distinct, np.append(start, len(g)), gram_seg, cat(pos), np.flatnonzero(rare).astype(np.int32), np.searchsorted(np.flatnonzero(rare), np.append(start, len(g))), present,
     )
 
 
@@ -236,12 +238,13 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index, q: int = Q, covera
     return found
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
+def _indexes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """An index of each block of the benchmark, and whether it is the last one. Items are dealt by a hash; a block has about BLOCK_BYTES of text."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     rows = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
     for b in range(blocks):
-        yield build_index([(r.item_id, r.text) for r in rows.where(F.col("block") == b).orderBy("item_id", "text").collect()])
+        yield build_index([(r.item_id, r.text) for r in rows.where(F.col("block") == b).orderBy("item_id", "text").collect()]), b == blocks - 1
 
 
 def _batch_hits(batch: pa.RecordBatch, index: Index) -> list[list[int]]:
@@ -256,11 +259,20 @@ def _in_order(ids: set) -> list:
     return [*sorted(x for x in ids if x is not None), *([None] if None in ids else [])]
 
 
+def _passed(rows: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
+    """The rows after a block. All passes but the last are written, so that one index at a time is broadcast."""
+    if last:
+        return rows
+    rows = written(rows, "passed")
+    shared.destroy()
+    return rows
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, item_ids) of every row."""
     item = dict(benchmark.dtypes)["item_id"]
     rows = docs.select("doc_id", "text", F.array().cast(f"array<{item}>").alias("item_ids"))
-    for index in _indexes(benchmark):
+    for index, last in _indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -270,20 +282,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 arrays = [batch.column("doc_id"), batch.column("text"), pa.array(ids, before.type)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "item_ids"])
 
-        rows = rows.mapInArrow(mark, rows.schema)
+        rows = _passed(rows.mapInArrow(mark, rows.schema), shared, last)
     return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The clean rows with all their columns; no shuffle."""
-    for index in _indexes(benchmark):
+    for index, last in _indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not x for x in _batch_hits(batch, shared.value)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = _passed(docs.mapInArrow(clean, docs.schema), shared, last)
     return docs
 
 

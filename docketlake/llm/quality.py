@@ -9,7 +9,8 @@ strengths estimated by the method of moments. A document's log odds are correcte
 Defined cases: a null or empty text is scored by its style measures like any other; null hosts and
 languages form a group of their own; without labels, or with labels of one class only, that head is
 neutral and rejects nothing; labels of unknown documents and rows with null labels are ignored, of
-several labels of one document the largest counts; an empty table gives an empty result; equal rows
+several labels of one document the largest counts, of several texts of one labelled doc_id the one with
+the smallest hash is learned; an empty table gives an empty result; equal rows
 get equal scores, and rows that share a doc_id but not the text are judged apart; a null doc_id is
 scored and dropped like any other; extra columns are ignored (or carried by ``keep_good``), whatever
 their names; long texts are read whole.
@@ -174,8 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Head,
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of absent documents take no place
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `sample` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    rows = rows.groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct(text_tag().alias("tag"), "text")).alias("d")).select("doc_id", "quality", "toxic", "d.text")
     made = written(rows.select("text", "quality", "toxic").mapInArrow(_features, "quality int, toxic int, measures array<double>, words array<int>"), "features")
     sums = made.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).first()
     if not sums.n:

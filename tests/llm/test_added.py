@@ -1,15 +1,17 @@
 """Prefix trie, toxicity and vector codes against plain Python."""
 
+import gzip
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake.llm import common, prefix_trie, toxicity, vector_codes
+from docketlake.llm import common, decontamination, prefix_trie, quality, toxicity, vector_codes, warc
 
 TALK = "conv_id long, turn long, role string, text string, k1 long, depth string"
 
@@ -208,3 +210,74 @@ def test_gradients_agree_with_differences():
         table_[place] += 1e-3
         assert abs((loss() - before) / 1e-3 - want) < 0.02 * max(1, abs(want))
         table_[place] = kept
+
+
+def test_index_of_a_block_is_bounded_and_blocks_agree(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    long = [(i, " ".join(word() for _ in range(5000))) for i in range(36)]
+    index = decontamination.build_index(long)
+    size = sum(v.nbytes for v in vars(index).values() if isinstance(v, np.ndarray))
+    assert 0.9 * decontamination.BLOCK_BYTES < sum(len(t) for _, t in long) and size < 100 << 20
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(30)]
+    texts = [(i, " ".join(word() for _ in range(50)) + " " + (items[i % 30][1] if i % 3 else "") + " end") for i in range(90)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
+    kept = sorted(map(tuple, decontamination.drop_contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
+    assert sorted(map(tuple, decontamination.contamination(docs, bench).collect())) == one and sum(x[1] for x in one) == 60
+    assert sorted(map(tuple, decontamination.drop_contaminated(docs, bench).collect())) == kept and len(kept) == 30
+
+
+def test_warc_identifiers_do_not_depend_on_partitions(spark):
+    rows = [(i % 40, f"http://x/{i % 40}", f"<p>{i % 40}") for i in range(80)] + [(7, None, None), (7, None, None), (8, "u", None), (8, None, "u")]
+    rows += [(99, "same", "page")] * 50
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    ids = [sorted(r.record_id for r in warc.derivatives(df.repartition(n)).select("record_id").collect()) for n in (1, 5, 9)]
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == 2 * len(rows)
+
+
+def http(body, *headers):
+    block = "\r\n".join(["HTTP/1.1 200 OK", *headers]).encode() + b"\r\n\r\n" + body
+    return warc.record("response", {"WARC-Record-ID": "<urn:x>", "WARC-Date": "d", "WARC-Target-URI": "u"}, block)
+
+
+def test_warc_bodies_are_read_as_their_headers_say():
+    text = lambda raw: warc.parse(warc.derive(raw)[1])[1].decode()
+    page = "<p>café"
+    assert text(http(page.encode("latin-1"), "Content-Type: text/html; charset=ISO-8859-1")) == "café"
+    assert text(http(b"<meta http-equiv=x content='text/html; charset=windows-1252'>" + page.encode("cp1252"))) == "café"
+    assert text(http(page.encode(), "Content-Type: text/html; charset=nonsense")) == "café"
+    assert text(http(gzip.compress(page.encode()), "Content-Encoding: gzip")) == "café"
+    assert text(http(zlib.compress(page.encode()), "Content-Encoding: deflate")) == "café"
+    assert text(http(page.encode(), "Content-Encoding: gzip")) == "café"  # says so, but is not
+    chunks = b"4\r\n<p>c\r\n5;x=y\r\naf\xc3\xa9!\r\n0\r\n\r\n"
+    assert text(http(chunks, "Transfer-Encoding: chunked")) == "café!"
+    assert text(http(gzip.compress(page.encode())[:-4], "Content-Encoding: gzip")) == "café"
+    for kind in ("request", "warcinfo", "metadata"):
+        assert warc.derive(warc.record(kind, {"WARC-Record-ID": "<urn:y>"}, b"GET / HTTP/1.1\r\n\r\n")) == ()
+
+
+def test_warc_links_take_linear_time(spark):
+    began = time.time()
+    for page in ("<a " * 350_000, "<img src" * 130_000, "<link " * 170_000, "<a href='" * 120_000, "<a href = " * 100_000, "<meta " * 170_000):
+        warc.derive(warc.response("u", page))
+    assert time.time() - began < 30
+    raws = [http(b"<a class=x href=/y>z</a>"), b"", None, b"WARC/1.0\r\n\r\n", warc.record("request", {}, b"")]
+    got = warc.derived_records(spark.createDataFrame([(r,) for r in raws], "record binary")).collect()
+    assert sorted(r.warc_type or "" for r in got) == ["", "", "", "conversion", "metadata"] and sum(r.error is not None for r in got) == 3
+
+
+def test_quality_learns_from_documents_that_there_are(spark):
+    good, bad = "A plain and readable sentence about the weather in spring. ", "$$$ ### buy buy buy %%% "
+    docs = [(i, (good if i % 2 else bad) * (1 + i % 5)) for i in range(60)]
+    rows = [(i, t, "en", "s") for i, t in docs] + [(0, good, "en", "s"), (3, (bad + good) * 60_000, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    marks = [(i, i % 2, 0) for i in range(60)] + [(i, 0, 0) for i in range(1000, 4000)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = [sorted((r.doc_id, round(r.p_document, 6)) for r in quality.classify(df.repartition(n), labels, sample=60).collect()) for n in (2, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    by = {}
+    for i, p in got[0]:
+        by.setdefault(i, []).append(p)
+    assert all(p > 0.5 if i % 2 else p < 0.5 for i, ps in by.items() if len(ps) == 1 for p in ps)
