@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import staging
+
 PROCESSES = ["CE", "EA", "EIS"]
 
 
@@ -30,6 +32,14 @@ def with_totals(df: DataFrame, key: str, label: str = "Total", on_top: bool = Fa
     return df.withColumn("is_total", F.lit(1 if on_top else 0)).unionByName(row)
 
 
+def crosstab_with_total(df: DataFrame, key: str, column: str = "process_type", values: list[str] = PROCESSES, label: str = "Total", on_top: bool = False) -> DataFrame:
+    """A crosstab and its row of sums by grouping sets, from one scan and one shuffle of partial counts; ``is_total`` sorts the sums last (or first)."""
+    cells = [F.count_if(F.col(column) == v).alias(v) for v in values]
+    every = F.count_if(F.col(column).isin(values)).alias("Total")
+    rows = df.rollup(key).agg(*cells, every, F.grouping(key).cast("int").alias("_g"))
+    return rows.select(F.when(F.col("_g") == 1, label).otherwise(F.col(key)).alias(key), *values, "Total", (1 - F.col("_g") if on_top else F.col("_g")).alias("is_total"))
+
+
 def share(n: Column, *groups: str) -> Column:
     """Percent of the group's sum (of the grand total without groups)."""
     return n / F.sum(n).over(Window.partitionBy(*groups)) * 100
@@ -44,19 +54,42 @@ def conditional_counts(df: DataFrame, groups: list[str], **conditions: Column) -
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
 
 
+def quantiles(df: DataFrame, groups: list[str], column: str, shares: list[float]) -> DataFrame:
+    """Exact percentiles (interpolated between ranks) of each group: groups..., q (an array in the order of ``shares``). Nulls do not count.
+
+    Values are counted first, so equal ones are one row; the rows are then sorted in ranges that may cut
+    through a group, and counts of the ranges before give the ranks. No task holds the values of a group.
+    """
+    key = F.struct(*groups) if groups else F.struct(F.lit(1).alias("all"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(key.alias("_g"), F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counts.repartitionByRange("_g", "_v").sortWithinPartitions("_g", "_v").withColumn("_part", F.spark_partition_id())
+    rows = staging.staged(dealt, "values")
+    parts = rows.groupBy("_g", "_part").agg(F.sum("_n").alias("_sum"))
+    order = Window.partitionBy("_g").orderBy("_part")  # as many rows as ranges
+    parts = parts.select("_g", "_part", (F.sum("_sum").over(order) - F.col("_sum")).alias("_start"), F.sum("_sum").over(Window.partitionBy("_g")).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy("_g", "_part").orderBy("_v")) - F.col("_n")
+    ranked = rows.withColumn("_at", inside).join(parts, ["_g", "_part"]).withColumn("_at", F.col("_at") + F.col("_start"))
+    at = {p: (F.col("_all") - 1) * F.lit(p) for p in shares}
+    holds = lambda i: (F.col("_at") <= i) & (i < F.col("_at") + F.col("_n"))
+    sides = [F.max(F.when(holds(rank(place)), F.struct("_v", place.alias("at")))).alias(f"{name}{j}") for j, place in enumerate(at.values()) for name, rank in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy("_g").agg(*sides)
+    between = lambda j: F.col(f"low{j}._v") + (F.col(f"high{j}._v") - F.col(f"low{j}._v")) * (F.col(f"low{j}.at") - F.floor(f"low{j}.at"))
+    return found.select(*[F.col(f"_g.{g}").alias(g) for g in groups], F.array(*[between(j).cast("double") for j in range(len(shares))]).alias("q"))
+
+
 def statistics(df: DataFrame, groups: list[str], column: str) -> DataFrame:
     c = F.col(column)
-    return df.groupBy(*groups).agg(
-        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.median(c), 6).alias("median"), F.min(c).alias("least"), F.max(c).alias("most"),
-        F.round(F.stddev_samp(c), 6).alias("sd"), F.round(F.percentile(c, 0.25), 6).alias("q1"), F.round(F.percentile(c, 0.75), 6).alias("q3"),
-    )
+    plain = df.groupBy(*groups).agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"), F.round(F.stddev_samp(c), 6).alias("sd"))
+    q = quantiles(df, groups, column, [0.25, 0.5, 0.75]).select(F.struct(*groups).alias("_g"), "q")
+    at = lambda i: F.round(F.get("q", F.lit(i)), 6)
+    return plain.withColumn("_g", F.struct(*groups)).join(q, "_g", "left").select(*groups, "n", "mean", at(1).alias("median"), "least", "most", "sd", at(0).alias("q1"), at(2).alias("q3"))
 
 
 def quantile_tiers(df: DataFrame, column: str) -> DataFrame:
-    cut = df.agg(F.percentile(column, F.array(F.lit(0.4), F.lit(0.7), F.lit(0.9))).alias("_cut"))
+    cut = quantiles(df, [], column, [0.4, 0.7, 0.9]).withColumnRenamed("q", "_cut")
     c = F.col(column)
     tier = F.when(c >= F.get("_cut", F.lit(2)), "top").when(c >= F.get("_cut", F.lit(1)), "high").when(c >= F.get("_cut", F.lit(0)), "medium").otherwise("low")
-    return df.join(F.broadcast(cut)).withColumn("tier", tier).drop("_cut")  # one row
+    return df.join(F.broadcast(cut), how="left").withColumn("tier", tier).drop("_cut")  # one row
 
 
 def tag_rows(df: DataFrame, tags: str, key: str = "project_id") -> DataFrame:
@@ -124,7 +157,7 @@ def top_with_ties(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def sorted_crosstab(df: DataFrame, key: str, column: str = "process_type", values: list[str] = PROCESSES) -> DataFrame:
     """A crosstab with the largest totals first, ties by key, and a row of sums at the end."""
-    return with_totals(crosstab(df, key, column, values), key).orderBy("is_total", F.col("Total").desc(), key)
+    return crosstab_with_total(df, key, column, values).orderBy("is_total", F.col("Total").desc(), key)
 
 
 def tag_frequencies(df: DataFrame, column: str) -> DataFrame:

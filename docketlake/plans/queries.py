@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed, places, tags
 from ..functions.matches import match_offsets, merge_windows
-from ..operators import capacity, dates, reports, runs, snippets
+from ..operators import capacity, dates, geo, reports, runs, search, snippets
 from ..operators.asking import ask_model
 from ..sources import ingest
 from .cases import CASES
@@ -286,12 +286,12 @@ def a3_crosstab_keep(c):
 
 @query(f"SELECT coalesce(energy, 'Total') AS energy, {_CROSS}, grouping(energy)::INT AS is_total FROM tagged GROUP BY ROLLUP (energy)")
 def a4_totals(c):
-    return reports.with_totals(reports.crosstab(c.tagged, "energy"), "energy")
+    return reports.crosstab_with_total(c.tagged, "energy")
 
 
 @query(f"SELECT coalesce(project_department, 'Total') AS project_department, {_CROSS}, 1 - grouping(project_department)::INT AS is_total FROM tagged GROUP BY ROLLUP (project_department)")
 def a5_totals_on_top(c):
-    return reports.with_totals(reports.crosstab(c.tagged, "project_department"), "project_department", on_top=True)
+    return reports.crosstab_with_total(c.tagged, "project_department", on_top=True)
 
 
 @query("SELECT category, count(*) AS n, count(*) FILTER (main_document = 'YES') AS main, count(*) FILTER (document_type IS NOT NULL) AS typed FROM documents_ GROUP BY 1")
@@ -396,7 +396,7 @@ def a26_state_county(c):
 @query(f"SELECT coalesce(y, 'Total') AS y, {_CROSS}, grouping(y)::INT AS is_total FROM (SELECT year(order_date)::VARCHAR AS y, process_type FROM projects WHERE year(order_date) BETWEEN 1995 AND 2000) GROUP BY ROLLUP (y)")
 def a28_year_process(c):
     df = c.projects.withColumn("y", F.year("order_date")).where("y between 1995 and 2000").withColumn("y", F.col("y").cast("string"))
-    return reports.with_totals(reports.crosstab(df, "y"), "y").orderBy("is_total", F.col("y").desc())
+    return reports.crosstab_with_total(df, "y").orderBy("is_total", F.col("y").desc())
 
 
 @query(f"SELECT coalesce(project_department, 'Total') AS project_department, {_CROSS}, grouping(project_department)::INT AS is_total FROM tagged GROUP BY ROLLUP (project_department)")
@@ -484,7 +484,9 @@ def a32_strata(c):
 @query("SELECT main_document, count(*) AS n, round(avg(total_pages), 6) AS mean, median(total_pages) AS median, max(total_pages) AS most FROM documents_ GROUP BY 1")
 def a33_page_stats(c):
     p = F.col("total_pages")
-    return c.documents.groupBy("main_document").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean"), F.median(p).alias("median"), F.max(p).alias("most"))
+    plain = c.documents.groupBy("main_document").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean"), F.max(p).alias("most"))
+    half = reports.quantiles(c.documents, ["main_document"], "total_pages", [0.5]).select(F.col("main_document").alias("m"), F.get("q", F.lit(0)).alias("median"))
+    return plain.join(half, F.col("main_document").eqNullSafe(F.col("m"))).drop("m")
 
 
 @query("SELECT project_id, project_title, process_type FROM tagged WHERE project_is_utilities_broadband_only OR project_is_nuclear_tech_only")
@@ -629,6 +631,14 @@ def g8_links(c):
     return reports.in_box(reports.link_edges(lists, where))
 
 
+@query(f""", pl(name, lat, lon) AS (VALUES {_PLACES_SQL}), pts AS (SELECT project_id, 30 + k % 19 + 0.5 AS a, -(70 + k % 50 + 0.25) AS b FROM projects WHERE k % 2 = 0)
+  SELECT project_id, arg_min(name, round(pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - b) / 2), 2), 12)) AS nearest FROM pts, pl GROUP BY 1""")
+def g6_nearest_place(c):
+    where = c.spark.createDataFrame(_PLACES, "name string, lat double, lon double")
+    points = c.tagged.where("project_lat is not null and project_lon is not null").select("project_id", F.col("project_lat").alias("lat"), F.col("project_lon").alias("lon"))
+    return geo.nearest(points, where).select("project_id", F.col("nearest").alias("nearest"))
+
+
 @query(f"SELECT state, {_CROSS} FROM (SELECT unnest(project_state) AS state, process_type FROM projects) GROUP BY 1")
 def g12_state_counts(c):
     return reports.crosstab(c.tagged.select(F.explode("project_state").alias("state"), "process_type"), "state")
@@ -908,6 +918,18 @@ def x9_kwic(c):
     return snippets.in_context(c.table("documents"), "text", ["doc_id"], "licensed under")
 
 
+@query("""SELECT document_id, page_number, page_text AS context FROM pages_ WHERE lower(page_text) LIKE '%unit rated 1%'""")
+def x9_indexed_search(c):
+    index = search.trigram_index(c.pages, ["document_id", "page_number"], "page_text")
+    return search.search(c.pages, "page_text", ["document_id", "page_number"], "Unit rated 1", index=index)
+
+
+@query("SELECT project_id, document_id, page_number, NULL::VARCHAR AS context FROM pages_ WHERE project_id IN ('P1', 'P2', 'P3', 'P7') AND regexp_matches(page_text, '(?i)signed [a-z]+ 1\\d')")
+def x9_pattern_in_project(c):
+    own = c.documents.where(F.col("project_id").isin("P1", "P2", "P3", "P7")).select("project_id", "document_id")
+    return search.search(c.pages.join(own, "document_id"), "page_text", ["project_id", "document_id", "page_number"], r"Signed [a-z]+ 1\d")
+
+
 @query("""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), n AS (SELECT term, lang, count(*) AS n FROM w GROUP BY 1, 2), t AS (SELECT term, sum(n)::BIGINT AS total FROM n GROUP BY 1 HAVING sum(n) >= 5)
   SELECT term, lang, n, total FROM n JOIN t USING (term)""", base=False)
 def x10_terms(c):
