@@ -214,22 +214,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int = K, pe
 def _cross(placed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of rows (key, node, n, c) with one key, different components and sizes and places that allow the similarity.
 
-    Rows meet by key and band of sizes only, and a long list is dealt in chunks of about JOIN_CHUNK.
+    Rows meet by key and band of sizes only, and a long list is dealt in chunks of about JOIN_CHUNK. Of two components one is
+    not the key's largest, so only rows of the others look for partners: many near copies that share a shingle with a few other rows
+    make as many pairs as there are such rows for each, not pairs among themselves.
     """
     size = F.expr(f"n div {PACK}")
     band = F.floor(F.log(size.cast("double")) / math.log(100 / percent)).cast("int")
     rows = placed.select("key", "node", "c", size.alias("size"), (F.col("n") % PACK).alias("at"), band.alias("band"))
     counts = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / JOIN_CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-    x = rows.join(counts, ["key", "band"]).select("key", "band", chunk.alias("chunk"), *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "size", "at")])
+    largest = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
+    x = rows.join(largest, "key").where("c <> top").drop("top").join(counts, ["key", "band"]).select("key", "band", chunk.alias("chunk"), *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "size", "at")])
     # one band more on either side against rounding
     near = rows.withColumn("band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2))).join(counts, ["key", "band"])
     y = near.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *[F.col(c).alias(f"y_{c}") for c in ("node", "c", "size", "at")])
     # after their first common shingle two sets share at most the rest of either
     rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     fits = (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent) & (rest * (100 + percent) >= (F.col("x_size") + F.col("y_size")) * percent)
-    pairs = x.join(y, ["key", "band", "chunk"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_c") != F.col("y_c")) & fits)
-    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    pairs = x.join(y, ["key", "band", "chunk"]).where((F.col("x_c") != F.col("y_c")) & fits)
+    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

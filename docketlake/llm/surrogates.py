@@ -7,7 +7,8 @@ identity where a form has two values or more, so distinct entities stay distinct
 entity has the same surrogate everywhere. A name keeps its script, its capitals, its shape of
 vowels and consonants and its last letter, which carries gender in many names (in the alphabets
 listed; letters of other scripts, the last one too, become letters of the same script nearby); a
-card number keeps its check-digit state; separators, country codes and top-level domains stay.
+card number or IBAN keeps its check-digit state, so valid ones stay valid; an IP address stays in its range (private, loopback,
+link-local, multicast, public and so on); separators, country codes and top-level domains stay.
 
 A name is found after a title. Every other mention of it in the same document, whole or by one of
 its words, is replaced too, and each word has one surrogate. Names without any title in their
@@ -141,17 +142,50 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _mod97(iban: str) -> int:
+    """Remainder of an IBAN, its first four signs moved to the end; 1 for a valid one."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _checked(bare: str) -> int:
+    """The check number that makes an IBAN (without blanks) valid."""
+    return 98 - _mod97(bare[:2] + "00" + bare[4:])
+
+
+#: address ranges of a purpose of their own (first address, bits of the network), in order
+IP_CLASSES = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4), ("240.0.0.0", 4)]
+
+
+def _address(text: str) -> int:
+    number = 0
+    for part in text.split("."):
+        number = number << 8 | int(part)
+    return number
+
+
+_RANGES = [(_address(a), 1 << (32 - bits)) for a, bits in IP_CLASSES]
+
+
+def _moved(number: int, key: bytes, tweak: bytes) -> int:
+    """Another address of the same range, or of the public ones."""
+    for start, size in _RANGES:
+        if start <= number < start + size:
+            return start + _shift(number - start, size, key, tweak + start.to_bytes(4, "big"))
+    below = sum(size for start, size in _RANGES if start < number)
+    number = _shift(number - below, (1 << 32) - sum(size for _, size in _RANGES), key, tweak)
+    for start, size in _RANGES:
+        if number >= start:
+            number += size
+    return number
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of an entity; the same for the same kind, value, key and attempt."""
     tweak = f"{kind}/{attempt}/".encode()
     if kind in ("secret",):
         return _recode(value, [_HEX if value == value.lower() else _HEX_UP] * len(value), key, tweak)
     if kind == "ip":
-        parts = [int(p) for p in value.split(".")]
-        number = 0
-        for p in parts:
-            number = number << 8 | p
-        number = _shift(number, 1 << 32, key, tweak)
+        number = _moved(_address(value), key, tweak)
         return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
     if kind in ("card", "ssn", "phone"):
         prefix = re.match(r"\+\d{1,3}(?=[ .(-])", value)
@@ -172,7 +206,10 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "iban":
         keep = 4
         marks = [None] * keep + [_DIGITS if c.isdigit() else _alphabet(c) for c in value[keep:]]
-        return _recode(value, marks, key, tweak)
+        new = _recode(value, marks, key, tweak)
+        # as far from its right check number as before: valid ones stay valid
+        off = int(value[2:4]) - _checked(value.replace(" ", ""))
+        return f"{new[:2]}{(_checked(new.replace(' ', '')) + off) % 100:02d}{new[4:]}"
     return " ".join(_word(part, key, tweak, True) for part in value.split(" "))
 
 
@@ -198,14 +235,23 @@ def mentions(text: str, people: set[str], taken: list[tuple[int, int]]) -> Itera
     """(start, end, value) in bytes of the names given, or words of them, outside the stretches ``taken``."""
     spellings = {x for name in people for x in (name, *name.split(" "))}
     spellings |= {x.upper() for x in spellings if len(x.upper()) == len(x)}
-    finder = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(spellings, key=lambda x: (-len(x), x)))) + r")(?!\w)")
+    begins = {_FIRST.match(x)[0] for x in spellings}
     starts, ends = [a for a, _ in taken], [b for _, b in taken]
     seen = at = 0
-    for m in finder.finditer(text):
+    for m in _FIRST.finditer(text):
+        if m.start() < seen or m[0] not in begins:
+            continue
+        more = _SECOND.match(text, m.end())  # a name has two words at most
+        value = text[m.start() : more.end()] if more and text[m.start() : more.end()] in spellings else m[0]
+        if value not in spellings:
+            continue
         left = at + len(text[seen : m.start()].encode())
-        seen, at = m.end(), left + len(m[0].encode())
+        seen, at = m.start() + len(value), left + len(value.encode())
         if bisect.bisect_right(ends, left) == bisect.bisect_left(starts, at):
-            yield left, at, m[0]
+            yield left, at, value
+
+
+_FIRST, _SECOND = re.compile(r"\w+"), re.compile(r"[ -]\w+")
 
 
 def canonical(kind: str, value: str) -> str:

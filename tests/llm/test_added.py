@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import ipaddress
 import math
 import random
 import time
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake.llm import common, decontamination, prefix_trie, quality, toxicity, vector_codes, warc
+from docketlake.llm import common, decontamination, jaccard_join, prefix_trie, quality, sharding, surrogates, toxicity, vector_codes, warc
 
 TALK = "conv_id long, turn long, role string, text string, k1 long, depth string"
 
@@ -281,3 +282,94 @@ def test_quality_learns_from_documents_that_there_are(spark):
     for i, p in got[0]:
         by.setdefault(i, []).append(p)
     assert all(p > 0.5 if i % 2 else p < 0.5 for i, ps in by.items() if len(ps) == 1 for p in ps)
+
+
+def test_surrogates_stay_valid_and_in_their_range():
+    key = b"k"
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    for text in ibans:
+        new = surrogates.surrogate("iban", text, key)
+        bare = new.replace(" ", "")
+        assert new != text and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        assert (new[:2], len(new), [c == " " for c in new]) == (text[:2], len(text), [c == " " for c in text])
+    wrong = [f"DE{k:02d}370400440532013000" for k in range(100)]
+    made = {surrogates.surrogate("iban", x, key) for x in wrong}
+    assert len(made) == 100 and sum(surrogates._mod97(x) == 1 for x in made) == sum(surrogates._mod97(x) == 1 for x in wrong)
+    ranges = [ipaddress.ip_network(x) for x in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "224.0.0.0/4", "240.0.0.0/4", "100.64.0.0/10", "0.0.0.0/8")]
+    r = random.Random(3)
+    addresses = {str(n[r.randrange(min(n.num_addresses, 1 << 32))]) for n in ranges for _ in range(40)} | {str(ipaddress.ip_address(r.getrandbits(32))) for _ in range(300)} | {"9.255.255.255", "11.0.0.0", "223.255.255.255", "1.0.0.0", "192.167.255.255"}
+    made = {x: surrogates.surrogate("ip", x, key) for x in addresses}
+    assert len(set(made.values())) == len(made) and all(k != v for k, v in made.items())
+    of = lambda x: [ipaddress.ip_address(x) in n for n in ranges]
+    assert all(of(k) == of(v) for k, v in made.items())
+
+
+def test_surrogates_against_plain_replacement(spark):
+    r = random.Random(5)
+    people = ["Anna Berg", "Iris-Maria", "Bo", "Carl Dahl"]
+    things = {"mail": "anna.berg@site.example.org", "ip": "10.1.2.3", "ssn": "123-45-6789", "card": "4111 1111 1111 1111"}
+    docs = []
+    for i in range(40):
+        known = r.sample(people, r.randint(0, 3))
+        parts = [f"Dr {p}" for p in known] + [r.choice([p, p.split(" ")[-1], p.upper()]) for p in people] + r.sample(sorted(things.values()), 2) + ["plain", "words", "7"]
+        r.shuffle(parts)
+        docs.append((i, " , ".join(parts), known))
+    got = {x.doc_id: x for x in surrogates.replace_entities(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), b"k").collect()}
+    kind_of = {v: {"mail": "email"}.get(k, k) for k, v in things.items()}
+    for i, text, known in docs:
+        spellings = {x for p in known for x in (p, *p.split(" "))}
+        spellings |= {x.upper() for x in spellings}
+        want = []
+        for part in text.split(" , "):
+            title, name = ("Dr ", part[3:]) if part.startswith("Dr ") else ("", part)
+            if name in spellings:
+                want.append(title + surrogates.surrogate("name", name, b"k"))
+            elif " " in name and kind_of.get(name) is None and name.split(" ")[-1] in spellings:
+                want.append(" ".join(surrogates.surrogate("name", w, b"k") if w in spellings else w for w in name.split(" ")))
+            else:
+                want.append(surrogates.surrogate(kind_of[name], name, b"k") if name in kind_of else part)
+        assert got[i].text == " , ".join(want)
+
+
+def test_mentions_take_linear_time():
+    took = []
+    for n in (4000, 16_000):
+        names = [f"N{''.join(chr(97 + int(c)) for c in str(i))} M{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(n)]
+        text = ", ".join(names + [x.split(" ")[0] for x in names])
+        began = time.time()
+        assert sum(1 for _ in surrogates.mentions(text, set(names), [])) == 2 * n
+        took.append(time.time() - began)
+    assert took[1] < 2 and took[1] < 12 * max(took[0], 0.02)
+
+
+def test_sharding_in_plain_python(spark):
+    r = random.Random(8)
+    texts = ["t" * r.randint(0, 400) + str(r.randint(0, 60)) for _ in range(500)] + ["same"] * 120 + [None, ""] * 5
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, shard int")
+    got = sharding.shard_documents(df, 24).collect()
+    groups, load = {}, [0] * 24
+    for x in got:
+        body = (texts[x.doc_id] or "").encode()
+        assert (x.size, x.text_crc32) == (len(body) + 8, zlib.crc32(body))
+        groups.setdefault(body, set()).add(x.shard)
+        load[x.shard] += x.size
+    assert all(len(v) == 1 for v in groups.values())
+    slots = {}
+    for x in got:
+        slots.setdefault(x.shard, []).append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    weights = {}
+    for t in texts:
+        weights[(t or "").encode()] = weights.get((t or "").encode(), 0) + len((t or "").encode()) + 8
+    plain = [0] * 24
+    for w in sorted(weights.values(), reverse=True):  # the largest group to the lightest shard
+        plain[plain.index(min(plain))] += w
+    assert max(load) - min(load) <= max(plain) - min(plain)
+
+
+def test_pairs_between_components_only(spark):
+    rows = [("k", i, 100 * jaccard_join.PACK, 1) for i in range(400)] + [("k", 1000 + i, 100 * jaccard_join.PACK, 1000 + i) for i in range(3)] + [("j", 5, 100 * jaccard_join.PACK, 1), ("j", 1001, 100 * jaccard_join.PACK, 1001)]
+    placed = spark.createDataFrame(rows, "key string, node long, n long, c long")
+    got = {tuple(r) for r in jaccard_join._cross(placed).collect()}
+    want = {(min(a, b), max(a, b)) for k, a, _, c in rows for l, b, _, d in rows if k == l and c != d}
+    assert got == want and len(got) == 400 * 3 + 3
