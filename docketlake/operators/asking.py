@@ -56,20 +56,22 @@ def ask_model(df: DataFrame, key: str, prompt: str, how: Asking | Callable[[str]
     missing = asked.where("digest is not null").select("digest", prompt).dropDuplicates(["digest"]).join(stored(spark, how), "digest", "left_anti")
     missing = staging.staged(missing, "missing")
 
+    client, tries, first_pause, threads = how.client, how.tries, how.pause, how.threads  # all that is sent to the tasks
+
     def one(text: str) -> tuple[str | None, str | None, int]:
-        pause = how.pause
-        for attempt in range(1, how.tries + 1):
+        pause = first_pause
+        for attempt in range(1, tries + 1):
             try:
-                return how.client(text), None, attempt
+                return client(text), None, attempt
             except Exception as error:  # the last one becomes the row's error
                 message = f"{type(error).__name__}: {error}"
-            if attempt < how.tries:
+            if attempt < tries:
                 time.sleep(pause)
                 pause *= 2
-        return None, message, how.tries
+        return None, message, tries
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(how.threads) as pool:
+        with ThreadPoolExecutor(threads) as pool:
             for frame in frames:
                 replies = list(pool.map(one, frame[prompt]))
                 yield pd.DataFrame(replies, columns=["reply", "error", "attempts"]).assign(digest=frame["digest"].values)
