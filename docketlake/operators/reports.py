@@ -25,13 +25,6 @@ def crosstab_with(df: DataFrame, key: str, keep: list[str], column: str = "proce
     return crosstab(df, key, column).join(texts, key)
 
 
-def with_totals(df: DataFrame, key: str, label: str = "Total", on_top: bool = False) -> DataFrame:
-    """The table and a row of sums; ``is_total`` sorts it last (or first)."""
-    sums = [F.sum(c).cast(t).alias(c) if t in ("bigint", "int", "double") else F.lit(None).cast(t).alias(c) for c, t in df.dtypes if c != key]
-    row = df.agg(*sums).select(F.lit(label).alias(key), *[c for c in df.columns if c != key]).withColumn("is_total", F.lit(0 if on_top else 1))
-    return df.withColumn("is_total", F.lit(1 if on_top else 0)).unionByName(row)
-
-
 def crosstab_with_total(df: DataFrame, key: str, column: str = "process_type", values: list[str] = PROCESSES, label: str = "Total", on_top: bool = False) -> DataFrame:
     """A crosstab and its row of sums by grouping sets, from one scan and one shuffle of partial counts; ``is_total`` sorts the sums last (or first)."""
     cells = [F.count_if(F.col(column) == v).alias(v) for v in values]

@@ -504,3 +504,49 @@ def test_a_lookup_reads_few_row_groups(spark, tmp_path):
     at = lambda g: g.column(0).statistics
     assert len(groups) >= 15 and sum(at(g).min <= "D0123" <= at(g).max for g in groups) <= 2
     assert spark.read.parquet(str(path)).where("document_id = 'D0123'").count() == 10
+
+
+def test_command_line_model_runs(spark, corpus):
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            prompt = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["prompt"]
+            asked.append(prompt)
+            days = re.findall(r"(?m)^\d+\. (\d{4}-\d{2}-\d{2}): ", prompt)
+            if "classifications" in prompt:
+                reply = {"classifications": [{"date": d, "type": "decision", "reason": "r"} for d in days]}
+            else:
+                reply = {"capacity_value": 9, "capacity_unit": "MW"} if "capacity_value" in prompt else {"dates": [{"date": "2014-05-02", "type": "decision"}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"response": json.dumps(reply)}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root, model = str(corpus / "out"), ["--url", f"http://127.0.0.1:{server.server_port}", "--model", "m", "--all"]
+    run = lambda *a: command.main([*a, "--root", root], spark)
+    table = lambda name: {r.project_id: r for r in spark.read.parquet(f"{root}/analysis/{name}").collect()}
+    run("extract", "--records", str(corpus / "in"))
+    run("analysis")
+    for _ in range(2):
+        run("candidates", "--all", "--all-docs", "--maintain")
+    run("model-timeline", *model, "--all-docs", "--hybrid", "--output", "by_class")
+    made = table("by_class")
+    assert (made["p1"].llm_decision_date, made["p3"].llm_decision_date, made["p4"].llm_error) == ("2014-05-02", "2010-03-01", "no_dates")
+    n = len(asked)
+    run("model-timeline", *model, "--all-docs", "--use-candidates", "--output", "again")
+    assert {k: r.llm_decision_date for k, r in table("again").items()} == {k: r.llm_decision_date for k, r in made.items()}
+    assert len(asked) == n == 3  # the same prompts have been answered
+    run("model-timeline", *model, "--project-id", "p1", "--all-docs")
+    assert set(table("projects_timeline_llm")) == {"p1"} and len(asked) == n + 1
+    run("capacity", "--all")
+    run("model-capacity", *model)
+    assert not {"p1", "p3"} & set(table("projects_gencap_llm"))  # the title and a sure match have settled them
+    run("model-capacity", *model, "--settled-too", "--output", "every")
+    assert table("every")["p3"].capacity_value == 9.0
+    server.shutdown()
+    server.server_close()
