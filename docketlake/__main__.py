@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import capacity, runs
 from .operators.asking import Asking
 from .operators.client import ModelClient
-from .sources import ingest
+from .sources import ingest, staging
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -61,6 +61,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     def save(df: DataFrame, name: str) -> None:
         ingest.write_table(df, f"{args.root}/analysis/{name}")
 
+    try:
+        _run(args, spark, read, save)
+    finally:
+        staging.drop(spark)
+
+
+def _run(args, spark: SparkSession, read, save) -> None:
     if args.command == "extract":
         for source in args.sources:
             ingest.write_tables(ingest.read_corpus(spark, args.records, [source]), args.root, source)

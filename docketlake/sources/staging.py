@@ -20,12 +20,24 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back; the table stays until ``drop``."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession) -> None:
+    """Remove the tables that this process has staged; call it when all results are stored."""
+    while _staged:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
