@@ -223,8 +223,9 @@ def _cross(placed: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = placed.select("key", "node", "c", size.alias("size"), (F.col("n") % PACK).alias("at"), band.alias("band"))
     counts = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / JOIN_CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-    largest = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
-    x = rows.join(largest, "key").where("c <> top").drop("top").join(counts, ["key", "band"]).select("key", "band", chunk.alias("chunk"), *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "size", "at")])
+    largest = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"))
+    tops = counts.join(largest.select("key", F.col("top.c").alias("top")), "key")
+    x = rows.join(tops, ["key", "band"]).where("c <> top").select("key", "band", chunk.alias("chunk"), *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "size", "at")])
     # one band more on either side against rounding
     near = rows.withColumn("band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2))).join(counts, ["key", "band"])
     y = near.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *[F.col(c).alias(f"y_{c}") for c in ("node", "c", "size", "at")])
