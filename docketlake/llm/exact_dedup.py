@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from . import binaryfuse
-from .common import BLANKS, dropped, table, text_or_empty, written
+from .common import BLANKS, dropped, joined_hot, table, text_or_empty, written
 from .wordblocks import one_space, slices
 
 BUCKET_TEXTS = 500_000
@@ -148,12 +148,17 @@ def dedup_batch(batch: DataFrame, batch_docs: DataFrame, snapshot: Snapshot, old
 
 
 def mark_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Every row with its group: half of the rows (by a hash of the id) form the snapshot, the others arrive."""
+    """Every row with its group: half of the rows (by a hash of the id) form the snapshot, the others arrive.
+
+    Rows of the largest groups are joined where they are (``joined_hot``), so that no group of copies is one task's.
+    """
     docs = docs.select("doc_id", "text")
     arrives = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
     rows = written(digests(docs).withColumn("arrives", arrives), "digests")
     found = dedup_batch(rows.where("arrives"), docs.where(arrives), build_snapshot(rows.where("not arrives"), buckets), docs.where(~arrives))
-    marked = rows.join(found, ["text_sha256", "arrives"])
+    found = written(found.withColumn("copies", F.col("group_size")), "found")
+    # copies of both sides are counted, so twice as many keys as ``joined_hot`` names may be broadcast
+    marked = joined_hot(rows, found, ["text_sha256", "arrives"], "copies", rows.count())
     return marked.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

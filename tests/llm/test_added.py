@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake.llm import common, decontamination, jaccard_join, prefix_trie, quality, sharding, surrogates, toxicity, vector_codes, warc
+from docketlake.llm import common, decontamination, exact_dedup, jaccard_join, prefix_trie, quality, sharding, surrogates, toxicity, vector_codes, warc
 
 TALK = "conv_id long, turn long, role string, text string, k1 long, depth string"
 
@@ -373,3 +373,16 @@ def test_pairs_between_components_only(spark):
     got = {tuple(r) for r in jaccard_join._cross(placed).collect()}
     want = {(min(a, b), max(a, b)) for k, a, _, c in rows for l, b, _, d in rows if k == l and c != d}
     assert got == want and len(got) == 400 * 3 + 3
+
+
+def test_exact_dedup_of_one_large_group(spark, monkeypatch):
+    """A group of half of the rows, joined in place, beside groups that meet by hash."""
+    monkeypatch.setattr(common, "FEW", 4)
+    rows = [(i, "one  text" if i % 2 else f"text {i % 60}") for i in range(400)]
+    got = {r.doc_id: r for r in exact_dedup.mark_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(" ".join(t.split()), []).append(i)
+    assert len(got) == len(rows)
+    for ids in groups.values():
+        assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (ids[0], len(ids), i == ids[0]) for i in ids)
