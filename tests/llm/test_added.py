@@ -193,6 +193,37 @@ def test_toxicity_without_labels_of_both_kinds(spark):
     assert toxicity.score(docs.limit(0), net).count() == 0
 
 
+def test_toxicity_learns_all_labelled_documents(spark, monkeypatch):
+    """A word of those toxic documents only that come last by hash is learned, too, and partitions do not change the network."""
+    ids = spark.range(8800)
+    late = {r.id for r in ids.where("id % 2 = 1").orderBy(F.xxhash64("id", F.lit(31)), "id").collect()[4000:]}
+    r = random.Random(7)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    text = lambda i: " ".join([*r.sample(plain, 6), ("grobian" if i in late else "insult") if i % 2 else r.choice(plain)])
+    docs = spark.createDataFrame([(i, text(i), "x", 0.0, 0) for i in range(8800)] + [(9000, "grobian", "x", 0.0, 0), (9001, "insult", "x", 0.0, 0), (9002, plain[0], "x", 0.0, 0)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8800)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where("doc_id >= 9000"), net).collect()}
+    assert len(late) == 400 and got[9000] > 0.7 and got[9001] > 0.7 and got[9002] < 0.3
+    monkeypatch.setattr(toxicity, "UNIT", 300)
+    monkeypatch.setattr(toxicity, "ROUNDS", 2)
+    few = docs.where("doc_id % 5 = 0")
+    nets = [toxicity.fit(few.repartition(n), labels.repartition(n)) for n in (2, 5)]
+    assert (nets[0].embeddings == nets[1].embeddings).all() and nets[0].threshold == nets[1].threshold
+
+
+def test_peaks_of_a_long_text_in_pieces(monkeypatch):
+    r = np.random.default_rng(3)
+    net = toxicity.begun(r.integers(0, 3, (2, (1 << toxicity.BITS) + 1)).astype(np.float32), np.array([5.0, 5.0], np.float32))
+    words = r.integers(1, 1 << toxicity.BITS, (200, 5)).astype(np.int32)
+    words[[118, 119, 198, 199]] = 0
+    blank, bounds = words[:, 0] == 0, np.array([0, 120, 200])
+    whole = toxicity.peaks(net, words, blank, bounds)
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 17)
+    pieces = toxicity.peaks(net, words, blank, bounds)
+    assert (whole[0] == pieces[0]).all() and np.allclose(whole[1], pieces[1], atol=1e-6)
+
+
 def test_gradients_agree_with_differences():
     r = np.random.default_rng(2)
     words = r.integers(1, 30, (12, 5)).astype(np.int32)
