@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the actions within, an Arrow batch ends at BATCH_BYTES, too, not at a number of rows alone.
+
+    The executor builds a batch outside its heap, in buffers of doubling size, and the worker holds it again; long texts that
+    lie side by side would make batches of Spark's 64 MB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the tables that this process wrote on the way; call it when all results are stored."""
     while _scratch:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, dropped, partitions, table, text_tag, written
+from .common import components, dropped, partitions, small_batches, table, text_tag, written
 from .recurrent import class_of, frequency_classes, hot_keys, recurring
 from .wordblocks import Block, blocks, mix, shingle_hashes
 
@@ -238,6 +238,11 @@ def _cross(placed: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, tag, n, label, component_id) of every row; equal labels are one component."""
+    with small_batches(docs.sparkSession):
+        return _linked_rows(docs, k, percent)
+
+
+def _linked_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     keys = lambda block: shingle_sets(block, k)
     few, hot = hot_keys(docs, keys, lower=True)
     frequent = frequency_classes(docs, keys, lower=True)

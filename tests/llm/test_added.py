@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +407,33 @@ def test_pairs_between_components_only(spark):
     assert got == want and len(got) == 400 * 3 + 3
 
 
+def test_near_duplicates_in_batches_bounded_by_bytes(spark, monkeypatch):
+    """Every table on the way is made with small batches; the bound holds for long texts side by side, and ends with the join."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, write = spark.conf.get(name), [], common.written
+
+    def noted(df, table):
+        seen.append(df.sparkSession.conf.get(name))
+        return write(df, table)
+
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 16)
+    r = random.Random(5)
+    words = [r.choice("abcdefgh") * r.randint(2, 9) + str(i) for i in range(2000)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"w{i}"])) for i in range(60)] + [(100, "other text")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {**{i: 0 for i in range(60)}, 100: 100}
+    assert seen and set(seen) == {str(1 << 16)} and spark.conf.get(name) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    with common.small_batches(spark):
+        most = docs.repartition(1).select("text").mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert most < (1 << 16) + 2 * len(docs.first().text)
+
+
 def test_exact_dedup_of_one_large_group(spark, monkeypatch):
     """A group of half of the rows, joined in place, beside groups that meet by hash."""
     monkeypatch.setattr(common, "FEW", 4)
