@@ -104,27 +104,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     Returns (node, component) with the smallest reachable node; nodes without an edge do not occur.
     Every round is written to the shared folder, so a lost executor costs one round at most.
     """
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both_of = lambda df, *pairs: df.select(F.explode(F.array(*pairs)).alias("e")).select("e.u", "e.v")
+
+    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
+        mark = Observation()
+        df = df.where("u <> v").distinct().observe(mark, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        return written(df, "edges"), mark.get
+
+    # a star forest is left as it is, so edges that are one already take a single round
+    now, seen = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     for _ in range(limit):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both_of(now, pair("u", "v"), pair("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(joined.select("u", F.col("m").alias("v")))
-        mark = Observation()
-        small = small.where("u <> v").distinct().observe(mark, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
-        now = written(small, "edges")
-        if mark.get == seen:
+        before = seen
+        now, seen = settled(both_of(large.join(low, "u"), pair("v", "m"), pair("u", "m")))
+        if seen == before:
             break
-        seen = mark.get
     else:
         raise RuntimeError("components did not settle")
-    nodes = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionAll(roots).groupBy("node").agg(F.min("component").alias("component"))
+    ends = both_of(now, pair("u", "v"), pair("v", "v"))
+    return ends.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
 def text_tag() -> Column:

@@ -216,7 +216,8 @@ def _cross(placed: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Rows meet by key and band of sizes only, and a long list is dealt in chunks of about JOIN_CHUNK. Of two components one is
     not the key's largest, so only rows of the others look for partners: many near copies that share a shingle with a few other rows
-    make as many pairs as there are such rows for each, not pairs among themselves.
+    make as many pairs as there are such rows for each, not pairs among themselves. The lists are written on the way: one plan of all
+    of it would have its many stages, and what the driver keeps of their tasks, at once.
     """
     size = F.expr(f"n div {PACK}")
     band = F.floor(F.log(size.cast("double")) / math.log(100 / percent)).cast("int")
@@ -224,10 +225,10 @@ def _cross(placed: DataFrame, percent: int = PERCENT) -> DataFrame:
     counts = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / JOIN_CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
     largest = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"))
-    tops = counts.join(largest.select("key", F.col("top.c").alias("top")), "key")
+    tops = written(counts.join(largest.select("key", F.col("top.c").alias("top")), "key"), "tops")  # one row for each row of counts
     x = rows.join(tops, ["key", "band"]).where("c <> top").select("key", "band", chunk.alias("chunk"), *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "size", "at")])
     # one band more on either side against rounding
-    near = rows.withColumn("band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2))).join(counts, ["key", "band"])
+    near = rows.withColumn("band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2))).join(tops, ["key", "band"])
     y = near.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *[F.col(c).alias(f"y_{c}") for c in ("node", "c", "size", "at")])
     # after their first common shingle two sets share at most the rest of either
     rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
@@ -267,13 +268,15 @@ def _linked_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     tried = written(bounded_pairs(stars, sides, percent), "tried")
     places = nodes.select("node", "doc_id", "tag")
     links = written(verified(tried, places, docs, k, percent), "links")
-    first = components(links)
+    first = written(components(links), "first")
     placed = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     placed = written(placed, "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    cross = _cross(placed.join(split, "key", "left_semi"), percent).join(tried, ["a", "b"], "left_anti")
-    late = written(bounded_pairs(cross, sides, percent), "late")
-    final = components(links.unionAll(verified(late, places, docs, k, percent)))
+    mixed = written(placed.join(split, "key", "left_semi"), "mixed")
+    cross = written(_cross(mixed, percent), "cross")
+    late = written(bounded_pairs(cross.join(tried, ["a", "b"], "left_anti"), sides, percent), "late")
+    # the first components stand for their links
+    final = components(first.select("node", "component").unionAll(verified(late, places, docs, k, percent)), "node", "component")
     member = written(nodes.join(final, "node", "left").select("set", "doc_id", F.coalesce("component", "node").alias("label")), "member")
     least = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     member = member.join(least, "label").select("set", "label", "component_id")

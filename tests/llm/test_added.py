@@ -434,6 +434,38 @@ def test_near_duplicates_in_batches_bounded_by_bytes(spark, monkeypatch):
     assert most < (1 << 16) + 2 * len(docs.first().text)
 
 
+def test_near_duplicates_in_plans_of_few_exchanges(spark, monkeypatch):
+    """What the driver holds of a plan and its stages' tasks grows with the exchanges that run at once; the join's tables are made one after the other."""
+    exchanges, write = {}, common.written
+
+    def noted(df, name):
+        n = df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+        exchanges[name] = max(n, exchanges.get(name, 0))
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", noted)
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    chain = [f"w{i}" for i in range(140)]
+    docs = spark.createDataFrame([(i, " ".join(chain[i : i + 100])) for i in range(0, 40, 4)] + [(99, "other text")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {**{i: 0 for i in range(0, 40, 4)}, 99: 99}
+    assert {"late", "edges", "placed"} <= set(exchanges) and max(exchanges.values()) <= 9, exchanges
+
+
+def test_components_of_a_star_forest_take_one_round(spark, monkeypatch):
+    rounds, write = [], common.written
+
+    def noted(df, name):
+        rounds.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", noted)
+    stars = [(i, i % 3) for i in range(3, 30)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: i % 3 for i in range(30)} and rounds == ["edges"] * 2
+    assert common.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+
+
 def test_exact_dedup_of_one_large_group(spark, monkeypatch):
     """A group of half of the rows, joined in place, beside groups that meet by hash."""
     monkeypatch.setattr(common, "FEW", 4)
