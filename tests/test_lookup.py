@@ -98,3 +98,17 @@ def test_indexed_search_equals_the_scan(spark, tmp_path):
     sizes = [search.candidates(index, ["document_id", "page_number"], search.required(p)).count() for p in ("rare-word", "turbine", "the")]
     assert sizes[0] < sizes[1] < sizes[2] < 500  # pages read fall with the rarity of the term
     assert search.required("a|bcd") == search.required("x?y") == [] and search.required("abcd?ef") == ["abc"]
+
+
+def test_the_index_is_packed_where_the_pages_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_PAGES", 100)
+    texts = ["ab", None, "", "x" * 400, "ABCabc\u00e9abcd", *(f"page {i % 90} of {i}" for i in range(1000))]
+    pages = spark.createDataFrame(list(enumerate(texts)), "n long, t string").repartition(3)
+    index = search.trigram_index(pages, ["n"], "t", str(tmp_path / "index"))
+    per_page = [{t.lower()[i : i + 3] for i in range(len(t) - 2)} for t in texts if t]
+    # far fewer rows than pairs of page and gram: one for each gram of a block
+    assert index.count() < sum(map(len, per_page)) / 3 and index.where("gram is null").count() <= 15
+    assert index.where("gram is null").selectExpr("sum(size(keys))").first()[0] == sum(t is not None and len(t) > 2 for t in texts)
+    for grams in (["pag"], ["abc"], ["bca"], ["e 7", " of"], ["xxx"], ["zzz"], ["pag", "xxx"]):
+        want = [n for n, t in enumerate(texts) if t and all(g in t.lower() for g in grams)]
+        assert sorted(r.n for r in search.candidates(index, ["n"], grams).collect()) == want
