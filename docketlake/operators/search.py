@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matches import literals
 from ..sources import staging
 
 GRAM = 3
@@ -72,28 +73,7 @@ def required(pattern: str) -> list[str]:
     """Lower-cased trigrams that each text matching the pattern (in any case) contains; none for patterns with choices or groups."""
     if re.search(r"[|(]", pattern) or not pattern.isascii():
         return []
-    runs, run, i = [], "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        size = 1
-        if c == "\\":
-            literal = pattern[i + 1 : i + 2] if not pattern[i + 1 : i + 2].isalnum() else None
-            size = 2
-        elif c == "[":
-            end = pattern.find("]", i + 2)
-            literal, size = None, (end - i + 1 if end > 0 else len(pattern) - i)
-        else:
-            literal = None if c in ".^$*+?{}" else c
-            size = pattern.find("}", i) - i + 1 if c == "{" and "}" in pattern[i:] else 1
-        follows = pattern[i + size : i + size + 1]
-        if literal is None or follows in ("?", "*", "{", "+"):
-            runs.append(run + (literal if literal and follows == "+" else ""))
-            run = ""
-        else:
-            run += literal
-        i += size
-    runs.append(run)
-    return sorted({r[j : j + GRAM].lower() for r in runs for j in range(len(r) - GRAM + 1)})
+    return sorted({r[j : j + GRAM] for r in literals(pattern) for j in range(len(r) - GRAM + 1)})
 
 
 def candidates(index: DataFrame, key: list[str], grams: list[str]) -> DataFrame:

@@ -17,6 +17,8 @@ from docketlake.functions import fixed, matches, places, tags
 from docketlake import __main__ as command
 from docketlake.operators import capacity, client, dates, replies, reports, runs, snippets
 from docketlake.operators.asking import Asking, ask_model
+from docketlake.plans import cases
+from docketlake.plans.derived import Corpus
 from docketlake.sources import ingest
 from docketlake.streaming import incremental
 
@@ -166,6 +168,24 @@ def test_snippets_without_a_shuffle(spark):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_each_pattern_of_the_bank_reads_only_texts_with_its_literal(spark):
+    assert matches.literals(r"(?i)D\.\s*Signature") == ["d.", "signature"] and matches.literals(r"ab{2}c+d?ef|x") == [] and matches.literals(r"(?:a|b)cd?e[fg]hi\w") == ["c", "e", "hi"]
+    assert matches.literals("(?x)abc") == matches.literals(r"\Qa.b\E") == matches.literals("naïve") == [] and matches.literals("ab+c*d") == ["ab", "d"]
+    r = random.Random(5)
+    words = ["Date", "Signed", "ROW Grant", "q1 2020", "Gas", "Lease", "winter 1999", "RMP", "approved", "K\u212a", "\u0130", "NEPA", "D. Signature", "special use permit", "xx", "\n", " ", "FY 20", "Date  Approved"]
+    df = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.choice([1, 5, 40])))) for i in range(600)] + [(-1, None), (-2, "")], "i int, t string")
+    plain = df.select("i", matches.all_hits(matches.clean(F.col("t")), [matches.Pattern(n, p) for n, p in snippets.keyword_bank()]).alias("_hits"))
+    key = lambda rows: {x.i: [tuple(h) for h in x._hits] for x in rows.collect()}
+    want = key(plain)
+    assert key(snippets._hits(df, "t", ["i"], None)) == want and sum(map(len, want.values())) > 1000
+
+
+def test_made_cases_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = cases._rows(Corpus(spark, str(tmp_path)), ["a", "b"])
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
 def counted(folder):
     """A client that leaves a line for each call; prompts with "twice" fail two times, those with "never" always."""
 
