@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docketlake.functions import fixed, matches, places, tags
 from docketlake import __main__ as command
-from docketlake.operators import capacity, client, dates, replies, reports, runs, snippets
+from docketlake.operators import asking, capacity, client, dates, replies, reports, runs, snippets
 from docketlake.operators.asking import Asking, ask_model
 from docketlake.plans import cases
 from docketlake.plans.derived import Corpus
@@ -221,6 +221,14 @@ def test_model_replies_are_stored(spark, tmp_path):
     assert calls(tmp_path / "calls")["a"] == 2
 
 
+def test_tasks_of_calls_do_not_grow_with_the_prompts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(asking, "MOST_TASKS", 5)
+    df = spark.range(3000).select("id", F.concat(F.lit("p"), (F.col("id") % 2500).cast("string")).alias("prompt"))
+    rows = ask_model(df, "id", "prompt", Asking(lambda p: p.upper(), store=str(tmp_path / "store"), prompts_per_task=10)).collect()
+    assert len(rows) == 3000 and all(r.reply == f"P{r.id % 2500}" and r.error is None for r in rows)
+    assert len(list((tmp_path / "store").rglob("*.parquet"))) <= max(5, 4 * spark.sparkContext.defaultParallelism)
+
+
 def test_a_lost_task_repeats_only_its_own_calls(spark, tmp_path):
     (tmp_path / "calls").mkdir()
     how = Asking(counted(str(tmp_path / "calls")), "m1", str(tmp_path / "store"), threads=1, prompts_per_task=1)
