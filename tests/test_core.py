@@ -17,7 +17,7 @@ from docketlake.functions import fixed, matches, places, tags
 from docketlake import __main__ as command
 from docketlake.operators import asking, capacity, client, dates, replies, reports, runs, snippets
 from docketlake.operators.asking import Asking, ask_model
-from docketlake.plans import cases
+from docketlake.plans import cases, queries
 from docketlake.plans.derived import Corpus
 from docketlake.sources import ingest
 from docketlake.streaming import incremental
@@ -168,6 +168,35 @@ def test_snippets_without_a_shuffle(spark):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lean_patterns_find_what_the_plain_ones_find(spark):
+    r = random.Random(6)
+    words = ["about", "Approx.", "up to", "~", "12", "1,200.5", "1997", "3", "-", "–", "to", ",", ".", " ", "  ", "MW", "kWh", "megawatt", "Gigawatt-hours", "kw", "solar", "plant", "rated", "capacity of", "A", "generate", "x", "\n", "\u212aW"]
+    df = spark.createDataFrame([(i, "".join(r.choice(words) + r.choice(["", " "]) for _ in range(r.choice([3, 12, 60])))) for i in range(1500)], "i int, t string")
+    plain = [matches.Pattern(p.name, re.sub(r"\(\?=(?:[^()\[]|\[[^\]]*\])*\)", "", p.regex), p.groups) for p in capacity.PATTERNS]
+    assert all("(?=" in p.regex for p in capacity.PATTERNS) and not any("(?=" in p.regex for p in plain)
+    key = lambda ps: {x.i: [tuple(h) for h in x.h] for x in df.select("i", matches.all_hits(F.col("t"), ps).alias("h")).collect()}
+    want = key(plain)
+    assert key(capacity.PATTERNS) == want and sum(map(len, want.values())) > 1000
+    # of hits with the same match the first, whether few or many
+    texts = [("1 MW 2 MW 1 MW 1 MW",), (" ".join(f"{i % 50} MW" for i in range(200)),), ("5 kW",)]
+    df = spark.createDataFrame(texts, "t string").select(matches.first_of(matches.all_hits(F.col("t"), capacity.PATTERNS[:1]), "match").alias("h"))
+    assert [[(h.start, h.match) for h in x.h] for x in df.collect()][::2] == [[(0, "1 MW"), (5, "2 MW")], [(0, "5 kW")]] and {len(x.h) for x in df.collect()} == {1, 2, 50}
+
+
+def test_lowering_and_failing_casts_are_not_repeated(spark):
+    df = spark.createDataFrame([("The proposed plant is rated 5 MW.",)], "t string")
+    plan = capacity.extract_capacity(df, "t", [])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(near") == 1
+    row = df.select(capacity.number(F.lit("")).alias("none"), capacity.number(F.lit("1,200.5")).alias("some")).first()
+    assert row.none is None and row.some == 1200.5
+
+
+def test_both_tables_of_a_comparison_come_from_one_reading(spark):
+    made = queries.QUERIES["j10_compare"](spark, "/root/testdata/sf0.001")
+    text = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "page_text" not in text and "l_shipdate" not in text
+
+
 def test_each_pattern_of_the_bank_reads_only_texts_with_its_literal(spark):
     assert matches.literals(r"(?i)D\.\s*Signature") == ["d.", "signature"] and matches.literals(r"ab{2}c+d?ef|x") == [] and matches.literals(r"(?:a|b)cd?e[fg]hi\w") == ["c", "e", "hi"]
     assert matches.literals("(?x)abc") == matches.literals(r"\Qa.b\E") == matches.literals("naïve") == [] and matches.literals("ab+c*d") == ["ab", "d"]
